@@ -98,8 +98,7 @@ def normalize_keywords(tokens: Column, rules: KeywordRules = DEFAULT) -> Column:
         bad = (F.length(t) < 2) | t.rlike(NON_KEYWORD_CHAR)
         if rules.drop_latin:
             bad = bad | t.rlike("^[a-z]+$")
-        # A stem that is a kept business word passes as it is.
-        return F.when(bad & ~_one_of(t, [k for k in rules.keep if any(ord(ch) > 127 for ch in k)]), F.lit("")).otherwise(t)
+        return F.when(bad, F.lit("")).otherwise(t)
 
     out = F.transform(tokens, trim_marks)
     out = F.transform(out, lambda t: _lookup(t, rules.translations))
