@@ -138,3 +138,60 @@ PRODUCT_MAP = {
     "오븐": "Oven", "정수기": "Water Purifier", "인덕션": "Induction", "와인셀러": "Wine Cellar", "컵세척기": "Cup Washer",
     "실내식물재배기(틔운)": "Indoor Plant Grower (Tiiun)",
 }
+
+# Latin markers per category; the label of a subtype is our own short name.
+SUBTYPE_RULES = {
+    "Refrigerator": {
+        "Side by side": ("side-by-side", "side by side"),
+        "Top or bottom freezer": ("top freezer", "bottom freezer", "top-fridge-bottom-freezer"),
+        "Kimchi": ("kimchi fridge",),
+        "Built-in": ("built-in", "built in"),
+        "Mini": ("mini fridge", "personal fridge"),
+        "Wine": ("wine cellar", "wine fridge"),
+        "Showcase": ("showcase",),
+    },
+    "Washer": {
+        "Front load": ("front loader", "front-load", "drum washer"),
+        "Top load": ("top loader", "top-load"),
+        "Tower": ("washtower", "wash tower"),
+        "Combo": ("combo", "all-in-one", "all in one"),
+        "Mini": ("mini washer",),
+    },
+    "Dryer": {
+        "Combo": ("combo", "all-in-one", "all in one", "washer dryer combo"),
+        "Heat pump": ("heat pump",),
+        "Condenser": ("condenser",),
+        "Vented": ("vented",),
+    },
+    "Dishwasher": {
+        "6 place": ("6 place", "6-place"),
+        "12-14 place": ("12 place", "14 place", "12-14", "12~14"),
+        "Built-in": ("built-in", "built in"),
+        "Freestanding": ("freestanding",),
+    },
+    "Vacuum": {
+        "Robot": ("robot", "robot vacuum"),
+        "Stick": ("stick", "cordless"),
+        "Wet and dry": ("wet&dry", "wet and dry", "w&d"),
+        "Handheld": ("handheld",),
+    },
+    "Cup Washer": {
+        "Countertop": ("countertop", "compact"),
+        "Built-in": ("built-in", "built in"),
+        "Commercial": ("commercial", "cafe", "office"),
+    },
+    "Indoor Plant Grower (Tiiun)": {
+        "Compact": ("compact", "personal"),
+        "Stand": ("stand", "stand-type"),
+    },
+}
+
+CONTRAST = r"(?iU)\b(?:but|however|though|although|while|yet|except)\b|하지만|그런데|다만|반면|근데|그러나"
+SENTENCE_END = r"(?<=[.!?])\s+|(?<=。)|\n+"
+MODEL_NUMBER = r"(?U)\b[A-Z0-9]{4,}(?:[-_][A-Z0-9]+)*\b"
+INTENSE_WORDS = ("진짜", "완전", "너무", "최고", "최악", "절대", "무조건", "always", "never", "worst", "best")
+CAUSE_WORDS = ("because", "so ", "때문", "해서", "그래서")
+CONDITION_WORDS = ("when", "if ", "할 때", "모드", "설정")
+PERIOD_WORDS = ("month", "week", "year", "3개월", "2주", "한달", "매번")
+CONTRAST_WORDS = ("than", "compared", "보다", "이전", "전 모델")
+DEFAULT_INSIGHT = "대표 의견의 핵심 포인트입니다."

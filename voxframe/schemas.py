@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "map<string,double>": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Flat table contract; needs no session, unlike a DDL string."""
+    pairs = [field.strip().split(" ") for field in spec.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 VIDEOS = _schema(
@@ -49,22 +63,24 @@ _SNIPPET = (
     "struct<textOriginal:string,textDisplay:string,authorDisplayName:string,"
     "authorChannelId:struct<value:string>,likeCount:bigint,publishedAt:string,updatedAt:string,viewerRating:string>"
 )
+# Page schemas are DDL text: the readers take it as it is.
+
 #: One stored page of comment threads.
-THREAD_PAGE = _schema(
+THREAD_PAGE = (
     "endpoint string, run_id string, video_id string, collected_at string, page_token string, "
     "payload struct<nextPageToken:string,items:array<struct<id:string,"
     f"snippet:struct<totalReplyCount:bigint,topLevelComment:struct<id:string,snippet:{_SNIPPET}>>,"
     f"replies:struct<comments:array<struct<id:string,snippet:{_SNIPPET}>>>>>>"
 )
 #: One stored page of replies to a comment.
-REPLY_PAGE = _schema(
+REPLY_PAGE = (
     "endpoint string, run_id string, video_id string, parent_comment_id string, "
     f"payload struct<items:array<struct<id:string,snippet:{_SNIPPET}>>>"
 )
-SEARCH_PAGE = _schema(
+SEARCH_PAGE = (
     "endpoint string, run_id string, page_no bigint, payload struct<items:array<struct<id:struct<videoId:string>>>>"
 )
-VIDEO_PAGE = _schema(
+VIDEO_PAGE = (
     "endpoint string, run_id string, payload struct<items:array<struct<id:string,"
     "snippet:struct<title:string,description:string,channelId:string,channelTitle:string,publishedAt:string,"
     "tags:array<string>,categoryId:string>,contentDetails:struct<duration:string>,"
