@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxfra
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
