@@ -52,9 +52,9 @@ def first_match(text: Column, rules: Mapping[str, Sequence[str]], default: Colum
     return default if chain is None else chain.otherwise(default)
 
 
-def best_label(scores: Mapping[str, Column], floor: float, default: Column) -> Column:
-    """Label with the top score of at least ``floor``; the first label wins ties."""
-    ranked = F.array_max(
+def best_scored(scores: Mapping[str, Column]) -> Column:
+    """Struct of the top score and its label; the first label wins ties."""
+    return F.array_max(
         F.array(
             *[
                 F.struct(score.cast("double").alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label"))
@@ -62,6 +62,11 @@ def best_label(scores: Mapping[str, Column], floor: float, default: Column) -> C
             ]
         )
     )
+
+
+def best_label(scores: Mapping[str, Column], floor: float, default: Column) -> Column:
+    """Label with the top score of at least ``floor``; the first label wins ties."""
+    ranked = best_scored(scores)
     top = F.when(ranked["score"] >= F.lit(float(floor)), ranked["label"])
     return F.coalesce(top, default)
 
@@ -99,6 +104,22 @@ def contains_bounded(text: Column, marker: str) -> Column:
     return text.contains(marker)
 
 
+def bounded_count(text: Column, markers: Iterable[str]) -> Column:
+    """How many markers occur, Latin ones as whole words."""
+    total = F.lit(0)
+    for marker in markers:
+        total = total + contains_bounded(text, marker).cast("int")
+    return total
+
+
+def bounded_weight(text: Column, markers: Iterable[tuple[str, float]]) -> Column:
+    """Summed weight of the markers that occur, Latin ones as whole words."""
+    total = F.lit(0.0)
+    for marker, weight in markers:
+        total = total + F.when(contains_bounded(text, marker), F.lit(float(weight))).otherwise(F.lit(0.0))
+    return total
+
+
 def matches_any(text: Column, patterns: Iterable[str]) -> Column:
     """True if one of the regular expressions is found, without regard to case."""
     patterns = list(patterns)

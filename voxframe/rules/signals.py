@@ -274,3 +274,18 @@ SHEET_AXIS_LABEL = {
     "service_after_sales": "A/S이슈", "purchase_strategy_contract": "구매전략",
     "repurchase_recommendation": "재구매추천",
 }
+
+COMPARISON = r"(?iU)\b(?:compare|comparison|vs|versus|instead|rather than|alternative|switch)\b|비교|대체|대신"
+GENERIC_SIGNALS = (r"\b(?:thanks|thank you|great video|nice video|lol|lmao)\b", r"^[\W_]+$")
+GENERIC_REPRESENTATIVES = r"(?iU)\b(?:thanks|thank you|great video|nice video|lol|lmao|first!|subscribe)\b"
+OFF_TOPIC = r"(?iU)\b(?:politics|wife|husband|married|birthday|funny channel)\b"
+CONNECTORS = (
+    ("contrast", (r"(?iU)\b(?:but|however|though|although)\b", r"(?:하지만|반면|그런데|다만|그러나)", r"(?<=[가-힣])(?:지만)(?=[\s,.;!?]|$)")),
+    ("causal", (r"(?iU)\b(?:because|therefore|since)\b", r"(?:때문에|그래서|라서|탓에)")),
+    ("conditional", (r"(?iU)\b(?:if only|as long as|if)\b", r"(?:면 좋겠다|으면 좋겠다)", r"(?<=[가-힣])(?:면|으면)(?=[\s,.;!?]|$)")),
+    ("additive", (r"(?iU)\b(?:and|also|plus)\b", r"(?:그리고|또한|게다가|및)", r"(?<=[가-힣])도(?=\s+[가-힣A-Za-z])")),
+)
+EXCLUDED_CATEGORY = {"dryer": (r"(?i)\bhair\s*dryer\b", r"(?i)\bhairdry(?:er)?\b")}
+SIGNATURE_NOISE = (
+    "general", "usage", "maintenance", "exploration", "awareness", "purchase", "negative", "neutral", "positive", "mixed",
+)
