@@ -289,6 +289,6 @@ def scope_sizes(issues: DataFrame, comments: DataFrame) -> DataFrame:
         F.struct(F.lit("product_group").alias("level_type"), F.col("product").cast("string").alias("level_id")),
     )
     sizes = comments.select(F.inline(levels)).groupBy("level_type", "level_id").agg(F.count("*").alias("scope_size"))
-    out = attach(issues, sizes, ["level_type", "level_id"]).withColumn("scope_size", F.coalesce("scope_size", F.lit(0)))
+    out = attach(issues, sizes, ["level_type", "level_id"], derived=True).withColumn("scope_size", F.coalesce("scope_size", F.lit(0)))
     share = F.least(ratio(F.col("supporting_cluster_count"), F.col("scope_size")), F.lit(1.0))
     return out.withColumn("issue_ratio", share)

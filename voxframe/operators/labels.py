@@ -9,7 +9,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.markers import best_label, contains_any, first_match, hit_count, hits, matches_any, weighted_hits
+from voxframe.functions.markers import (
+    best_label,
+    contains_any,
+    first_match,
+    hit_count,
+    matches_any,
+    negated_weight,
+    weighted_hits,
+)
 from voxframe.functions.scores import clamp
 from voxframe.functions.text import collapse_space, strip
 from voxframe.operators.relational import attach
@@ -50,19 +58,6 @@ class CommentRules:
     sentiment: SentimentRules = field(default_factory=SentimentRules)
 
 
-def _negated(text: Column, weights: Mapping[str, float], negations: Sequence[str]) -> Column:
-    """Summed weight of the terms that follow a negation, with or without a space."""
-    if not weights or not negations:
-        return F.lit(0.0)
-    lead = "(?:" + "|".join(re.escape(n) for n in negations) + ") ?"
-    total = None
-    for term, weight in weights.items():
-        test = text.contains(term) & text.rlike(lead + re.escape(term))
-        part = F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
-        total = part if total is None else total + part
-    return total
-
-
 def lexicon_sentiment(
     df: DataFrame,
     text: str,
@@ -87,8 +82,8 @@ def lexicon_sentiment(
         "*",
         (weighted_hits(t, rules.positive) * boost + F.when(matches_any(t, rules.overrides), 1.0).otherwise(0.0)).alias("__s_p"),
         (weighted_hits(t, rules.negative) * boost + F.when(complaint, 1.1).otherwise(0.0)).alias("__s_n"),
-        _negated(t, rules.positive, rules.negations).alias("__s_np"),
-        _negated(t, rules.negative, rules.negations).alias("__s_nn"),
+        negated_weight(t, rules.positive, rules.negations).alias("__s_np"),
+        negated_weight(t, rules.negative, rules.negations).alias("__s_nn"),
         (given * F.when(strong, 1.1).otherwise(1.0)).alias("__s_e"),
         (complaint & latin).alias("__s_c"),
         latin.alias("__s_latin"),
@@ -158,6 +153,10 @@ def inquiry_flag(text: Column, parent: Column, markers: Sequence[str] = marks.IN
     """A question mark, or an inquiry marker in the text or in its parent."""
     source = F.coalesce(text, F.lit(""))
     own, above = collapse_space(F.lower(source)), collapse_space(F.lower(F.coalesce(parent, F.lit(""))))
+    return _asks(source, own, above, markers)
+
+
+def _asks(source: Column, own: Column, above: Column, markers: Sequence[str]) -> Column:
     return source.contains("?") | source.contains("？") | contains_any(own, markers) | contains_any(above, markers)
 
 
@@ -280,10 +279,11 @@ def classify_comments(
         valid.alias("__valid"),
     )
     base = base.withColumns({"__low": F.lower("__source"), "__plow": F.lower("__parent")})
+    base = base.withColumns({"__norm": collapse_space(F.col("__low")), "__pnorm": collapse_space(F.col("__plow"))})
     base = lexicon_sentiment(base, "__source", english, rules.sentiment, "__own_label", "__own_score")
     base = lexicon_sentiment(base, "__parent", None, rules.sentiment, "__parent_label", "__parent_score")
     low, plow, ctx = F.col("__low"), F.col("__plow"), F.col("__context")
-    norm = collapse_space(low)
+    norm = F.col("__norm")
     compact = collapse_space(F.regexp_replace(norm, r"(?U)[^\w\s]", " "))
     base = base.withColumns(
         {
@@ -300,9 +300,10 @@ def classify_comments(
             "__pneg": is_strong_negative(plow, rules),
             "__ppos": is_strong_positive(plow, rules),
             "__info": contains_any(low, rules.informational),
-            "__target": first_match(F.concat_ws(" ", low, plow, ctx), rules.targets, F.lit(None).cast("string")),
+            "__blob": F.concat_ws(" ", low, plow, ctx),
         }
     )
+    base = base.withColumn("__target", first_match(F.col("__blob"), rules.targets, F.lit(None).cast("string")))
     c = F.col
     inherited = ~c("__own") & ~c("__offtopic") & (
         (c("__agree") & (c("__par") | c("__ctx"))) | (c("__par") & (c("__cmp") | c("__pref")))
@@ -391,7 +392,7 @@ def _apply_enrichment(base: DataFrame, df: DataFrame, rules: CommentRules) -> Da
             "__conf2": F.when(polar, F.when(conf >= 0.8, "high").when(conf >= 0.55, "medium").otherwise("low")).otherwise(c("__conf")),
             "__related2": c("__related") | mentioned,
             "__target2": F.coalesce(c("__target"), F.when(mentioned & ~c("__related"), F.element_at(targets, key))),
-            "__inq": F.coalesce(c("nlp_is_inquiry"), inquiry_flag(c("__source"), c("__parent"), rules.inquiry)),
+            "__inq": F.coalesce(c("nlp_is_inquiry"), _asks(c("__source"), c("__norm"), c("__pnorm"), rules.inquiry)),
             "__vtype": video_type(pick(df, ["title"], F.lit("")), pick(df, ["channel_title"], F.lit(""))),
         }
     )

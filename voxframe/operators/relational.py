@@ -50,15 +50,18 @@ def attach(
     how: str = "left",
     null_safe: bool = False,
     salts: int = SALTS,
+    derived: bool = False,
 ) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that has few rows per key.
 
     A lookup with a small size estimate is broadcast. Otherwise the rows of every key are spread over
     ``salts`` buckets and the lookup is repeated per bucket, so one hot key never lands in one task.
+    ``derived`` skips the estimate for lookups made from the rows themselves: the plan says little about
+    their size, and adaptive execution still broadcasts them once their real size proves small.
     """
     keys = list(keys)
     renamed = lookup.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in lookup.columns])
-    small = is_small(renamed)
+    small = not derived and is_small(renamed)
     if small:
         left, right, salted = rows, F.broadcast(renamed), []
     else:
@@ -120,14 +123,14 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], text: str, flag: str = "
     repeated = (
         marked.groupBy(*keys, "__digest").agg(F.count("*").alias("__n")).where(F.col("__n") > 1)
     )
-    joined = attach(marked, repeated, [*keys, "__digest"], null_safe=True)
+    joined = attach(marked, repeated, [*keys, "__digest"], null_safe=True, derived=True)
     return joined.withColumn(flag, F.col("__n").isNotNull()).drop("__digest", "__n")
 
 
 def share_of_group(counts: DataFrame, value: str, keys: Sequence[str], name: str, digits: int | None = 4) -> DataFrame:
     """Share of each row in the total of its group; ``counts`` is already aggregated."""
     total = counts.groupBy(*keys).agg(F.sum(value).alias("__total"))
-    out = attach(counts, total, keys, null_safe=True)
+    out = attach(counts, total, keys, null_safe=True, derived=True)
     share = F.col(value) / F.col("__total")
     return out.withColumn(name, share if digits is None else F.round(share, digits)).drop("__total")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.functions.markers import best_scored, bounded_count, bounded_weight, contains_any, contains_bounded, matches_any
+from voxframe.functions.markers import best_scored, bounded_count, bounded_hits, bounded_weight, contains_any, matches_any
 from voxframe.functions.parsing import coerce_bool, normalize_axes
 from voxframe.functions.scores import parse_time
 from voxframe.functions.text import collapse_space, infer_language
@@ -91,21 +91,15 @@ def comment_context(comments: DataFrame, truth: DataFrame | None = None, videos:
     )
 
 
-def _alias_hits(text: Column, specs: Sequence[tuple[str, Sequence[str]]]) -> tuple[Column, Column]:
-    """First product with an alias in the text, and the aliases found, longest first."""
-    label, found = None, None
-    for name, aliases in specs:
-        ordered = sorted(aliases, key=len, reverse=True)
-        listed = F.array_compact(F.array(*[F.when(contains_bounded(text, a), F.lit(a)) for a in ordered]))
-        test = contains_bounded(text, ordered[0])
-        for a in ordered[1:]:
-            test = test | contains_bounded(text, a)
-        label = F.when(test, F.lit(name)) if label is None else label.when(test, F.lit(name))
-        found = F.when(test, listed) if found is None else found.when(test, listed)
-    empty = F.array().cast("array<string>")
-    if label is None:
-        return F.lit(None).cast("string"), empty
-    return label, found.otherwise(empty)
+def _alias_hits(text: Column, specs: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """Struct of the first product with an alias in the text and its aliases found, longest first."""
+    found = [
+        F.struct(F.lit(name).alias("name"), bounded_hits(text, sorted(aliases, key=len, reverse=True)).alias("hits"))
+        for name, aliases in specs
+    ]
+    if not found:
+        return F.lit(None).cast("struct<name:string,hits:array<string>>")
+    return F.try_element_at(F.filter(F.array(*found), lambda s: F.size(s["hits"]) > 0), F.lit(1))
 
 
 def normalize_products(context: DataFrame, rules: SignalRules = DEFAULT) -> DataFrame:
@@ -114,10 +108,11 @@ def normalize_products(context: DataFrame, rules: SignalRules = DEFAULT) -> Data
     c = F.col
     blob = F.concat_ws(" ", pick(context, ["product_raw"], F.lit("")), "raw_text", pick(context, ["brand_raw"], F.lit("")))
     base = context.withColumn("__t", F.concat(F.lit(" "), F.lower(collapse_space(blob)), F.lit(" ")))
-    named, named_hits = _alias_hits(c("__t"), rules.named)
-    line, line_hits = _alias_hits(c("__t"), rules.lines)
-    category, category_hits = _alias_hits(c("__t"), rules.categories)
-    base = base.withColumns({"named_product": named, "product_line": line, "__cat": category, "__nh": named_hits, "__lh": line_hits, "__ch": category_hits})
+    kinds = {"__n": rules.named, "__l": rules.lines, "__c": rules.categories}
+    base = base.withColumns({k: _alias_hits(c("__t"), specs) for k, specs in kinds.items()})
+    none = F.array().cast("array<string>")
+    base = base.withColumns({"named_product": c("__n.name"), "product_line": c("__l.name"), "__cat": c("__c.name")})
+    base = base.withColumns({f"{k}h": F.coalesce(c(f"{k}.hits"), none) for k in kinds})
     barred = F.lit(False)
     for name, patterns in rules.excluded.items():
         barred = barred | ((c("__cat") == name) & matches_any(c("__t"), [p.replace("(?i)", "") for p in patterns]))
@@ -127,7 +122,7 @@ def normalize_products(context: DataFrame, rules: SignalRules = DEFAULT) -> Data
     found = F.coalesce(by_name, F.when(~F.coalesce(barred, F.lit(False)), c("__cat")))
     base = base.withColumns({"__by_name": by_name, "__found": found})
     from_name = c("__by_name").isNotNull()
-    hits = F.concat("__nh", "__lh", F.when(from_name, F.array("named_product")).when(c("__found").isNotNull(), c("__ch")).otherwise(F.array().cast("array<string>")))
+    hits = F.concat("__nh", "__lh", F.when(from_name, F.array("named_product")).when(c("__found").isNotNull(), c("__ch")).otherwise(none))
     has_name, has_line, has_cat = c("named_product").isNotNull(), c("product_line").isNotNull(), c("__found").isNotNull()
     out = base.withColumns(
         {
@@ -143,7 +138,7 @@ def normalize_products(context: DataFrame, rules: SignalRules = DEFAULT) -> Data
         F.lit("cat:"), "product_category", F.lit("|line:"), F.coalesce("product_line", F.lit("na")),
         F.lit("|name:"), F.coalesce("named_product", F.lit("na")),
     )
-    return out.withColumn("product_semantic_id", identity).drop("__t", "__cat", "__nh", "__lh", "__ch", "__by_name", "__found")
+    return out.withColumn("product_semantic_id", identity).drop("__t", "__cat", "__n", "__l", "__c", "__nh", "__lh", "__ch", "__by_name", "__found")
 
 
 def _is_meaningful(segment: Column) -> Column:
@@ -216,12 +211,13 @@ def signal_units(context: DataFrame, rules: SignalRules = DEFAULT) -> DataFrame:
         F.coalesce(pick(context, ["reply_count"]).try_cast("bigint"), F.lit(0)).alias("reply_count"),
     ).where((c("__text") != "") & (F.coalesce("comment_id", F.lit("")) != ""))
     rows = base.select("*", F.posexplode(split_pairs(c("__text"), rules.connectors)).alias("__pos", "__pair"))
-    rows = rows.withColumns({"signal_text": collapse_space(c("__pair.text")), "__rule": c("__pair.rule")}).withColumn("__low", F.lower("signal_text"))
+    rows = rows.withColumns({"signal_text": collapse_space(c("__pair.text")), "__rule": c("__pair.rule")})
+    rows = rows.withColumns({"__low": F.lower("signal_text"), "__all_low": F.lower("__text")})
     low = c("__low")
     rows = rows.withColumns(
         {
             "brand_scope": brand_scope(low, rules),
-            "__whole": brand_scope(F.lower("__text"), rules),
+            "__whole": brand_scope(c("__all_low"), rules),
             "polarity": signal_polarity(low, c("__polarity"), rules),
             "__best_stage": best_scored({s: bounded_count(low, m) for s, m in rules.stages.items()}),
             "__best_axis": best_scored({a: bounded_weight(low, m) for a, m in rules.axes.items()}),

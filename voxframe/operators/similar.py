@@ -111,7 +111,7 @@ def similar_comments(
     if soft_cap is not None and hard_cap is not None:
         pairs = _card_view(pairs, soft_cap, hard_cap)
     sizes = pairs.groupBy("rep_id").agg(F.count("*").alias("cluster_size")).where(c("cluster_size") >= min_cluster)
-    return attach(pairs, sizes, ["rep_id"], "inner").select("rep_id", "comment_id", "text", "like_count", "cluster_size")
+    return attach(pairs, sizes, ["rep_id"], "inner", derived=True).select("rep_id", "comment_id", "text", "like_count", "cluster_size")
 
 
 def _card_view(pairs: DataFrame, soft_cap: int, hard_cap: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _card_view(pairs: DataFrame, soft_cap: int, hard_cap: int) -> DataFrame:
         F.count("*").alias("__all"), F.count_if(c("__score") >= 2).alias("__strict"), F.count_if(c("__score") >= 1).alias("__loose")
     )
     floor = F.when(c("__all") <= soft_cap, 0).when(c("__strict") >= 3, 2).when(c("__loose") >= 3, 1).otherwise(0)
-    limited = attach(scored, counts.select("rep_id", floor.alias("__floor"), (c("__all") > soft_cap).alias("__big")), ["rep_id"])
+    limited = attach(scored, counts.select("rep_id", floor.alias("__floor"), (c("__all") > soft_cap).alias("__big")), ["rep_id"], derived=True)
     kept = limited.where(c("__score") >= c("__floor"))
     best = top_per_group(kept.where("__big"), ["rep_id"], [c("__score").desc(), c("like_count").desc(), c("comment_id")], hard_cap)
     return kept.where(~c("__big")).unionByName(best)

@@ -130,7 +130,7 @@ def strategy_candidates(comments: DataFrame, representatives: DataFrame, texts:
     main = by_product.groupBy(*CLUSTER).agg(F.min_by("product", F.struct(-c("__n"), "product")).alias("__product"))
     totals = clusters.groupBy(*LEVEL).agg(F.sum("supporting_cluster_count").alias("__total"))
     out = clusters.join(main, list(CLUSTER), "left").join(totals, list(LEVEL))
-    out = attach(out, cluster_representatives(representatives), CLUSTER)
+    out = attach(out, cluster_representatives(representatives), CLUSTER, derived=True)
     size = c("supporting_cluster_count")
     no_ids = F.array().cast("array<string>")
     out = out.withColumns(
@@ -227,15 +227,15 @@ def issue_trend(issues: DataFrame, comments: DataFrame, time: str = "published_a
         parse_time(F.col(time)).alias("__ts"),
     ).where(F.col("__ts").isNotNull())
     rows = rows.select("__stage", "polarity_direction", F.explode(F.array_distinct("judgment_axes")).alias("__axis"), "__ts")
-    rows = attach(rows, keyed.select(*keys).distinct(), keys, "left_semi")
+    rows = attach(rows, keyed.select(*keys).distinct(), keys, "left_semi", derived=True)
     ends = rows.groupBy(*keys).agg(F.max("__ts").alias("__end"))
-    dated = attach(rows, ends, keys)
+    dated = attach(rows, ends, keys, derived=True)
     first, second = (F.col("__end") - F.expr(f"INTERVAL {n} DAYS") for n in (days, 2 * days))
     spans = dated.groupBy(*keys).agg(
         count_if(F.col("__ts") > first).alias("recent_count"),
         count_if((F.col("__ts") > second) & (F.col("__ts") <= first)).alias("previous_count"),
     )
-    out = attach(keyed, spans, keys)
+    out = attach(keyed, spans, keys, derived=True)
     recent, previous = F.coalesce("recent_count", F.lit(0)), F.coalesce("previous_count", F.lit(0))
     states = messages.ISSUE_STATES
     state = (
@@ -413,7 +413,7 @@ def issue_comments(issues: DataFrame, comments: DataFrame) -> DataFrame:
     )
     rows = rows.select("*", F.explode(F.array_distinct("judgment_axes")).alias("__axis"))
     per_level = _levels(rows, "comment_id", "__stage", "polarity_direction", "__axis")
-    return attach(per_level, base, [*LEVEL, "__stage", "polarity_direction", "__axis"], "inner").select("issue_key", "comment_id")
+    return attach(per_level, base, [*LEVEL, "__stage", "polarity_direction", "__axis"], "inner", derived=True).select("issue_key", "comment_id")
 
 
 def primary_issue(issues: DataFrame, comments: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def topic_signatures(signals: DataFrame, stopwords: Sequence[str] = marks.GENERI
     sizes = signals.groupBy(*GROUP).agg(F.count("*").alias("__n"))
     tokens = signals.select(*GROUP, F.explode(signature_tokens(c("signal_text"), stopwords, forms)).alias("__token"))
     counts = tokens.groupBy(*GROUP, "__token").agg(F.count("*").alias("__c"))
-    marked = attach(counts, sizes, GROUP).withColumn("__rep", c("__c") >= F.when(c("__n") >= 20, 3).otherwise(2))
+    marked = attach(counts, sizes, GROUP, derived=True).withColumn("__rep", c("__c") >= F.when(c("__n") >= 20, 3).otherwise(2))
     best = top_per_group(marked, GROUP, [c("__rep").desc(), c("__c").desc(), c("__token")], 2, "__rank")
     ordered = F.array_sort(F.collect_list(F.struct("__rank", "__rep", "__token")))
     grouped = best.groupBy(*GROUP).agg(ordered.alias("__top"))
@@ -55,7 +55,7 @@ def attach_topics(signals: DataFrame, stopwords: Sequence[str] = marks.GENERIC_S
     """Signals with the key and id of their topic."""
     require_columns(signals, ["signal_id", "signal_text", "product_semantic_id", "journey_stage", "judgment_axis", "polarity"], "attach_topics")
     rows = signals.withColumn("polarity_group", F.lower(F.coalesce("polarity", F.lit("neutral"))))
-    out = attach(rows, topic_signatures(rows, stopwords, forms), GROUP)
+    out = attach(rows, topic_signatures(rows, stopwords, forms), GROUP, derived=True)
     key = F.concat_ws("|", "journey_stage", "judgment_axis", "polarity_group", "product_semantic_id", "signature")
     return out.withColumn("topic_key", key).withColumn("topic_id", short_id(F.col("topic_key")))
 
@@ -174,13 +174,12 @@ def select_representatives(
     best comments are cut per task before the shuffle.
     """
     c = F.col
-    shape = topics.select(
-        "topic_id", F.lower("judgment_axis").alias("__axis"), F.lower("polarity_group").alias("__pol"),
-        c("product_semantic_id").alias("__product"), c("signature").alias("__signature"),
-    )
-    rows = attach(signals.drop("signature"), shape, ["topic_id"], "inner")
+    # Signals carry the columns their topic was made of, so the topic table is not joined.
+    rows = signals.withColumns(
+        {"__axis": F.lower("judgment_axis"), "__pol": F.lower("polarity_group"), "__product": c("product_semantic_id"), "__signature": c("signature")}
+    ).withColumn("__low", F.lower("signal_text"))
     text = c("signal_text")
-    low = F.lower(text)
+    low = c("__low")
     polarity = F.lower("polarity")
     asks = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
     letters = F.length(F.regexp_replace(text, "[^A-Za-z0-9가-힣]", ""))
@@ -212,7 +211,7 @@ def select_representatives(
         *[F.sum(c(m).cast("double")).alias(f"__sum_{m}") for m in means],
     )
     reached = partial.groupBy("topic_id").agg(F.max("__tier").alias("__best"))
-    aligned = attach(partial, reached, ["topic_id"]).where(c("__tier") >= c("__best"))
+    aligned = attach(partial, reached, ["topic_id"], derived=True).where(c("__tier") >= c("__best"))
     summary = aligned.groupBy("topic_id", "comment_id", "__axis").agg(
         F.sum("__n").alias("__density"), F.sum("__primary").alias("__primary"),
         *[(F.sum(f"__sum_{m}") / F.sum("__n")).alias(f"__avg_{m.strip('_')}") for m in means],
@@ -221,10 +220,11 @@ def select_representatives(
     proven = (c("__avg_kw") >= 0.85) & (c("__avg_cs") >= 0.6) & (c("__avg_so") >= 0.45)
     summary = summary.withColumn("__pass", F.when(compare, proven).otherwise(c("__avg_kw") >= 0.6))
     summary = summary.where(~compare | c("__pass"))
-    any_pass = summary.groupBy("topic_id").agg(F.max("__pass").alias("__any"))
-    kept = attach(summary, any_pass, ["topic_id"]).where(c("__pass") | ~c("__any"))
-    peak = kept.groupBy("topic_id").agg(F.greatest(F.max("__density"), F.lit(1)).alias("__peak"))
-    scored = attach(kept, peak, ["topic_id"])
+    per_topic = summary.groupBy("topic_id").agg(
+        F.max("__pass").alias("__any"), F.max(F.when(c("__pass"), c("__density"))).alias("__peak_pass"), F.max("__density").alias("__peak_all")
+    )
+    scored = attach(summary, per_topic, ["topic_id"], derived=True).where(c("__pass") | ~c("__any"))
+    scored = scored.withColumn("__peak", F.when(c("__any"), c("__peak_pass")).otherwise(c("__peak_all")))
     component = (
         c("__density") / c("__peak") * 0.26 + clamp(c("__avg_weight"), 0, 1) * 0.14
         + F.when(c("__primary") > 0, 0.08).otherwise(0.0) + c("__avg_am") * 0.16 + c("__avg_pm") * 0.10 + c("__avg_dm") * 0.08

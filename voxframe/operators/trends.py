@@ -18,7 +18,7 @@ def week_labels(df: DataFrame, week: str = "week_start", label: str = "week_labe
     """Number the weeks that occur. Only the distinct weeks pass through the ordered window."""
     weeks = df.select(week).where(F.col(week).isNotNull()).distinct()
     ranked = weeks.withColumn(label, F.concat(F.dense_rank().over(Window.orderBy(week)).cast("string"), F.lit(suffix)))
-    return attach(df, ranked, [week])
+    return attach(df, ranked, [week], derived=True)
 
 
 def weekly_sentiment(df: DataFrame, time: str = "published_at", label: str = "sentiment_label") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -9,6 +11,10 @@ from voxframe.operators import signals as sg
 from voxframe.operators import topics as tp
 
 
+def cached(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def run_topics(
     comments: DataFrame,
     truth: DataFrame | None = None,
@@ -16,14 +22,20 @@ def run_topics(
     run_id: str = "",
     rules: sg.SignalRules = sg.DEFAULT,
     check: bool = True,
+    hold: Callable[[DataFrame], DataFrame] = cached,
 ) -> dict[str, DataFrame]:
-    """All tables of the topic run. Signals are kept for reuse; unpersist ``topic_signals`` when done."""
+    """All tables of the topic run.
+
+    Stages read by several later ones are held: cached by default, or in the shared folder with
+    ``hold=cut_lineage`` where recomputing them after a lost executor would cost too much.
+    """
     context = sg.normalize_products(sg.comment_context(comments, truth, videos, run_id), rules)
-    signals = tp.attach_topics(sg.signal_units(context, rules)).persist(StorageLevel.MEMORY_AND_DISK)
-    topics = tp.build_topics(signals)
+    units = hold(sg.signal_units(context, rules))
+    signals = hold(tp.attach_topics(units))
+    topics = hold(tp.build_topics(signals))
     ranked = tp.rank_topics(topics, signals, rules.comparison)
-    representatives = tp.select_representatives(topics, signals, comparison=rules.comparison)
-    gated = tp.quality_gate(ranked, topics, representatives)
+    representatives = hold(tp.select_representatives(topics, signals, comparison=rules.comparison))
+    gated = hold(tp.quality_gate(ranked, topics, representatives))
     actions = tp.insight_actions(gated, topics, representatives)
     if check:
         tp.assert_sane(context, signals, topics)
