@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from voxframe.operators import signals as sg
 from voxframe.operators import topics as tp
-
-
-def cached(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from voxframe.session import materialize
 
 
 def run_topics(
@@ -22,14 +18,13 @@ def run_topics(
     run_id: str = "",
     rules: sg.SignalRules = sg.DEFAULT,
     check: bool = True,
-    hold: Callable[[DataFrame], DataFrame] = cached,
+    hold: Callable[[DataFrame], DataFrame] = materialize,
 ) -> dict[str, DataFrame]:
     """All tables of the topic run.
 
-    Stages read by several later ones are held: cached by default, or in the shared folder with
-    ``hold=cut_lineage`` where recomputing them after a lost executor would cost too much.
+    Stages read by several later ones are written once to the shared folder (``hold``).
     """
-    context = sg.normalize_products(sg.comment_context(comments, truth, videos, run_id), rules)
+    context = hold(sg.normalize_products(sg.comment_context(comments, truth, videos, run_id), rules))
     units = hold(sg.signal_units(context, rules))
     signals = hold(tp.attach_topics(units))
     topics = hold(tp.build_topics(signals))

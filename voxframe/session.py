@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites in error messages cost several calls into the JVM per column function.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -45,8 +48,19 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"voxframe-{spark.sparkContext.applicationId}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder so that lost executors do not recompute its history."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Later stages then neither recompute its history, also not after a lost executor, nor drag its plan
+    along. The folder belongs to the run and can be removed with it.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for frames that parquet cannot hold."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
