@@ -141,7 +141,7 @@ def detect_pii(c: Column) -> Column:
 
 
 def _pii_tokens(pii_values: Column) -> Column:
-    return F.filter(F.transform(F.split(safe_text(pii_values), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(safe_text(pii_values), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def mask_pii(text: Column, pii_values: Column) -> Column:

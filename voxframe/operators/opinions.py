@@ -52,7 +52,7 @@ def split_opinions(text: Column, contrast: str = marks.CONTRAST, legacy_sentence
             lambda s: F.transform(F.filter(F.split(s, ends), lambda p: safe_text(p) != ""), _trim_marks),
         )
     )
-    kept = F.array_distinct(F.filter(F.transform(clauses, F.trim), lambda p: p != ""))
+    kept = F.array_distinct(F.filter(F.transform(clauses, lambda p: F.trim(p)), lambda p: p != ""))
     return F.when(source == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(source))
 
 

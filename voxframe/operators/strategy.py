@@ -395,7 +395,7 @@ def scope_strategy(strategy: DataFrame, videos: DataFrame | None = None, product
     return out
 
 
-def selected_video_first(issues: DataFrame, video_id: str) -> list[Column]:
+def selected_video_first(video_id: str) -> list[Column]:
     """Sort keys that bring the issues of one video to the front."""
     match = (F.lower("level_type") == "video") & (F.col("level_id") == video_id)
     return [F.when(match, 0).otherwise(1), *issue_order()]

@@ -1,3 +1,3 @@
 """Imports every workload module so that its queries are registered."""
 
-from workloads import counts, label_tables, text_tables, trend_tables  # noqa: F401
+from workloads import counts, label_tables, opinion_tables, strategy_tables, text_tables, trend_tables  # noqa: F401

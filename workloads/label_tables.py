@@ -161,8 +161,7 @@ def _strong_negative(t: str) -> str:
 
 
 NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-CLASSES = with_sql(
-    CONV,
+CLASS_CTES = [
     f"conv2 AS ({sentiment_sql('conv1', 't', 'own_label', 'own_score')})",
     f"conv3 AS (SELECT * EXCLUDE (p_, n_, n_complaint) FROM conv2)",
     f"conv4 AS ({sentiment_sql('conv3', 'pt', 'parent_label', 'parent_score')})",
@@ -194,14 +193,14 @@ CLASSES = with_sql(
     """graded AS (SELECT *, CASE WHEN sentiment_label = 'negative' THEN CASE WHEN signal_strength = 'strong' AND classification_type = 'complaint' THEN 'high' ELSE 'medium' END
       WHEN sentiment_label = 'positive' THEN CASE WHEN signal_strength = 'strong' THEN 'high' ELSE 'medium' END
       WHEN needs_review OR context_used THEN 'low' ELSE 'medium' END AS confidence_level,
-      round(least(1, CASE WHEN product_related THEN 0.25 ELSE 0 END + CASE WHEN product_target IS NOT NULL THEN 0.08 ELSE 0 END
-        + CASE WHEN classification_type <> 'informational' THEN 0.05 ELSE 0 END + CASE WHEN nlp_is_inquiry THEN 0.03 ELSE 0 END), 6) AS relevance_score,
+      round(CAST(least(1, CASE WHEN product_related THEN 0.25 ELSE 0 END + CASE WHEN product_target IS NOT NULL THEN 0.08 ELSE 0 END
+        + CASE WHEN classification_type <> 'informational' THEN 0.05 ELSE 0 END + CASE WHEN nlp_is_inquiry THEN 0.03 ELSE 0 END) AS DOUBLE), 6) AS relevance_score,
       CASE WHEN nlp_is_inquiry THEN '문의_피드백' WHEN classification_type = 'complaint' THEN '품질_불만' WHEN classification_type = 'preference' THEN '만족_포인트'
            WHEN sentiment_label = 'negative' THEN '품질_불만' WHEN sentiment_label = 'positive' THEN '만족_포인트' ELSE '일반_의견' END AS insight_type FROM res)""",
-)
+]
 
 
-@query("comment_classes", CLASSES + "SELECT * FROM graded")
+@query("comment_classes", with_sql(CONV, *CLASS_CTES) + "SELECT * FROM graded")
 def comment_classes(spark, sf):
     out = lb.classify_comments(_conversation(spark, sf), rules=RULES)
     return out.select(
