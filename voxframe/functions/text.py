@@ -35,8 +35,8 @@ def collapse_space(c: Column) -> Column:
 
 def safe_text(c: Column) -> Column:
     """Null and the words that stand for null become the empty string."""
-    value = strip(F.coalesce(c.cast("string"), F.lit("")))
-    return F.when(F.lower(value).isin(*BLANK_WORDS), F.lit("")).otherwise(value)
+    # One chain without repeated parts: nested calls would otherwise double at every level.
+    return F.regexp_replace(strip(F.coalesce(c.cast("string"), F.lit(""))), "(?i)^(?:" + "|".join(BLANK_WORDS) + ")$", "")
 
 
 @F.pandas_udf(T.StringType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.parsing import is_truthy
 from voxframe.functions.scores import ratio
+from voxframe.functions.text import strip
 from voxframe.operators.descriptive import count_if
 from voxframe.operators.truth import DEFAULT, TruthRules, is_real_inquiry
 from voxframe.schemas import pick
@@ -71,7 +72,9 @@ def inquiries(df: DataFrame, rules: TruthRules = DEFAULT) -> DataFrame:
     def joined(name: str) -> Column:
         return F.array_join(F.coalesce(pick(df, [name]).cast("array<string>"), F.array().cast("array<string>")), ", ")
 
-    return df.where(flagged & is_real_inquiry(text, rules)).select(
+    df = df.where(flagged).withColumn("__value", strip(text))
+    df = df.withColumn("__low", F.lower("__value"))
+    return df.where(is_real_inquiry(F.col("__value"), F.col("__low"), rules)).select(
         "comment_id",
         text.alias("text"),
         pick(df, ["nlp_summary"], F.lit("")).alias("nlp_summary"),

@@ -20,7 +20,7 @@ from voxframe.functions.markers import (
 )
 from voxframe.functions.scores import clamp
 from voxframe.functions.text import collapse_space, strip
-from voxframe.operators.relational import attach
+from voxframe.operators.relational import attach, unnest
 from voxframe.rules import comments as marks
 from voxframe.rules import messages
 from voxframe.rules import sentiment as lexicon
@@ -118,35 +118,39 @@ def valence_score(df: DataFrame, key: str, text: str, valences: DataFrame, name:
     ``valences`` has columns ``token`` and ``valence``. Words without a valence are dropped by the join,
     and the sums combine before the shuffle.
     """
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)[\w']+"), F.lit(0))).alias("token"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)[\w']+"), F.lit(0))
+    words = unnest(df, found, "token", key)
     sums = attach(words, valences, ["token"], "inner").groupBy(key).agg(F.sum("valence").alias("__s"))
     s = F.col("__s")
     scored = sums.select(key, F.round(s / F.sqrt(s * s + 15), 4).alias(name))
     return attach(df, scored, [key])
 
 
-def topic_by_markers(text: Column, stages: Mapping[str, Sequence[str]] = marks.CEJ_STAGE_KEYWORDS,
+def topic_by_markers(low: Column, stages: Mapping[str, Sequence[str]] = marks.CEJ_STAGE_KEYWORDS,
                      default: str = messages.OTHER_TOPIC) -> Column:
-    """Stage with most markers; the first stage wins ties."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """Stage with most markers in the lower-case text; the first stage wins ties."""
     return best_label({k: hit_count(low, v) for k, v in stages.items()}, 1, F.lit(default))
 
 
-def brand_by_markers(text: Column, brands: Mapping[str, Sequence[str]] = marks.BRAND_PATTERNS,
+def brand_by_markers(low: Column, brands: Mapping[str, Sequence[str]] = marks.BRAND_PATTERNS,
                      default: str = messages.UNMENTIONED_BRAND) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """First brand with a marker in the lower-case text."""
     return first_match(low, brands, F.lit(default))
 
 
-def risk_flags(text: Column, keywords: Sequence[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def risk_flags(low: Column, keywords: Sequence[str]) -> Column:
+    """The risk keywords found in the lower-case text, joined."""
     found = [F.when(low.contains(k.lower()), F.lit(k)) for k in keywords]
     return F.array_join(F.array_compact(F.array(*found)), ", ")
 
 
 def video_type(title: Column, channel: Column, patterns: Mapping[str, Sequence[str]] = marks.VIDEO_TYPE_PATTERNS) -> Column:
-    blob = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(channel, F.lit(""))))
-    return first_match(blob, patterns, F.lit("general"))
+    return video_type_of(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(channel, F.lit("")))), patterns)
+
+
+def video_type_of(low: Column, patterns: Mapping[str, Sequence[str]] = marks.VIDEO_TYPE_PATTERNS) -> Column:
+    """Video type from the lower-case title and channel."""
+    return first_match(low, patterns, F.lit("general"))
 
 
 def inquiry_flag(text: Column, parent: Column, markers: Sequence[str] = marks.INQUIRY_MARKERS) -> Column:
@@ -173,10 +177,9 @@ def is_strong_positive(low: Column, rules: CommentRules) -> Column:
     return contains_any(low, tuple(rules.positive_overrides) + tuple(rules.positive))
 
 
-def insight_type(kind: Column, classification: Column, sentiment: Column, inquiry: Column, topics: Column, text: Column) -> Column:
+def insight_type(kind: Column, classification: Column, sentiment: Column, inquiry: Column, topics: Column, low: Column) -> Column:
     """Business insight type from inquiry, purchase words, video type and class, then sentiment."""
     names = messages.INSIGHT_TYPES
-    low = F.lower(F.coalesce(text, F.lit("")))
     topic_text = F.lower(F.array_join(F.coalesce(topics, F.array().cast("array<string>")), " "))
     mapped = F.create_map(*[F.lit(x) for (v, c), label in marks.INSIGHT_TYPE_MAP.items() for x in (f"{v}|{c}", label)])
     promo = kind == "promotional"
@@ -383,6 +386,7 @@ def _apply_enrichment(base: DataFrame, df: DataFrame, rules: CommentRules) -> Da
     key = F.try_element_at(F.filter(found, lambda k: k.isNotNull()), F.lit(1))
     targets = F.create_map(*[F.lit(x) for pair in messages.MENTION_TARGETS.items() for x in pair])
     conf = c("nlp_confidence")
+    base = base.withColumn("__vblob", F.lower(F.concat_ws(" ", pick(df, ["title"], F.lit("")), pick(df, ["channel_title"], F.lit("")))))
     out = base.withColumns(
         {
             "__sent2": F.when(polar, label).when(trash, "neutral").otherwise(c("__sent")),
@@ -393,7 +397,7 @@ def _apply_enrichment(base: DataFrame, df: DataFrame, rules: CommentRules) -> Da
             "__related2": c("__related") | mentioned,
             "__target2": F.coalesce(c("__target"), F.when(mentioned & ~c("__related"), F.element_at(targets, key))),
             "__inq": F.coalesce(c("nlp_is_inquiry"), _asks(c("__source"), c("__norm"), c("__pnorm"), rules.inquiry)),
-            "__vtype": video_type(pick(df, ["title"], F.lit("")), pick(df, ["channel_title"], F.lit(""))),
+            "__vtype": video_type_of(c("__vblob")),
         }
     )
     rule_reason = comment_reason(c("__sent"), c("__class"), c("__strength"), c("__used"), c("__target"), rules.target_labels)
@@ -407,7 +411,7 @@ def _apply_enrichment(base: DataFrame, df: DataFrame, rules: CommentRules) -> Da
     video_relevant = pick(df, ["is_relevant_video"], F.lit(False))
     relevance = relevance_score(video_score, c("__related2"), c("__target2"), c("__class2"), c("__inq"))
     out = out.withColumns({"__reason": reason, "__relevance": relevance,
-                           "__insight": insight_type(c("__vtype"), c("__class2"), c("__sent2"), c("__inq"), c("nlp_topics"), c("__source"))})
+                           "__insight": insight_type(c("__vtype"), c("__class2"), c("__sent2"), c("__inq"), c("nlp_topics"), c("__low"))})
     valid = c("__valid")
 
     def when_valid(value: Column, otherwise: object) -> Column:

@@ -12,7 +12,7 @@ from voxframe.functions.markers import best_label, contains_any, first_match, hi
 from voxframe.functions.scores import clamp, log_likes
 from voxframe.functions.text import dedupe_key, redact_pii, safe_text
 from voxframe.operators.labels import CommentRules, classify_comments
-from voxframe.operators.relational import top_per_group
+from voxframe.operators.relational import top_per_group, unnest
 from voxframe.rules import opinions as marks
 from voxframe.schemas import pick
 
@@ -56,28 +56,32 @@ def split_opinions(text: Column, contrast: str = marks.CONTRAST, legacy_sentence
     return F.when(source == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(source))
 
 
-def scene_of(text: Column, fallback: Column, scenes: Mapping[str, Sequence[str]] = DEFAULT.scenes) -> Column:
+# The functions below take the lower-case text as ``low``; give a named column so that it is computed once.
+
+
+def scene_of(low: Column, fallback: Column, scenes: Mapping[str, Sequence[str]] = DEFAULT.scenes) -> Column:
     """First scene with a marker; else the given one; else use (or other, for no text)."""
-    low = F.lower(safe_text(text))
     given = safe_text(fallback)
     rest = F.when(given != "", given).when(low != "", "S7 Use").otherwise("S10 Other")
     return first_match(low, scenes, rest)
 
 
-def aspect_of(text: Column, aspects: Mapping[str, Sequence[str]] = DEFAULT.aspects) -> Column:
-    """Struct of the aspect with most markers and its first marker in the text."""
-    low = F.lower(safe_text(text))
-    key = best_label({a: hit_count(low, m) for a, m in aspects.items()}, 1, F.lit("General"))
+def aspect_of(low: Column, aspects: Mapping[str, Sequence[str]] = DEFAULT.aspects) -> Column:
+    """The aspect with most markers."""
+    return best_label({a: hit_count(low, m) for a, m in aspects.items()}, 1, F.lit("General"))
+
+
+def aspect_marker(low: Column, aspect: Column, aspects: Mapping[str, Sequence[str]] = DEFAULT.aspects) -> Column:
+    """First marker of the given aspect in the text."""
     marker = None
-    for aspect, markers in aspects.items():
-        first = F.coalesce(*[F.when(low.contains(m), F.lit(m)) for m in markers])
-        marker = F.when(key == aspect, first) if marker is None else marker.when(key == aspect, first)
-    return F.struct(key.alias("key"), F.coalesce(marker, F.lit("")).alias("marker"))
+    for name, markers in aspects.items():
+        first = F.try_element_at(hits(low, markers), F.lit(1))
+        marker = F.when(aspect == name, first) if marker is None else marker.when(aspect == name, first)
+    return F.lit("") if marker is None else F.coalesce(marker, F.lit(""))
 
 
-def inquiry_types(text: Column, patterns: Mapping[str, Sequence[str]] = DEFAULT.inquiries) -> Column:
+def inquiry_types(low: Column, patterns: Mapping[str, Sequence[str]] = DEFAULT.inquiries) -> Column:
     """All inquiry types with a marker in the text."""
-    low = F.lower(safe_text(text))
     return F.array_compact(F.array(*[F.when(contains_any(low, m), F.lit(k)) for k, m in patterns.items()]))
 
 
@@ -87,29 +91,27 @@ def model_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 5) & t.rlike("[0-9]")))
 
 
-def product_subtype(category: Column, text: Column, subtypes: Mapping = DEFAULT.subtypes) -> Column:
+def product_subtype(category: Column, low: Column, subtypes: Mapping = DEFAULT.subtypes) -> Column:
     """Struct of the first matching subtype of the category and the markers found."""
-    low = F.lower(safe_text(text))
-    label, found = None, None
-    for group, rules in subtypes.items():
-        for name, markers in rules.items():
-            test = (category == group) & contains_any(low, markers)
-            label = F.when(test, name) if label is None else label.when(test, name)
-            found = F.when(test, hits(low, markers)) if found is None else found.when(test, hits(low, markers))
-    if label is None:
-        return F.struct(F.lit("Unknown").alias("name"), F.array().cast("array<string>").alias("hits"))
-    return F.struct(label.otherwise("Unknown").alias("name"), found.otherwise(F.array().cast("array<string>")).alias("hits"))
-
-
-def strength_score(sentiment: Column, strength: Column, text: Column, words: Sequence[str] = marks.INTENSE_WORDS) -> Column:
+    options = [
+        F.struct(F.lit(name).alias("name"), F.when(category == group, hits(low, markers)).alias("hits"))
+        for group, rules in subtypes.items()
+        for name, markers in rules.items()
+    ]
+    unknown = F.struct(F.lit("Unknown").alias("name"), F.array().cast("array<string>").alias("hits"))
+    if not options:
+        return unknown
+    return F.coalesce(F.try_element_at(F.filter(F.array(*options), lambda o: F.size(o["hits"]) > 0), F.lit(1)), unknown)
+
+
+def strength_score(sentiment: Column, strength: Column, low: Column, words: Sequence[str] = marks.INTENSE_WORDS) -> Column:
     polar = sentiment.isin("positive", "negative")
     base = F.when(polar & (strength == "strong"), 8.0).when(polar, 5.0).otherwise(0.0)
-    return clamp(base + hit_count(F.lower(safe_text(text)), words) * 2.0, 0, 10)
+    return clamp(base + hit_count(low, words) * 2.0, 0, 10)
 
 
-def richness_score(text: Column) -> Column:
+def richness_score(low: Column) -> Column:
     """Length band plus points for causes, conditions, periods and comparisons."""
-    low = F.lower(safe_text(text))
     size = F.length(low)
     band = F.when(size < 20, 0).when(size < 60, 1).when(size < 140, 2).otherwise(3)
     points = (
@@ -121,11 +123,11 @@ def richness_score(text: Column) -> Column:
     return clamp(band + points, 0, 10)
 
 
-def opinion_score(sentiment: Column, strength: Column, text: Column, likes: Column, spam: Column) -> Column:
+def opinion_score(sentiment: Column, strength: Column, low: Column, likes: Column, spam: Column) -> Column:
     """5·strength + 2·richness + 1.5·likes − 7 for spam; zero for opinions without a pole."""
     total = (
-        strength_score(sentiment, strength, text) * 5.0
-        + richness_score(text) * 2.0
+        strength_score(sentiment, strength, low) * 5.0
+        + richness_score(low) * 2.0
         + log_likes(likes) * 1.5
         - F.when(F.coalesce(spam, F.lit(False)), 7.0).otherwise(0.0)
     )
@@ -172,7 +174,8 @@ def opinion_units(df: DataFrame, rules: OpinionRules = DEFAULT, legacy_sentence_
         text_of("translated_text").alias("translated_text"),
         text_of("summary", "short_summary_ko").alias("summary_text"),
     )
-    units = source.select("*", F.posexplode("__clauses").alias("position", "opinion_text")).withColumn("opinion_count", F.size("__clauses")).drop("__clauses")
+    units = unnest(source, F.col("__clauses"), "opinion_text", "*", position="position")
+    units = units.withColumn("opinion_count", F.size("__clauses")).drop("__clauses")
     return _finish_units(classify_comments(units, "opinion_text", "parent_comment_text", rules.comments), rules)
 
 
@@ -192,26 +195,29 @@ def _finish_units(labelled: DataFrame, rules: OpinionRules) -> DataFrame:
             "confidence_level": choose("row_conf", "confidence_level", "low"),
             "classification_reason": choose("row_reason", "classification_reason", None),
             "product_related": choose("row_related", "product_related", None),
-            "__aspect": aspect_of(c("opinion_text"), rules.aspects),
-            "inquiry_types": inquiry_types(c("opinion_text"), rules.inquiries),
+            "__low": F.lower("opinion_text"),
             "__blob": F.concat_ws(" ", "opinion_text", "product", "title"),
         }
     )
+    low = c("__low")
+    out = out.withColumns(
+        {"aspect_key": aspect_of(low, rules.aspects), "inquiry_types": inquiry_types(low, rules.inquiries), "__low_blob": F.lower("__blob")}
+    )
     categories = F.create_map(*[F.lit(x) for pair in rules.categories.items() for x in pair])
     raw = F.when(c("product") != "", c("product")).otherwise("Other")
     out = out.withColumn("product_category", F.coalesce(F.element_at(categories, c("product")), raw))
     out = out.withColumns(
-        {"__sub": product_subtype(c("product_category"), c("__blob"), rules.subtypes), "__models": model_tokens(c("__blob"))}
+        {
+            "__sub": product_subtype(c("product_category"), c("__low_blob"), rules.subtypes),
+            "__models": model_tokens(c("__blob")),
+            "__marker": aspect_marker(low, c("aspect_key"), rules.aspects),
+            "__masked": F.when(c("pii_flag") == "Y", redact_pii(c("opinion_text"), c("pii_raw_text"))),
+        }
     )
-    low_blob = F.lower(c("__blob"))
+    low_blob = c("__low_blob")
     evidence = F.concat(F.array("product", "title"), c("__sub.hits"), F.slice("__models", 1, 1))
-    masked = redact_pii(c("opinion_text"), c("pii_raw_text"))
-    has_pii = c("pii_flag") == "Y"
-    marker = c("__aspect.marker")
-    span = F.when(
-        (marker != "") & F.lower("opinion_text").contains(marker),
-        c("opinion_text").substr(F.instr(F.lower("opinion_text"), marker), F.length(marker)),
-    )
+    marker = c("__marker")
+    span = F.when(marker != "", c("opinion_text").substr(F.instr(low, marker), F.length(marker)))
     return out.select(
         F.concat("source_content_id", F.lit("::u"), (c("position") + 1).cast("string")).alias("opinion_id"),
         "source_content_id",
@@ -221,13 +227,13 @@ def _finish_units(labelled: DataFrame, rules: OpinionRules) -> DataFrame:
         "duplicate_opinion_flag",
         "product_related",
         "opinion_text",
-        scene_of(c("opinion_text"), c("row_scene"), rules.scenes).alias("cej_scene_code"),
+        scene_of(low, c("row_scene"), rules.scenes).alias("cej_scene_code"),
         "sentiment_code",
         F.initcap("sentiment_code").alias("sentiment"),
         "signal_strength",
         "classification_type",
         "confidence_level",
-        c("__aspect.key").alias("aspect_key"),
+        "aspect_key",
         F.array_distinct(F.array_compact(F.array(c("opinion_text"), span))).alias("evidence_spans"),
         (F.size("inquiry_types") > 0).alias("inquiry_flag"),
         F.when(F.size("inquiry_types") > 0, c("inquiry_types"))
@@ -247,13 +253,13 @@ def _finish_units(labelled: DataFrame, rules: OpinionRules) -> DataFrame:
         "pii_flag",
         "pii_types",
         "pii_raw_text",
-        F.when(has_pii, masked).otherwise(c("opinion_text")).alias("display_text"),
+        F.coalesce("__masked", "opinion_text").alias("display_text"),
         c("opinion_text").alias("original_text"),
-        F.when(has_pii, masked).otherwise("").alias("masked_text"),
+        F.coalesce("__masked", F.lit("")).alias("masked_text"),
         "translated_text",
         "summary_text",
         "classification_reason",
-        opinion_score(c("sentiment_code"), c("signal_strength"), c("opinion_text"), c("likes_count"), c("duplicate_opinion_flag")).alias("opinion_score"),
+        opinion_score(c("sentiment_code"), c("signal_strength"), low, c("likes_count"), c("duplicate_opinion_flag")).alias("opinion_score"),
     )
 
 
@@ -327,8 +333,8 @@ def representative_bundles(units: DataFrame, top_n: int = 5, samples: int = 5) -
         c("__top.summary_text").alias("top_summary_text"),
         c("__top.pii_raw_text").alias("pii_raw_text"),
         F.concat(
-            F.lit("strength="), F.round(strength_score(c("sentiment_code"), c("__top.signal_strength"), c("__top.opinion_text")), 0).cast("int").cast("string"),
-            F.lit("/10, richness="), F.round(richness_score(c("__top.opinion_text")), 0).cast("int").cast("string"),
+            F.lit("strength="), F.round(strength_score(c("sentiment_code"), c("__top.signal_strength"), F.lower("__top.opinion_text")), 0).cast("int").cast("string"),
+            F.lit("/10, richness="), F.round(richness_score(F.lower("__top.opinion_text")), 0).cast("int").cast("string"),
             F.lit("/10, cluster="), c("cluster_size").cast("string"),
         ).alias("selection_reason"),
         "sample_comments",

@@ -75,6 +75,17 @@ def attach(
     return joined.drop(*[f"__{k}" for k in keys], "__salt", "__rsalt")
 
 
+def unnest(df: DataFrame, array: Column, name: str, *keep: str | Column, position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form stops Spark from adding a size filter below, which would compute the array twice.
+    """
+    if position:
+        out = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+        return out.where(F.col(position).isNotNull())
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of every group.
 

@@ -12,7 +12,7 @@ from voxframe.functions.markers import best_scored, bounded_count, bounded_hits,
 from voxframe.functions.parsing import coerce_bool, normalize_axes
 from voxframe.functions.scores import parse_time
 from voxframe.functions.text import collapse_space, infer_language
-from voxframe.operators.relational import attach
+from voxframe.operators.relational import attach, unnest
 from voxframe.rules import signals as marks
 from voxframe.rules import truth as taxonomy
 from voxframe.schemas import pick, require_columns
@@ -210,7 +210,7 @@ def signal_units(context: DataFrame, rules: SignalRules = DEFAULT) -> DataFrame:
         F.coalesce(pick(context, ["like_count"]).try_cast("bigint"), F.lit(0)).alias("like_count"),
         F.coalesce(pick(context, ["reply_count"]).try_cast("bigint"), F.lit(0)).alias("reply_count"),
     ).where((c("__text") != "") & (F.coalesce("comment_id", F.lit("")) != ""))
-    rows = base.select("*", F.posexplode(split_pairs(c("__text"), rules.connectors)).alias("__pos", "__pair"))
+    rows = unnest(base, split_pairs(c("__text"), rules.connectors), "__pair", "*", position="__pos")
     rows = rows.withColumns({"signal_text": collapse_space(c("__pair.text")), "__rule": c("__pair.rule")})
     rows = rows.withColumns({"__low": F.lower("signal_text"), "__all_low": F.lower("__text")})
     low = c("__low")

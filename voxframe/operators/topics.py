@@ -11,7 +11,7 @@ from voxframe.functions.markers import hit_count
 from voxframe.functions.scores import clamp, hash_pick, short_id
 from voxframe.operators.descriptive import count_if
 from voxframe.operators.labels import fill_template
-from voxframe.operators.relational import attach, top_per_group
+from voxframe.operators.relational import attach, top_per_group, unnest
 from voxframe.operators.signals import COMPARISON_AXIS
 from voxframe.rules import messages
 from voxframe.rules import signals as marks
@@ -38,7 +38,7 @@ def topic_signatures(signals: DataFrame, stopwords: Sequence[str] = marks.GENERI
     """
     c = F.col
     sizes = signals.groupBy(*GROUP).agg(F.count("*").alias("__n"))
-    tokens = signals.select(*GROUP, F.explode(signature_tokens(c("signal_text"), stopwords, forms)).alias("__token"))
+    tokens = unnest(signals, signature_tokens(c("signal_text"), stopwords, forms), "__token", *GROUP)
     counts = tokens.groupBy(*GROUP, "__token").agg(F.count("*").alias("__c"))
     marked = attach(counts, sizes, GROUP, derived=True).withColumn("__rep", c("__c") >= F.when(c("__n") >= 20, 3).otherwise(2))
     best = top_per_group(marked, GROUP, [c("__rep").desc(), c("__c").desc(), c("__token")], 2, "__rank")

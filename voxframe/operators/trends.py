@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import keywords as kw
 from voxframe.functions.scores import parse_time, week_start
-from voxframe.operators.relational import attach, share_of_group, top_per_group
+from voxframe.operators.relational import attach, share_of_group, top_per_group, unnest
 
 WEEK_SUFFIX = "주차"
 
@@ -44,9 +44,9 @@ def weekly_keywords(
     """
     keys = ["week_start", "product", "region", "sentiment_label"]
     raw = kw.raw_tokens(F.col(text)) if tokens is None else tokens
-    rows = df.select(
-        week_start(parse_time(F.col(time))).alias("week_start"), "product", "region", "sentiment_label", F.explode(raw).alias("__token")
-    ).where(F.col("week_start").isNotNull() & F.col("sentiment_label").isNotNull())
+    dated = df.withColumn("week_start", week_start(parse_time(F.col(time))))
+    dated = dated.where(F.col("week_start").isNotNull() & F.col("sentiment_label").isNotNull())
+    rows = unnest(dated, raw, "__token", *keys)
     counted = rows.groupBy(*keys, "__token").agg(F.count("*").alias("__n"))
     return week_labels(_top_keywords(counted, keys, top_n, rules))
 
@@ -62,7 +62,7 @@ def _top_keywords(counted: DataFrame, keys: Sequence[str], top_n: int, rules: kw
 
 def top_keywords(df: DataFrame, text: str = "cleaned_text", top_n: int = 30, rules: kw.KeywordRules = kw.DEFAULT) -> DataFrame:
     """Most frequent business keywords of the whole frame."""
-    rows = df.select(F.explode(kw.raw_tokens(F.col(text))).alias("__token"))
+    rows = unnest(df, kw.raw_tokens(F.col(text)), "__token")
     return _top_keywords(rows.groupBy("__token").agg(F.count("*").alias("__n")), [], top_n, rules)
 
 

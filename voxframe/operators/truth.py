@@ -78,10 +78,11 @@ def hygiene_class(validity: Column, quality: Column, label: Column, classificati
     )
 
 
-def is_real_inquiry(text: Column, rules: TruthRules = DEFAULT) -> Column:
-    """A question with intent: no advertising, no story without a question mark, not overly long."""
-    value = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(value)
+def is_real_inquiry(value: Column, low: Column, rules: TruthRules = DEFAULT) -> Column:
+    """A question with intent: no advertising, no story without a question mark, not overly long.
+
+    Takes the stripped text and its lower-case form, best as named columns.
+    """
     asked = value.contains("?")
     marked = contains_any(low, rules.inquiry_markers)
     story = matches_any(low, rules.narratives) & ~asked
@@ -196,18 +197,19 @@ def build_truth(df: DataFrame, rules: TruthRules = DEFAULT, keep: Sequence[str]
     display = strip(pick(df, ["text_display", "text_original"], blank))
     text = F.when(display != "", display).otherwise(cleaned)
     named = [pick(df, [n], F.lit(None)).cast("string") for n in ("journey_stage", "customer_journey_stage", "cej_scene_code")]
+    sources = {n: strip(pick(df, [n], blank)) for n in ("text_display", "text_original", "cleaned_text") if n in df.columns}
+    df = df.withColumns({f"__v_{n}": v for n, v in sources.items()})
+    df = df.withColumns({f"__l_{n}": F.lower(f"__v_{n}") for n in sources})
+    asked = coerce_bool(c("nlp_is_inquiry"))
+    for n in sources:
+        asked = asked | is_real_inquiry(c(f"__v_{n}"), c(f"__l_{n}"), rules)
     base = df.select(
         c("comment_id"),
         pick(df, ["video_id"]).cast("string").alias("video_id"),
         text.alias("text"),
         *[c(k) for k in keep],
         final_sentiment(pick(df, ["sentiment_label"], blank), c("nlp_label"), c("nlp_topic_sentiments")).alias("__s"),
-        (
-            coerce_bool(c("nlp_is_inquiry"))
-            | is_real_inquiry(pick(df, ["text_display"], blank), rules)
-            | is_real_inquiry(pick(df, ["text_original"], blank), rules)
-            | is_real_inquiry(pick(df, ["cleaned_text"], blank), rules)
-        ).alias("inquiry_flag"),
+        asked.alias("inquiry_flag"),
         _low(pick(df, ["comment_validity"], blank)).alias("__valid"),
         _low(pick(df, ["comment_quality"], blank)).alias("__quality"),
         _low(c("nlp_label")).alias("__label"),

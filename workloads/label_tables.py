@@ -66,13 +66,13 @@ NO_BRAND = "'none'"
 
 @query("brand_label", with_sql(DOCS, LOW) + f"SELECT comment_id, {_first('t', BRANDS, NO_BRAND)} AS brand_label FROM low")
 def brand_label(spark, sf):
-    return comments(spark, sf).select("comment_id", lb.brand_by_markers(F.col("text"), BRANDS, "none").alias("brand_label"))
+    return comments(spark, sf).withColumn("t", F.lower("text")).select("comment_id", lb.brand_by_markers(F.col("t"), BRANDS, "none").alias("brand_label"))
 
 
 @query("risk_flags", with_sql(DOCS, LOW) + "SELECT comment_id, concat_ws(', ', " + ", ".join(
     f"CASE WHEN contains(t, '{k.lower()}') THEN '{k}' END" for k in RISKS) + ") AS risk_flags FROM low")
 def risk_flags(spark, sf):
-    return comments(spark, sf).select("comment_id", lb.risk_flags(F.col("text"), RISKS).alias("risk_flags"))
+    return comments(spark, sf).withColumn("t", F.lower("text")).select("comment_id", lb.risk_flags(F.col("t"), RISKS).alias("risk_flags"))
 
 
 @query("marker_hits", with_sql(DOCS, LOW) + "SELECT comment_id, concat_ws('|', " + ", ".join(

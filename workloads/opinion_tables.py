@@ -8,6 +8,7 @@ from voxframe.functions import keywords as kw
 from voxframe.operators import descriptive as ds
 from voxframe.operators import insights as ins
 from voxframe.operators import opinions as op
+from voxframe.session import materialize
 from workloads.bindings import DOCS, EV, comments, labelled_events, sql_any, sql_argmax, sql_hits, table, with_sql
 from workloads.label_tables import CLASS_CTES, RULES, TRUTH, _first
 from workloads.registry import query
@@ -34,6 +35,11 @@ def opinion_input(spark, sf):
     return flag_duplicates(c, ["video_id"], "text_display")
 
 
+def _units(spark, sf):
+    """Opinion units of all documents, held in the shared folder as a run would."""
+    return materialize(op.opinion_units(opinion_input(spark, sf), OPINIONS))
+
+
 def _trim(x: str) -> str:
     return f"trim({x}, E' ,.;:-\\n\\t')"
 
@@ -110,7 +116,7 @@ SELECT b.sentiment_code, b.rank, b.aspect_key, b.cej_scene_code, b.product_categ
   SELECT sentiment_code, product_category, video_id, cej_scene_code, aspect_key, string_agg(opinion_id, ',' ORDER BY r) AS samples FROM branked WHERE r <= 5 GROUP BY ALL) s
 USING (sentiment_code, product_category, video_id, cej_scene_code, aspect_key)""")
 def bundles(spark, sf):
-    b = op.representative_bundles(op.opinion_units(opinion_input(spark, sf), OPINIONS))
+    b = op.representative_bundles(_units(spark, sf))
     return b.select(
         "sentiment_code", "rank", "aspect_key", "cej_scene_code", "product_category", "brand_mentioned", "cluster_size",
         F.round("bundle_score", 6).alias("bundle_score"), "top_opinion_id",
@@ -122,7 +128,7 @@ def bundles(spark, sf):
 SELECT CASE sentiment_code WHEN 'positive' THEN 'positive_top5_bundles' ELSE 'negative_top5_bundles' END AS section, count(*) AS n,
        string_agg(opinion_id, ',' ORDER BY rank) AS tops FROM (SELECT sentiment_code, rank, comment_id AS opinion_id FROM bfin) GROUP BY sentiment_code""")
 def representative_section(spark, sf):
-    b = op.representative_bundles(op.opinion_units(opinion_input(spark, sf), OPINIONS))
+    b = op.representative_bundles(_units(spark, sf))
     tops = F.transform("bundles", lambda x: x["top_comment"]["source_content_id"])
     return op.representative_section(b).select("section", F.size("bundles").alias("n"), F.array_join(tops, ",").alias("tops"))
 
@@ -131,7 +137,7 @@ def representative_section(spark, sf):
 SELECT comment_id AS source_content_id, count(*) AS opinion_count, bool_or(spam) AS duplicate_opinion_flag, string_agg(opinion_id, ',' ORDER BY pos) AS unit_ids
 FROM units GROUP BY 1""")
 def source_records(spark, sf):
-    r = op.source_records(op.opinion_units(opinion_input(spark, sf), OPINIONS))
+    r = op.source_records(_units(spark, sf))
     ids = F.array_join(F.transform("opinion_units", lambda u: u["opinion_id"]), ",")
     return r.select("source_content_id", "opinion_count", "duplicate_opinion_flag", ids.alias("unit_ids"))
 
@@ -140,7 +146,7 @@ def source_records(spark, sf):
 SELECT count(DISTINCT comment_id) AS source_count, count(*) AS opinion_count, count(*) FILTER (sentiment_code = 'positive') AS positive_count,
        count(*) FILTER (sentiment_code = 'negative') AS negative_count FROM units""")
 def unit_monitoring(spark, sf):
-    m = ds.monitoring_summary(op.opinion_units(opinion_input(spark, sf), OPINIONS))
+    m = ds.monitoring_summary(_units(spark, sf))
     return m.select("source_count", "opinion_count", "positive_count", "negative_count")
 
 

@@ -8,13 +8,16 @@ from voxframe.operators import similar as sm
 from voxframe.operators import strategy as st
 from voxframe.operators import truth as tr
 from voxframe.operators.relational import top_per_group
+from voxframe.session import materialize
 from workloads.bindings import with_sql
 from workloads.label_tables import TRUTH, TRUTH_SQL, truth_input
 from workloads.registry import query
 
 
 def truth_rows(spark, sf):
-    return tr.build_truth(truth_input(spark, sf), TRUTH, keep=["product", "region", "like_count", "reply_count", "published_at", "classification_type"])
+    """Truth table of all documents, held in the shared folder as a run would."""
+    keep = ["product", "region", "like_count", "reply_count", "published_at", "classification_type"]
+    return materialize(tr.build_truth(truth_input(spark, sf), TRUTH, keep=keep))
 
 
 def representatives(rows):
@@ -124,7 +127,8 @@ ISSUES = [
 
 def _issues(spark, sf):
     rows = truth_rows(spark, sf)
-    return rows, st.issue_table(st.strategy_candidates(rows, representatives(rows)), rows)
+    candidates = materialize(st.strategy_candidates(rows, representatives(rows)))
+    return rows, st.issue_table(candidates, rows)
 
 
 @query("issue_table", with_sql(*ISSUES) + """
@@ -186,7 +190,7 @@ SELECT issue_key, coalesce(c, 0) AS supporting_comments FROM issues LEFT JOIN (S
 ORDER BY CASE WHEN coalesce(c, 0) > 0 AND n > 0 THEN 0 ELSE 1 END, {ORDER} LIMIT 1""")
 def primary_issue(spark, sf):
     rows, t = _issues(spark, sf)
-    return st.primary_issue(t, rows).select("issue_key", "supporting_comments")
+    return st.primary_issue(materialize(t), rows).select("issue_key", "supporting_comments")
 
 
 SIMILAR = with_sql(*STRATEGY) + """,
