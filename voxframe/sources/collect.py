@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import collapse_space
@@ -68,8 +68,8 @@ def flatten_videos(search_pages: DataFrame, video_pages: DataFrame, keyword: str
     hits = unnest(search_pages, c("payload.items"), "item", "run_id", "page_no", position="pos").where(c("item.id.videoId").isNotNull())
     # The first position of a video; ranks count over the pages in order.
     sizes = search_pages.select("run_id", "page_no", F.size(F.filter("payload.items", lambda i: i["id"]["videoId"].isNotNull())).alias("n"))
-    earlier = sizes.alias("a").join(sizes.alias("b"), (c("a.run_id") == c("b.run_id")) & (c("b.page_no") < c("a.page_no")), "left")
-    offsets = earlier.groupBy(c("a.run_id").alias("run_id"), c("a.page_no").alias("page_no")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
+    before = Window.partitionBy("run_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("run_id", "page_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = hits.join(offsets, ["run_id", "page_no"]).groupBy("run_id", c("item.id.videoId").alias("video_id")).agg(F.min(c("offset") + c("pos") + 1).alias("search_rank"))
     v = unnest(video_pages, c("payload.items"), "v", "run_id")
     number = lambda name: c(f"v.statistics.{name}").try_cast("bigint")
@@ -114,8 +114,7 @@ def estimate_quota(plans: DataFrame, page_size: int = 50, costs: Mapping[str, in
     wanted = F.when(c("comments_per_video") > 0, c("comments_per_video")).otherwise(page_size * 20)
     threads = c("max_videos") * F.ceil(wanted / page_size)
     out = plans.withColumns({"search_calls": pages, "video_calls": pages, "thread_calls": threads})
-    # Exact thirds of a call: three tenths as integers, so that no binary fraction rounds up.
-    out = out.withColumn("reply_calls", F.when(c("include_replies"), F.ceil(c("thread_calls") * 3 / 10)).otherwise(0))
+    out = out.withColumn("reply_calls", F.when(c("include_replies"), F.ceil(c("thread_calls") * F.lit(0.3))).otherwise(0))
     units = (
         c("search_calls") * costs["search.list"] + c("video_calls") * costs["videos.list"]
         + c("thread_calls") * costs["commentThreads.list"] + c("reply_calls") * costs["comments.list"]
