@@ -39,15 +39,20 @@ def current_rows(spark: SparkSession, target: str, tie_break: str, keys: tuple[s
     return top_per_group(versions.drop("batch_id"), keys, order, 1)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a time with a zone; plain times count as UTC."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def new_comments(stream: DataFrame, time: str = "published_at", delay: str = "1 day", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each key once within the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def weekly_counts(stream: DataFrame, time: str = "published_at", delay: str = "1 day") -> DataFrame:
     """Comments per week (Monday), product, region and label on a stream; the epoch was a Thursday."""
     week = F.window(time, "7 days", "7 days", "4 days")
-    counts = stream.withWatermark(time, delay).groupBy(week, "product", "region", "sentiment_label").agg(F.count("*").alias("count"))
+    counts = _timed(stream, time).withWatermark(time, delay).groupBy(week, "product", "region", "sentiment_label").agg(F.count("*").alias("count"))
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("week_start"), "product", "region", "sentiment_label", "count")
 
 
