@@ -105,7 +105,8 @@ def lexicon_sentiment(
         .when(F.col("__s_hangul"), F.coalesce(balance, F.lit(0.0)))
         .otherwise(F.coalesce(balance, F.col("__s_eng")))
     )
-    out = out.withColumn(score, F.round(value, 3))
+    # Rounding twice settles ties of sums of tenths the same way on every engine.
+    out = out.withColumn(score, F.round(F.round(value, 9), 3))
     out = out.withColumn(
         label, F.when(F.col(score) >= 0.32, "positive").when(F.col(score) <= -0.22, "negative").otherwise("neutral")
     )

@@ -52,7 +52,8 @@ def weekly_keywords(
 
 
 def _top_keywords(counted: DataFrame, keys: Sequence[str], top_n: int, rules: kw.KeywordRules) -> DataFrame:
-    named = counted.withColumn("keyword", kw.normalize_keyword(F.col("__token"), rules))
+    # Through a generator, so that the filter below cannot repeat the normalization for each of its tests.
+    named = unnest(counted, F.array(kw.normalize_keyword(F.col("__token"), rules)), "keyword", *keys, "__n")
     kept = named.where((F.col("keyword") != "") & kw.is_business_keyword(F.col("keyword"), rules))
     totals = kept.groupBy(*keys, "keyword").agg(F.sum("__n").alias("count"))
     if not keys:

@@ -100,8 +100,8 @@ def sentiment_sql(source: str, t: str, label: str, score: str) -> str:
     pos = f"({_weights(t, SENTIMENT.positive)} * {strong} + {over} - {_negated(t, SENTIMENT.positive)} + {_negated(t, SENTIMENT.negative)} * 0.6)"
     neg = f"({_weights(t, SENTIMENT.negative)} * {strong} + {complain} - {_negated(t, SENTIMENT.negative)} + {_negated(t, SENTIMENT.positive)} * 0.9)"
     return f"""SELECT *, CASE WHEN {score} >= 0.32 THEN 'positive' WHEN {score} <= -0.22 THEN 'negative' ELSE 'neutral' END AS {label} FROM (
-  SELECT *, round(CASE WHEN {t} = '' THEN 0 WHEN abs(p_ + n_) < 1e-12 THEN (CASE WHEN n_complaint > 0 AND regexp_matches({t}, '[a-z]') THEN -0.25 ELSE 0 END)
-                       ELSE (p_ - n_) / (p_ + n_) END, 3) AS {score}
+  SELECT *, round(round(CASE WHEN {t} = '' THEN 0 WHEN abs(p_ + n_) < 1e-12 THEN (CASE WHEN n_complaint > 0 AND regexp_matches({t}, '[a-z]') THEN -0.25 ELSE 0 END)
+                       ELSE (p_ - n_) / (p_ + n_) END, 9), 3) AS {score}
   FROM (SELECT *, CAST({pos} AS DOUBLE) AS p_, CAST({neg} AS DOUBLE) AS n_, {complain} AS n_complaint FROM {source}))"""
 
 
