@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxframe.operators import labels as lb
 from voxframe.operators import opinions as op
 from voxframe.operators import truth as tr
+from voxframe.session import materialize
 
 
 def labelled(spark, rows):
@@ -68,6 +69,6 @@ def test_bundles_rank_groups(spark):
     df = spark.createDataFrame(rows, "comment_id string, text_display string, like_count int")
     df = df.withColumns({"product": F.lit("세탁기"), "sentiment_label": F.when(F.col("comment_id") == "p", "positive").otherwise("negative"), "signal_strength": F.lit("strong"),
                          "classification_type": F.lit("complaint"), "product_related": F.lit(True)})
-    out = op.representative_bundles(op.opinion_units(df)).collect()
+    out = op.representative_bundles(materialize(op.opinion_units(df))).collect()
     assert {r["sentiment_code"] for r in out} == {"positive", "negative"} and all(r["rank"] >= 1 and r["cluster_size"] >= 1 for r in out)
     assert max(r["cluster_size"] for r in out if r["sentiment_code"] == "negative") >= 3

@@ -286,6 +286,7 @@ def representative_bundles(units: DataFrame, top_n: int = 5, samples: int = 5) -
     """Best opinion groups per polarity with their size, score and top samples.
 
     Groups are counted with partial aggregation; only ``samples`` rows of each group are ever gathered.
+    Units are read several times: pass a held table (``session.materialize``), not the plan that makes them.
     """
     c = F.col
     order = [c("opinion_score").desc(), c("likes_count").desc_nulls_last(), c("opinion_id")]
