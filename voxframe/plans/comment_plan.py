@@ -66,11 +66,12 @@ def run_comments(
     c = F.col
     videos = annotate_relevance(videos, policy)
     context = videos.dropDuplicates(["video_id"]).select("video_id", "product", "region", "title", "channel_title", "video_url", "is_relevant_video", "video_relevance_score")
-    rows = attach(normalize_comments(comments).drop("product", "region", "title", "channel_title", "video_url"), context, ["video_id"])
-    rows = with_parent_text(hold(rows))
+    normalized = hold(normalize_comments(comments))
+    rows = attach(normalized.drop("product", "region", "title", "channel_title", "video_url"), context, ["video_id"])
+    rows = hold(with_parent_text(rows))
     if enrichment is not None:
         rows = lb.attach_enrichment(rows, enrichment)
-    labelled = lb.classify_comments(rows, rules=comment_rules)
+    labelled = hold(lb.classify_comments(rows, rules=comment_rules))
     labelled = labelled.withColumns({"__low": F.lower("cleaned_text"), "__brand": F.lower(F.concat_ws(" ", "cleaned_text", F.coalesce("title", F.lit(""))))})
     labelled = labelled.withColumns({"topic_label": lb.topic_by_markers(c("__low")), "brand_label": lb.brand_by_markers(c("__brand")), "risk_flags": lb.risk_flags(c("__low"), risk_keywords) if risk_keywords else F.lit("")})
     labelled = tr.representative_scorecard(labelled.drop("__low", "__brand"))
