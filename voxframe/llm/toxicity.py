@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Features of a text are the words and word beginnings it holds (A-Z lower-cased, punctuation at the ends cut off), each
-once. A bounded number of them is chosen by how differently confirmed toxic texts and unlabelled texts use them. A
+once, and again as further features if they come twice or four times. A bounded number of them is chosen by how differently confirmed toxic texts and unlabelled texts use them. A
 logistic model is trained on both samples with the risk ``prior * R+(positive) + max(0, R-(unlabelled) - prior *
 R-(positive))``: unlabelled texts hold toxic ones too, the class prior says how many, and the maximum keeps the
 estimate of the negative risk from falling below zero. When it does fall below, the step goes the other way on that
@@ -27,9 +27,11 @@ FOLDS = 5
 #: Training texts drawn at most (about) of the confirmed toxic ones and of all others.
 POSITIVES, UNLABELLED = 2000, 5000
 #: Features that are kept at most, and how many standard deviations their use must differ by.
-FEATURES, STRENGTH = 1024, 6.0
+FEATURES, STRENGTH = 1024, 5.0
 #: Lengths in bytes of the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6)
+#: A feature that comes this often in a text counts as a further one.
+OFTEN = (2, 4)
 #: ASCII bytes that are cut off the ends of a word.
 EDGE = np.zeros(256, bool)
 EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
@@ -56,11 +58,14 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _once(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once a row."""
+    """Each key once a row, and once more under another hash for each of ``OFTEN`` times that it comes there."""
     order = np.lexsort((keys, rows))
     keys, rows = keys[order], rows[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])) if len(keys) else np.zeros(0, bool)
-    return keys[new], rows[new]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(at, len(keys)))
+    keys, rows = keys[at], rows[at]
+    parts = [(keys, rows)] + [(keys[times >= n] ^ np.uint64((i + 1) << 60), rows[times >= n]) for i, n in enumerate(OFTEN)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
 
 
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +82,10 @@ def _held(part: pa.RecordBatch, features: np.ndarray) -> tuple[np.ndarray, np.nd
     seen = np.zeros(1 << 16, bool)
     seen[(features & np.uint64(0xFFFF)).astype(np.int64)] = True
     maybe = seen[(keys & np.uint64(0xFFFF)).astype(np.int64)]
-    keys, rows = keys[maybe], rows[maybe]
+    keys, rows = _once(keys[maybe], rows[maybe])
     at = np.minimum(np.searchsorted(features, keys), max(len(features) - 1, 0))
     own = features[at] == keys if len(features) else np.zeros(len(keys), bool)
-    cell = np.unique(rows[own] * max(len(features), 1) + at[own])
-    return cell // max(len(features), 1), cell % max(len(features), 1)
+    return rows[own], at[own]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
