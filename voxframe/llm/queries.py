@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import embedding_dedup, language_id, simhash_dedup, toxicity, url_rules
+from voxframe.llm import embedding_dedup, language_id, secret_scan, simhash_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ URL_RULES = (
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_rules.judged(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
