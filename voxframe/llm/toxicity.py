@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.llm import folds, textbytes
+from voxframe.session import materialize
 
 FOLDS = 5
 #: Training texts drawn at most (about) of the confirmed toxic ones and of all others.
@@ -70,9 +71,9 @@ def _once(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in textbytes.slices(batches, "text"):
-        toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        toxic, opened = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("toxic", "open"))
         keys, rows = _once(*_tokens(part.column("text")))
-        keys, sums = textbytes.runs(keys, np.stack([toxic[rows], ~toxic[rows]], 1).astype(np.int64))
+        keys, sums = textbytes.runs(keys, np.stack([toxic[rows], opened[rows]], 1).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["feature", "pos", "unl"])
 
 
@@ -119,15 +120,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     total = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("toxic")).first()
     share = prior if prior is not None else (total["toxic"] / total["n"] if total["n"] else 0.0)
     empty = {"features": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share >= 1 else -40.0)}
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), folds.may_learn(id_col, fold_count).alias("learn"), folds.unit(id_col, 6).alias("draw")).where("learn")
-    n_docs = rows.select("id").count()
+    ids = docs.select(F.col(id_col).alias("id"), folds.may_learn(id_col, fold_count).alias("learn"), folds.unit(id_col, 6).alias("draw")).where("learn")
+    n_docs = ids.count()
     if not total["toxic"] or total["toxic"] >= n_docs or not 0 < share < 1:
         return empty
-    # Draws by id come before the text is read by anything: a small part of the rows goes on.
-    drawn = rows.join(marks.where("mark = 1").select("id", F.lit(True).alias("toxic")), "id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(False)))
-    wanted = F.when(F.col("toxic"), F.col("draw") < min(1.0, positives / total["toxic"])).otherwise(F.col("draw") < min(1.0, unlabelled / n_docs))
-    sample = drawn.where(wanted | (F.col("draw") < min(1.0, unlabelled / n_docs))).select("text", "toxic", (F.col("draw") < min(1.0, unlabelled / n_docs)).alias("open"))
-    usage = sample.select("text", "toxic").mapInArrow(_usage, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    # The draw joins ids only. What it leaves is bounded, so those ids may go to every task that reads texts.
+    drawn = ids.join(marks.where("mark = 1").select("id", F.lit(True).alias("toxic")), "id", "left")
+    drawn = drawn.select("id", F.coalesce("toxic", F.lit(False)).alias("toxic"), (F.col("draw") < min(1.0, unlabelled / n_docs)).alias("open"), (F.col("draw") < min(1.0, positives / total["toxic"])).alias("sure"))
+    wanted = drawn.select("id", (F.col("toxic") & F.col("sure")).alias("toxic"), "open").where("toxic or open").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = materialize(texts.join(F.broadcast(wanted), "id").select("text", "toxic", "open"))
+    usage = sample.select("text", "toxic", "open").mapInArrow(_usage, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
     n_pos, n_unl = min(positives, total["toxic"]), min(unlabelled, n_docs)
     p, u = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("unl") + 0.5) / (n_unl + 1.0)
     strength = F.abs(p - u) / F.sqrt((p + u) / 2 * (1.0 / n_pos + 1.0 / n_unl))
