@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import embedding_dedup, language_id, mixing, secret_scan, simhash_dedup, toxicity, url_rules
+from voxframe.llm import embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_quality")
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judged(table(spark, sf_dir, "documents"))
