@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import byte_bpe, embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, toxicity, url_rules
+from voxframe.llm import byte_bpe, context_tree, embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+@query("op3_context_tree")
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
