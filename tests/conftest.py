@@ -13,9 +13,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from voxframe.session import local_session
 
-    session = local_session(8, "8g", "tests")
+    session = local_session(8, "8g", "tests", shared=f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()

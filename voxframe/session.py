@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,8 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxframe") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxframe", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own. ``shared``: folder for intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -31,6 +32,8 @@ def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxfra
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -39,13 +42,11 @@ def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxfra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can read: the one the cluster names, else a test folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder all executors can read and write, as the session names it in ``spark.checkpoint.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), f"voxframe-{spark.sparkContext.applicationId}")
+    return named
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -59,9 +60,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, for frames that parquet cannot hold."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, for functions that run in Python there."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
