@@ -157,8 +157,9 @@ def masked(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
         ),
         lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))),
     )
-    changed = F.when(F.size("_found") > 0, done).otherwise(text)
-    columns = {text_col: changed}
+    # The new text first, on its own; its length is taken from that.
+    made = with_spans.withColumn("_made", F.when(F.size("_found") > 0, done).otherwise(text))
+    columns = {text_col: F.col("_made")}
     if length_col in docs.columns:
-        columns[length_col] = F.when(F.size("_found") > 0, F.length(changed)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
-    return with_spans.withColumns(columns).select(*docs.columns)
+        columns[length_col] = F.when(F.size("_found") > 0, F.length("_made")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return made.withColumns(columns).select(*docs.columns)
