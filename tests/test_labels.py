@@ -72,3 +72,20 @@ def test_bundles_rank_groups(spark):
     out = op.representative_bundles(materialize(op.opinion_units(df))).collect()
     assert {r["sentiment_code"] for r in out} == {"positive", "negative"} and all(r["rank"] >= 1 and r["cluster_size"] >= 1 for r in out)
     assert max(r["cluster_size"] for r in out if r["sentiment_code"] == "negative") >= 3
+
+
+def test_noise_words_are_a_fixed_list(spark):
+    from voxframe.functions import keywords as kw
+
+    words = ["10년만에", "7개월만에", "5년만에", "몇달만에", "ㅋㅋ", "소음"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["k"] for r in df.select("w", kw.normalize_keyword(F.col("w")).alias("k")).collect()}
+    assert got["10년만에"] != "" and got["7개월만에"] != "" and got["5년만에"] == got["몇달만에"] == got["ㅋㅋ"] == "" and got["소음"] == "소음"
+
+
+def test_terms_of_an_enrichment_count_three_times(spark):
+    from voxframe.operators import keyword_summary as ks
+
+    df = spark.createDataFrame([("소음 진동", ["소음", "소음", "리뷰"], "negative", "a"), ("배송", None, "negative", "진동")], "cleaned_text string, terms array<string>, sentiment_label string, channel_title string")
+    got = {r["keyword"]: r["count"] for r in ks.keyword_pack(df, "negative", terms="terms").collect()}
+    assert got == {"소음": 4, "배송": 1}

@@ -15,7 +15,6 @@ from voxframe.rules import keywords as words
 TOKEN = r"[A-Za-z][A-Za-z'-]+|[0-9A-Za-z가-힣+/]+"
 EDGE_MARKS = ".,!?()[]{}\"'`“”‘:;/-_"
 NON_KEYWORD_CHAR = r"[^a-z0-9가-힣+/]"
-YEARS_LATER = r"^[0-9몇]+(?:년|개월)만에$"
 WEAK_TAILS = ("하게", "하게요", "처럼", "같이", "커서", "때문", "에서", "으로")
 
 
@@ -55,7 +54,7 @@ def _one_of(token: Column, values: Sequence[str]) -> Column:
 
 
 def _stopped(token: Column, rules: KeywordRules) -> Column:
-    return _one_of(token, rules.stopwords) | token.rlike(YEARS_LATER)
+    return _one_of(token, rules.stopwords)
 
 
 def _tail(suffixes: Sequence[str]) -> str:
@@ -83,7 +82,7 @@ def normalize_keywords(tokens: Column, rules: KeywordRules = DEFAULT) -> Column:
         return F.replace(F.btrim(F.lower(F.trim(t)), F.lit(EDGE_MARKS)), F.lit("’"), F.lit(""))
 
     # One alternation instead of one search per rule: the tokens are short, so starting a search is what costs.
-    dropped = "|".join([YEARS_LATER, r"^\d+$", *([_tail(rules.noise_suffixes)] if rules.noise_suffixes else [])])
+    dropped = "|".join([r"^\d+$", *([_tail(rules.noise_suffixes)] if rules.noise_suffixes else [])])
     unusable = NON_KEYWORD_CHAR + ("|^[a-z]+$" if rules.drop_latin else "")
 
     def screen(t: Column) -> Column:
@@ -139,11 +138,11 @@ def is_business_keyword(token: Column, rules: KeywordRules = DEFAULT) -> Column:
     return F.coalesce(~blocked & (listed | noun), F.lit(False))
 
 
-def point_tokens(tokens: Column, limit: int, noise: Sequence[str], aliases: Mapping[str, str],
+def point_tokens(tokens: Column, limit: int | None, noise: Sequence[str], aliases: Mapping[str, str],
                  rules: KeywordRules = DEFAULT) -> Column:
-    """Card-ready points: normalized, one trailing particle dropped, noise out, distinct, at most ``limit``."""
+    """Card-ready points: normalized, one trailing particle dropped, noise out, distinct, at most ``limit`` if given."""
     out = F.filter(normalize_keywords(tokens, rules), lambda t: t != "")
     out = F.transform(out, lambda t: _lookup(t, aliases))
     out = F.transform(out, lambda t: F.regexp_replace(t, "(?:으로|로|은|는|이|가|을|를|와|과|랑|도|만)$", ""))
     kept = F.filter(out, lambda t: (F.length(t) >= 2) & ~F.array_contains(literals(noise), F.lower(t)))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return F.array_distinct(kept) if limit is None else F.slice(F.array_distinct(kept), 1, limit)

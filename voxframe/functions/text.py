@@ -186,10 +186,15 @@ def normalize_text(c: Column) -> Column:
     return collapse_space(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?i)https?://\S+|\bwww\.\S+", " "))
 
 
-def dedupe_key(c: Column, limit: int = 120) -> Column:
-    """Text reduced to lower-case words, the first ``limit`` characters."""
-    words = F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"(?U)[^\w\s]", " ")
-    return F.substring(collapse_space(words), 1, limit)
+def dedupe_key(c: Column, limit: int | None = None) -> Column:
+    """Text reduced to lower-case words, all of it or the first ``limit`` characters."""
+    words = collapse_space(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"(?U)[^\w\s]", " "))
+    return words if limit is None else F.substring(words, 1, limit)
+
+
+def text_digest(c: Column) -> Column:
+    """Digest of the whole reduced text, as a key of equal texts."""
+    return F.md5(dedupe_key(c))
 
 
 def looks_garbled(c: Column) -> Column:

@@ -74,7 +74,7 @@ def split_clauses(text: Column) -> Column:
 
 
 def salient_clauses(clauses: Column, limit: int = 2, issues: Sequence[str] = ISSUE_WORDS, questions: Sequence[str] = QUESTION_WORDS) -> Column:
-    """The clauses that say most: long, about an issue, with numbers or questions; distinct by their start."""
+    """The clauses that say most: long, about an issue, with numbers or questions; each once."""
     def score(p: Column, i: Column) -> Column:
         low = F.lower(p)
         points = (
@@ -84,9 +84,7 @@ def salient_clauses(clauses: Column, limit: int = 2, issues: Sequence[str] = ISS
         return F.struct((-points).alias("s"), i.alias("i"), p.alias("p"))
 
     ranked = F.transform(F.array_sort(F.transform(clauses, score)), lambda s: s["p"])
-    heads = F.transform(ranked, lambda p: F.substring(p, 1, 32))
-    firsts = F.filter(F.transform(ranked, lambda p, i: F.struct(p.alias("p"), (F.array_position(heads, F.substring(p, 1, 32)) == i + 1).alias("new"))), lambda s: s["new"])
-    return F.slice(F.transform(firsts, lambda s: s["p"]), 1, limit)
+    return F.slice(F.array_distinct(ranked), 1, limit)
 
 
 def claim_direction(low: Column) -> Column:
@@ -207,19 +205,22 @@ def aspect_label(label: Column) -> Column:
 
 
 def comment_showcase(df: DataFrame, sentiment: str, limit: int = 30) -> DataFrame:
-    """The most telling comments of one polarity: preselected by reach, then ranked by the showcase score."""
+    """The most telling comments of one polarity by the showcase score. All comments are ranked."""
+    scored = showcase_scores(df, sentiment)
+    return scored.orderBy(F.col("showcase_score").desc(), F.coalesce("like_count", F.lit(0)).desc(), "comment_id").limit(limit)
+
+
+def showcase_scores(df: DataFrame, sentiment: str) -> DataFrame:
+    """Valid comments of one polarity, once each, with ``showcase_score``."""
     c = F.col
     label = F.lower(F.coalesce(pick(df, ["sentiment_final", "sentiment_label"], F.lit("neutral")), F.lit("neutral")))
     valid = pick(df, ["comment_validity"], F.lit("valid")) == "valid"
     hygiene = F.lower(F.coalesce(pick(df, ["hygiene_class"], F.lit("strategic")), F.lit("")))
     likes, length = F.coalesce(c("like_count"), F.lit(0)), F.coalesce(c("text_length"), F.lit(0))
     score, rep = F.coalesce(c("sentiment_score"), F.lit(0.0)), F.coalesce(pick(df, ["representative_score"], F.lit(0)), F.lit(0))
-    seed = likes * 1.8 + length * 0.05 + F.abs(score) * 80
-    pool = df.where(valid & (hygiene != "trash") & (label == sentiment)).withColumn("candidate_seed", F.round(seed, 9))
-    pool = pool.orderBy(c("candidate_seed").desc(), likes.desc(), "comment_id").limit(max(limit * 20, 120))
+    pool = df.where(valid & (hygiene != "trash") & (label == sentiment))
     signed = -score * 100 if sentiment == "negative" else score * 100 if sentiment == "positive" else F.abs(score) * 100
-    shown = pool.withColumn("showcase_score", F.round(signed + likes * 1.5 + length * 0.04 + rep * 2, 9)).dropDuplicates(["comment_id"])
-    return shown.orderBy(c("showcase_score").desc(), likes.desc(), "comment_id").limit(limit)
+    return pool.withColumn("showcase_score", F.round(signed + likes * 1.5 + length * 0.04 + rep * 2, 9)).dropDuplicates(["comment_id"])
 
 
 def bundle_showcase(df: DataFrame, sentiment: str, key: Sequence[str], limit: int = 5, samples: int = 5) -> DataFrame:
@@ -231,8 +232,7 @@ def bundle_showcase(df: DataFrame, sentiment: str, key: Sequence[str], limit: in
     best = top_per_group(pool, key, order, samples, "__rank").groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__rank", "comment_id"))), lambda s: s["comment_id"]).alias("samples")
     )
-    shown = comment_showcase(df, sentiment, 120)
-    first = top_per_group(shown, key, [c("showcase_score").desc(), c("comment_id")], 1)
+    first = top_per_group(showcase_scores(df, sentiment), key, [c("showcase_score").desc(), c("comment_id")], 1)
     out = first.join(sizes, list(key)).join(best, list(key))
     return out.orderBy(c("showcase_score").desc(), "comment_id").limit(limit)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.scores import parse_time, ratio
-from voxframe.functions.text import dedupe_key
+from voxframe.functions.text import text_digest
 from voxframe.operators.relational import attach, share_of_all, share_of_group, top_per_group
 from voxframe.operators.truth import primary_axis
 from voxframe.rules import display
@@ -268,7 +268,7 @@ def representative_comments(df: DataFrame, per_label: int = 8) -> DataFrame:
                 F.coalesce("product", F.lit("")),
                 stage,
                 primary_axis(c("judgment_axes"), pick(df, ["topic_label"], F.lit(""))),
-                dedupe_key(pick(df, ["cleaned_text", "text_display"])),
+                text_digest(pick(df, ["cleaned_text", "text_display"])),
             ),
         }
     )

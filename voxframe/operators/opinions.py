@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.markers import best_label, contains_any, first_match, hit_count, hits
 from voxframe.functions.scores import clamp, log_likes
-from voxframe.functions.text import dedupe_key, redact_pii, safe_text
+from voxframe.functions.text import text_digest, redact_pii, safe_text
 from voxframe.operators.labels import CommentRules, classify_comments
 from voxframe.operators.relational import top_per_group, unnest
 from voxframe.rules import opinions as marks
@@ -290,7 +290,7 @@ def representative_bundles(units: DataFrame, top_n: int = 5, samples: int = 5) -
     """
     c = F.col
     order = [c("opinion_score").desc(), c("likes_count").desc_nulls_last(), c("opinion_id")]
-    keyed = bundle_candidates(units).withColumn("__text", dedupe_key(c("opinion_text")))
+    keyed = bundle_candidates(units).withColumn("__text", text_digest(c("opinion_text")))
     distinct = top_per_group(
         keyed, ["sentiment_code", "product_category", "brand_mentioned", "cej_scene_code", "aspect_key", "__text"], order, 1
     )
@@ -342,7 +342,7 @@ def representative_bundles(units: DataFrame, top_n: int = 5, samples: int = 5) -
         voc.alias("voc_items"),
         c("__top.region").alias("region"),
         c("__top.product").alias("product"),
-        dedupe_key(c("__top.display_text")).alias("__text"),
+        text_digest(c("__top.display_text")).alias("__text"),
     )
     best = [c("bundle_score").desc(), c("cluster_size").desc(), c("top_opinion_id")]
     once = top_per_group(bundles, ["sentiment_code", "product_category", "brand_mentioned", "aspect_key", "__text"], best, 1)

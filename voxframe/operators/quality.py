@@ -92,7 +92,7 @@ def strategy_checks(strategy: DataFrame, representatives: DataFrame, text: str =
     refs = unnest(strategy, c("supporting_representatives"), "comment_id", "level_id", "insight_summary")
     texts = representatives.select("comment_id", safe_text(c(text)).alias("__t"))
     pairs = attach(refs, texts, ["comment_id"], "inner", derived=True).where(c("__t") != "")
-    reworded = c("insight_summary").contains(F.substring("__t", 1, 50)) | c("__t").contains(F.substring("insight_summary", 1, 50))
+    reworded = c("insight_summary").contains(c("__t")) | c("__t").contains(c("insight_summary"))
     return strategy.agg(F.count("*").alias("insights"), count_if(c("supporting_cluster_count") < 2).alias("single_comment")).select(
         "*", pairs.agg(count_if(reworded)).scalar().alias("reworded")
     )
@@ -116,7 +116,7 @@ def verdict(sections: DataFrame) -> DataFrame:
         F.bool_and(F.col("status") == "PASS").alias("__all"), F.bool_or(F.col("status") == "FAIL").alias("__any"),
         F.array_sort(F.collect_set(F.when(F.col("status") != "PASS", F.col("section")))).alias("risks"),
     )
-    return row.select(F.when(F.col("__all"), "PASS").when(F.col("__any"), "FAIL").otherwise("PARTIAL").alias("verdict"), F.slice("risks", 1, 5).alias("risks"))
+    return row.select(F.when(F.col("__all"), "PASS").when(F.col("__any"), "FAIL").otherwise("PARTIAL").alias("verdict"), "risks")
 
 
 def metric_rates(df: DataFrame, metrics: Mapping[str, tuple[Column, Column]], by: Sequence[str] = ()) -> DataFrame:

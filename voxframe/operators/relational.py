@@ -49,30 +49,21 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     null_safe: bool = False,
-    salts: int = SALTS,
     derived: bool = False,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that has few rows per key.
 
-    A lookup with a small size estimate is broadcast. Otherwise the rows of every key are spread over
-    ``salts`` buckets and the lookup is repeated per bucket, so one hot key never lands in one task.
-    ``derived`` skips the estimate for lookups made from the rows themselves: the plan says little about
-    their size, and adaptive execution still broadcasts them once their real size proves small.
+    A lookup whose size estimate is at most ``limit`` bytes is broadcast. Any other join is left to adaptive
+    execution, which knows the real sizes: it broadcasts what proves small and splits the partitions of a hot
+    key. ``derived`` skips the estimate for lookups made from the rows themselves, whose plan says little.
     """
     keys = list(keys)
-    renamed = lookup.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in lookup.columns])
-    small = not derived and is_small(renamed)
-    if small:
-        left, right, salted = rows, F.broadcast(renamed), []
-    else:
-        left = rows.withColumn("__salt", salt_of(rows, salts))
-        right = renamed.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = [F.col("__salt") == F.col("__rsalt")]
-    same = [
-        left[k].eqNullSafe(right[f"__{k}"]) if null_safe else left[k] == right[f"__{k}"] for k in keys
-    ]
-    joined = left.join(right, reduce(lambda a, b: a & b, salted + same), how)
-    return joined.drop(*[f"__{k}" for k in keys], "__salt", "__rsalt")
+    right = lookup.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in lookup.columns])
+    if not derived and is_small(right, limit):
+        right = F.broadcast(right)
+    same = [rows[k].eqNullSafe(right[f"__{k}"]) if null_safe else rows[k] == right[f"__{k}"] for k in keys]
+    return rows.join(right, reduce(lambda a, b: a & b, same), how).drop(*[f"__{k}" for k in keys])
 
 
 def unnest(df: DataFrame, array: Column, name: str, *keep: str | Column, position: str | None = None) -> DataFrame:
@@ -161,10 +152,3 @@ def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays of distinct values; two empty ones are the same."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
-
-
-def append_unique(base: DataFrame, extra: DataFrame, label: str, order: Sequence[Column], n: int) -> DataFrame:
-    """Fill up to ``n`` rows with rows of ``extra`` whose label the base lacks."""
-    fresh = extra.join(base.select(label), label, "left_anti")
-    both = base.withColumn("__pick", F.lit(0)).unionByName(fresh.withColumn("__pick", F.lit(1)))
-    return both.orderBy("__pick", *order).limit(n).drop("__pick")

@@ -21,7 +21,6 @@ CONTRACT_VERSION = "v5.2.0"
 COMPARISON_AXIS = "comparison_substitute_judgment"
 FALLBACK_AXIS = "usage_pattern_fit"
 SINGLE = "fallback_single"
-MAX_SIGNALS = 4
 
 
 @dataclass(frozen=True)
@@ -150,18 +149,24 @@ def _trim_ends(c: Column) -> Column:
 
 
 def split_once(text: Column, connectors: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Struct of rule and pieces for the first connector that leaves only meaningful pieces; else null."""
+    """Struct of rule and pieces for the first connector that leaves only meaningful pieces; else null.
+
+    Connectors are tried one after the other: a text is split only by those it holds, up to the first that works.
+    """
     options = []
     for rule, patterns in connectors:
         for pattern in patterns:
             pieces = F.filter(F.transform(F.split(text, pattern), _trim_ends), lambda p: p != "")
-            options.append(F.struct(F.lit(rule).alias("rule"), F.when(text.rlike(pattern), pieces).alias("pieces")))
-    usable = F.filter(F.array(*options), lambda o: (F.size(o["pieces"]) > 1) & F.forall(o["pieces"], _is_meaningful))
-    return F.try_element_at(usable, F.lit(1))
+            whole = F.filter(F.array(F.struct(F.lit(rule).alias("rule"), pieces.alias("pieces"))), lambda o: (F.size(o["pieces"]) > 1) & F.forall(o["pieces"], _is_meaningful))
+            options.append(F.when(text.rlike(pattern), F.try_element_at(whole, F.lit(1))))
+    return F.coalesce(*options)
+
 
+def split_pairs(text: Column, connectors: Sequence[tuple[str, Sequence[str]]] = marks.CONNECTORS, limit: int | None = None) -> Column:
+    """Pieces of a text with the rule that made each: one split, then one more inside each piece.
 
-def split_pairs(text: Column, connectors: Sequence[tuple[str, Sequence[str]]] = marks.CONNECTORS) -> Column:
-    """Pieces of a text with the rule that made each: one split, then one more inside each piece."""
+    All pieces count; ``limit`` keeps the first ones only.
+    """
     pair = "array<struct<text:string,rule:string>>"
     single = F.array(F.struct(text.alias("text"), F.lit(SINGLE).alias("rule"))).cast(pair)
     first = F.transform(F.array(split_once(text, connectors)), lambda s: s)
@@ -176,12 +181,12 @@ def split_pairs(text: Column, connectors: Sequence[tuple[str, Sequence[str]]] =
         )
         return F.element_at(inner, 1)
 
-    nested = F.transform(
-        first,
-        lambda s: F.slice(F.flatten(F.transform(s["pieces"], lambda p: deeper(p, s["rule"]))), 1, MAX_SIGNALS).cast(pair),
-    )
-    pairs = F.element_at(nested, 1)
-    return F.when(F.size(pairs) > 1, pairs).otherwise(single)
+    def whole(s: Column) -> Column:
+        pairs = F.flatten(F.transform(s["pieces"], lambda p: deeper(p, s["rule"])))
+        return (pairs if limit is None else F.slice(pairs, 1, limit)).cast(pair)
+
+    nested = F.filter(F.transform(first, whole), lambda pairs: F.size(pairs) > 1)
+    return F.coalesce(F.try_element_at(nested, F.lit(1)), single)
 
 
 def brand_scope(low: Column, rules: SignalRules = DEFAULT) -> Column:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.keywords import DEFAULT, KeywordRules, point_tokens
 from voxframe.functions.text import safe_text
-from voxframe.operators.relational import attach, is_small, top_per_group
+from voxframe.operators.relational import attach, is_small
 from voxframe.rules import display
 from voxframe.schemas import pick
 
-# Words dropped from points, their aliases, and the size limits of the card view.
+# Words dropped from points, and their aliases.
 POINT_NOISE = (
     "해당", "관련", "제품", "가전", "이슈", "문제", "정도", "부분", "그냥", "진짜", "너무", "있다", "없다", "이게", "그게", "저게",
     "이번", "한번", "저번",
@@ -21,11 +21,6 @@ POINT_NOISE = (
 POINT_ALIASES = {
     "통돌": "통돌이", "통돌이는": "통돌이", "통돌이로": "통돌이", "통돌이랑": "통돌이", "a/s": "A/S", "as": "A/S", "티비": "TV", "tv": "TV",
 }
-COHESION_STOPWORDS = (
-    "this", "that", "with", "from", "have", "there", "were", "been", "very", "really", "just", "그리고", "그냥", "진짜", "너무",
-    "정말", "제품", "사용", "관련", "문제", "해당",
-)
-CARD_SOFT_CAP, CARD_HARD_CAP = 3200, 2400
 DEFAULT_TOPIC = "제품 경험"
 
 
@@ -57,23 +52,16 @@ def intent_tokens(df: DataFrame, rules: KeywordRules = DEFAULT) -> Column:
     """Points, tags, class and topic a comment shares with similar ones."""
     empty = F.array().cast("array<string>")
 
-    def points(name: str, limit: int) -> Column:
+    def points(name: str) -> Column:
         values = F.coalesce(pick(df, [name]).cast("array<string>"), empty)
-        return point_tokens(values, limit, POINT_NOISE, POINT_ALIASES, rules)
+        return point_tokens(values, None, POINT_NOISE, POINT_ALIASES, rules)
 
     kind = F.lower(safe_text(pick(df, ["classification_type"], F.lit(""))))
     topic = topic_for_similarity(pick(df, ["topic_label", "aspect_key"], F.lit("")))
-    parts = F.concat(points("nlp_similarity_keys", 10), points("nlp_core_points", 10), points("nlp_context_tags", 6), F.array(kind, topic))
+    parts = F.concat(points("nlp_similarity_keys"), points("nlp_core_points"), points("nlp_context_tags"), F.array(kind, topic))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
-def cohesion_terms(tokens: Column, text: Column, limit: int) -> Column:
-    """Intent tokens filled up with the first words of the text."""
-    words = F.regexp_extract_all(F.lower(safe_text(text)), F.lit("[a-zA-Z가-힣]{2,}"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in COHESION_STOPWORDS])
-    return F.slice(F.array_distinct(F.concat(tokens, F.filter(words, lambda w: ~F.array_contains(stop, w)))), 1, limit)
-
-
 def similar_comments(
     pool: DataFrame,
     representatives: DataFrame,
@@ -81,15 +69,12 @@ def similar_comments(
     journey: str = "journey_stage",
     text: str = "text_display",
     min_cluster: int = 3,
-    soft_cap: int | None = None,
-    hard_cap: int | None = None,
 ) -> DataFrame:
     """Pairs of a representative and each comment with its journey, direction and a shared token.
 
     Both frames carry ``comment_id``, the text, the token array and ``direction``. Representatives are few
     (the best of each polarity): while their estimate is small they are broadcast and matched per comment.
-    Otherwise both sides meet by token. Clusters below ``min_cluster`` are dropped. The caps of the card view
-    (``CARD_SOFT_CAP``, ``CARD_HARD_CAP``) apply only if given.
+    Otherwise both sides meet by token. Clusters below ``min_cluster`` are dropped.
     """
     c = F.col
     reps = representatives.select(
@@ -108,33 +93,10 @@ def similar_comments(
         rep_tokens = reps.withColumn("__token", F.explode("__rep_tokens"))
         pairs = attach(by_token, rep_tokens, [*keys, "__token"], "inner").drop("__token").dropDuplicates(["rep_id", "comment_id"])
     pairs = pairs.where((c("comment_id") != c("rep_id")) & (c("text") != c("__rep_text")))
-    if soft_cap is not None and hard_cap is not None:
-        pairs = _card_view(pairs, soft_cap, hard_cap)
     sizes = pairs.groupBy("rep_id").agg(F.count("*").alias("cluster_size")).where(c("cluster_size") >= min_cluster)
     return attach(pairs, sizes, ["rep_id"], "inner", derived=True).select("rep_id", "comment_id", "text", "like_count", "cluster_size")
 
 
-def _card_view(pairs: DataFrame, soft_cap: int, hard_cap: int) -> DataFrame:
-    """Above ``soft_cap`` keep the more cohesive comments, and of those the ``hard_cap`` best."""
-    c = F.col
-    scored = pairs.withColumn(
-        "__score",
-        F.size(
-            F.array_intersect(
-                cohesion_terms(c("__tokens"), c("text"), 20), cohesion_terms(c("__rep_tokens"), c("__rep_text"), 14)
-            )
-        ),
-    )
-    counts = scored.groupBy("rep_id").agg(
-        F.count("*").alias("__all"), F.count_if(c("__score") >= 2).alias("__strict"), F.count_if(c("__score") >= 1).alias("__loose")
-    )
-    floor = F.when(c("__all") <= soft_cap, 0).when(c("__strict") >= 3, 2).when(c("__loose") >= 3, 1).otherwise(0)
-    limited = attach(scored, counts.select("rep_id", floor.alias("__floor"), (c("__all") > soft_cap).alias("__big")), ["rep_id"], derived=True)
-    kept = limited.where(c("__score") >= c("__floor"))
-    best = top_per_group(kept.where("__big"), ["rep_id"], [c("__score").desc(), c("like_count").desc(), c("comment_id")], hard_cap)
-    return kept.where(~c("__big")).unionByName(best)
-
-
 def cluster_sizes(representatives: DataFrame, similar: DataFrame) -> DataFrame:
     """Cluster size and evidence flag of every representative, also of those without a cluster."""
     counts = similar.groupBy(F.col("rep_id").alias("comment_id")).agg(F.count("*").alias("cluster_size"))

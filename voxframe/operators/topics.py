@@ -349,10 +349,17 @@ def export_rows(ranked: DataFrame, topics: DataFrame, actions: DataFrame, contex
     base = base.join(actions.select("topic_id", "supporting_comment_ids"), "topic_id", "left")
     group = _lookup(marks.POLARITY_GROUP_MAP, F.lower("polarity_group"), F.lit("NEU"))
     base = base.withColumn("topic_group", group)
-    window = Window.partitionBy("topic_group").orderBy(c("rank_score").desc(), "topic_id")
-    base = base.withColumn("topic_rank", F.concat(F.lit("T"), F.row_number().over(window).cast("string")))
+    # Numbers run over bands of the score: what higher bands hold, plus the place within the band. There are only
+    # four groups, so none of them may be sorted in one task.
+    base = base.withColumn("__band", F.floor(F.coalesce("rank_score", F.lit(-1.0))))
+    bands = base.groupBy("topic_group", "__band").agg(F.count("*").alias("__size"))
+    above = Window.partitionBy("topic_group").orderBy(c("__band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = bands.select("topic_group", "__band", F.coalesce(F.sum("__size").over(above), F.lit(0)).alias("__ahead"))
+    window = Window.partitionBy("topic_group", "__band").orderBy(c("rank_score").desc(), "topic_id")
+    base = base.join(ahead, ["topic_group", "__band"]).withColumn("topic_rank", F.concat(F.lit("T"), (c("__ahead") + F.row_number().over(window)).cast("string")))
+    base = base.drop("__band", "__ahead")
     ids = base.select("topic_id", F.posexplode("supporting_comment_ids").alias("__pos", "comment_id"))
-    texts = context.select("comment_id", F.substring(F.trim("raw_text"), 1, 180).alias("text"))
+    texts = context.select("comment_id", F.trim("raw_text").alias("text"))
     found = ids.join(texts, "comment_id").groupBy("topic_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("__pos", "comment_id", "text"))),

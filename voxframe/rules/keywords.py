@@ -33,7 +33,8 @@ GENERIC_EXCLUDE = ("문제", "이슈", "상태", "부분", "경험", "느낌", "
 UI_NOISE_TERMS = (
     "링크", "제품보기", "바로가기", "클릭", "상세보기", "자세히보기", "상단", "하단", "좌측", "우측", "중앙", "왼쪽", "오른쪽", "있음", "없음",
     "가능", "불가", "추천이유", "체감가", "보기", "구독", "좋아요", "알림", "추천", "공유", "재생", "채널", "동영상", "영상보기", "확인", "누르",
-    "눌러", "감사", "감사합니다", "감사해요", "고맙습니다", "수고하셨습니다", "수고하세요", "잘봤습니다", "잘봤어요", "잘보고", "잘보겠습니다", "잘보고갑니다",
+    "눌러", "ㅋㅋ", "ㅋㅋㅋ", "ㅎㅎ", "ㅎㅎㅎ", "ㅠㅠ", "ㅜㅜ", "ㅠㅠㅠ", "ㅜㅜㅜ", "ㄱㄱ", "ㄴㄴ", "ㄹㄹ", "ㅇㅇ", "ㅎㅎㅎㅎ", "ㅋㅋㅋㅋ",
+    "감사", "감사합니다", "감사해요", "고맙습니다", "수고하셨습니다", "수고하세요", "잘봤습니다", "잘봤어요", "잘보고", "잘보겠습니다", "잘보고갑니다",
     "맞습니다", "맞아요", "그렇죠", "그렇네요", "그렇구나", "그렇군요", "궁금합니다", "궁금해요", "궁금한데", "알겠습니다", "알겠어요", "주세요", "해주세요",
     "알려주세요", "보여주세요", "좋은", "좋아", "좋고", "좋다", "좋네", "좋겠", "좋을", "좋습니다", "보고", "봤는데", "봤어", "봤다", "보면",
     "봐서", "쓰고", "쓰는", "쓰면", "써보", "써본", "하고", "했는데", "했다", "했어", "해서", "하니", "하면서", "한번", "아주", "엄청", "완전",
@@ -43,7 +44,8 @@ UI_NOISE_TERMS = (
     "물론", "사람", "분들", "여러분", "우리", "저도", "나도", "자기", "누구", "생각", "가지", "나오", "들어", "시작", "해보", "해야", "리뷰",
     "광고", "광고했", "광고했다", "광고했다고", "모델", "잇섭", "잇섭님", "곽튜브", "곽튜브님", "유튜버", "유튜브", "확실히", "확실", "자주", "바로",
     "자가", "고려", "사용중", "구입", "구입했", "고장나서", "귀찮겠네요", "샀는데", "샀다", "샀어요", "있는데", "없이", "없어서", "있는데요", "없는데",
-    "커서", "밤에", "낮에", "낮에도", "밤에도", "새벽에", "만에", "년만에", "개월만에", "달만에", "주만에", "일만에", "몇달만에", "년째", "개월째",
+    "커서", "밤에", "낮에", "낮에도", "밤에도", "새벽에", "만에", "년만에", "개월만에", "달만에", "주만에", "일만에", "1년만에", "2년만에", "3년만에",
+    "4년만에", "5년만에", "6개월만에", "1개월만에", "몇달만에", "몇년만에", "년째", "개월째",
     "달째", "주째", "생각하면", "생각해보면", "생각했는데", "생각이", "느껴지는", "느껴져요", "느껴짐", "이렇게", "저렇게", "그렇게해서", "하실", "하시는",
     "하셨는데", "가전", "가전제품",
 )
@@ -93,3 +95,25 @@ KR_PARTICLE_SUFFIXES = (
     "은", "는", "이", "가", "을", "를", "와", "과", "랑", "로", "도", "만", "님", "을", "를", "이", "가", "에서", "에게", "으로",
     "에는", "에도", "에서도", "이나", "이라", "이고", "이랑", "처럼", "만큼", "까지", "부터", "보다", "한테", "에서의", "으로도", "이면",
 )
+
+# Words that a keyword summary never shows, words that weigh little in it, words dropped from the terms of an
+# enrichment, and words that are blocked beside names.
+SUMMARY_BLOCK = (
+    "커서", "밤에", "지금", "요즘", "이번", "그냥", "진짜", "정말", "약간", "사람들", "이유", "이게", "그게", "저게", "못쓰겠고", "라고", "보니",
+    "있고요", "좀더", "점점", "기본", "혹시", "대단한", "만들었네", "영상보고", "먹을수있고", "사고싶은데", "하지", "추측이긴", "파는",
+)
+SUMMARY_LOW_WEIGHT = (
+    "드럼", "통돌이", "세탁기", "건조기", "냉장고", "식기세척기", "틔운", "스타일러", "에어컨", "공기청정기", "가전", "가전제품", "제품",
+    "사람들", "이유", "지금", "요즘", "이번", "그냥", "진짜", "밤", "밤에", "커서", "때문", "이게", "그게", "못쓰겠고", "영상", "리뷰", "기능",
+    "효과", "라고", "보니", "있고요", "좀더", "점점", "직접", "혹시",
+)
+SUMMARY_LOW_FACTOR = 0.12
+ENRICHMENT_NOISE = (
+    "영상", "리뷰", "제품", "효과", "기능", "사람들", "사람", "이유", "기본", "혹시", "정말", "진짜", "그냥", "라고", "보니", "있고요", "좀더",
+    "점점", "직접", "대단한", "만들었네", "영상보고", "먹을수있고", "사고싶은데", "하지", "추측이긴", "파는",
+)
+NAME_BLOCK = (
+    "커서", "밤에", "지금", "요즘", "이번", "그냥", "진짜", "정말", "약간", "사람들", "이유", "있고", "있음", "없는", "없음", "없이", "없어서",
+    "때문", "처럼", "이게", "그게", "저게", "왜", "왜요", "왜죠", "어떻게", "뭐지", "뭔가", "못쓰겠고", "라고", "보니", "있고요", "좀더", "점점",
+    "기본", "혹시", "대단한", "만들었네", "영상보고", "먹을수있고", "사고싶은데", "하지", "추측이긴", "파는",
+)

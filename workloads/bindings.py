@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -66,7 +68,7 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as comments, with time and likes from the event and the label of the same id."""
     d, e, l = table(spark, sf, "documents"), table(spark, sf, "events"), table(spark, sf, "labels")
     joined = (
-        d.select("doc_id", "source", "lang", "text")
+        spread(d.select("doc_id", "source", "lang", "text"))
         .join(e.select(F.col("event_id").alias("doc_id"), "value", "ts"), "doc_id", "left")
         .join(l, "doc_id", "left")
     )
@@ -101,7 +103,7 @@ VIDEOS = """videos AS (
 def videos(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as videos: segment as channel, nation as keyword."""
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    joined = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    joined = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     key = F.col("c_custkey")
     return joined.select(
         F.concat(F.lit("v"), key.cast("string")).alias("video_id"),

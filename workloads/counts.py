@@ -284,12 +284,8 @@ def video_context(spark, sf):
 SELECT e.comment_id, e.video_id, v.title FROM ev e LEFT JOIN videos v USING (video_id)""")
 def video_context_salted(spark, sf):
     """The same join on the path a lookup too large to broadcast takes."""
-    limit, rel.BROADCAST_BYTES = rel.BROADCAST_BYTES, -1
-    try:
-        v = videos(spark, sf).select("video_id", "title")
-        return rel.attach(labelled_events(spark, sf).select("comment_id", "video_id"), v, ["video_id"])
-    finally:
-        rel.BROADCAST_BYTES = limit
+    v = videos(spark, sf).select("video_id", "title")
+    return rel.attach(labelled_events(spark, sf).select("comment_id", "video_id"), v, ["video_id"], limit=-1)
 
 
 @query("null_safe_lookup", with_sql(EV) + """

@@ -400,7 +400,7 @@ def representative_scorecard(spark, sf):
     "card AS (" + SCORECARD + ")", DOCS,
     r"""elig AS (SELECT d.*, representative_score, representative_decision FROM card JOIN docs d USING (comment_id)
         WHERE representative_decision <> 'not_suitable' AND d.region <> 'R2' AND d.reply_count > 1)""",
-    r"""keyed AS (SELECT *, product || '|' || '|general|' || left(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')), 120) AS key FROM elig)""",
+    r"""keyed AS (SELECT *, product || '|' || '|general|' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM elig)""",
     """once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY sentiment_label, key ORDER BY
         CASE WHEN representative_decision = 'strong_candidate' THEN 0 ELSE 1 END, representative_score DESC, like_count DESC NULLS LAST, comment_id) = 1)""",
 ) + """

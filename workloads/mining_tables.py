@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe.operators import mining as mn
+from voxframe.operators import patterns as pt
+from voxframe.session import materialize
 from workloads.bindings import DOCS, comments, with_sql
 from workloads.registry import query
 
@@ -84,7 +86,7 @@ def cooccurrence(spark, sf):
 
 @query("seed_pairs", with_sql(*PAIRS) + """
 SELECT keyword_1, keyword_2, pair_count FROM pairs WHERE pair_count >= 5 AND rank_score >= (SELECT quantile_cont(rank_score, 0.6) FROM pairs WHERE pair_count >= 5)
-  AND NOT (keyword_1 IN ('the', 'de') AND keyword_2 IN ('the', 'de')) ORDER BY rank_score DESC, pair_count DESC, keyword_1, keyword_2 LIMIT 120""")
+  AND NOT (keyword_1 IN ('the', 'de') AND keyword_2 IN ('the', 'de')) """)
 def seed_pairs(spark, sf):
     return mn.seed_pairs(_pairs(spark, sf), 0.6, 5, RULES).select("keyword_1", "keyword_2", "pair_count")
 
@@ -97,7 +99,8 @@ def pattern_support(spark, sf):
     b = base(spark, sf)
     rows = [(0, "of", "that", ["of", "that", "to"]), (1, "de", "que", ["de", "que", "les"]), (2, "it", "que", ["it", "que", "is"])]
     patterns = spark.createDataFrame(rows, "pattern_id int, seed_a string, seed_b string, keyword_set array<string>")
-    return mn.pattern_support(patterns, mn.comment_keywords(b, RULES), b.agg(F.count("*")).scalar(), RULES)
+    counts = pt.pattern_comments(patterns, mn.comment_keywords(b, RULES), RULES).groupBy("pattern_id").agg(F.count("*").alias("support"))
+    return counts.withColumn("coverage", F.round(F.col("support") * 100.0 / b.agg(F.count("*")).scalar(), 3))
 
 
 for _by in ("product", "video_id"):
@@ -114,15 +117,104 @@ def keyword_trend(spark, sf):
     return mn.keyword_trend(base(spark, sf), RULES).withColumn("time_bucket", F.date_format("time_bucket", "yyyy-MM-dd"))
 
 
-@query("top_patterns")
+#: The fixture's frequent words occur in most texts, so the upper limit of coverage is left open.
+LIMITS = pt.PatternLimits(coverage=(0.02, 100.0), min_pair_count=3)
+HUB, ABSTRACT = _in("{}", RULES.hubs), _in("{}", RULES.abstract)
+SEEDS = [
+    *PAIRS,
+    "arr AS (SELECT comment_id, list_distinct(toks) AS t FROM mtok), freq AS (SELECT keyword AS token, count(*) AS f FROM mmap GROUP BY 1)",
+    f"""seeds AS (SELECT keyword_1 AS a, keyword_2 AS b, rank_score AS s FROM pairs WHERE rank_score >= (SELECT quantile_cont(rank_score, 0.6) FROM pairs)
+      AND NOT ({HUB.format('keyword_1')} AND {HUB.format('keyword_2')}))""",
+    "links AS (SELECT keyword_1 AS w, keyword_2 AS token, rank_score AS r FROM pairs WHERE rank_score > 0 UNION ALL SELECT keyword_2, keyword_1, rank_score FROM pairs WHERE rank_score > 0)",
+    f"""near AS (SELECT a, b, s, token, coalesce(max(r) FILTER (w = a), 0) AS ra, coalesce(max(r) FILTER (w = b), 0) AS rb FROM seeds JOIN links ON w IN (a, b) WHERE token NOT IN (a, b) GROUP BY 1, 2, 3, 4),
+    worth AS (SELECT *, greatest(ra, rb) AS best, round(CAST(greatest(ra, rb) * CASE WHEN ra > 0 AND rb > 0 THEN 1.12 ELSE 1 END * CASE WHEN {HUB.format('token')} THEN 0.58 ELSE 1 END * (1 + least(coalesce(f, 0) / 3000.0, 0.35)) AS DOUBLE), 9) AS v
+      FROM near LEFT JOIN freq USING (token) WHERE NOT {HUB.format('token')} OR {HUB.format('a')} OR {HUB.format('b')}),
+    levels AS (SELECT unnest([0, 1, 2, 3]) AS level, unnest(cuts) AS cut FROM (SELECT quantile_cont(rank_score, [0.88, 0.80, 0.72, 0.64]) AS cuts FROM pairs)),
+    grown AS (SELECT a, b, level, list(token ORDER BY v DESC, token)[:3] AS g FROM worth, levels WHERE best >= cut AND v >= round(CAST(s * 0.42 AS DOUBLE), 9) GROUP BY 1, 2, 3),
+    sets AS (SELECT DISTINCT a, b, s, [a, b] || coalesce(g, []) AS ks FROM seeds CROSS JOIN levels LEFT JOIN grown USING (a, b, level))""",
+]
+CANDIDATES = [
+    *SEEDS,
+    f"""hits AS (SELECT a, b, ks, comment_id, len(list_intersect(t, ks)) AS overlap FROM sets JOIN arr ON list_contains(t, a) AND list_contains(t, b)
+      AND (len(list_filter(ks, lambda k: NOT {ABSTRACT.format('k')})) = 0 OR list_has_any(t, list_filter(ks, lambda k: NOT {ABSTRACT.format('k')})))),
+    sup AS (SELECT a, b, ks, count(*) AS n FROM hits GROUP BY 1, 2, 3),
+    cand0 AS (SELECT *, n * 100.0 / (SELECT count(*) FROM docs) AS cover FROM sets JOIN sup USING (a, b, ks)),
+    cand1 AS (SELECT a, b, ks, n, CAST(round(cover, 3) AS DOUBLE) AS coverage, round(s, 6) AS strength, row_number() OVER (ORDER BY round(cover, 3) DESC, round(s, 6) DESC, a, b, ks) AS i FROM cand0 WHERE n >= 6 AND cover BETWEEN 0.02 AND 100),
+    kw1 AS (SELECT i, unnest(ks) AS token FROM cand1),
+    nm AS (SELECT i, list(token ORDER BY {HUB.format('token')}, -coalesce(f, 0), token) AS r FROM kw1 LEFT JOIN freq USING (token) GROUP BY 1),
+    cand AS (SELECT c.*, array_to_string(r[:3], ' / ') AS label, r[1] AS anchor, list_sort(list_filter(ks, lambda k: NOT {HUB.format('k')})) AS plain FROM cand1 c JOIN nm USING (i)),
+    ch AS (SELECT i, comment_id, overlap FROM hits JOIN cand1 USING (a, b, ks)),
+    share AS (SELECT x.i AS i, y.i AS j, count(*) AS n FROM ch x JOIN ch y ON x.comment_id = y.comment_id AND x.i < y.i GROUP BY 1, 2),
+    rival AS (SELECT x.i AS i, y.i AS j, (len(list_intersect(x.ks, y.ks)) >= 0.4 * len(list_distinct(x.ks || y.ks))) OR coalesce(h.n, 0) >= 0.45 * (x.n + y.n - coalesce(h.n, 0))
+        OR (len(x.plain) > 0 AND x.plain[:2] = y.plain[:2]) OR (len(x.plain) > 0 AND x.plain[:3] = y.plain[:3]) OR x.label = y.label AS clash, x.anchor = y.anchor AS anchored
+      FROM cand x JOIN cand y ON x.i < y.i LEFT JOIN share h ON h.i = x.i AND h.j = y.i),
+    clash AS (SELECT i, j FROM rival WHERE clash), wide AS (SELECT i, j FROM rival WHERE clash OR anchored)""",
+]
+CHOICE = [
+    *CANDIDATES,
+    """before AS (SELECT c.i, list(w.i) FILTER (w.i IS NOT NULL) AS foes FROM cand c LEFT JOIN wide w ON w.j = c.i GROUP BY 1),
+    pick AS (SELECT 0 AS i, CAST([] AS BIGINT[]) AS got UNION ALL SELECT b.i, CASE WHEN list_has_any(got, coalesce(foes, [])) THEN got ELSE list_append(got, b.i) END FROM pick p JOIN before b ON b.i = p.i + 1),
+    apart AS (SELECT unnest(got) AS i FROM pick WHERE i = (SELECT max(i) FROM pick)),
+    others AS (SELECT i FROM cand WHERE i NOT IN (SELECT i FROM apart) AND i NOT IN (SELECT j FROM clash WHERE i IN (SELECT i FROM apart)) AND i NOT IN (SELECT i FROM clash WHERE j IN (SELECT i FROM apart))),
+    o2 AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM others),
+    before2 AS (SELECT o.k, o.i, list(c.i) FILTER (c.i IS NOT NULL) AS foes FROM o2 o LEFT JOIN clash c ON c.j = o.i GROUP BY 1, 2),
+    pick2 AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS got UNION ALL SELECT b.k, CASE WHEN list_has_any(got, coalesce(foes, [])) THEN got ELSE list_append(got, b.i) END FROM pick2 p JOIN before2 b ON b.k = p.k + 1),
+    fill AS (SELECT unnest(got) AS i FROM pick2 WHERE k = (SELECT max(k) FROM pick2)),
+    best AS (SELECT i, turn FROM (SELECT i, 0 AS turn FROM apart UNION ALL SELECT i, 1 FROM fill) ORDER BY turn, i LIMIT 10),
+    sample AS (SELECT i, list(comment_id ORDER BY overlap DESC, comment_id)[:3] AS ids FROM ch GROUP BY 1),
+    top AS (SELECT i, label, coverage, ks, ids FROM best JOIN cand USING (i) JOIN sample USING (i))""",
+]
+
+
+def with_recursive(*ctes: str) -> str:
+    return with_sql(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("expanded_seeds", with_sql(*SEEDS) + "SELECT a AS seed_a, b AS seed_b, array_to_string(ks, ',') AS keywords FROM sets")
+def expanded_seeds(spark, sf):
+    arrays = materialize(mn.comment_keywords(base(spark, sf), RULES))
+    out = pt.expanded_seeds(materialize(mn.cooccurrence(arrays, 3, RULES)), arrays, LIMITS, RULES)
+    return out.select("seed_a", "seed_b", F.array_join("keyword_set", ",").alias("keywords"))
+
+
+@query("pattern_overlaps", with_sql(*CANDIDATES) + """
+SELECT x.label AS first, array_to_string(x.ks, ',') AS first_set, y.label AS second, array_to_string(y.ks, ',') AS second_set FROM clash c JOIN cand x ON x.i = c.i JOIN cand y ON y.i = c.j""")
+def pattern_overlaps(spark, sf):
+    b = base(spark, sf)
+    arrays = materialize(mn.comment_keywords(b, RULES))
+    rows, held = pt.candidates(materialize(mn.cooccurrence(arrays, 3, RULES)), arrays, F.lit(b.count()), LIMITS, RULES)
+    name = lambda n, label: rows.select(F.col("pattern_id").alias(n), F.col("pattern_label").alias(label), F.array_join("keyword_set", ",").alias(f"{label}_set"))
+    return pt.pattern_overlaps(rows, held, LIMITS).join(name("a", "first"), "a").join(name("b", "second"), "b").drop("a", "b")
+
+
+@query("top_patterns", with_recursive(*CHOICE) + "SELECT label AS pattern_label, coverage, array_to_string(ks, ',') AS keywords, array_to_string(ids, ',') AS samples FROM top")
 def top_patterns(spark, sf):
-    return mn.top_patterns(base(spark, sf), 10, 5, RULES)
+    out = pt.top_patterns(base(spark, sf), 10, LIMITS, RULES)
+    return out.select("pattern_label", "coverage", F.array_join("keyword_set", ",").alias("keywords"), F.array_join("representative_comment_ids", ",").alias("samples"))
+
+
+GATE = [
+    *CHOICE,
+    f"""sm AS (SELECT i, list(comment_id ORDER BY p) FILTER (len(list_intersect(t, ks)) >= 2) AS ids FROM (SELECT i, ks, unnest(ids) AS comment_id, unnest(range(1, len(ids) + 1)) AS p FROM top) JOIN arr USING (comment_id) GROUP BY 1),
+    g0 AS (SELECT t.i, label, coverage, ks, s.ids, list_filter(ks, lambda k: NOT {ABSTRACT.format('k')}) AS concrete, list_filter(ks, lambda k: NOT {ABSTRACT.format('k')} AND NOT {HUB.format('k')}) AS core FROM top t JOIN sm s USING (i)),
+    g1 AS (SELECT *, row_number() OVER (ORDER BY coverage DESC, label, ks) AS k FROM g0 WHERE coverage >= 0.5 AND NOT (len(concrete) < len(ks) AND len(concrete) < 2) AND len(ids) > 0),
+    lk AS (SELECT x.k AS k, y.k AS j, greatest(len(list_intersect(x.ks, y.ks)) / len(list_distinct(x.ks || y.ks)),
+        CASE WHEN len(list_distinct(x.core || y.core)) = 0 THEN 1 ELSE len(list_intersect(x.core, y.core)) / len(list_distinct(x.core || y.core)) END) AS l FROM g1 x JOIN g1 y ON x.k < y.k),
+    b3 AS (SELECT g.k, list(l.k) FILTER (l.l >= 0.4) AS foes FROM g1 g LEFT JOIN lk l ON l.j = g.k GROUP BY 1),
+    p3 AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS got UNION ALL SELECT b.k, CASE WHEN list_has_any(got, coalesce(foes, [])) THEN got ELSE list_append(got, b.k) END FROM p3 p JOIN b3 b ON b.k = p.k + 1),
+    g2 AS (SELECT g.*, list_filter(list_transform(string_split(label, '/'), lambda x: lower(trim(x))) || ks, lambda x: x <> '' AND NOT {ABSTRACT.format('x')})[1] AS anchor FROM g1 g WHERE list_contains((SELECT got FROM p3 ORDER BY k DESC LIMIT 1), g.k)),
+    o4 AS (SELECT *, row_number() OVER (ORDER BY k) AS q FROM g2),
+    f4 AS (SELECT y.q, list(x.q) FILTER (x.q IS NOT NULL) AS foes FROM o4 y LEFT JOIN o4 x ON x.q < y.q AND (x.anchor = y.anchor OR (SELECT max(l) FROM lk WHERE lk.k = x.k AND lk.j = y.k) >= 0.35) GROUP BY 1),
+    p4 AS (SELECT CAST(0 AS BIGINT) AS q, CAST([] AS BIGINT[]) AS got UNION ALL SELECT f.q, CASE WHEN list_has_any(got, coalesce(foes, [])) THEN got ELSE list_append(got, f.q) END FROM p4 p JOIN f4 f ON f.q = p.q + 1)""",
+]
 
 
-@query("pattern_gate")
+@query("pattern_gate", with_recursive(*GATE) + """
+SELECT label AS pattern_label, coverage, array_to_string(ids, ',') AS samples FROM o4 WHERE list_contains((SELECT got FROM p4 ORDER BY q DESC LIMIT 1), q) ORDER BY q LIMIT 5""")
 def pattern_gate(spark, sf):
     b = base(spark, sf)
-    return mn.pattern_gate(b, mn.top_patterns(b, 10, 5, RULES), rules=RULES)["final_top_patterns"]
+    out = pt.pattern_gate(b, materialize(pt.top_patterns(b, 10, LIMITS, RULES)), 5, LIMITS, RULES)["final_top_patterns"]
+    return out.select("pattern_label", "coverage", F.array_join("representative_comment_ids", ",").alias("samples"))
 
 
 @query("tfidf_kmeans")

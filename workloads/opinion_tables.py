@@ -97,7 +97,7 @@ def opinion_counts(spark, sf):
 
 BUNDLES = [
     *UNIT_CTES,
-    r"""cand AS (SELECT *, left(trim(regexp_replace(regexp_replace(lower(clause), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')), 120) AS key FROM units
+    r"""cand AS (SELECT *, trim(regexp_replace(regexp_replace(lower(clause), '[^\p{L}\p{M}\p{N}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM units
       WHERE sentiment_code IN ('positive', 'negative') AND NOT spam AND NOT (inq <> '' AND classification_type = 'informational') AND product_related)""",
     """bonce AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY sentiment_code, product_category, video_id, cej_scene_code, aspect_key, key
       ORDER BY round(opinion_score, 9) DESC, like_count DESC NULLS LAST, opinion_id) = 1)""",

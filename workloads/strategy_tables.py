@@ -85,10 +85,10 @@ def strategy_insights(spark, sf):
 @query("strategy_texts", with_sql(*STRATEGY) + """
 SELECT level_type, level_id, journey_stage, axis AS judgment_axis, polarity_direction,
   '동일 신호 ' || CAST(n AS VARCHAR) || '건 / 레벨 내 비중 ' || printf('%.1f', round(CAST(n AS DOUBLE) / level_total * 100, 1)) || '% / 문제 시그니처 ' || CAST(sigs AS VARCHAR) || '개 / 영향지표 ' || printf('%.1f', round(CAST(impact AS DOUBLE), 1)) AS evidence_summary
-FROM cand WHERE n < 1000""")
+FROM cand""")
 def strategy_texts(spark, sf):
     rows = truth_rows(spark, sf)
-    c = st.strategy_candidates(rows, representatives(rows)).where("supporting_cluster_count < 1000")
+    c = st.strategy_candidates(rows, representatives(rows))
     return c.select("level_type", "level_id", "journey_stage", F.col("judgment_axes")[0].alias("judgment_axis"), "polarity_direction", "evidence_summary")
 
 

@@ -105,7 +105,7 @@ FROM documents""")
 def text_shapes(spark, sf):
     t = F.col("text")
     return _docs(spark, sf).select(
-        "doc_id", tx.normalize_text(t).alias("normalized"), tx.dedupe_key(t).alias("text_key"), tx.looks_garbled(t).alias("garbled"),
+        "doc_id", tx.normalize_text(t).alias("normalized"), tx.dedupe_key(t, 120).alias("text_key"), tx.looks_garbled(t).alias("garbled"),
         tx.is_long_text(t).alias("long_text"), tx.preview(t).alias("preview"),
     )
 

@@ -74,7 +74,7 @@ SIGNALS = [
     f"sp3 AS (SELECT comment_id, i, s1.rule AS rule1, piece, {_split('piece')} AS s2 FROM sp2)",
     """sp4 AS (SELECT comment_id, i, CASE WHEN s2 IS NULL THEN [piece] ELSE s2.pieces END AS ps, CASE WHEN s2 IS NULL THEN rule1 ELSE s2.rule END AS rule FROM sp3)""",
     """sp5 AS (SELECT comment_id, i, unnest(ps) AS seg, unnest(range(1, len(ps) + 1)) AS j, rule FROM sp4)""",
-    """sp6 AS (SELECT comment_id, seg, rule, row_number() OVER (PARTITION BY comment_id ORDER BY i, j) AS pos FROM sp5 QUALIFY pos <= 4)""",
+    """sp6 AS (SELECT comment_id, seg, rule, row_number() OVER (PARTITION BY comment_id ORDER BY i, j) AS pos FROM sp5)""",
     """sp7 AS (SELECT comment_id, seg, rule, pos FROM sp6 UNION ALL SELECT comment_id, txt, 'fallback_single', 1 FROM sp1 WHERE s1 IS NULL)""",
     r"sg0 AS (SELECT s.*, trim(regexp_replace(seg, '\s+', ' ', 'g')) AS signal_text, c.* EXCLUDE (comment_id), lower(trim(regexp_replace(seg, '\s+', ' ', 'g'))) AS low FROM sp7 s JOIN ctx c USING (comment_id))",
     "sg1 AS (SELECT *, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(AXIS_SCORES.values())) + f""", {_meaningful('signal_text')} AS ok,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import keywords as kw
 from voxframe.functions.scores import parse_time, week_start
+from voxframe.operators import keyword_summary as ks
 from voxframe.operators import trends as t
 from workloads.bindings import DOCS, EV, comments, labelled_events, with_sql
 from workloads.registry import query
@@ -116,3 +117,33 @@ def top_keywords(spark, sf):
 def comment_tokens(spark, sf):
     c = comments(spark, sf)
     return c.select("comment_id", F.explode(kw.tokenize(F.col("text"), LATIN)).alias("keyword")).groupBy("comment_id", "keyword").agg(F.count("*").alias("count"))
+
+
+#: Words of the fixture as lists of the summary; sources and languages act as names.
+SUMMARY = ks.SummaryRules(keywords=LATIN, block=("on", "en"), low_weight=("or", "it", "le"), low_factor=0.12, term_noise=("are",), names=("for", "die"))
+BLOCKED = """nameraw AS (SELECT lower(unnest(regexp_extract_all(video_id || ' ' || product, '[0-9A-Za-z가-힣]+'))) AS k FROM docs),
+blocked AS (SELECT k FROM nameraw UNION SELECT 'for' UNION SELECT 'die')"""
+def _named(spark, sf):
+    return comments(spark, sf).withColumns({"cleaned_text": F.col("text"), "channel_title": F.col("video_id"), "author_display_name": F.col("product")})
+
+
+@query("weighted_keywords", with_sql(DOCS, TOKENS) + """
+SELECT keyword, count FROM (SELECT keyword, count(*) AS count FROM biz WHERE keyword NOT IN ('on', 'en') GROUP BY 1)
+ORDER BY count * CASE WHEN keyword IN ('or', 'it', 'le') THEN 0.12 ELSE 1.0 END DESC, count DESC, keyword LIMIT 30""")
+def weighted_keywords(spark, sf):
+    return ks.weighted_keywords(ks.keyword_counts(comments(spark, sf), "text", rules=SUMMARY), 30, rules=SUMMARY)
+
+
+PACK = """pack AS (SELECT keyword, count(*) AS count FROM biz WHERE sentiment_label = 'positive' AND keyword NOT IN ('on', 'en') AND keyword NOT IN (SELECT k FROM blocked) GROUP BY 1
+  ORDER BY count(*) * CASE WHEN keyword IN ('or', 'it', 'le') THEN 0.12 ELSE 1.0 END DESC, count(*) DESC, keyword LIMIT 12)"""
+
+
+@query("keyword_pack", with_sql(DOCS, TOKENS, BLOCKED, PACK) + "SELECT * FROM pack")
+def keyword_pack(spark, sf):
+    return ks.keyword_pack(_named(spark, sf), "positive", top_n=12, rules=SUMMARY)
+
+
+@query("keyword_share", with_sql(DOCS, TOKENS, BLOCKED, PACK) + """
+SELECT keyword, count, printf('%.1f', round(count / (SELECT sum(count) FROM pack) * 100, 1)) || '%' AS share_text FROM pack""")
+def keyword_share(spark, sf):
+    return ks.keyword_share(ks.keyword_pack(_named(spark, sf), "positive", top_n=12, rules=SUMMARY))

@@ -172,8 +172,7 @@ def priority_buckets(spark, sf):
 
 
 @query("comment_showcase", with_sql(DOCS) + """,
-pool AS (SELECT comment_id, like_count, length(text) AS n, quality FROM docs WHERE sentiment_label = 'positive'
-  ORDER BY round(CAST(coalesce(like_count, 0) * 1.8 + length(text) * 0.05 AS DOUBLE), 9) DESC, coalesce(like_count, 0) DESC, comment_id LIMIT 200)
+pool AS (SELECT comment_id, like_count, length(text) AS n, quality FROM docs WHERE sentiment_label = 'positive')
 SELECT comment_id FROM pool ORDER BY round(CAST(coalesce(like_count, 0) * 1.5 + n * 0.04 AS DOUBLE), 9) DESC, coalesce(like_count, 0) DESC, comment_id LIMIT 10""")
 def comment_showcase(spark, sf):
     c = comments(spark, sf).withColumns({"text_length": F.length("text"), "sentiment_score": F.lit(0.0)})
@@ -182,8 +181,7 @@ def comment_showcase(spark, sf):
 
 @query("bundle_showcase", with_sql(DOCS) + """,
 p AS (SELECT comment_id, coalesce(like_count, 0) AS l, length(text) AS n, product, region FROM docs WHERE sentiment_label = 'positive'),
-pool AS (SELECT * FROM p ORDER BY round(CAST(l * 1.8 + n * 0.05 AS DOUBLE), 9) DESC, l DESC, comment_id LIMIT 2400),
-shown AS (SELECT *, round(CAST(l * 1.5 + n * 0.04 AS DOUBLE), 9) AS s FROM pool ORDER BY round(CAST(l * 1.5 + n * 0.04 AS DOUBLE), 9) DESC, l DESC, comment_id LIMIT 120),
+shown AS (SELECT *, round(CAST(l * 1.5 + n * 0.04 AS DOUBLE), 9) AS s FROM p),
 one AS (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY product, region ORDER BY s DESC, comment_id) = 1),
 smp AS (SELECT product, region, max(c) AS cluster_size, string_agg(comment_id, ',' ORDER BY r) AS samples FROM (
   SELECT *, row_number() OVER (PARTITION BY product, region ORDER BY l DESC, n DESC, comment_id) AS r, count(*) OVER (PARTITION BY product, region) AS c FROM p) WHERE r <= 5 GROUP BY 1, 2)
