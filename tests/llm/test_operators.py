@@ -329,7 +329,7 @@ def test_toxicity_on_held_out_rows(spark):
         rows.append((i, " ".join(text), i % 3))
         if i % 5 < 3:
             labels.append((i, int(toxic)))
-    rows += [(2000, None, 0), (2001, "", 0), (2001, "", 0), (None, "scum vileness", 0), (2002, "scum! " * 4000, 0)]
+    rows += [(2000, None, 0), (2001, "", 0), (2001, "", 0), (None, "scum vileness", 0), (2002, "scum! vileness, " * 4000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     marks = spark.createDataFrame(labels + [(None, 1), (0, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, marks).collect()
