@@ -86,6 +86,6 @@ def test_noise_words_are_a_fixed_list(spark):
 def test_terms_of_an_enrichment_count_three_times(spark):
     from voxframe.operators import keyword_summary as ks
 
-    df = spark.createDataFrame([("소음 진동", ["소음", "소음", "리뷰"], "negative", "a"), ("배송", None, "negative", "진동")], "cleaned_text string, terms array<string>, sentiment_label string, channel_title string")
+    df = spark.createDataFrame([("소음 바다", ["소음", "소음", "리뷰"], "negative", "a"), ("배송", None, "negative", "바다")], "cleaned_text string, terms array<string>, sentiment_label string, channel_title string")
     got = {r["keyword"]: r["count"] for r in ks.keyword_pack(df, "negative", terms="terms").collect()}
     assert got == {"소음": 4, "배송": 1}

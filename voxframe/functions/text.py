@@ -19,6 +19,7 @@ LINK = r"(?i)https?://[^\s)\]]+"
 REPEATED_TOKEN = r"(?iU)\b(\w{2,})\b(?:\s+\1\b){2,}+"
 REPEATED_CHAR = r"(?s)(.)\1{3,}+"
 PHONE = r"\b(?:\+?\d{1,3}[\s-]?)?(?:\d{2,4}[\s-]?){2,4}\d{3,4}\b"
+NINE_DIGITS = r"(?:\d[\s-]?){8}\d"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 ACCOUNT = r"@[A-Za-z0-9_\.]{3,}"
 BLANK_WORDS = ("nan", "none", "null", "<na>")
@@ -123,14 +124,17 @@ def external_links(c: Column) -> Column:
 def detect_pii(c: Column) -> Column:
     """Struct of flag, distinct kinds and distinct values of personal data."""
     value = safe_text(c)
+    none = F.array().cast("array<string>")
+    # The searches can go back and forth over long texts, so they run only where a plain test says they may hit.
     phones = F.filter(
-        F.regexp_extract_all(value, F.lit(PHONE), F.lit(0)),
+        F.when(c.rlike(NINE_DIGITS), F.regexp_extract_all(value, F.lit(PHONE), F.lit(0))).otherwise(none),
         lambda t: F.length(F.regexp_replace(t, r"\D", "")) >= 9,
     )
+    named = lambda pattern: F.when(c.contains("@"), F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(none)
     found = F.array(
         F.struct(F.lit("phone").alias("kind"), phones.alias("vals")),
-        F.struct(F.lit("email").alias("kind"), F.regexp_extract_all(value, F.lit(EMAIL), F.lit(0)).alias("vals")),
-        F.struct(F.lit("account_id").alias("kind"), F.regexp_extract_all(value, F.lit(ACCOUNT), F.lit(0)).alias("vals")),
+        F.struct(F.lit("email").alias("kind"), named(EMAIL).alias("vals")),
+        F.struct(F.lit("account_id").alias("kind"), named(ACCOUNT).alias("vals")),
     )
     kept = F.filter(found, lambda f: F.size(f["vals"]) > 0)
     return F.struct(

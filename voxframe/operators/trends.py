@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import keywords as kw
 from voxframe.functions.scores import parse_time, week_start
 from voxframe.operators.relational import attach, share_of_group, top_per_group, unnest
+from voxframe.session import materialize
 
 WEEK_SUFFIX = "주차"
 
@@ -52,9 +53,13 @@ def weekly_keywords(
 
 
 def _top_keywords(counted: DataFrame, keys: Sequence[str], top_n: int, rules: kw.KeywordRules) -> DataFrame:
-    # Through a generator, so that the filter below cannot repeat the normalization for each of its tests.
-    named = unnest(counted, F.array(kw.normalize_keyword(F.col("__token"), rules)), "keyword", *keys, "__n")
+    # Each different token is normalized once, whatever the number of groups it occurs in. Through a generator, so
+    # that the filter below cannot repeat the normalization for each of its tests.
+    counted = materialize(counted) if keys else counted
+    tokens = counted.select("__token").distinct() if keys else counted
+    named = unnest(tokens, F.array(kw.normalize_keyword(F.col("__token"), rules)), "keyword", "__token", *([] if keys else ["__n"]))
     kept = named.where((F.col("keyword") != "") & kw.is_business_keyword(F.col("keyword"), rules))
+    kept = counted.join(kept, "__token") if keys else kept
     totals = kept.groupBy(*keys, "keyword").agg(F.sum("__n").alias("count"))
     if not keys:
         return totals.orderBy(F.col("count").desc(), "keyword").limit(top_n)

@@ -21,7 +21,7 @@ def read_landing(spark: SparkSession, path: str, schema, source: str = "parquet"
     return reader.load(path)
 
 
-def append_versions(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def append_versions(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Append every batch to the version table, stamped with its batch id.
 
     Batches land in their own folder and overwrite it on a retry, so a replayed batch adds nothing.
@@ -29,7 +29,7 @@ def append_versions(stream: DataFrame, target: str, checkpoint: str) -> Streamin
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("ingest_seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_rows(spark: SparkSession, target: str, tie_break: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -39,6 +39,16 @@ def current_rows(spark: SparkSession, target: str, tie_break: str, keys: tuple[s
     return top_per_group(versions.drop("batch_id"), keys, order, 1)
 
 
+def compacted(spark: SparkSession, target: str, tie_break: str, keys: tuple[str, ...] = KEYS) -> str:
+    """Write the latest versions as one batch of a new version table beside ``target`` and return its folder.
+
+    Later batches go on there, so that a read ranks the rows since the last compaction, not the whole history.
+    """
+    folder = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
+    current_rows(spark, target, tie_break, keys).write.parquet(f"{folder}/batch_id=-1")
+    return folder
+
+
 def _timed(stream: DataFrame, time: str) -> DataFrame:
     """Watermarks need a time with a zone; plain times count as UTC."""
     return stream.withColumn(time, F.col(time).cast("timestamp"))
@@ -56,16 +66,16 @@ def weekly_counts(stream: DataFrame, time: str = "published_at", delay: str = "1
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("week_start"), "product", "region", "sentiment_label", "count")
 
 
-def run_to_table(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, spark: SparkSession, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Run a stream over all available input into a table of the shared folder and read it back.
 
-    ``complete`` keeps the last state only, so that each batch overwrites the table.
+    ``update`` lands the rows that a batch changed as versions; state behind the watermark is dropped, and the last
+    version of each of the ``keys`` is the result. ``append`` writes rows once they are final.
     """
     base = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    if mode == "update":
+        append_versions(stream, f"{base}/table", f"{base}/checkpoint", mode).awaitTermination()
+        return current_rows(spark, f"{base}/table", keys[0], keys).drop("ingest_seq")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").start(f"{base}/table")
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table")).start()
-    query.awaitTermination()
+    writer.format("parquet").start(f"{base}/table").awaitTermination()
     return spark.read.parquet(f"{base}/table")

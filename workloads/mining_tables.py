@@ -76,7 +76,7 @@ PAIRS = [
 
 
 def _pairs(spark, sf):
-    return mn.cooccurrence(mn.comment_keywords(base(spark, sf), RULES), 3, RULES)
+    return mn.cooccurrence(materialize(mn.comment_keywords(base(spark, sf), RULES)), 3, RULES)
 
 
 @query("cooccurrence", with_sql(*PAIRS) + "SELECT keyword_1, keyword_2, pair_count, pmi, lift, CAST(rank_score AS DOUBLE) AS rank_score FROM pairs")

@@ -9,6 +9,7 @@ from voxframe.operators import descriptive as ds
 from voxframe.operators import insights as ins
 from voxframe.operators import opinions as op
 from voxframe.session import materialize
+from voxframe.session import spread
 from workloads.bindings import DOCS, EV, comments, labelled_events, sql_any, sql_argmax, sql_hits, table, with_sql
 from workloads.label_tables import CLASS_CTES, RULES, TRUTH, _first
 from workloads.registry import query
@@ -154,7 +155,7 @@ def unit_monitoring(spark, sf):
 SELECT DISTINCT doc_id, t AS model FROM (SELECT doc_id, unnest(regexp_extract_all(upper(text), '\b[A-Z0-9]{4,}(?:[-_][A-Z0-9]+)*\b')) AS t FROM documents)
 WHERE length(t) >= 5 AND regexp_matches(t, '[0-9]')""")
 def model_numbers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(op.model_tokens(F.col("text"))).alias("model"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(op.model_tokens(F.col("text"))).alias("model"))
 
 
 # Arrays and maps ----------------------------------------------------------------------------------

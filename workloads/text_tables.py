@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import parsing, scores
 from voxframe.functions import text as tx
+from voxframe.session import spread
 from workloads.bindings import DOCS, EV, comments, labelled_events, table, with_sql
 from workloads.registry import query
 
@@ -13,7 +14,7 @@ SPACE = r"regexp_replace({}, '\s+', ' ', 'g')"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("clean_text_simple", r"""
@@ -50,7 +51,7 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp
        length(regexp_replace(text, '[^가-힣]', '', 'g')) > greatest(3, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS korean
 FROM documents""")
 def language_hint(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     t = F.col("text")
     return d.select("doc_id", tx.language_hint(t).alias("hint"), tx.infer_language(t, F.col("lang")).alias("language"), tx.looks_korean(t).alias("korean"))
 

@@ -48,7 +48,7 @@ def weekly_sentiment_window(spark, sf):
 
 KEY_TREND = """trend AS (
   SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS week_start, product, CASE WHEN user_id % 2 = 0 THEN region END AS region,
-         sentiment_label, keyword, count(*) AS count FROM ev GROUP BY ALL),
+         sentiment_label, CASE WHEN event_id % 2 = 0 THEN keyword ELSE 'u' || CAST(user_id AS VARCHAR) END AS keyword, count(*) AS count FROM ev GROUP BY ALL),
 neg AS (SELECT * FROM trend WHERE sentiment_label = 'negative'),
 latest AS (SELECT max(week_start) AS lw FROM neg),
 keys AS (SELECT product, region, keyword, sum(count) FILTER (week_start = lw) AS c, count(DISTINCT week_start) AS weeks_active,
@@ -57,6 +57,8 @@ keys AS (SELECT product, region, keyword, sum(count) FILTER (week_start = lw) AS
 
 def _key_trend(spark, sf):
     e = labelled_events(spark, sf).withColumn("region", F.when(F.col("user_id") % 2 == 0, F.col("region")))
+    # Half of the events are about their user, so that some keywords turn up in the last week only.
+    e = e.withColumn("keyword", F.when(F.col("event_id") % 2 == 0, F.col("keyword")).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))))
     week = week_start(parse_time(F.col("published_at"))).alias("week_start")
     return e.groupBy(week, "product", "region", "sentiment_label", "keyword").agg(F.count("*").alias("count"))
 
