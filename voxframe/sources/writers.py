@@ -36,10 +36,6 @@ def flat_cells(df: DataFrame, separator: str | None = None) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    flat_cells(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
 def write_export(tables: Mapping[str, DataFrame], base: str, separator: str = ", ") -> None:
     """One folder of CSV files per named sheet."""
     for name, df in tables.items():
@@ -66,12 +62,16 @@ def report_rows(slices: Mapping[str, tuple[DataFrame, str, str, int]]) -> DataFr
 
 
 def run_manifest(videos: DataFrame, comments: DataFrame, errors: DataFrame, run_id: str) -> DataFrame:
-    """Counts of a run and the ids of the videos that failed."""
-    failed = errors.where(F.col("video_id").isNotNull())
+    """Counts of a run. The videos that failed may be many: ``failed_videos`` lists them as a table."""
     return videos.agg(F.count("*").alias("videos_collected")).select(
         F.lit(run_id).alias("run_id"),
         "videos_collected",
         comments.agg(F.count("*")).scalar().alias("comments_collected"),
         errors.agg(F.count("*")).scalar().alias("error_count"),
-        F.coalesce(failed.agg(F.array_sort(F.collect_set(F.col("video_id").cast("string")))).scalar(), F.array().cast("array<string>")).alias("failed_video_ids"),
+        failed_videos(errors).agg(F.count("*")).scalar().alias("failed_count"),
     )
+
+
+def failed_videos(errors: DataFrame) -> DataFrame:
+    """Each video that failed, once."""
+    return errors.where(F.col("video_id").isNotNull()).select(F.col("video_id").cast("string").alias("video_id")).distinct()

@@ -75,7 +75,7 @@ def stored_pages(spark, sf):
     """Pages written as JSON files and read back with a fixed schema."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     _thread_pages(spark, sf).write.json(path)
-    pages = spark.read.schema(readers.THREAD_PAGE).json(path)
+    pages = readers.read_pages(spark, path, one_per_file=False)
     flat = cl.flatten_threads(pages)
     return flat.agg(F.count_if(~F.col("is_reply")).alias("threads"), F.count_if(F.col("is_reply")).alias("embedded"))
 
@@ -153,7 +153,12 @@ SELECT 'run1' AS run_id, (SELECT count(*) FROM customer) AS videos_collected, co
 def run_manifest(spark, sf):
     e = table(spark, sf, "events")
     errors = e.where("event_type = 'error'").select(F.col("user_id").alias("video_id"))
-    return writers.run_manifest(videos(spark, sf), e, errors, "run1").withColumn("failed", F.size("failed_video_ids")).drop("failed_video_ids")
+    return writers.run_manifest(videos(spark, sf), e, errors, "run1").withColumnRenamed("failed_count", "failed")
+
+
+@query("failed_videos", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS video_id FROM events WHERE event_type = 'error'")
+def failed_videos(spark, sf):
+    return writers.failed_videos(table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("video_id")))
 
 
 @query("report_rows", with_sql(EV) + """

@@ -123,6 +123,31 @@ def video_relevance(spark, sf):
     return out.select("p_partkey", "video_relevance_score", "is_relevant_video", "target_brand_hit", "product_hit", "preferred_channel_hit")
 
 
+@query("relevance_reasons", with_sql(PART) + """
+SELECT p_partkey, concat_ws(', ', CASE WHEN tg THEN '브랜드 직접 언급' END, '제품 키워드 일치', CASE WHEN pf THEN '우선 채널 매칭' END) AS reason FROM ph""")
+def relevance_reasons(spark, sf):
+    out = vd.annotate_relevance(_part_videos(spark, sf), POLICY)
+    return out.select("p_partkey", vd.relevance_reason(out).alias("reason"))
+
+
+@query("selected_videos", with_sql(PART) + """
+SELECT p_partkey FROM (SELECT *, CAST(CASE WHEN pf THEN 40 ELSE 0 END + CASE WHEN tg THEN 24 ELSE 0 END + CASE WHEN pd THEN 12 ELSE 0 END AS DOUBLE) + CAST(least(p_size * 200, 5000) AS DOUBLE) / 120.0
+   + CAST(least(CAST(floor(p_retailprice * 1000) AS BIGINT), 2000000) AS DOUBLE) / 200000.0 + greatest(0, 25 - least(p_partkey % 40 + 1, 25)) + CASE WHEN contains(p_name, 'ring') THEN 5 ELSE 0 END AS s FROM ph)
+ORDER BY round(s, 6) DESC, p_partkey % 40 + 1, p_size * 200 DESC, CAST(p_partkey AS VARCHAR) LIMIT 50""")
+def selected_videos(spark, sf):
+    out = vd.select_videos(_part_videos(spark, sf), POLICY).withColumn("selection_score", F.round("selection_score", 6))
+    return out.orderBy(*vd.selection_order()).limit(50).select("p_partkey")
+
+
+@query("aspect_labels", """
+SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN '성능' WHEN 'Brand#2' THEN '내구성' WHEN 'Brand#3' THEN '제품 경험' ELSE p_brand END AS aspect FROM part""")
+def aspect_labels(spark, sf):
+    """The shipped names of aspects; unknown ones stay, empty ones are the product experience."""
+    p = table(spark, sf, "part")
+    raw = F.when(F.col("p_brand") == "Brand#1", "Performance").when(F.col("p_brand") == "Brand#2", " Durability ").when(F.col("p_brand") == "Brand#3", "").otherwise(F.col("p_brand"))
+    return p.select("p_partkey", cd.aspect_label(raw).alias("aspect"))
+
+
 @query("selection_score", with_sql(PART) + """
 SELECT p_partkey, NOT bl AND (pd OR pf) AND NOT (cp AND NOT tg) AS is_relevant_video,
   CAST(round(CASE WHEN pf THEN 40 ELSE 0 END + CASE WHEN tg THEN 24 ELSE 0 END + CASE WHEN pd THEN 12 ELSE 0 END + least(p_size * 200, 5000) / 120.0
