@@ -62,14 +62,23 @@ def complete_replies(comments: DataFrame, reply_pages: DataFrame) -> DataFrame:
     return top_per_group(both, ["video_id", "comment_id"], [c("__source"), c("published_at")], 1).drop("__source")
 
 
+#: Search pages that are summed together.
+PAGES_PER_BAND = 1000
+
+
 def flatten_videos(search_pages: DataFrame, video_pages: DataFrame, keyword: str, region: str, product: str | None = None) -> DataFrame:
     """Video details with their search rank (page order), counts as numbers and a link."""
     c = F.col
     hits = unnest(search_pages, c("payload.items"), "item", "run_id", "page_no", position="pos").where(c("item.id.videoId").isNotNull())
     # The first position of a video; ranks count over the pages in order.
     sizes = search_pages.select("run_id", "page_no", F.size(F.filter("payload.items", lambda i: i["id"]["videoId"].isNotNull())).alias("n"))
-    before = Window.partitionBy("run_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("run_id", "page_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # Pages of a run are summed by bands of page numbers first, so that no task sorts all pages of a run.
+    sizes = sizes.withColumn("band", F.floor(c("page_no") / PAGES_PER_BAND))
+    bands = sizes.groupBy("run_id", "band").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("run_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("run_id", "band").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bands.select("run_id", "band", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    offsets = sizes.join(starts, ["run_id", "band"]).select("run_id", "page_no", (c("start") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("offset"))
     ranked = hits.join(offsets, ["run_id", "page_no"]).groupBy("run_id", c("item.id.videoId").alias("video_id")).agg(F.min(c("offset") + c("pos") + 1).alias("search_rank"))
     v = unnest(video_pages, c("payload.items"), "v", "run_id")
     number = lambda name: c(f"v.statistics.{name}").try_cast("bigint")
