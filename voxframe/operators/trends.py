@@ -109,3 +109,27 @@ def weekly_window(df: DataFrame, weeks_per_view: int, page: int = 1, week: str =
     )
     n = F.coalesce(F.try_element_at("__by", F.col("sentiment_label")), F.lit(0))
     return rows.select(week, "sentiment_label", n.alias("count"), F.round(n / F.col("__total"), 4).alias("ratio"), "total_pages")
+
+
+def recent_change(df: DataFrame, keys: Sequence[str], time: str = "published_at", days: int = 30) -> DataFrame:
+    """Rows of each key in the last ``days`` before its newest row and in the same span before that, and the direction.
+
+    One aggregation finds the newest row of each key, a second counts both spans.
+    """
+    c = F.col
+    dated = df.where(c(time).isNotNull()).select(*keys, c(time).alias("__time"))
+    latest = dated.groupBy(*keys).agg(F.max("__time").alias("__latest"))
+    span = F.expr(f"INTERVAL '{days}' DAY")
+    rows = attach(dated, latest, list(keys), "inner", null_safe=True, derived=True)
+    recent = c("__time") >= c("__latest") - span
+    counts = rows.groupBy(*keys).agg(F.count_if(recent).alias("recent"), F.count_if(~recent & (c("__time") >= c("__latest") - span - span)).alias("previous"))
+    change = F.when(c("recent") > c("previous"), "up").when(c("recent") < c("previous"), "down").otherwise("same")
+    return counts.withColumn("direction", change)
+
+
+def issue_frame(df: DataFrame, products: Sequence[str] = (), regions: Sequence[str] = (), rules: kw.KeywordRules = kw.DEFAULT) -> DataFrame:
+    """Issue keywords normalized again, without those that vanish, within the chosen products and regions."""
+    words = unnest(df.select(F.col("keyword").alias("__raw")).distinct(), F.array(kw.normalize_keyword(F.col("__raw"), rules)), "__keyword", "__raw").where(F.col("__keyword") != "")
+    named = df.join(words, df["keyword"] == words["__raw"]).withColumn("keyword", F.col("__keyword")).drop("__raw", "__keyword")
+    named = named.where(F.col("product").isin(*products)) if products else named
+    return named.where(F.col("region").isin(*regions)) if regions else named

@@ -183,6 +183,51 @@ def run_tables(spark, sf):
     return readers.sample_runs(readers.read_runs(spark, base, "comments"), 1, 100, "comment_id").select("run_id", "comment_id")
 
 
+@query("run_scope", with_sql(EV) + "SELECT comment_id, like_count FROM ev WHERE region = 'r1'")
+def run_scope(spark, sf):
+    """All rows of one run; only its folder is read."""
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e = labelled_events(spark, sf).select("comment_id", "region", "like_count")
+    for run in ("r0", "r1"):
+        writers.write_run({"comments": e.where(F.col("region") == run)}, base, run)
+    return readers.of_run(readers.read_runs(spark, base, "comments"), "r1").select("comment_id", "like_count")
+
+
+@query("scoped_comments", with_sql(EV) + "SELECT comment_id, 'clean' AS scope FROM ev WHERE comment_validity = 'valid' UNION ALL SELECT comment_id, 'filtered' FROM ev WHERE region = 'r0'")
+def scoped_comments(spark, sf):
+    """The clean comments where there are any; else the filtered ones."""
+    from voxframe.operators.mining import scope_source
+
+    e = labelled_events(spark, sf)
+    clean, filtered = e.where("comment_validity = 'valid'"), e.where("region = 'r0'")
+    first = scope_source(clean, filtered).select("comment_id", F.lit("clean").alias("scope"))
+    return first.union(scope_source(clean.where("false"), filtered).select("comment_id", F.lit("filtered").alias("scope")))
+
+
+@query("enriched_comments", with_sql(DOCS) + """
+SELECT comment_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'trash' END AS nlp_label, CAST(quality AS DOUBLE) AS nlp_confidence, true AS no_topics FROM docs""")
+def enriched_comments(spark, sf):
+    """Labels made elsewhere, joined by comment; columns they lack are null, comments they lack keep their row."""
+    from voxframe.operators.labels import attach_enrichment
+
+    l = table(spark, sf, "labels")
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "trash")
+    outside = l.select(F.col("doc_id").cast("string").alias("comment_id"), label.alias("nlp_label"), F.col("quality").cast("double").alias("nlp_confidence"))
+    out = attach_enrichment(comments(spark, sf).withColumn("nlp_label", F.lit("stale")), outside)
+    return out.select("comment_id", "nlp_label", "nlp_confidence", F.col("nlp_topics").isNull().alias("no_topics"))
+
+
+@query("backfilled_taxonomy", with_sql(DOCS) + """
+SELECT comment_id, CASE WHEN quality IS NOT NULL THEN 's' || CAST(quality AS VARCHAR) END AS journey_stage, CASE WHEN quality = 1 THEN 'new' ELSE product END AS topic_label FROM docs""")
+def backfilled_taxonomy(spark, sf):
+    from voxframe.operators.truth import backfill_taxonomy
+
+    frame = comments(spark, sf).select("comment_id", F.lit("old").alias("journey_stage"), F.array(F.lit("x")).alias("judgment_axes"), F.col("product").alias("topic_label"))
+    l = table(spark, sf, "labels")
+    source = l.select(F.col("doc_id").cast("string").alias("comment_id"), F.concat(F.lit("s"), F.col("quality").cast("string")).alias("journey_stage"), F.array(F.lit("y")).alias("judgment_axes"), F.when(F.col("quality") == 1, "new").alias("topic_label"))
+    return backfill_taxonomy(frame, source).select("comment_id", "journey_stage", "topic_label")
+
+
 @query("csv_export", with_sql(EV) + "SELECT comment_id, product || ', ' || region AS parts, '{\"k\":\"' || keyword || '\"}' AS detail, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS written FROM ev")
 def csv_export(spark, sf):
     """Nested columns written as text to CSV and read back through the fallback of the reader."""

@@ -149,3 +149,20 @@ def keyword_pack(spark, sf):
 SELECT keyword, count, printf('%.1f', round(count / (SELECT sum(count) FROM pack) * 100, 1)) || '%' AS share_text FROM pack""")
 def keyword_share(spark, sf):
     return ks.keyword_share(ks.keyword_pack(_named(spark, sf), "positive", top_n=12, rules=SUMMARY))
+
+
+@query("recent_change", with_sql(EV) + """, t AS (SELECT video_id, published_at AS p, max(published_at) OVER (PARTITION BY video_id) AS m FROM ev),
+n AS (SELECT video_id, count(*) FILTER (p >= m - INTERVAL 5 DAYS) AS recent, count(*) FILTER (p < m - INTERVAL 5 DAYS AND p >= m - INTERVAL 10 DAYS) AS previous FROM t GROUP BY 1)
+SELECT video_id, recent, previous, CASE WHEN recent > previous THEN 'up' WHEN recent < previous THEN 'down' ELSE 'same' END AS direction FROM n""")
+def recent_change(spark, sf):
+    """The events span a month, so the spans are five days here."""
+    return t.recent_change(labelled_events(spark, sf), ["video_id"], days=5)
+
+
+@query("issue_facets", with_sql(EV, KEY_TREND) + """
+SELECT product, region, 'z' || keyword AS keyword, CAST(c AS BIGINT) AS count FROM keys WHERE c IS NOT NULL AND weeks_active >= 2 AND product IN ('p0', 'p1') AND region = 'r0' AND keyword LIKE 'k%'""")
+def issue_facets(spark, sf):
+    """Keywords of users become a stopword of the fixture's rules, so they must vanish."""
+    rows = t.issue_keywords(_key_trend(spark, sf))[1]
+    marked = rows.withColumn("keyword", F.when(F.col("keyword").startswith("u"), "the").otherwise(F.concat(F.lit("z"), "keyword")))
+    return t.issue_frame(marked, ["p0", "p1"], ["r0"], LATIN).select("product", "region", "keyword", "count")
