@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxframe.functions import keywords as kw
 from voxframe.operators import descriptive as ds
 from voxframe.operators import insights as ins
 from voxframe.operators import opinions as op
-from voxframe.session import materialize
-from voxframe.session import spread
-from workloads.bindings import DOCS, EV, comments, labelled_events, sql_any, sql_argmax, sql_hits, table, with_sql
+from voxframe.session import materialize, spread
+from workloads.bindings import DOCS, comments, sql_any, sql_argmax, sql_hits, table, with_sql
 from workloads.label_tables import CLASS_CTES, RULES, TRUTH, _first
 from workloads.registry import query
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import parsing, scores
 from voxframe.functions import text as tx
 from voxframe.session import spread
-from workloads.bindings import DOCS, EV, comments, labelled_events, table, with_sql
+from workloads.bindings import EV, comments, labelled_events, table, with_sql
 from workloads.registry import query
 
 SPACE = r"regexp_replace({}, '\s+', ' ', 'g')"
