@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import public_tokenizers
 import pytest
-import tiktoken
 
 from tests.conftest import SF
 from tests.llm.test_operators import DOCS, _components, _public, _texts
@@ -81,4 +79,3 @@ def test_pipeline_runs_over_the_tables(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and out.count() > 0
-    assert public_tokenizers.PATTERN and tiktoken
