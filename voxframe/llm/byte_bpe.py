@@ -88,9 +88,6 @@ def _steps(single: bool) -> str:
 
 _DECODE = "SELECT spot >> 32 AS piece, list(tok ORDER BY spot) AS ids, list(bytes ORDER BY spot) AS bytes FROM done JOIN vocabulary USING (tok) GROUP BY 1 ORDER BY 1"
 
-_ready: dict[str, "Encoder"] = {}
-
-
 def read_ranks(path: str) -> list[bytes]:
     """Tokens of a rank file (base64 and rank on each line) in order of their ids."""
     pairs = [line.split() for line in Path(path).read_bytes().splitlines() if line.strip()]
@@ -177,11 +174,7 @@ class Encoder:
 
 
 def _encoder(tokens: list[bytes]) -> Encoder:
-    key = hashlib.sha256(b"\0".join(tokens)).hexdigest()
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Encoder(tokens)
-    return _ready[key]
+    return textbytes.state(("byte_bpe", hashlib.sha256(b"\0".join(tokens)).digest()), lambda: Encoder(tokens))
 
 
 def encoded(docs: DataFrame, *, vocabulary: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

@@ -44,7 +44,7 @@ SLOTS, FREQUENT = 1 << 23, 1 << 20
 #: Strings whose score a task remembers.
 REMEMBERED = 1 << 20
 #: Strings that a task gathers before it sums them.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 SMOOTHING = 0.1
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -121,6 +121,7 @@ def count_strings(texts: DataFrame, depth: int) -> DataFrame:
     """``key, n`` of all strings of ``texts(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
         sums = _Sums(1)
         for part in textbytes.slices(batches, "text"):
             sums.add(*textbytes.runs(_strings(part.column("text"), depth)[0]))
@@ -133,6 +134,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``key, learnt, all`` of the words of ``texts(text, learn)``: counts in learning texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
         sums = _Sums(2)
         for part in textbytes.slices(batches, "text"):
             learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -245,9 +247,6 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fold_count: int = FOLDS, depth: int = DEPTH, slots: int = SLOTS, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``code_bytes``, ``code_length``."""
     spark = docs.sparkSession
@@ -265,10 +264,7 @@ def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", f
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _scorers:
-            _scorers.clear()
-            _scorers[model] = _Scorer(*tree.value, depth)
-        score_of = _scorers[model]
+        score_of = textbytes.state(("context_tree", model), lambda: _Scorer(*tree.value, depth))
         keys_of, counts_of = common.value
         for part in textbytes.slices(batches, "text"):
             column, rows = part.column("text"), part.num_rows

@@ -141,16 +141,22 @@ def _elect(names: list[str], rivals: list[tuple[str, str]], margins: np.ndarray)
     return best, certain
 
 
-def predict(docs: DataFrame, model: dict, *, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to the id, the text's verdict from the text alone. ``keep``: further columns to pass through."""
+def predict(docs: DataFrame, model: dict, *, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), verdict: str = "lang_pred") -> DataFrame:
+    """The id, the language under the name ``verdict`` and ``score``, from the text alone.
+
+    With ``keep`` those columns pass through in place of the id, and the score is named after the verdict.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")]
-    columns += [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    # The text travels once, also where it is to be passed through.
+    names_of = {c: "text" if c == text_col else f"_keep{i}" for i, c in enumerate(keep)}
+    columns += [F.col(c).alias(n) for c, n in names_of.items() if n != "text"]
     source = docs.select(*columns)
-    out = [c for c in source.columns if c not in ("text", "_letter")]
+    out = [c for c in source.columns if c != "_letter" and (c != "text" or text_col in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
         m = shared.value
         families = sorted(m["families"])
         for part in textbytes.slices(batches, "text"):
@@ -175,7 +181,9 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([part.column(c) for c in out] + [pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], [*out, "lang_pred", "score"])
 
     done = source.mapInArrow(run, T.StructType([*source.select(*out).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    return done.select(F.col("_id").alias(id_col), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    if keep:
+        return done.select(*[F.col(n).alias(c) for c, n in names_of.items()], F.col("lang_pred").alias(verdict), F.col("score").alias(f"{verdict}_score"))
+    return done.select(F.col("_id").alias(id_col), F.col("lang_pred").alias(verdict), "score")
 
 
 def identify(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fold_count: int = FOLDS) -> DataFrame:
@@ -187,6 +195,5 @@ def identify(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fold_count: int = FOLDS) -> DataFrame:
     """The documents whose language could be told, all columns as they were; texts without a letter go."""
     model = fit(docs, text_col=text_col, lang_col=lang_col, id_col=id_col, fold_count=fold_count)
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_key"))
-    judged = predict(packed, model, text_col="_text", id_col="_key", keep=("_row",))
-    return judged.where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    judged = predict(docs, model, text_col=text_col, id_col=id_col, keep=tuple(docs.columns), verdict="_told")
+    return judged.where(F.col("_told") != UNKNOWN).select(*docs.columns)

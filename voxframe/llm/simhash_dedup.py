@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
         for part in textbytes.slices(batches, "text"):
             data, offsets = textbytes.raw(part.column("text"))
             whole = data.tobytes()

@@ -6,7 +6,7 @@ on the longest single text, not on the size of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,20 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _powers: dict[int, np.ndarray] = {}
+_state: dict[tuple, object] = {}
+
+
+def state(key: tuple, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks. A worker keeps the state of one operator only."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Drop what another operator has left in this Python worker."""
+    _state.clear()
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

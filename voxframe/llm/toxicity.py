@@ -159,6 +159,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, id_col=id_col, label_col=label_col, fold_count=fold_count, **limits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
         m = model.value
         for part in textbytes.slices(batches, "text"):
             row, number = _held(part, m["features"])
