@@ -37,7 +37,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-@query("op1_embedding_dedup")
+@query(
+    "op1_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = v.vec_id) AS component_id,
+           v.vec_id = (SELECT min(b) FROM reach WHERE a = v.vec_id) AS kept FROM v
+    """,
+)
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.grouped(table(spark, sf_dir, "embeddings"))
 
@@ -87,7 +97,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-@query("op10_line_quality")
+@query(
+    "op10_line_quality",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    win AS (SELECT row, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+    again AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+    covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
+    each AS (SELECT row, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT row, host, text, unnest(lines) AS line FROM w)),
+    held AS (SELECT host, norm, count(DISTINCT text) AS texts FROM each GROUP BY 1, 2),
+    hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+    over AS (SELECT h.host, h.norm FROM held h JOIN hosts o ON h.host IS NOT DISTINCT FROM o.host WHERE h.texts > 50 AND h.texts > o.texts * 0.02),
+    gone AS (SELECT e.row, sum(e.n) AS n FROM each e JOIN over o ON e.host IS NOT DISTINCT FROM o.host AND e.norm = o.norm GROUP BY 1),
+    f AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN covered c USING (row) LEFT JOIN gone g USING (row)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+    SELECT *, NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
+    """,
+)
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(table(spark, sf_dir, "documents"))
 
