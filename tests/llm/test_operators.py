@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,6 +114,31 @@ def test_vectors_have_all_their_links(spark, monkeypatch, cell):
     assert _rows(got, "vec_id", "n_links", "component_id", "kept") == _sorted(_embedding_truth(rows, 0.97))
 
 
+def test_more_than_512_centres_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 1)
+    rng = np.random.default_rng(1)
+    rows = [(2 * i + k, (c + 0.05 * k * rng.normal(size=16)).tolist(), 0) for i, c in enumerate(rng.normal(size=(700, 16))) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.grouped(df, min_cosine=0.97)
+    assert _rows(got, "vec_id", "n_links", "component_id", "kept") == _sorted(_embedding_truth(rows, 0.97))
+
+
+def test_cells_of_many_centres_take_little_memory():
+    rng = np.random.default_rng(2)
+    unit, points = (embedding_dedup._unit(rng.normal(size=(n, 64))) for n in (2048, 2000))
+    tracemalloc.start()
+    got = list(embedding_dedup._visited(unit, points, 0.1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The differences of all centres would take 2,000 MB.
+    assert peak < 100e6
+    for v, cells in zip(unit[:100], got):
+        near = points @ v
+        home = int(np.argmax(near))
+        short, width = near[home] - near, np.linalg.norm(points - points[home], axis=1)
+        assert cells[0] == home and set(np.flatnonzero(short <= 0.1 * width).tolist()) <= set(cells)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.grouped(df).collect() == []

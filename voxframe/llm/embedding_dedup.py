@@ -33,6 +33,28 @@ MIN_COSINE = 0.98
 SAMPLE, ROUNDS, CELL = 8192, 8, 200
 #: Cells at most, so that the centres stay small enough to send to every task.
 MAX_CELLS = 4096
+#: Products of vectors and centres that are held at once.
+PRODUCTS = 1 << 20
+
+
+def _parts(vectors: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Runs of vectors with at most ``PRODUCTS`` products with the centres (but one vector at least)."""
+    rows = max(1, PRODUCTS // cells)
+    return (vectors[at : at + rows] for at in range(0, len(vectors), rows))
+
+
+def _visited(unit: np.ndarray, points: np.ndarray, reach: float) -> Iterator[list[int]]:
+    """Cells of each unit vector: its home, then all whose plane to the home's centre is within ``reach``."""
+    for part in _parts(unit, len(points)):
+        near = part @ points.T
+        home = np.argmax(near, axis=1)
+        short = near[np.arange(len(home)), home][:, None] - near
+        # Distances of unit centres from their products; the last term covers the rounding of small ones.
+        width = np.sqrt(np.maximum(0.0, 2 - 2 * (points[home] @ points.T)))
+        visits = short <= reach * width + 1e-7
+        for h, row in zip(home.tolist(), visits):
+            # The home comes first.
+            yield [h, *[c for c in np.flatnonzero(row).tolist() if c != h]]
 
 
 def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -40,7 +62,7 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     pick = np.random.default_rng(7).permutation(len(sample))[:cells]
     centres = sample[pick].copy()
     for _ in range(ROUNDS):
-        home = np.argmax(sample @ centres.T, axis=1)
+        home = np.concatenate([np.argmax(part @ centres.T, axis=1) for part in _parts(sample, len(centres))])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, sample)
         size = np.linalg.norm(sums, axis=1)
@@ -66,27 +88,20 @@ def links(classes: DataFrame, *, min_cosine: float = MIN_COSINE) -> DataFrame:
     drawn = classes.where((F.size("vector") == dim) & (F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 20)) < int(math.ceil((1 << 20) * min(1.0, SAMPLE / total)))))
     sample = _unit(np.array([r["vector"] for r in drawn.select("vector").limit(2 * SAMPLE).collect()], np.float64).reshape(-1, dim)) if drawn.take(1) else np.eye(1, dim)
     centres = _centres(sample, max(1, min(MAX_CELLS, total // CELL, len(sample))))
-    gap = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 512 else None
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) / 2 + 1e-9
-    shared = spark.sparkContext.broadcast((centres, gap))
+    shared = spark.sparkContext.broadcast(centres)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, apart = shared.value
+        points = shared.value
         for frame in frames:
             for at in range(0, len(frame), 2048):
                 part = frame.iloc[at : at + 2048]
                 cells = [[0]] * len(part)
                 usual = np.flatnonzero(part["vector"].map(len).to_numpy() == dim)
                 if len(usual):
-                    near = _unit(np.stack(part["vector"].to_numpy()[usual]).astype(np.float64)) @ points.T
-                    home = np.argmax(near, axis=1)
-                    short = near[np.arange(len(home)), home][:, None] - near
-                    width = apart[home] if apart is not None else np.linalg.norm(points[home][:, None] - points[None], axis=2)
-                    visits = short <= reach * width
-                    visits[np.arange(len(home)), home] = True
-                    for i, h, row in zip(usual.tolist(), home.tolist(), visits):
-                        # The home comes first.
-                        cells[i] = [h, *[c for c in np.flatnonzero(row).tolist() if c != h]]
+                    unit = _unit(np.stack(part["vector"].to_numpy()[usual]).astype(np.float64))
+                    for i, own in zip(usual.tolist(), _visited(unit, points, reach)):
+                        cells[i] = own
                 yield pd.DataFrame({"cid": part["cid"], "label": part["label"], "dim": part["vector"].map(len), "vector": part["vector"], "n": part["n"], "cells": cells})
 
     placed = classes.select("cid", "label", "vector", "n").mapInPandas(place, "cid long, label string, dim int, vector array<double>, n long, cells array<int>")
