@@ -240,6 +240,17 @@ def test_scores_follow_the_context_trees(spark, docs):
                 assert math.isclose(r["score"], _tree_truth([_lower(x) for x in learn], _lower(t), 2), rel_tol=0.01, abs_tol=0.01), (i, frequent)
 
 
+def test_scores_are_exact_whatever_the_number_of_nodes(spark, docs, monkeypatch):
+    monkeypatch.setattr(context_tree, "HASHED", 16)
+    monkeypatch.setattr(context_tree, "SLICE", 1 << 10)
+    rows = [(r[0], r[1]) for r in _texts()]
+    learn = [_lower(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 3]
+    # Far fewer places than nodes.
+    for r in context_tree.scored(docs, fold_count=3, depth=3, slots=1 << 6).collect():
+        for text in {t or "" for i, t in rows if i == r["doc_id"] and len(t or "") < 200}:
+            assert math.isclose(r["score"], _tree_truth(learn, _lower(text), 3), rel_tol=1e-9), r["doc_id"]
+
+
 def test_scores_without_anything_to_learn_from(spark, none):
     assert context_tree.scored(none, slots=1 << 10).collect() == []
     lone = spark.createDataFrame([(None, "ab")], "doc_id long, text string")

@@ -12,8 +12,12 @@ To score, a decision mixes the estimates along its path: from the deepest node t
 probability; below the deepest node met both decisions are equally likely. The score is the sum of the base-10
 logarithms; ``code_bytes`` and ``code_length`` give the bits for each byte.
 
-For scoring the nodes of all levels are hashed into ``slots`` places, a fixed number, so what every task gets has a
-fixed size (6 bytes a place) however large the corpus is. Nodes that meet in one place add their counts.
+No task holds the tree. The texts are cut into slices of about ``SLICE`` bytes, and the different strings of each slice
+are kept. The tree is grown over the strings of all texts, those of texts that are not learnt from with the count 0: a
+node without counts takes both decisions as equally likely, as it must. From the root down every node joins its parent,
+which gives the mixed estimate of each deepest node. The strings of the slices meet the deepest nodes of their context,
+which gives their scores, and then the texts of their slice again, so a task holds the strings of
+one slice.
 
 The word model needs the count of every word. Words that make up more than 1 in ``frequent`` of all tokens, so fewer
 than ``frequent`` words, go to every task; other words are joined by their 64-bit hash, which stands for the word.
@@ -26,11 +30,11 @@ empty corpus.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +43,18 @@ from voxframe.session import materialize
 
 FOLDS = 10
 DEPTH = 5
-#: Places for the nodes (a power of two), and the bound on words that go to every task.
-SLOTS, FREQUENT = 1 << 23, 1 << 20
-#: Strings whose score a task remembers.
-REMEMBERED = 1 << 20
+#: Bound on words that go to every task.
+FREQUENT = 1 << 20
+#: Bytes of text whose strings meet their scores together (a longer text is a slice of its own).
+SLICE = 32 << 20
+#: Scored strings that a task packs together.
+PACKED = 500_000
+#: Strings of a slice that are looked up by a hash; others are searched for.
+HASHED = 1 << 21
 #: Strings that a task gathers before it sums them.
 GATHERED = 1_500_000
 SMOOTHING = 0.1
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def hash_longs(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of 64-bit values, as Spark's ``xxhash64`` of a long gives it."""
-    rotate = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
-    h = (np.uint64(seed) + _P5 + np.uint64(8)) ^ (rotate(x.astype(np.uint64) * _P2, 31) * _P1)
-    h = rotate(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
 
 def _strings(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the ``depth`` bytes before it as one number, and where each text starts."""
@@ -107,27 +103,66 @@ class _Sums:
         keys, values = textbytes.runs(np.concatenate(self.keys), np.concatenate(self.values))
         self.keys, self.values, self.size = [keys], [values], 0
 
-    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+    def batches(self, names: list[str], first: int | None = None) -> Iterator[pa.RecordBatch]:
+        """The sums; ``first`` is the value of a column before the others."""
         if not self.keys:
             return
         self._sum()
         keys, values = self.keys[0].view(np.int64), self.values[0].reshape(-1, self.width)
         for at in range(0, len(keys), 200_000):
             part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[pa.array(values[part, k]) for k in range(self.width)]], names)
+            lead = [] if first is None else [pa.array(np.full(len(keys[part]), first, np.int64))]
+            yield pa.RecordBatch.from_arrays([*lead, pa.array(keys[part]), *[pa.array(values[part, k]) for k in range(self.width)]], names)
 
 
-def count_strings(texts: DataFrame, depth: int) -> DataFrame:
-    """``key, n`` of all strings of ``texts(text)``."""
+def sliced(source: DataFrame) -> DataFrame:
+    """``source(id, text, held_out, learn)`` with ``slice``, the number of a run of about ``SLICE`` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        textbytes.release()
-        sums = _Sums(1)
+        number, size = TaskContext.get().partitionId() << 32, 0
         for part in textbytes.slices(batches, "text"):
-            sums.add(*textbytes.runs(_strings(part.column("text"), depth)[0]))
-        yield from sums.batches(["key", "n"])
+            more = int(textbytes.raw(part.column("text"))[1][-1])
+            if size and size + more > SLICE:
+                number, size = number + 1, 0
+            size += more
+            yield part.append_column("slice", pa.array(np.full(part.num_rows, number, np.int64)))
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string, held_out boolean, learn boolean, slice long")
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows with equal whole numbers in ``names``, and these."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(n).to_numpy() for n in names]
+        change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            yield tuple(int(c[start]) for c in columns), batch.slice(start, stop - start)
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+def count_strings(texts: DataFrame, depth: int) -> DataFrame:
+    """``slice, key, n`` of the strings of ``texts(slice, text, learn)``: counts in learning texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
+        names, sums, last = ["slice", "key", "n"], _Sums(1), None
+        for (number,), some in _runs_of(batches, ["slice"]):
+            if number != last:
+                yield from sums.batches(names, last)
+                sums, last = _Sums(1), number
+            for part in textbytes.slices([some], "text"):
+                strings, starts = _strings(part.column("text"), depth)
+                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.uint64)
+                # The string and whether it is learnt in one number.
+                both, times = np.unique(strings << np.uint64(1) | np.repeat(learn, np.diff(np.append(starts, len(strings)))), return_counts=True)
+                keys, times = both >> np.uint64(1), times * (both & np.uint64(1)).astype(np.int64)
+                at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                sums.add(keys[at], np.add.reduceat(times, at))
+        yield from sums.batches(names, last)
+
+    return texts.select("slice", "text", "learn").mapInArrow(run, "slice long, key long, n long")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -162,8 +197,14 @@ def _own(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros, True) + _log_gamma(ones, True) - _log_gamma(zeros + ones, False) - math.log(math.pi)
 
 
-def grow(strings: DataFrame, depth: int) -> DataFrame:
-    """All nodes from ``strings(key, n)``: ``level, node, zeros, ones, rho``; ``node`` is context and decision in one number."""
+def _parent(node: Column, depth: int) -> Column:
+    """The node of the same decision with a context of ``depth`` bytes."""
+    shorter = F.shiftright(node, 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1))
+    return F.shiftleft(shorter, 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
+
+
+def grow(strings: DataFrame, depth: int) -> list[DataFrame]:
+    """The nodes of each level from ``strings(key, n)``: ``node, zeros, ones, rho``; ``node`` is context and decision in one number."""
     byte = F.col("key").bitwiseAND(F.lit(255))
     context = F.shiftright("key", 8)
     bits = []
@@ -174,10 +215,9 @@ def grow(strings: DataFrame, depth: int) -> DataFrame:
     spread = strings.select(F.explode(F.array(*bits)).alias("x")).select("x.*")
     level = spread.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     level = materialize(level.select("node", "zeros", "ones", _own(F.col("zeros"), F.col("ones")).alias("weighted"), F.lit(1.0).alias("rho")))
-    nodes = level.select(F.lit(depth).alias("level"), "node", "zeros", "ones", "rho")
+    nodes = [level]
     for d in range(depth - 1, -1, -1):
-        shorter = F.shiftright("node", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        up = level.select(F.shiftleft(shorter, 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255))).alias("node"), "zeros", "ones", "weighted")
+        up = level.select(_parent(F.col("node"), d).alias("node"), "zeros", "ones", "weighted")
         up = up.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children"))
         own = up.withColumn("own", _own(F.col("zeros"), F.col("ones")))
         # log((exp(own) + exp(children)) / 2) and the share of the first.
@@ -185,74 +225,121 @@ def grow(strings: DataFrame, depth: int) -> DataFrame:
         weighted = F.greatest("own", "children") + F.log1p(F.exp(-F.abs(gap))) - math.log(2)
         rho = F.when(gap > 700, 0.0).otherwise(1 / (1 + F.exp(gap)))
         level = materialize(own.select("node", "zeros", "ones", weighted.alias("weighted"), rho.alias("rho")))
-        nodes = nodes.union(level.select(F.lit(d), "node", "zeros", "ones", "rho"))
+        nodes.insert(0, level)
     return nodes
 
 
-def serve(nodes: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The table of places: probability of a one, and rho (below zero where no node is). Its size is fixed."""
-    place = F.xxhash64(F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.col("node"))).bitwiseAND(F.lit(slots - 1))
-    met = F.col("zeros") + F.col("ones")
-    places = nodes.groupBy(place.alias("place")).agg(F.sum("ones").alias("ones"), F.sum(met).alias("met"), F.sum(F.col("rho") * met).alias("weight"))
-    block = min(slots, 1 << 14)
-    ready = places.select((F.col("place") / block).cast("int").alias("block"), (F.col("place") % block).cast("int").alias("at"), ((F.col("ones") + 0.5) / (F.col("met") + 1)).cast("float").alias("one"), (F.col("weight") / F.col("met")).cast("float").alias("rho"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        one, rho = np.full(block, 0.5, np.float32), np.full(block, -1, np.float16)
-        at = table.column("at").to_numpy()
-        one[at], rho[at] = table.column("one").to_numpy(), table.column("rho").to_numpy()
-        return pa.table({"block": table.column("block").slice(0, 1), "one": pa.array([one.tobytes()], pa.binary()), "rho": pa.array([rho.tobytes()], pa.binary())})
-
-    packed = ready.groupBy("block").applyInArrow(pack, "block int, one binary, rho binary")
-    one, rho = np.full(slots, 0.5, np.float32), np.full(slots, -1, np.float16)
-    for row in packed.toLocalIterator():
-        part = slice(row["block"] * block, (row["block"] + 1) * block)
-        one[part], rho[part] = np.frombuffer(row["one"], np.float32), np.frombuffer(row["rho"], np.float16)
-    return one, rho
-
-
-class _Scorer:
-    """Base-10 logarithm of each string's last byte after the others; remembers strings in a table of fixed size."""
-
-    def __init__(self, one: np.ndarray, rho: np.ndarray, depth: int):
-        self.one, self.rho, self.depth, self.mask = one, rho, depth, np.uint64(len(one) - 1)
-        self.known = np.full(REMEMBERED, np.uint64((1 << 64) - 1))
-        self.value = np.zeros(REMEMBERED, np.float32)
-
-    def _work_out(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        byte, context = keys & np.uint64(255), keys >> np.uint64(8)
-        for k in range(8):
-            decision = (byte >> np.uint64(8 - k)) | np.uint64(1 << k)
-            one = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            p = np.full(len(keys), 0.5)
-            for d in range(self.depth, -1, -1):
-                node = ((context & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | decision | np.uint64(d << 56)
-                place = (hash_longs(node) & self.mask).astype(np.int64)
-                rho, own = self.rho[place].astype(np.float64), self.one[place].astype(np.float64)
-                p = np.where(rho >= 0, rho * np.where(one, own, 1 - own) + (1 - rho) * p, p)
-            out += np.log10(p)
-        return out
+def estimates(levels: list[DataFrame]) -> DataFrame:
+    """``node, one``: the probability of a one at each deepest node, mixed along its path.
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = (textbytes.mixed(keys) & np.uint64(REMEMBERED - 1)).astype(np.int64)
-        out = self.value[at].astype(np.float64)
-        new = self.known[at] != keys
-        if new.any():
-            fresh, back = np.unique(keys[new], return_inverse=True)
-            worth = self._work_out(fresh)
-            out[new] = worth[back]
-            place = (textbytes.mixed(fresh) & np.uint64(REMEMBERED - 1)).astype(np.int64)
-            self.known[place], self.value[place] = fresh, worth
+    From the root down it is ``sure + rest * deeper``; the rest is 0 at the deepest nodes.
+    """
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    state = levels[0].select("node", (F.col("rho") * one).alias("sure"), (1 - F.col("rho")).alias("rest"))
+    for d, level in enumerate(levels[1:]):
+        above = state.select(F.col("node").alias("up"), F.col("sure").alias("sure_up"), F.col("rest").alias("rest_up"))
+        own = level.select("node", "rho", one.alias("one"), _parent(F.col("node"), d).alias("up"))
+        state = own.join(above, "up").select("node", (F.col("sure_up") + F.col("rest_up") * F.col("rho") * F.col("one")).alias("sure"), (F.col("rest_up") * (1 - F.col("rho"))).alias("rest"))
+    return state.select("node", F.col("sure").alias("one"))
+
+
+def _last_byte(strings: np.ndarray, nodes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Base-10 logarithm of each string's last byte after the others, from all ``nodes`` of the contexts, in order."""
+    byte, context = strings & 255, strings & ~np.int64(255)
+    score = np.zeros(len(strings))
+    for k in range(8):
+        p = one[np.searchsorted(nodes, context | (byte >> (8 - k)) | (1 << k))]
+        score += np.log10(np.where((byte >> (7 - k)) & 1, p, 1 - p))
+    return score
+
+
+def _pack(keys: np.ndarray, number: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """One row for each slice; ``keys`` are in order. Bytes of one weight stand together, since most are zero."""
+    order = np.argsort(number, kind="stable")
+    keys, number, score = keys[order], number[order], score[order]
+    cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+    packed = [np.diff(keys[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(number[cuts[:-1]]), pa.array(packed, pa.binary()), pa.array([score[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["slice", "keys", "scores"])
+
+
+def _unpack(keys: bytes, scores: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(keys, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel()), np.frombuffer(scores)
+
+
+def string_scores(deepest: DataFrame, strings: DataFrame) -> DataFrame:
+    """``slice, keys, scores``, packed, of ``strings(slice, key)`` from ``deepest(node, one)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textbytes.release()
+        x, one, number = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        ready, size = [], 0
+
+        def score(x: np.ndarray, one: np.ndarray, number: np.ndarray) -> None:
+            nonlocal size
+            node = number < 0
+            if not node.all():
+                keys = x[~node]
+                first = np.append(True, keys[1:] != keys[:-1])
+                ready.append((keys, number[~node], _last_byte(keys[first], x[node], one[node])[np.cumsum(first) - 1]))
+                size += len(keys)
+
+        for batch in batches:
+            if batch.num_rows:
+                x, one, number = (np.append(held, batch.column(name).to_numpy()) for held, name in ((x, "x"), (one, "one"), (number, "slice")))
+                # The last context may go on in the next batch.
+                cut = int(np.searchsorted(x >> 8, x[-1] >> 8))
+                score(x[:cut], one[:cut], number[:cut])
+                x, one, number = x[cut:], one[cut:], number[cut:]
+                if size > PACKED:
+                    yield _pack(*(np.concatenate(c) for c in zip(*ready)))
+                    ready, size = [], 0
+        score(x, one, number)
+        if ready:
+            yield _pack(*(np.concatenate(c) for c in zip(*ready)))
+
+    both = deepest.select(F.col("node").alias("x"), "one", F.lit(-1).cast("long").alias("slice")).union(strings.select("key", F.lit(0.0), "slice"))
+    context = F.shiftright("x", 8)
+    return both.repartition(context).sortWithinPartitions(context, F.col("slice") >= 0, "x").mapInArrow(run, "slice long, keys binary, scores binary")
+
+
+class _Scores:
+    """Scores of the strings of one slice."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order].view(np.uint64), scores[order]
+        size = min(HASHED, 1 << (4 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.known, self.value = np.full(size, np.uint64((1 << 64) - 1)), np.zeros(size)
+        place = self._place(self.keys)
+        # Of strings with one place all but one are searched for.
+        at = np.zeros(size, np.int64)
+        at[place] = np.arange(len(place))
+        self.known[place], self.value[place] = self.keys[at[place]], self.scores[at[place]]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (textbytes.mixed(keys) & self.mask).astype(np.int64)
+
+    def __call__(self, strings: np.ndarray) -> np.ndarray:
+        place = self._place(strings)
+        out = self.value[place]
+        other = np.flatnonzero(self.known[place] != strings)
+        out[other] = self.scores[np.searchsorted(self.keys, strings[other])]
         return out
 
 
-def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fold_count: int = FOLDS, depth: int = DEPTH, slots: int = SLOTS, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each document: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``code_bytes``, ``code_length``."""
+def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", fold_count: int = FOLDS, depth: int = DEPTH, slots: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """One row for each document: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``code_bytes``, ``code_length``.
+
+    ``slots`` changes nothing: nodes have keys, not places.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), folds.held_out(id_col, fold_count).alias("held_out"), folds.may_learn(id_col, fold_count).alias("learn"))
-    one, rho = serve(grow(materialize(count_strings(source.where("learn"), depth)), depth), slots)
-    tree, model = spark.sparkContext.broadcast((one, rho)), uuid.uuid4().hex
+    source = materialize(sliced(source))
+    strings = materialize(count_strings(source, depth))
+    levels = grow(strings.groupBy("key").agg(F.sum("n").alias("n")), depth)
+    scores = string_scores(estimates(levels), strings)
     words = materialize(count_words(source))
     ends = source.where("learn").select("learn").count()
     total = words.agg(F.coalesce(F.sum("learnt"), F.lit(0)).alias("learnt"), F.coalesce(F.sum("every"), F.lit(0)).alias("every"), F.count(F.when(F.col("learnt") > 0, 1)).alias("known")).first()
@@ -261,12 +348,31 @@ def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", f
     top = words.where(F.col("every") * F.lit(frequent) > F.lit(total["every"])).select("key", "learnt").toPandas().sort_values("key")
     common = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["learnt"].to_numpy(np.int64)))
     end_score, end_known = math.log10(ends + SMOOTHING), int(ends > 0)
-    kind = source.schema["id"].dataType.simpleString()
+    kind = source.schema["id"].dataType
+    # The scores of a slice, then its texts.
+    given = scores.select("slice", F.lit(0).alias("is_text"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "keys", "scores")
+    given = given.union(source.select("slice", F.lit(1), "id", "text", "held_out", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    given = given.repartition("slice").sortWithinPartitions("slice", "is_text")
+
+    def scored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Scores, pa.RecordBatch]]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        score_of, last = None, None
+        for (number, is_text), some in _runs_of(batches, ["slice", "is_text"]):
+            if number != last:
+                held, score_of, last = [], None, number
+            if not is_text:
+                held += [_unpack(*both) for both in zip(some.column("keys").to_pylist(), some.column("scores").to_pylist())]
+                continue
+            if score_of is None:
+                score_of = _Scores(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            for part in textbytes.slices([some], "text"):
+                yield score_of, part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = textbytes.state(("context_tree", model), lambda: _Scorer(*tree.value, depth))
+        textbytes.release()
         keys_of, counts_of = common.value
-        for part in textbytes.slices(batches, "text"):
+        for score_of, part in scored_slices(batches):
             column, rows = part.column("text"), part.num_rows
             strings, starts = _strings(column, depth)
             worth = np.append(0.0, np.cumsum(score_of(strings)))
@@ -296,8 +402,8 @@ def scored(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", f
                 ["id", "held_out", "n_tokens", "known", "base", "score", "bytes", "rare", "times"],
             )
 
-    schema = f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, bytes long, rare array<long>, times array<int>"
-    facts = materialize(source.select("id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, bytes long, rare array<long>, times array<int>"
+    facts = materialize(given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     each = facts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), "x.times")
     found = each.join(words.select("key", "learnt"), "key")
     rest = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("learnt") + SMOOTHING)).alias("more"), F.sum(F.when(F.col("learnt") > 0, F.col("times")).otherwise(0)).alias("met"))
