@@ -15,6 +15,13 @@ from voxframe.schemas import COMMENTS, VIDEOS, conform, require_columns
 from voxframe.sources.collect import estimate_quota
 
 
+def test_representatives_link_to_all_their_axes(spark):
+    rows = [("v", "p", "c1", "usage", ["a", "b", "a", "c", "d", "e"], "negative")]
+    df = spark.createDataFrame(rows, "video_id string, product string, comment_id string, journey_stage string, judgment_axes array<string>, sentiment_final string")
+    got = st.cluster_representatives(df).where("level_type = 'video'").collect()
+    assert {r["primary_axis"]: r["supporting_representatives"] for r in got} == {x: ["c1"] for x in "abcde"}
+
+
 def test_hot_key_join_spreads_over_tasks(spark):
     rows = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
     lookup = rows.groupBy("key").agg(F.count("*").alias("n"))

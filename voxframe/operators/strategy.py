@@ -91,7 +91,7 @@ def cluster_representatives(representatives: DataFrame, n: int = 5) -> DataFrame
     rows = representatives.where(F.coalesce("comment_id", F.lit("")) != "").select(
         "video_id", "product", "comment_id", F.col(order).alias("__order"),
         F.coalesce(F.col("journey_stage"), F.lit("")).alias("journey_stage"),
-        F.explode(first_distinct(F.col("judgment_axes"), 3)).alias("primary_axis"),
+        F.explode(F.array_distinct("judgment_axes")).alias("primary_axis"),
         polarity(sentiment).alias("polarity_direction"),
     )
     per_level = _levels(rows, "comment_id", "__order", "journey_stage", "primary_axis", "polarity_direction")
