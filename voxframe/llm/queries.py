@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxframe.llm import byte_bpe, context_tree, embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, toxicity, url_rules
+from voxframe.llm import byte_bpe, context_tree, conversation_repair, embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, topk_search, toxicity, url_rules, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,70 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_context_tree")
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_topk_search",
+    """
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(1024 * c)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.row <> c.row AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 10
+    """,
+)
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def _repair_sql() -> str:
+    """A forward walk that keeps the best (cost, audit, text) of each state; crc32 from its table of 256 entries."""
+    edit = lambda x, cost, letter, line: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || {line}}}"
+    best = lambda *options: f"least({', '.join(options)})"
+    insert = lambda x, role: edit(x, 5, "I", f"chr(10) || '{role}:'")
+    gone = lambda x: edit(x, 2, "D", "''")
+    far = "{'c': 1000000000000, 'a': '', 't': ''}"
+
+    def stay(x: str, role: str) -> str:
+        kept, moved = edit(x, "r.x", "K", "chr(10) || r.role || ':' || r.text"), edit(x, "r.x + 1", "R", f"chr(10) || '{role}:' || r.text")
+        return f"CASE WHEN r.first = '{role[0]}' THEN {kept} ELSE {moved} END"
+
+    system = edit("w.z", "r.x", "K", "chr(10) || r.role || ':' || r.text")
+    return rf"""
+    WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
+    d AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+            lambda a, b: xor(tab[1 + (xor(a, b) & 255)], a >> 8)), 4294967295) % 20 AS k FROM conversations, tab),
+    m AS (SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0),
+    o AS (SELECT conv, turn, role, text, row_number() OVER p AS i, lag(left(role, 1)) OVER p AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut
+        FROM m WINDOW p AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
+    r AS (SELECT *, left(role, 1) AS first, cut = '' AS blank, cut <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS duplicate,
+        CASE WHEN right(cut, 1) IN ('.', '!', '?') THEN 0 ELSE 5 END AS x FROM o),
+    s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (NOT blank AND NOT duplicate AND x > 0) AS truncated, count(*) FILTER (i > 1 AND prior || first NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+    walk AS (SELECT conv, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS z, {far} AS s, {far} AS u, {far} AS a FROM s
+        UNION ALL SELECT w.conv, r.i, {gone("w.z")},
+            CASE WHEN r.blank OR r.duplicate OR r.first <> 's' THEN {gone("w.s")} ELSE {best(gone("w.s"), system)} END,
+            CASE WHEN r.blank OR r.duplicate THEN {gone("w.u")} ELSE {best(gone("w.u"), stay("w.z", "user"), stay("w.s", "user"), stay("w.a", "user"))} END,
+            CASE WHEN r.blank OR r.duplicate THEN {gone("w.a")} ELSE {best(gone("w.a"), stay("w.u", "assistant"))} END
+        FROM (SELECT conv, i, z, s, u, {best("a", insert("u", "assistant"))} AS a FROM (SELECT conv, i, z, s, a, {best("u", insert("z", "user"), insert("s", "user"), insert("a", "user"))} AS u FROM walk)) w
+        JOIN r ON r.conv IS NOT DISTINCT FROM w.conv AND r.i = w.i + 1),
+    e AS (SELECT w.conv, {best("w.z", "w.a", insert("w.u", "assistant"), "{'c': w.s.c + 10, 'a': w.s.a || 'II', 't': w.s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}")} AS e
+        FROM walk w JOIN s ON s.conv IS NOT DISTINCT FROM w.conv AND s.n = w.i)
+    SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+        coalesce(e.e.c, 0) AS cost, coalesce(e.e.a, '') AS audit, sha256(coalesce(substr(e.e.t, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv IS NOT DISTINCT FROM c.conv_id
+    """
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(conversations)
+    return conversation_repair.repaired(rows, conversations.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
