@@ -175,7 +175,7 @@ def _damage(rows):
 
 def _repair(rows):
     """Cheapest edits by a memo over (row, state), with whole audits compared."""
-    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), hashlib.sha256(r[3].encode()).digest()))
     seen, faults = set(), []
     for _, _, role, text in rows:
         left = text.strip(WHITE)
@@ -270,11 +270,11 @@ def test_walk_through_blocks_equals_one_walk():
     rng = random.Random(9)
     for _ in range(60):
         codes = bytes(rng.choice([0, 1, 2, 3, 4, 8, 10, 11]) for _ in range(rng.randint(1, 40)))
-        runs = [rng.choice([1, 1, 1, 3]) for _ in codes]
-        end = np.array(conversation_repair.END)
+        runs = tuple(rng.choice([1, 1, 1, 3]) for _ in codes)
+        end = tuple(conversation_repair.END.tolist())
         whole_states, whole = conversation_repair.block_walks(codes, runs, end)
         cut = rng.randint(0, len(codes))
-        later = (conversation_repair.block_matrix(codes[cut:], runs[cut:]) + end).min(axis=1) if cut < len(codes) else end
+        later = tuple((conversation_repair.block_matrix(codes[cut:], runs[cut:]) + np.array(end)).min(axis=1).tolist())
         states, first = conversation_repair.block_walks(codes[:cut], runs[:cut], later)
         last_states, last = conversation_repair.block_walks(codes[cut:], runs[cut:], end)
         for s in range(4):

@@ -6,14 +6,15 @@ read ``(s?(ua)+)?``, so a walk over the rows needs four states. From a state eac
 ASCII-least of the cheapest audits is found by taking the least letter that is still on a cheapest path.
 
 The walk is a square-root checkpointed DP, spread over the cluster. Rows are dealt out by ranges of (conversation, turn,
-role, text), so a conversation of any length lies in as many tasks as it needs. Blocks grow by one row each, so that n
+role, digest of the text), so a conversation of any length lies in as many tasks as it needs. Blocks grow by one row each, so that n
 rows give about ``sqrt(2 n)`` blocks of at most about ``sqrt(2 n)`` rows without n being known. Every block gives a
 four by four matrix of cheapest costs from state to state. One pass from last to first over these matrices yields the
 backward costs at the ends of blocks, the only ones that are stored. Each block then works out its own backward costs
 again from its end and walks forward once for every state it can be entered in. The last pass streams rows and walks in
 order; it holds one batch of rows and the audit itself.
 
-Defined results: a null role or text is one space. Rows of one turn go by role, then text; null turns come first. A
+Defined results: a null role or text is one space. Rows of one turn go by role, then by the SHA-256 of
+their text (texts are moved only once, to be hashed); null turns come first. A
 null conversation id is a conversation of its own. Rows whose role starts with another letter can be reroled or deleted.
 Equal rows of one turn are counted, not copied. A conversation without rows has zeros, an empty audit and the hash of
 the empty string. Gaps beyond a long are the largest long. Empty tables give no rows; further columns are ignored.
@@ -21,13 +22,14 @@ the empty string. Gaps beyond a long are the largest long. Empty tables give no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.session import materialize
@@ -42,18 +44,20 @@ FAR = 1 << 60
 LONGEST = (1 << 63) - 1
 # States: nothing yet, after system, after user, after assistant.
 NONE, SYSTEM, USER, ASSISTANT = range(4)
-OTHER = -1
 #: State after a kept row, by state and the row's role (another letter, s, u, a); -1: not allowed.
 KEPT = np.array([[-1, SYSTEM, USER, -1], [-1, -1, USER, -1], [-1, -1, -1, ASSISTANT], [-1, -1, USER, -1]])
 #: The one role of user and assistant that may come next, by state: after a rerole or an insert.
 TURN = np.array([USER, USER, ASSISTANT, USER])
 #: What it costs to end in a state: an open question needs an answer, a lone system row both.
 END = np.array([0, 2 * INSERT, INSERT, 0])
-# Codes of rows: role (0 to 3), plus 4 if the row must go, plus 8 if it is truncated.
-GOES, CUT = 4, 8
+# Codes of rows: role (0 to 3), plus 4 if the row must go, 8 if it is truncated, 16 if it is blank.
+GOES, CUT, BLANK = 4, 8, 16
 
-_ROWS = "conv {0}, part int, block long, at long, turn long, role string, text string, copies long, code int, matrix array<long>, codes binary, runs array<long>"
+#: Blocks whose matrix or walks a task keeps, since most conversations are short and alike.
+KEPT_BLOCKS = 1 << 14
 
+_ORDER = ["conv", "turn", "role", "mark"]
+_BLOCK = "conv {0}, part int, block long, turn long, role string, mark binary, codes binary, runs array<long>, matrix array<long>"
 
 def damaged(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, turn, role, text``: rows damaged by ``crc32(conv:turn) % 20`` (dropped, emptied, cut, repeated, reroled)."""
@@ -90,7 +94,8 @@ def _step(code: int, copies: int, after: np.ndarray) -> np.ndarray:
     return np.minimum(first, FAR)
 
 
-def block_matrix(codes: bytes, runs: list[int]) -> np.ndarray:
+@functools.lru_cache(KEPT_BLOCKS)
+def block_matrix(codes: bytes, runs: tuple[int, ...]) -> np.ndarray:
     """Cheapest cost through a block from each state (row) to each state (column)."""
     cost = np.where(np.eye(4, dtype=bool), 0, FAR)
     for code, copies in zip(reversed(codes), reversed(runs)):
@@ -98,9 +103,10 @@ def block_matrix(codes: bytes, runs: list[int]) -> np.ndarray:
     return cost
 
 
-def block_walks(codes: bytes, runs: list[int], end: np.ndarray) -> tuple[list[int], list[str]]:
+@functools.lru_cache(KEPT_BLOCKS)
+def block_walks(codes: bytes, runs: tuple[int, ...], end: tuple[int, ...]) -> tuple[list[int], list[str]]:
     """State at the end and audit of a block, for every state at its start; ``end``: cost-to-go behind it."""
-    costs = [end]
+    costs = [np.array(end)]
     for code, copies in zip(reversed(codes), reversed(runs)):
         costs.append(_step(code, copies, costs[-1]))
     ahead = [c.tolist() for c in reversed(costs)]
@@ -138,66 +144,71 @@ def closing(state: int) -> str:
     return "I" * (int(END[state]) // INSERT)
 
 
-def _coded(rows: DataFrame) -> DataFrame:
-    """Distinct rows of each turn with their number and code."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows without nulls, with the digest of the text that stands for it wherever the text itself is not needed."""
     tidy = rows.select("conv", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-    tidy = tidy.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    mark = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    tidy = materialize(tidy.withColumn("mark", mark))
+    return tidy.withColumn("mark", F.unhex(F.sha2("text", 256)))
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """Distinct rows of each turn, without their texts, with their number and code."""
+    left = F.rtrim(F.col("text"), F.lit(BLANKS))
+    fault = F.when(left == "", GOES + BLANK).when(~F.substring(left, -1, 1).isin(".", "!", "?"), CUT).otherwise(0)
+    bare = rows.select(*_ORDER, fault.alias("fault"))
+    tidy = materialize(bare.groupBy(*_ORDER).agg(F.count("*").alias("copies"), F.first("fault").alias("fault")))
     # A role and text that several turns hold: all but the first turn repeat it.
     order = F.struct(F.col("turn").isNotNull().alias("told"), "turn")
-    again = tidy.groupBy("conv", "mark").agg(F.min(order).alias("first"), F.count("*").alias("turns")).where("turns > 1")
-    again = again.select(F.col("conv").alias("in_conv"), F.col("mark").alias("same"), F.col("first.turn").alias("first_turn"))
-    joined = tidy.join(again, (tidy["mark"] == again["same"]) & tidy["conv"].eqNullSafe(again["in_conv"]), "left")
-    left = F.rtrim(F.col("text"), F.lit(BLANKS))
+    again = tidy.groupBy("conv", "role", "mark").agg(F.min(order).alias("first"), F.count("*").alias("turns")).where("turns > 1")
+    again = again.select(F.col("conv").alias("in_conv"), F.col("role").alias("as_role"), F.col("mark").alias("same"), F.col("first.turn").alias("first_turn"))
+    met = (tidy["mark"] == again["same"]) & (tidy["role"] == again["as_role"]) & tidy["conv"].eqNullSafe(again["in_conv"])
+    joined = tidy.join(again, met, "left")
     repeat = F.col("same").isNotNull() & ~F.col("turn").eqNullSafe(F.col("first_turn"))
-    initial: Column = F.instr(F.lit("sua"), F.substring("role", 1, 1))
-    fault = F.when((left == "") | repeat, GOES).when(~F.substring(left, -1, 1).isin(".", "!", "?"), CUT).otherwise(0)
-    code = F.when(F.length("role") == 0, 0).otherwise(initial) + fault
-    return joined.select("conv", "turn", "role", "text", "copies", code.cast("int").alias("code"), (left == "").alias("blank"))
+    initial = F.when(F.length("role") == 0, 0).otherwise(F.instr(F.lit("sua"), F.substring("role", 1, 1)))
+    code = initial + F.when(repeat & (F.col("fault") != GOES + BLANK), GOES).otherwise(F.col("fault"))
+    return joined.select(*_ORDER, "copies", code.cast("int").alias("code"))
 
 
 def _blocks(coded: DataFrame) -> DataFrame:
-    """Rows in order with their part, block and place, and behind them one row for each block with its matrix."""
+    """One row for each block: its part and number, the key of its first row, codes and copies of its rows, its matrix."""
     kind = coded.schema["conv"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        block, held, size, last = 0, [], FIRST_BLOCK, None
-
-        def closed() -> pa.RecordBatch:
-            codes, runs = bytes(c for c, _ in held), [n for _, n in held]
-            whole = {"conv": pa.array([last[0]], conv_type), "part": pa.array([part], pa.int32()), "block": pa.array([block]), "at": pa.array([-1])}
-            rest = {"turn": pa.nulls(1, pa.int64()), "role": pa.nulls(1, pa.string()), "text": pa.nulls(1, pa.string()), "copies": pa.array([0]), "code": pa.array([0], pa.int32())}
-            cost = pa.array([block_matrix(codes, runs).ravel().tolist()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_pydict(whole | rest | {"matrix": cost, "codes": pa.array([codes], pa.binary()), "runs": pa.array([runs], pa.list_(pa.int64()))})
-
+        block, size, first, codes, runs = 0, FIRST_BLOCK, None, bytearray(), []
         for batch in batches:
-            conv_type = batch.column("conv").type
-            convs, codes, copies = (batch.column(c).to_pylist() for c in ("conv", "code", "copies"))
-            numbers, places, done = [], [], []
-            for conv, code, n in zip(convs, codes, copies):
-                if last is not None and (last[0] != conv or len(held) >= size):
-                    done.append(closed())
-                    size = size + 1 if last[0] == conv else FIRST_BLOCK
-                    block, held = block + 1, []
-                last = (conv,)
-                numbers.append(block)
-                places.append(len(held))
-                held.append((code, n))
-            rows = batch.num_rows
-            added = {"part": pa.array([part] * rows, pa.int32()), "block": pa.array(numbers, pa.int64()), "at": pa.array(places, pa.int64())}
-            same = {c: batch.column(c) for c in ("turn", "role", "text", "copies")}
-            # The blank mark is needed for counting only: 16 on top of the code.
-            marked = pa.array([c + 16 * bool(b) for c, b in zip(codes, batch.column("blank").to_pylist())], pa.int32())
-            empty = {"matrix": pa.nulls(rows, pa.list_(pa.int64())), "codes": pa.nulls(rows, pa.binary()), "runs": pa.nulls(rows, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict({"conv": batch.column("conv")} | added | same | {"code": marked} | empty)
-            yield from done
-        if held:
-            yield closed()
-
-    keys = ["conv", "turn", "role", "text"]
-    return coded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(cut, _ROWS.format(kind))
+            types = [batch.column(c).type for c in _ORDER]
+            done = []
+            for *key, n, code in zip(*(batch.column(c).to_pylist() for c in (*_ORDER, "copies", "code"))):
+                if first is not None and (first[0] != key[0] or len(codes) >= size):
+                    done.append((first, block, bytes(codes), runs))
+                    size = size + 1 if first[0] == key[0] else FIRST_BLOCK
+                    block, first, codes, runs = block + 1, None, bytearray(), []
+                first = key if first is None else first
+                codes.append(code)
+                runs.append(n)
+            yield _block_rows(part, done, types)
+        if first is not None:
+            yield _block_rows(part, [(first, block, bytes(codes), runs)], types)
+
+    return coded.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(cut, _BLOCK.format(kind))
+
+
+def _block_rows(part: int, blocks: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    keys = {c: pa.array([first[i] for first, _, _, _ in blocks], t) for i, (c, t) in enumerate(zip(_ORDER, types))}
+    longs = pa.list_(pa.int64())
+    return pa.RecordBatch.from_pydict(
+        {
+            "conv": keys["conv"],
+            "part": pa.array([part] * len(blocks), pa.int32()),
+            "block": pa.array([number for _, number, _, _ in blocks], pa.int64()),
+            "turn": keys["turn"],
+            "role": keys["role"],
+            "mark": keys["mark"],
+            "codes": pa.array([codes for _, _, codes, _ in blocks], pa.binary()),
+            "runs": pa.array([runs for _, _, _, runs in blocks], longs),
+            "matrix": pa.array([block_matrix(codes, tuple(runs)).ravel().tolist() for _, _, codes, runs in blocks], longs),
+        }
+    )
 
 
 def _checkpoints(blocks: DataFrame) -> DataFrame:
@@ -220,43 +231,54 @@ def _checkpoints(blocks: DataFrame) -> DataFrame:
 
 
 def _walked(blocks: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """One row for each block: audit and last state for every first state, and the cost from its start."""
-    kind = blocks.schema["conv"].dataType.simpleString()
+    """Blocks with audit and last state for every first state, and the cost from their start."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            walks = [block_walks(c, r, np.array(e)) for c, r, e in zip(*(batch.column(k).to_pylist() for k in ("codes", "runs", "ends")))]
-            same = {k: batch.column(k) for k in ("conv", "part", "block", "start")}
+            walks = [block_walks(c, tuple(r), tuple(e)) for c, r, e in zip(*(batch.column(k).to_pylist() for k in ("codes", "runs", "ends")))]
+            same = {k: batch.column(k) for k in same_columns}
             yield pa.RecordBatch.from_pydict(same | {"states": pa.array([w[0] for w in walks], pa.list_(pa.int64())), "audits": pa.array([w[1] for w in walks], pa.list_(pa.string()))})
 
-    met = blocks.select("conv", "part", "block", "codes", "runs").join(checkpoints, ["part", "block"])
-    return met.mapInArrow(walk, f"conv {kind}, part int, block long, start long, states array<long>, audits array<string>")
+    met = blocks.drop("matrix").join(checkpoints, ["part", "block"])
+    same_columns = [c for c in met.columns if c not in ("part", "block", "ends")]
+    met = met.select(*same_columns, "ends")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name != "ends"]
+    return met.mapInArrow(walk, ", ".join([*kinds, "states array<long>, audits array<string>"]))
 
 
 class _Conversation:
     """What the last pass knows of a conversation while its rows go by."""
 
     def __init__(self, start: int) -> None:
-        self.cost, self.state, self.audit, self.walk = start, NONE, [], iter("")
+        self.cost, self.state, self.audit = start, NONE, []
         self.counts = dict.fromkeys(("blank", "duplicate", "truncated", "illegal"), 0)
-        self.low = self.high = self.last_turn = self.last_role = None
+        self.low = self.high = self.last_turn = self.last_role = self.last = None
         self.turns, self.hash, self.lines = 0, hashlib.sha256(), 0
 
-    def enter(self, states: list[int], audits: list[str]) -> None:
+    def enter(self, codes: bytes, runs: list[int], states: list[int], audits: list[str]) -> None:
+        """A block begins."""
         walk = audits[self.state]
         self.audit.append(walk)
-        self.walk, self.at = iter(walk), self.state
+        self.rows, self.walk, self.at = zip(codes, runs), iter(walk), self.state
         self.state = states[self.state]
 
     def _said(self, role: str, text: str) -> None:
         self.hash.update((("\n" if self.lines else "") + role + ":" + text).encode())
         self.lines += 1
 
+    def _next(self, state: int) -> str:
+        return "user" if TURN[state] == USER else "assistant"
+
     def _insert(self, state: int) -> int:
-        self._said("user" if TURN[state] == USER else "assistant", "")
+        self._said(self._next(state), "")
         return int(TURN[state])
 
-    def add(self, turn: int | None, role: str, text: str, copies: int, code: int) -> None:
+    def add(self, turn: int | None, role: str, mark: bytes, text: str) -> None:
+        """A row; copies of the row before it were handled with that."""
+        if self.last == (turn, role, mark):
+            return
+        self.last = (turn, role, mark)
+        code, copies = next(self.rows)
         if turn is not None:
             self.low = turn if self.low is None else self.low
             self.turns += turn != self.last_turn
@@ -266,7 +288,7 @@ class _Conversation:
             self.counts["illegal"] += self.last_role + first not in ("su", "ua", "au")
         self.counts["illegal"] += copies - 1
         self.last_role = first
-        if code & 16:
+        if code & BLANK:
             self.counts["blank"] += copies
         else:
             self.counts["duplicate"] += copies if code & GOES else copies - 1
@@ -279,7 +301,7 @@ class _Conversation:
             self._said(role, text)
             self.at = int(KEPT[self.at, code & 3])
         elif letter == "R":
-            self._said("user" if TURN[self.at] == USER else "assistant", text)
+            self._said(self._next(self.at), text)
             self.at = int(TURN[self.at])
         for _ in range(copies - 1):
             next(self.walk)
@@ -297,14 +319,15 @@ _RESULT = "gaps long, blank long, duplicate long, truncated long, illegal long,
 
 def repaired(rows: DataFrame, conversations: DataFrame) -> DataFrame:
     """One row for each ``conv`` of ``conversations``: faults, cheapest cost, audit and hash of the repaired ``rows``."""
-    cut = materialize(_blocks(_coded(rows)))
-    blocks = cut.where("at = -1")
-    kind = cut.schema["conv"].dataType.simpleString()
+    marked = _marked(rows)
+    blocks = materialize(_blocks(_coded(marked)))
+    kind = blocks.schema["conv"].dataType.simpleString()
     walked = _walked(blocks, _checkpoints(blocks))
-    shape = ["conv", "part", "block", "at", "turn", "role", "text", "copies", "code", "start", "states", "audits"]
-    lines = cut.where("at >= 0").withColumns({"start": F.lit(None).cast("long"), "states": F.lit(None).cast("array<long>"), "audits": F.lit(None).cast("array<string>")})
-    none = {"at": F.lit(-1).cast("long"), "turn": F.lit(None).cast("long"), "role": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "copies": F.lit(0).cast("long"), "code": F.lit(0)}
-    stream = lines.select(*shape).union(walked.withColumns(none).select(*shape))
+    shape = [*_ORDER, "text", "codes", "runs", "start", "states", "audits"]
+    none = {"codes": "binary", "runs": "array<long>", "start": "long", "states": "array<long>", "audits": "array<string>"}
+    lines = marked.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    # A block goes ahead of its first row, which has the same key and a text.
+    stream = lines.select(*shape).union(walked.withColumn("text", F.lit(None).cast("string")).select(*shape))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, now = None, None
@@ -316,21 +339,21 @@ def repaired(rows: DataFrame, conversations: DataFrame) -> DataFrame:
 
         for batch in batches:
             conv_type, done = batch.column("conv").type, []
-            for conv, at, turn, role, text, copies, code, start, states, audits in zip(*(batch.column(c).to_pylist() for c in shape if c not in ("part", "block"))):
+            for conv, turn, role, mark, text, codes, runs, start, states, audits in zip(*(batch.column(c).to_pylist() for c in shape)):
                 if last != (conv,):
                     if now is not None:
                         done.append((last[0], now))
                     last, now = (conv,), _Conversation(start)
-                if at < 0:
-                    now.enter(states, audits)
+                if text is None:
+                    now.enter(codes, runs, states, audits)
                 else:
-                    now.add(turn, role, text, copies, code)
+                    now.add(turn, role, mark, text)
             if done:
                 yield out(done)
         if now is not None:
             yield out([(last[0], now)])
 
-    ordered = stream.repartition("conv").sortWithinPartitions("conv", "part", "block", "at")
+    ordered = stream.repartition("conv").sortWithinPartitions(*_ORDER, F.col("text").isNotNull())
     found = ordered.mapInArrow(told, f"conv {kind}, {_RESULT}").withColumnRenamed("conv", "in_conv")
     every = conversations.select("conv").distinct()
     whole = every.join(found, every["conv"].eqNullSafe(found["in_conv"]), "left")

@@ -171,7 +171,7 @@ def _repair_sql() -> str:
     m AS (SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0),
     o AS (SELECT conv, turn, role, text, row_number() OVER p AS i, lag(left(role, 1)) OVER p AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut
-        FROM m WINDOW p AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
+        FROM m WINDOW p AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text))),
     r AS (SELECT *, left(role, 1) AS first, cut = '' AS blank, cut <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS duplicate,
         CASE WHEN right(cut, 1) IN ('.', '!', '?') THEN 0 ELSE 5 END AS x FROM o),
     s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
