@@ -36,6 +36,8 @@ DEGREE, SPREAD = 32, 1e8
 ROUNDS, RESIDUAL = 200, 1e-15
 #: Integers beyond this count as this.
 LARGEST = 1 << 52
+#: Components that are worked on at a time, and partial sums that the driver adds up itself.
+PART, DIRECT = 1 << 20, 64
 
 Apply = Callable[[np.ndarray], np.ndarray]
 
@@ -61,30 +63,43 @@ class Fit:
         return np.array([s % self.n / self.n for s in self.sums])
 
 
-def integers(vectors: DataFrame, *, vector_col: str, id_col: str, scale: int, offset: int) -> DataFrame:
-    """``id, x``: floored vectors of the commonest length, as a written table."""
+def integers(vectors: DataFrame, *, vector_col: str, id_col: str, scale: int, offset: int) -> tuple[DataFrame, int]:
+    """``id, x`` as a written table, and the length: floored vectors of the commonest length, as blobs of 8 byte integers."""
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    bound = float(LARGEST)
-    whole = F.transform(v, lambda c: F.floor(F.greatest(F.least(c * float(scale), F.lit(bound)), F.lit(-bound))) + F.lit(offset).cast("long"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(fine).select("id", whole.alias("x"))
-    length = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    return materialize(rows.where(F.size("x") == (length["dim"] if length else 0)))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(fine)
+    length = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = length["dim"] if length else 0
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            whole = np.floor(np.clip(values * scale, -LARGEST, LARGEST)).astype(np.int64) + offset
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (8 * dim)
+            blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "x": blobs})
 
+    return materialize(rows.where(F.size("v") == dim).mapInArrow(floored, f"id {kind}, x binary")), dim
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+
+def _matrices(batch: pa.RecordBatch, dim: int) -> Iterator[np.ndarray]:
+    """The vectors of a batch, some rows at a time."""
     column = batch.column("x")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    step = max(1, PART // dim)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+    for at in range(0, len(column), step):
+        rows = min(step, len(column) - at)
+        yield np.frombuffer(column.buffers()[2], np.int64, rows * dim, int(ends[at])).reshape(rows, dim)
 
 
-def _sums(rows: DataFrame) -> tuple[int, list[int]]:
+def _sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
     """Rows, and the exact sum of each component. Two halves of each integer keep the partial sums within a long."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, high, low = 0, 0, 0
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch)
+            for x in _matrices(batch, dim) if batch.num_rows else ():
                 n, high, low = n + len(x), high + (x >> 26).sum(axis=0), low + (x & ((1 << 26) - 1)).sum(axis=0)
         if n:
             yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(high)), pa.int32()), "n": pa.array([n] * len(high)), "high": pa.array(high), "low": pa.array(low)})
@@ -94,8 +109,8 @@ def _sums(rows: DataFrame) -> tuple[int, list[int]]:
     return (found[0]["n"] if found else 0), [(r["high"] << 26) + r["low"] for r in found]
 
 
-def _added(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """Sum of ``work(x)`` over blocks of rows: within tasks, then within about the square root as many, then here."""
+def _added(rows: DataFrame, dim: int, work: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Sum of ``work(x)`` over blocks of rows: within tasks, then here; if these are many, first within fewer tasks."""
 
     def one(total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"m": pa.array([total.tobytes()], pa.binary())})
@@ -103,8 +118,8 @@ def _added(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], shape: tup
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            if batch.num_rows:
-                total += work(_matrix(batch))
+            for x in _matrices(batch, dim) if batch.num_rows else ():
+                total += work(x)
         yield one(total)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +130,9 @@ def _added(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], shape: tup
         yield one(total)
 
     parts = rows.select("x").mapInArrow(first, "m binary")
-    tasks = math.isqrt(max(1, rows.rdd.getNumPartitions()))
-    found = parts.repartition(tasks).mapInArrow(second, "m binary").collect()
-    return np.sum([np.frombuffer(r["m"]).reshape(shape) for r in found], axis=0)
+    if (tasks := rows.rdd.getNumPartitions()) > DIRECT:
+        parts = parts.repartition(math.isqrt(tasks)).mapInArrow(second, "m binary")
+    return sum((np.frombuffer(r["m"]).reshape(shape) for r in parts.collect()), np.zeros(shape))
 
 
 def centred(x: np.ndarray, base: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -175,10 +190,9 @@ def _filtered(apply: Apply, q: np.ndarray, image: np.ndarray, values: np.ndarray
     return now / np.linalg.norm(now, axis=0)
 
 
-def fit(rows: DataFrame, components: int) -> Fit:
+def fit(rows: DataFrame, dim: int, components: int) -> Fit:
     """Means and leading components of ``rows(x)``."""
-    n, sums = _sums(rows)
-    dim = len(sums)
+    n, sums = _sums(rows, dim)
     if not n:
         return Fit(0, (), np.zeros(0), np.zeros((0, 0)), 0.0)
     bare = Fit(n, tuple(sums), np.zeros(0), np.zeros((dim, 0)), 0.0)
@@ -192,9 +206,9 @@ def fit(rows: DataFrame, components: int) -> Fit:
             c = centred(x, base, rest)
             return c.T @ (c @ q)
 
-        return _added(rows, product, q.shape) / n
+        return _added(rows, dim, product, q.shape) / n
 
-    trace = float(_added(rows, squares, (1, dim)).sum()) / n
+    trace = float(_added(rows, dim, squares, (1, dim)).sum()) / n
     if not trace:
         return bare
     values, vectors = leading(apply, dim, min(components, dim))
@@ -215,40 +229,38 @@ def _deviations(x: np.ndarray, model: Fit, base: np.ndarray) -> list[int | None]
 def whitened(vectors: DataFrame, *, vector_col: str = "embedding", id_col: str = "vec_id", scale: int = 64, offset: int = 1_000_000, components: int = 32) -> DataFrame:
     """One row for each vector and component: the id, ``component``, ``n``, ``deviation``, ``whitened``, ``explained``
     and ``identity_error``, the largest entry by which the covariance of the whitened values is off the identity."""
-    rows = integers(vectors, vector_col=vector_col, id_col=id_col, scale=scale, offset=offset)
+    rows, dim = integers(vectors, vector_col=vector_col, id_col=id_col, scale=scale, offset=offset)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    model = fit(rows, components)
+    model = fit(rows, dim, components)
     count = len(model.values)
     if not count:
         return rows.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     base, rest = model.base, model.rest
     turn = model.vectors / np.sqrt(model.values)
-    mean = _added(rows, lambda x: (centred(x, base, rest) @ turn).sum(axis=0)[None, :], (1, count)) / model.n
+    mean = _added(rows, dim, lambda x: (centred(x, base, rest) @ turn).sum(axis=0)[None, :], (1, count)) / model.n
 
     def spread(x: np.ndarray) -> np.ndarray:
         w = centred(x, base, rest) @ turn - mean
         return w.T @ w
 
-    error = float(np.abs(_added(rows, spread, (count, count)) / model.n - np.eye(count)).max())
+    error = float(np.abs(_added(rows, dim, spread, (count, count)) / model.n - np.eye(count)).max())
     explained = model.values / model.trace
-    # Each batch has one row for each component of its vectors.
-    step = max(1, (1 << 16) // count)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                x = _matrix(batch)
+        for batch in batches:
+            at = 0
+            for x in _matrices(batch, dim):
                 values = centred(x, base, rest) @ turn
-                each = np.repeat(np.arange(len(x)), count)
-                deviation = pa.array(_deviations(x, model, base), pa.int64())
+                each = pa.array(np.repeat(np.arange(at, at + len(x)), count))
+                deviation = np.array(_deviations(x, model, base), dtype=object).repeat(count)
+                at += len(x)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": batch.column("id").take(pa.array(each)),
+                        "id": batch.column("id").take(each),
                         "component": pa.array(np.tile(np.arange(1, count + 1, dtype=np.int32), len(x))),
                         "n": pa.array(np.full(len(each), model.n)),
-                        "deviation": deviation.take(pa.array(each)),
+                        "deviation": pa.array(deviation, pa.int64()),
                         "whitened": pa.array(values.ravel()),
                         "explained": pa.array(np.tile(explained, len(x))),
                         "identity_error": pa.array(np.full(len(each), error)),
