@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.markers import best_label, contains_any, hit_count
 from voxframe.functions.scores import clamp
-from voxframe.functions.text import collapse_space, preview, safe_text
+from voxframe.functions.text import collapse_space, looks_garbled, preview, safe_text
 from voxframe.operators.relational import top_per_group
 from voxframe.rules import display, messages
 from voxframe.schemas import pick
@@ -58,6 +58,18 @@ CLAIM_POSITIVE = (
 )
 
 
+# Words that choose the clause of a card and the subjects a reason names.
+PRAISE_WORDS = ("좋", "만족", "편리", "잘", "유용", "추천", "재구매", "깨끗", "소독", "세척", "냄새없", "문제없", "최고")
+COMPLAINT_WORDS = ("불편", "어렵", "힘들", "문제", "고장", "불량", "냄새 나", "악취", "지연", "답답", "안됨", "안 돼", "못", "누수")
+NO_COMPLAINT = ("불편함은 없", "문제는 없")
+SMART_WORDS = ("smart", "ai", "digital button", "digital control", "스마트", "ai 기능", "디지털 버튼")
+SUBJECTS = (
+    (("스마트", "smart", "ai", "digital"), "쓸데없는 기능"), (("소음", "noise"), "소음"), (("고장", "repair", "replace", "수리"), "고장·수리"),
+    (("성능", "wash", "clean", "세탁"), "세탁 성능"), (("비싸", "price", "deal"), "가격 부담"), (("delivery", "shipping", "배송"), "배송"),
+    (("customer support", "service", "as", "고객지원", "서비스"), "고객지원"),
+)
+
+
 def split_clauses(text: Column) -> Column:
     """Clauses of a comment without links, fragments and advertising; the whole text if none is left."""
     compact = F.trim(F.regexp_replace(collapse_space(safe_text(text)), r"https?://\S+", ""))
@@ -87,6 +99,82 @@ def salient_clauses(clauses: Column, limit: int = 2, issues: Sequence[str] = ISS
     return F.slice(F.array_distinct(ranked), 1, limit)
 
 
+def combined_text(parts: Sequence[Column]) -> Column:
+    """The parts in order, without those that repeat, hold or are held by one before them."""
+    texts = F.filter(F.array(*[safe_text(p) for p in parts]), lambda t: t != "")
+
+    def add(kept: Column, t: Column) -> Column:
+        told = F.exists(kept, lambda k: k.contains(t) | t.contains(k))
+        return F.when(told, kept).otherwise(F.concat(kept, F.array(t)))
+
+    return F.array_join(F.aggregate(texts, F.array().cast("array<string>"), add), " ")
+
+
+def representative_clause(clauses: Column, sentiment: Column) -> Column:
+    """The clause that fits the polarity best: praise without complaint, or the complaint; null without clauses."""
+    def score(p: Column, i: Column) -> Column:
+        low = F.lower(p)
+        add = lambda test, v: F.when(test, F.lit(v)).otherwise(F.lit(0.0))
+        praised, pained = contains_any(low, PRAISE_WORDS), contains_any(low, COMPLAINT_WORDS)
+        positive = add(praised, 2.2) - add(pained, 1.6) + add(contains_any(low, NO_COMPLAINT), 0.8)
+        polar = F.when(sentiment == "positive", positive).when(sentiment == "negative", add(pained, 2.2)).otherwise(F.lit(0.0))
+        points = F.round(F.least(F.length(p), F.lit(120)) / 120.0 + polar + add(p.rlike(r"\d"), 0.2), 9)
+        return F.struct((-points).alias("s"), i.alias("i"), p.alias("p"))
+
+    return F.try_element_at(F.array_sort(F.transform(clauses, score)), F.lit(1))["p"]
+
+
+def secondary_concern(text: Column, sentiment: Column) -> Column:
+    """What a satisfied customer still misses, else an empty string."""
+    low = F.lower(safe_text(text))
+    chain = F.when(sentiment != "positive", "")
+    for markers, note in messages.SECONDARY_CONCERNS:
+        chain = chain.when(contains_any(low, markers), note)
+    return chain.otherwise("")
+
+
+def row_summary(field: Callable[[str], Column], points: Column, tags: Column, limit: int = 86) -> Column:
+    """One line about a row: its insight, else its points within their context, else its first plain text.
+
+    ``field`` gives the column of a name; columns a table lacks are null. ``points`` and ``tags`` are arrays.
+    """
+    # All candidates go through one expression; seven copies of it would not fit one compiled method.
+    context = F.coalesce(F.nullif(safe_text(F.try_element_at(tags, F.lit(1))), F.lit("")), F.lit(messages.DEFAULT_CONTEXT))
+    pointed = F.when(F.size(points) > 0, F.concat(context, F.lit(": "), F.array_join(F.slice(points, 1, 2), ", ")))
+    texts = ("nlp_summary", "classification_reason", "opinion_text", "cleaned_text", "text_original", "text_display")
+    told = F.array(field("nlp_insight_summary"), pointed, *[field(n) for n in texts])
+    told = F.transform(told, lambda t, i: F.struct(safe_text(t).alias("t"), i.alias("i")))
+    generic = lambda t: looks_garbled(t) | t.rlike("|".join(messages.GENERIC_PHRASES))
+    usable = F.filter(told, lambda x: (x["t"] != "") & ((x["i"] == 1) | ~generic(x["t"])))
+    return preview(F.coalesce(F.try_element_at(usable, F.lit(1))["t"], F.lit("")), limit)
+
+
+def comment_reason(text: Column, stage: Column, sentiment: Column, tokens: Column) -> Column:
+    """Sentence that names the stage of the journey and up to two subjects of a comment.
+
+    ``tokens``: words of the text, for comments that hold none of the known subjects.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    topic = F.when(contains_any(low, SMART_WORDS), "사용").otherwise(F.coalesce(F.nullif(stage, F.lit("")), F.lit("기타")))
+    subjects = F.array_compact(F.array(*[F.when(contains_any(low, markers), label) for markers, label in SUBJECTS]))
+    named = F.when(F.size(subjects) > 0, subjects).otherwise(F.array_distinct(tokens))
+    subject = F.coalesce(F.nullif(F.array_join(F.slice(named, 1, 2), ", "), F.lit("")), F.lit(messages.DEFAULT_SUBJECT))
+    patterns = messages.SUBJECT_REASONS
+    chain = F.when(sentiment == "negative", F.format_string(patterns["negative"], topic, subject)).when(sentiment == "positive", F.format_string(patterns["positive"], topic, subject))
+    return chain.otherwise(F.format_string(patterns["neutral"], topic, subject))
+
+
+def relevance_note(brand: Column, target: Column, kind: Column, score: Column) -> Column:
+    """Why a comment counts as relevant: brand, product and kind of opinion, else its score."""
+    names = messages.COMMENT_RELEVANCE
+    found = F.array_compact(
+        F.array(F.when(brand, names["brand"]), F.when(safe_text(target) != "", names["target"]), F.when(F.lower(safe_text(kind)).isin("complaint", "comparison", "preference"), names["kind"]))
+    )
+    value = F.coalesce(score.cast("double"), F.lit(0.0))
+    rest = F.when(value >= 0.45, F.format_string(names["score"], value)).otherwise(names["none"])
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise(rest)
+
+
 def claim_direction(low: Column) -> Column:
     """-1, 0 or 1: which pole the wording leans to."""
     neg, pos = hit_count(low, CLAIM_NEGATIVE), hit_count(low, CLAIM_POSITIVE)
@@ -144,23 +232,29 @@ def resolution_stage(stage: Column, tags: Column, low: Column, classification: C
 def resolution_evidence(cards: DataFrame, min_similar: int = 3) -> DataFrame:
     """Signal, stage, domain, evidence and the reasons why evidence may be insufficient, per card.
 
-    Reads the text, ``sentiment``, ``stage``, ``classification_type``, ``mixed_flag``, ``nlp_context_tags``,
-    ``similar_evidence`` (clauses of similar comments) and ``similar_count``.
+    Reads the texts, ``sentiment``, ``stage``, ``classification_type``, ``mixed_flag``, ``nlp_context_tags``,
+    ``nlp_core_points``, ``similar_evidence`` and ``similar_count`` (``similar.cluster_evidence``) and
+    ``video_evidence`` (clauses of the video, ``videos.video_signals``); what is missing counts as empty.
     """
     c = F.col
     none = F.array().cast("array<string>")
-    tags = F.lower(F.array_join(F.coalesce(pick(cards, ["nlp_context_tags"]).cast("array<string>"), none), " "))
-    similar = F.array_join(F.coalesce(pick(cards, ["similar_evidence"]).cast("array<string>"), none), " ")
-    text = safe_text(pick(cards, ["text_display", "cleaned_text"], F.lit("")))
-    corpus = F.concat_ws(" ", text, tags, F.when(c("sentiment") != "positive", similar))
-    out = cards.withColumns({"__tags": tags, "__corpus": F.lower(corpus), "__low": F.lower(text), "__clauses": split_clauses(text)})
+    words = lambda n: F.coalesce(pick(cards, [n]).cast("array<string>"), none)
+    joined = lambda a: F.lower(F.array_join(a, " "))
+    text = combined_text([pick(cards, [n], F.lit("")) for n in ("text_original", "translation", "cleaned_text", "text_display")])
+    corpus = F.concat_ws(" ", F.lower(text), joined(words("nlp_context_tags")), joined(words("nlp_core_points")), F.when(c("sentiment") != "positive", joined(words("similar_evidence"))))
+    out = cards.withColumn("__text", text)
+    out = out.withColumns({"__tags": joined(words("nlp_context_tags")), "__corpus": corpus, "__low": F.lower("__text"), "__clauses": split_clauses(c("__text"))})
     out = out.withColumn("signal_name", problem_signal(c("__corpus"), c("sentiment")))
+    clause = F.coalesce(representative_clause(c("__clauses"), c("sentiment")), F.lit(""))
     out = out.withColumns(
         {
             "__stage": resolution_stage(c("stage"), c("__tags"), c("__low"), F.coalesce(c("classification_type"), F.lit("")), c("signal_name")),
-            "representative_evidence": preview(F.coalesce(F.try_element_at(salient_clauses(c("__clauses"), 1), F.lit(1)), F.lit("")), 82),
+            "representative_evidence": preview(clause, 82),
+            "similar_evidence": words("similar_evidence"),
+            "secondary_concern": secondary_concern(c("__text"), c("sentiment")),
         }
     )
+    around = F.filter(F.transform(words("video_evidence"), lambda v: preview(v, 82)), lambda v: (v != "") & (v != c("representative_evidence")))
     mixed = F.coalesce("mixed_flag", F.lit(False)) | (c("sentiment") == "mixed")
     missing = {
         "journey_stage_missing": c("__stage.stage") == "",
@@ -172,11 +266,12 @@ def resolution_evidence(cards: DataFrame, min_similar: int = 3) -> DataFrame:
         {
             "resolved_stage": c("__stage.stage"), "stage_inferred": c("__stage.inferred"),
             "action_domain": action_domain(c("__stage.stage"), c("sentiment"), mixed, c("signal_name")),
+            "context_evidence": F.coalesce(F.try_element_at(around, F.lit(1)), F.lit("")),
             "insufficient_reasons": F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in missing.items()])),
         }
     )
     out = out.withColumn("insufficient_evidence", F.size("insufficient_reasons") > 0)
-    return out.drop("__tags", "__corpus", "__low", "__clauses", "__stage")
+    return out.drop("__text", "__tags", "__corpus", "__low", "__clauses", "__stage")
 
 
 def issue_strength(df: DataFrame, keywords: Column) -> Column:

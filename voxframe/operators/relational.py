@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,6 +98,44 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return out if rank else out.drop(name)
 
 
+@dataclass(frozen=True)
+class ListRule:
+    """A short list kept per group: the ``limit`` best of the values that rows bring in arrays.
+
+    Values count by the rows that hold them, or with ``points`` by the largest points of such a row.
+    """
+
+    values: Column
+    limit: int
+    points: Column | None = None
+
+
+def top_lists(df: DataFrame, keys: Sequence[str], row_id: str, rules: Mapping[str, ListRule]) -> DataFrame:
+    """One row per group with one array per rule, best value first.
+
+    All lists come from one unpivot to (key, kind, value), whose counts combine before the shuffle; the rows
+    beyond the limits go before the second one. Ties go to the value met in the smallest row id, then to the
+    smaller value. Null and empty values count for nothing.
+    """
+    def entries(name: str, rule: ListRule) -> Column:
+        points = F.lit(1.0) if rule.points is None else F.coalesce(rule.points, F.lit(0.0)).cast("double")
+        told = F.filter(F.coalesce(rule.values, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
+        return F.transform(told, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value"), F.lit(rule.points is None).alias("counted"), points.alias("points")))
+
+    each = unnest(df, F.concat(*[entries(n, r) for n, r in rules.items()]), "__e", *keys, F.col(row_id).alias("__id")).select(*keys, "__id", "__e.*")
+    summed = each.groupBy(*keys, "kind", "value").agg(
+        F.any_value("counted").alias("counted"), F.sum("points").alias("total"), F.max("points").alias("best"), F.min(F.struct((-F.col("points")).alias("p"), "__id")).alias("met")
+    )
+    summed = summed.withColumn("score", F.when(F.col("counted"), F.col("total")).otherwise(F.col("best")))
+    ranked = top_per_group(summed, [*keys, "kind"], [F.col("score").desc(), F.col("met.__id"), F.col("value")], max(r.limit for r in rules.values()), "__rank")
+
+    def chosen(name: str, rule: ListRule) -> Column:
+        own = (F.col("kind") == name) & (F.col("__rank") <= rule.limit)
+        return F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("__rank", "value")))), lambda s: s["value"]).alias(name)
+
+    return ranked.groupBy(*keys).agg(*[chosen(n, r) for n, r in rules.items()])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in the given order."""
     return top_per_group(df, keys, order, 1)

@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.functions.keywords import DEFAULT, KeywordRules, is_business_keyword, point_tokens, tokenize
 from voxframe.functions.markers import contains_any
 from voxframe.functions.scores import clamp, ratio
-from voxframe.functions.text import link_at_time, timestamp_label, timestamp_seconds
+from voxframe.functions.text import link_at_time, safe_text, timestamp_label, timestamp_seconds
+from voxframe.operators.cards import combined_text, row_summary, salient_clauses, split_clauses
 from voxframe.operators.descriptive import count_if
+from voxframe.operators.relational import ListRule, attach, top_lists
+from voxframe.operators.similar import POINT_ALIASES, POINT_NOISE
 from voxframe.rules import messages
 from voxframe.schemas import pick
 
@@ -122,36 +126,104 @@ def reaction_type(negative: Column, positive: Column, negative_impact: Column, p
     )
 
 
-def video_summary(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    """Counts, densities, impacts, reaction type and the moment the most liked comment names, per video.
+#: Columns from which a video's most liked comments are described.
+TOLD = ("nlp_insight_summary", "nlp_summary", "classification_reason", "opinion_text", "cleaned_text", "text_original", "text_display")
 
-    One aggregation: the most liked comment is a maximum, not a sort.
+
+def _points(comments: DataFrame, rules: KeywordRules) -> Column:
+    return point_tokens(F.coalesce(pick(comments, ["nlp_core_points"]).cast("array<string>"), F.array().cast("array<string>")), None, POINT_NOISE, POINT_ALIASES, rules)
+
+
+def _tags(comments: DataFrame) -> Column:
+    tags = F.coalesce(pick(comments, ["nlp_context_tags"]).cast("array<string>"), F.array().cast("array<string>"))
+    return F.filter(F.transform(tags, safe_text), lambda t: t != "")
+
+
+def _valid(comments: DataFrame) -> Column:
+    return F.coalesce(pick(comments, ["comment_validity"], F.lit("valid")), F.lit("valid")) == "valid"
+
+
+def video_signals(comments: DataFrame, keys: Sequence[str] = ("video_id",), points: int = 4, tags: int = 3, evidence: int = 3, rules: KeywordRules = DEFAULT) -> DataFrame:
+    """Context of each video from its valid comments: shares, most frequent points and tags, the telling clauses
+    of the most liked comments, and how many comments carry enrichment.
+
+    Two aggregations over all comments, both combined before their shuffle, so a video may own any share of them.
+    """
+    c = F.col
+    label = F.coalesce(pick(comments, ["sentiment_label"], F.lit("")), F.lit(""))
+    told = (F.size("__points") > 0) | (safe_text(pick(comments, ["nlp_summary"], F.lit(""))) != "") | (safe_text(pick(comments, ["nlp_sentiment_reason"], F.lit(""))) != "")
+    text = combined_text([pick(comments, [n], F.lit("")) for n in ("text_original", "cleaned_text", "text_display")])
+    rows = comments.where(_valid(comments)).withColumns(
+        {"__points": _points(comments, rules), "__tags": _tags(comments), "__likes": F.coalesce(pick(comments, ["like_count"]).cast("double"), F.lit(-1.0)), "__label": label}
+    )
+    rows = rows.withColumns({"__told": told, "__clause": salient_clauses(split_clauses(text), 1)})
+    shares = rows.groupBy(*keys).agg(
+        F.count("*").alias("count"), F.avg((c("__label") == "negative").cast("double")).alias("negative_share"), F.avg((c("__label") == "positive").cast("double")).alias("positive_share"),
+        F.avg(c("__told").cast("double")).alias("nlp_coverage"),
+    )
+    lists = top_lists(
+        rows, keys, "comment_id",
+        {"top_points": ListRule(c("__points"), points), "top_tags": ListRule(c("__tags"), tags), "evidence_clauses": ListRule(c("__clause"), evidence, c("__likes"))},
+    )
+    none = F.array().cast("array<string>")
+    out = attach(shares, lists, keys, null_safe=True, derived=True)
+    return out.withColumns({n: F.coalesce(n, none) for n in ("top_points", "top_tags", "evidence_clauses")})
+
+
+def card_signals(cards: DataFrame, comments: DataFrame, rules: KeywordRules = DEFAULT) -> DataFrame:
+    """Cards with the context of their video; a card whose video has no valid comment gets that of all comments."""
+    own = video_signals(comments, rules=rules)
+    names = [n for n in own.columns if n != "video_id"]
+    every = video_signals(comments.withColumn("__all", F.lit(1)), ["__all"], rules=rules).select("__all", F.struct(*names).alias("__every"))
+    out = attach(cards, own.select("video_id", F.struct(*names).alias("__own")), ["video_id"], derived=True)
+    out = attach(out.withColumn("__all", F.lit(1)), every, ["__all"], derived=True)
+    return out.select(*cards.columns, *[F.coalesce(F.col("__own")[n], F.col("__every")[n]).alias(n) for n in names])
+
+
+def video_summary(comments: DataFrame, videos: DataFrame, rules: KeywordRules = DEFAULT) -> DataFrame:
+    """Counts, densities, impacts, reaction type, what the comments name, and the moment they point to, per video.
+
+    The most liked comments are maxima, not sorts, and only they are described. Points and tags come from one
+    unpivot; words are counted only for videos whose comments carry neither.
     """
     c = F.col
-    validity = pick(comments, ["comment_validity"], F.lit("valid"))
     label = F.coalesce(pick(comments, ["sentiment_label"], F.lit("neutral")), F.lit("neutral"))
     likes = F.coalesce(pick(comments, ["like_count"]).cast("double"), F.lit(0.0))
     strength = F.coalesce(pick(comments, ["nlp_issue_strength_score"]).cast("double"), F.lit(0.0))
-    rows = comments.withColumns({"__l": label, "__likes": likes, "__s": strength, "__ok": validity == "valid", "__text": pick(comments, ["cleaned_text", "text_display"], F.lit(""))})
+    none = F.lit(None).cast("string")
+    rows = comments.withColumns({"__l": label, "__likes": likes, "__s": strength, "__ok": _valid(comments), "__points": _points(comments, rules), "__tags": _tags(comments)})
+    rows = rows.withColumn("__row", F.struct(*[pick(comments, [n], none).cast("string").alias(n) for n in TOLD], c("__points").alias("points"), c("__tags").alias("tags")))
     neg, pos = c("__l") == "negative", c("__l") == "positive"
-    best = lambda test: F.max_by(F.when(test & c("__ok"), c("__text")), F.when(test & c("__ok"), F.struct("__likes", "comment_id")))
+    order = F.struct("__likes", "comment_id")
+    best = lambda test: F.max_by(F.when(test & c("__ok"), c("__row")), F.when(test & c("__ok"), order))
+    validity = pick(comments, ["comment_validity"], F.lit("valid"))
     stats = rows.groupBy("video_id").agg(
         F.count("*").alias("comments"), count_if(pos).alias("positive_comments"), count_if(neg).alias("negative_comments"), count_if(c("__l") == "neutral").alias("neutral_comments"),
-        count_if(validity == "excluded").alias("excluded_comments"),
+        count_if(validity == "excluded").alias("excluded_comments"), count_if(c("__ok")).alias("__valid"),
         *[F.coalesce(F.sum(F.when(t, c("__likes"))), F.lit(0.0)).alias(f"__{n}_likes") for n, t in (("neg", neg), ("pos", pos))],
         *[F.coalesce(F.avg(F.when(t, c("__s"))), F.lit(0.0)).alias(f"__{n}_strength") for n, t in (("neg", neg), ("pos", pos))],
-        best(neg).alias("top_negative"), best(pos).alias("top_positive"), best(F.lit(True)).alias("__any"),
+        best(neg).alias("__negative"), best(pos).alias("__positive"), best(F.lit(True)).alias("__any"),
     )
-    impact = lambda n, k: F.round(c(k) + F.least(F.lit(20.0), c(f"__{n}_likes") / 20.0) + c(f"__{n}_strength") * 2.0, 3)
+    lists = top_lists(rows.where("__ok"), ["video_id"], "comment_id", {"top_points": ListRule(c("__points"), 3), "top_tags": ListRule(c("__tags"), 2)})
     out = videos.dropDuplicates(["video_id"]).join(stats, "video_id", "left")
-    counts = ("comments", "positive_comments", "negative_comments", "neutral_comments", "excluded_comments")
+    out = attach(out, lists, ["video_id"], derived=True)
+    empty = F.array().cast("array<string>")
+    out = out.withColumns({n: F.coalesce(n, empty) for n in ("top_points", "top_tags")})
+    out = _with_words(out, rows, rules)
+    impact = lambda n, k: F.round(c(k) + F.least(F.lit(20.0), c(f"__{n}_likes") / 20.0) + c(f"__{n}_strength") * 2.0, 3)
+    counts = ("comments", "positive_comments", "negative_comments", "neutral_comments", "excluded_comments", "__valid")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})
     base = F.greatest(F.lit(1), c("positive_comments") + c("negative_comments") + c("neutral_comments"))
+    said = lambda n: F.array_join(F.transform(F.array(*[c(n)[t] for t in ("text_original", "cleaned_text", "opinion_text", "text_display")]), safe_text), " ")
+    out = out.withColumns({f"{n}_said": said(n) for n in ("__negative", "__positive", "__any")})
+    told = lambda n: row_summary(lambda f: c(n)[f], F.slice(F.coalesce(c(n)["points"], empty), 1, 3), F.coalesce(c(n)["tags"], empty))
     out = out.withColumns(
         {
             "negative_density": c("negative_comments") / base, "positive_density": c("positive_comments") / base,
             "negative_impact": F.coalesce(impact("neg", "negative_comments"), F.lit(0.0)), "positive_impact": F.coalesce(impact("pos", "positive_comments"), F.lit(0.0)),
-            "timestamp_seconds": F.coalesce(*[timestamp_seconds(c(n)) for n in ("top_negative", "top_positive", "__any")]),
+            "timestamp_seconds": F.coalesce(*[timestamp_seconds(c(f"{n}_said")) for n in ("__negative", "__positive", "__any")]),
+            "top_negative": F.when(c("__negative").isNotNull(), told("__negative")), "top_positive": F.when(c("__positive").isNotNull(), told("__positive")),
+            "__other": F.when(c("__any").isNotNull(), told("__any")),
         }
     )
     out = out.withColumns(
@@ -159,15 +231,48 @@ def video_summary(comments: DataFrame, videos: DataFrame) -> DataFrame:
             "reaction_type": reaction_type(c("negative_comments"), c("positive_comments"), c("negative_impact"), c("positive_impact"), c("negative_density"), c("positive_density")),
             "mention_time": timestamp_label(c("timestamp_seconds")),
             "video_link": link_at_time(pick(videos, ["video_url"], F.lit("")), c("timestamp_seconds")),
+            "mention_points": _mentions(),
+            "basis_labels": _basis(),
         }
     )
-    return out.drop("__neg_likes", "__pos_likes", "__neg_strength", "__pos_strength", "__any")
+    return out.drop("__neg_likes", "__pos_likes", "__neg_strength", "__pos_strength", "__negative", "__positive", "__any", "__other", "__valid", "__words", "__negative_said", "__positive_said", "__any_said")
+
+
+def _with_words(summary: DataFrame, rows: DataFrame, rules: KeywordRules) -> DataFrame:
+    """Adds ``__words``: the most frequent keywords of videos whose comments have neither points nor tags."""
+    bare = summary.where((F.size("top_points") == 0) & (F.size("top_tags") == 0) & (F.coalesce("__valid", F.lit(0)) > 0)).select("video_id")
+    text = pick(rows, ["cleaned_text", "opinion_text"], F.lit(""))
+    usable = lambda t: is_business_keyword(t, rules) & (F.length(t) >= 2) & ~t.rlike(r"\d") & ~t.isin(*messages.BASIS_NOISE)
+    counted = attach(rows.where("__ok").select("video_id", "comment_id", text.alias("__text")), bare, ["video_id"], "inner", derived=True)
+    words = top_lists(counted, ["video_id"], "comment_id", {"__words": ListRule(F.filter(tokenize(F.col("__text"), rules), usable), 3)})
+    return attach(summary, words, ["video_id"], derived=True)
+
+
+def _mentions() -> Column:
+    """What the most liked comments say, and the points that most comments name."""
+    c, part, missing = F.col, messages.MENTION_PARTS, messages.MENTION_MISSING
+    text = lambda n, k: F.when(F.coalesce(c(n), F.lit("")) != "", F.concat(F.lit(part[k]), c(n)))
+    both = F.array_compact(F.array(text("top_negative", "negative"), text("top_positive", "positive")))
+    said = F.when(F.size(both) > 0, both).otherwise(F.array_compact(F.array(text("__other", "any"))))
+    points = F.when(F.size("top_points") > 0, F.concat(F.lit(part["points"]), F.array_join(F.slice("top_points", 1, 2), ", ")))
+    whole = F.array_join(F.concat(said, F.array_compact(F.array(points))), " | ")
+    return F.when(c("comments") == 0, missing["none"]).when(c("__valid") == 0, missing["invalid"]).when(whole == "", missing["silent"]).otherwise(whole)
+
+
+def _basis() -> Column:
+    """What the comments of a video have in common: tags, else points, else frequent words."""
+    c, missing = F.col, messages.BASIS_MISSING
+    pointed = F.transform(F.slice("top_points", 1, 2), lambda p: F.format_string(messages.BASIS_POINT, p))
+    words = F.coalesce(F.array_join("__words", ", "), F.lit(""))
+    return (
+        F.when(c("__valid") == 0, missing["none"]).when(F.size("top_tags") > 0, F.array_join("top_tags", ", ")).when(F.size("top_points") > 0, F.array_join(pointed, ", "))
+        .when(words != "", words).otherwise(missing["silent"])
+    )
 
 
 def negative_context(comments: DataFrame, time: str = "published_at") -> DataFrame:
     """Per topic and product: negative share, recurrence and the trend of its last two fortnights."""
     from voxframe.functions.scores import parse_time
-    from voxframe.operators.relational import attach
 
     c = F.col
     keys = ["topic_label", "product"]

@@ -79,3 +79,33 @@ RECURRENCE = ("지속 이슈", "일회성 신호")
 REACTIONS = {"negative": "부정 우세", "positive": "긍정 우세", "mixed": "혼합"}
 PRIORITY_BUCKETS = ("즉시 관리", "우선 관찰", "모니터링")
 STRENGTH_LEVELS = ("높음", "중간", "보통")
+
+# Texts of cards and of video summaries.
+SECONDARY_CONCERNS = (
+    (("남은시간", "잔여시간", "시간 표시"), "남은시간 표시 가시성이 낮아 사용 중 진행 상태 확인이 어려운 점은 별도 보완 과제로 관리"),
+    (("앱 연결", "연결", "wifi", "와이파이"), "앱 연결 안정성 관련 보완 요구가 있어 초기 연결 경험 개선을 병행 검토"),
+    (("소음", "시끄"), "전반 만족과 별개로 소음 체감 편차가 있어 사용 환경별 가이드 보완을 검토"),
+    (("불편", "아쉽"), "전체 만족은 높지만 일부 사용 불편 포인트가 있어 후속 개선 항목으로 분리 관리"),
+)
+GENERIC_PHRASES = (
+    "실제 불만이 명확하게 드러나", "만족감이나 추천 의사가 명확하여", "비즈니스 관점에서는", "부정으로 분류했습니다", "긍정으로 분류했습니다",
+    "중립으로 분류했습니다", "정보 공유 또는 중립적 관찰", "쿠팡 파트너스", "일정액의 수수료", "가격은 구매일자별로", "본 포스팅", "파트너스 활동의 일환",
+    "affiliate", "sponsored", "link in description",
+)
+DEFAULT_CONTEXT = "핵심 맥락"
+DEFAULT_SUBJECT = "핵심 사용 경험"
+SUBJECT_REASONS = {
+    "negative": "부정 포인트: %s 단계에서 %s에 대한 불만이 핵심입니다.",
+    "positive": "긍정 포인트: %s 단계에서 %s에 대한 만족감이 핵심입니다.",
+    "neutral": "중립 포인트: %s 단계에서 %s 관련 의견이 함께 언급됩니다.",
+}
+COMMENT_RELEVANCE = {
+    "brand": "LG 브랜드 언급", "target": "제품 타깃 매칭", "kind": "의견 유형 신호", "score": "관련성 점수 기반(%.2f)", "none": "관련 근거 부족",
+}
+MENTION_PARTS = {"negative": "부정: ", "positive": "긍정: ", "any": "혼합: ", "points": "핵심포인트: "}
+MENTION_MISSING = {
+    "none": "댓글 없음", "invalid": "유효 댓글이 부족해 언급 포인트를 계산하지 못했습니다.", "silent": "핵심 언급을 특정하기 어려워 원문 확인이 필요합니다.",
+}
+BASIS_MISSING = {"none": "근거 부족", "silent": "핵심 포인트 유사"}
+BASIS_POINT = "%s 포인트"
+BASIS_NOISE = ("번째", "이거", "이게", "그거", "그게", "진짜", "정말", "너무")
