@@ -91,12 +91,24 @@ def test_no_representative_is_insufficient(spark):
     assert all(r["insufficient_reasons"] == ["representative_link_missing"] for r in out)
 
 
+def _pairs(df, reps, **kw):
+    """Links and members joined again."""
+    classes, members = sm.similar_classes(df)
+    rep_classes, rep_members = sm.similar_classes(reps)
+    of = lambda rows: {k: {r["comment_id"] for r in rows if r["class_id"] == k} for k in {r["class_id"] for r in rows}}
+    inside, leading = of(members.collect()), of(rep_members.collect())
+    out = {}
+    for link in sm.similar_links(classes, rep_classes, **kw).collect():
+        for rep in leading[link["rep_class"]]:
+            out.setdefault(rep, set()).update(inside[link["class_id"]])
+    return out
+
+
 def test_similar_comments_keep_mixed_apart(spark):
     rows = [(f"c{i}", f"text {i}", "usage", "negative", i == 5, ["noise"]) for i in range(6)] + [("d", "other", "usage", "positive", False, ["noise"])]
     df = spark.createDataFrame(rows, "comment_id string, text_display string, journey_stage string, sentiment_final string, mixed_flag boolean, intent_tokens array<string>")
     df = df.withColumns({"direction": sm.direction(df), "like_count": F.lit(1)})
-    out = sm.similar_comments(df, df.where("comment_id in ('c0', 'c5', 'd')")).collect()
-    assert {r["rep_id"] for r in out} == {"c0"} and {r["comment_id"] for r in out} == {"c1", "c2", "c3", "c4"}
+    assert _pairs(df, df.where("comment_id in ('c0', 'c5', 'd')")) == {"c0": {"c1", "c2", "c3", "c4"}}
 
 
 def test_all_similar_comments_are_found(spark):
@@ -105,7 +117,23 @@ def test_all_similar_comments_are_found(spark):
         F.lit("negative").alias("direction"), F.array(F.lit("noise")).alias("intent_tokens"), F.col("id").alias("like_count"),
     )
     rep = df.where("comment_id = '0'")
-    assert sm.similar_comments(df, rep).count() == 59
+    assert _pairs(df, rep) == _pairs(df, rep, limit=0) == {"0": {str(i) for i in range(1, 60)}}
+
+
+def test_copies_of_a_comment_are_one_class(spark):
+    rows = [(f"c{i}", f"text {i % 5}", "usage", "negative", ["a", "b"] if i % 2 else ["b", "a"]) for i in range(500)] + [("x", "text 0", "usage", "negative", ["z"])]
+    df = spark.createDataFrame(rows, "comment_id string, text_display string, journey_stage string, direction string, intent_tokens array<string>").withColumn("like_count", F.lit(1))
+    classes, members = sm.similar_classes(df)
+    assert classes.count() == 6 and members.count() == 501
+    links = sm.similar_links(classes, classes).collect()
+    assert len(links) == 20 and {r["members"] for r in links} == {100} and {r["cluster_size"] for r in links} == {400}
+
+
+def test_evidence_of_a_cluster_counts_a_clause_once(spark):
+    rows = [("r", "c1", "loud", 5), ("r", "c2", "loud", 9), ("r", "c3", "hot", 7), ("r", "c4", None, 50), ("r", "c5", "slow", 7), ("r", "c6", "late", 1)]
+    links = spark.createDataFrame([(*r, 2, 12) for r in rows], "rep_class string, class_id string, evidence string, most_likes long, members long, cluster_size long")
+    (row,) = sm.cluster_evidence(links).collect()
+    assert row["similar_evidence"] == ["loud", "hot", "slow"] and row["similar_count"] == 12
 
 
 def test_topic_run(spark):

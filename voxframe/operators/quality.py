@@ -54,19 +54,19 @@ def representative_quality(df: DataFrame, text: str = "text_display", noise: Seq
     return total.withColumn("status", F.when((F.col("problematic") == 0) & (F.col("duplicate_texts") == 0), "PASS").otherwise("PARTIAL"))
 
 
-def cluster_integrity(similar: DataFrame, comments: DataFrame, representatives: DataFrame, pool_size: Column, share: float = 0.08, floor: int = 800) -> DataFrame:
-    """Per cluster: same stage and direction, shared axes, stated size equals rows, and not over-broad."""
+def cluster_integrity(links: DataFrame, classes: DataFrame, representatives: DataFrame, pool_size: Column, share: float = 0.08, floor: int = 800) -> DataFrame:
+    """Per cluster of ``similar.similar_links``: same stage and direction, shared tokens, stated size equals rows, and not over-broad."""
     c = F.col
-    facts = lambda df, p: df.select(c("comment_id").alias(f"{p}_id"), F.coalesce("journey_stage", F.lit("")).alias(f"{p}_stage"), c("direction").alias(f"{p}_dir"), c("judgment_axes").alias(f"{p}_axes"))
-    rows = similar.join(facts(comments, "c"), c("comment_id") == c("c_id"))
-    rows = attach(rows.withColumnRenamed("rep_id", "r_id"), facts(representatives, "r"), ["r_id"], "inner", derived=True)
+    facts = lambda df, p: df.select(c("class_id").alias(f"{p}_id"), c("journey").alias(f"{p}_stage"), c("direction").alias(f"{p}_dir"), c("tokens").alias(f"{p}_tokens"), c("members").alias(f"{p}_members"))
+    rows = attach(links.select(c("class_id").alias("c_id"), c("rep_class").alias("r_id"), "cluster_size"), facts(classes, "c"), ["c_id"], "inner", derived=True)
+    rows = attach(rows, facts(representatives, "r").drop("r_members"), ["r_id"], "inner", derived=True)
     out = rows.groupBy("r_id").agg(
-        F.count("*").alias("rows"), F.max("cluster_size").alias("cluster_size"),
+        F.sum("c_members").alias("rows"), F.max("cluster_size").alias("cluster_size"),
         F.bool_and(c("c_stage") == c("r_stage")).alias("same_journey"), F.bool_and(c("c_dir") == c("r_dir")).alias("same_direction"),
-        F.bool_and((F.size("r_axes") == 0) | F.arrays_overlap("c_axes", "r_axes")).alias("shared_axes"),
+        F.bool_and(F.arrays_overlap("c_tokens", "r_tokens")).alias("shared_tokens"),
     )
     limit = F.greatest(F.floor(pool_size * share), F.lit(floor))
-    return out.withColumns({"counts_match": c("rows") == c("cluster_size"), "over_broad": c("cluster_size") >= limit}).withColumnRenamed("r_id", "rep_id")
+    return out.withColumns({"counts_match": c("rows") == c("cluster_size"), "over_broad": c("cluster_size") >= limit}).withColumnRenamed("r_id", "rep_class")
 
 
 def prefix_repetition(df: DataFrame, text: str, size: int, limit: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.keywords import DEFAULT, KeywordRules, point_tokens
 from voxframe.functions.text import safe_text
-from voxframe.operators.relational import attach, is_small
+from voxframe.operators.relational import BROADCAST_BYTES, ListRule, attach, is_small, top_lists
 from voxframe.rules import display
 from voxframe.schemas import pick
 
@@ -62,48 +62,70 @@ def intent_tokens(df: DataFrame, rules: KeywordRules = DEFAULT) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
-def similar_comments(
-    pool: DataFrame,
-    representatives: DataFrame,
-    tokens: str = "intent_tokens",
-    journey: str = "journey_stage",
-    text: str = "text_display",
-    min_cluster: int = 3,
-) -> DataFrame:
-    """Pairs of a representative and each comment with its journey, direction and a shared token.
+def similar_classes(
+    comments: DataFrame, tokens: str = "intent_tokens", journey: str = "journey_stage", text: str = "text_display", evidence: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Classes of comments that no rule of similarity can tell apart, and which class each comment is in.
 
-    Both frames carry ``comment_id``, the text, the token array and ``direction``. Representatives are few
-    (the best of each polarity): while their estimate is small they are broadcast and matched per comment.
-    Otherwise both sides meet by token. Clusters below ``min_cluster`` are dropped.
+    A class is a journey stage, a direction, a set of tokens and a text (by its digest). Its id is a digest of
+    these, so it is the same in every run. ``classes`` has one row for each with ``members`` and the most likes;
+    ``evidence`` names a column that follows from the text and is carried along. Comments without a text are in none.
     """
     c = F.col
-    reps = representatives.select(
-        c("comment_id").alias("rep_id"), c(journey).alias("__journey"), c("direction").alias("__direction"),
-        c(tokens).alias("__rep_tokens"), safe_text(c(text)).alias("__rep_text"),
+    rows = comments.where(safe_text(c(text)) != "").select(
+        "comment_id", F.coalesce(c(journey), F.lit("")).alias("journey"), c("direction").alias("direction"), F.array_sort(F.array_distinct(tokens)).alias("tokens"),
+        F.md5(safe_text(c(text))).alias("text_digest"), F.coalesce(c("like_count"), F.lit(0)).alias("like_count"), *([c(evidence).alias("evidence")] if evidence else []),
     )
-    rows = pool.where(safe_text(c(text)) != "").select(
-        "comment_id", c(journey).alias("__journey"), c("direction").alias("__direction"), c(tokens).alias("__tokens"),
-        safe_text(c(text)).alias("text"), F.coalesce(c("like_count"), F.lit(0)).alias("like_count"),
+    parts = [c("journey"), c("direction"), F.array_join("tokens", "\x1f"), c("text_digest")]
+    rows = rows.withColumn("class_id", F.md5(F.concat_ws("\x1e", *parts)))
+    kept = [F.any_value(n).alias(n) for n in ("journey", "direction", "tokens", "text_digest", *(["evidence"] if evidence else []))]
+    classes = rows.groupBy("class_id").agg(*kept, F.count("*").alias("members"), F.max("like_count").alias("most_likes"))
+    return classes, rows.select("comment_id", "class_id")
+
+
+def similar_links(classes: DataFrame, representatives: DataFrame, min_cluster: int = 3, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Links between the classes of representatives and the classes similar to them.
+
+    Both are classes of :func:`similar_classes`. Linked are classes of the same journey and direction that share a
+    token and differ in text, so no comment meets itself or its own copies. Each link stands for all pairs of
+    members; ``members`` is the number of comments in ``class_id`` and ``cluster_size`` that over all links of
+    ``rep_class``. Clusters below ``min_cluster`` are dropped. Representatives up to ``limit`` bytes are broadcast
+    and matched per class; beyond it both sides meet by token.
+    """
+    c = F.col
+    reps = representatives.select(
+        c("class_id").alias("rep_class"), c("journey").alias("__journey"), c("direction").alias("__direction"), c("tokens").alias("__rep_tokens"), c("text_digest").alias("__rep_text")
     )
+    rows = classes.withColumnsRenamed({"journey": "__journey", "direction": "__direction"})
     keys = ["__journey", "__direction"]
-    if is_small(reps):
-        pairs = attach(rows, reps, keys, "inner").where(F.arrays_overlap("__tokens", "__rep_tokens"))
+    if is_small(reps, limit):
+        linked = attach(rows, reps, keys, "inner", limit=limit).where(F.arrays_overlap("tokens", "__rep_tokens") & (c("text_digest") != c("__rep_text")))
     else:
-        by_token = rows.withColumn("__token", F.explode("__tokens"))
-        rep_tokens = reps.withColumn("__token", F.explode("__rep_tokens"))
-        pairs = attach(by_token, rep_tokens, [*keys, "__token"], "inner").drop("__token").dropDuplicates(["rep_id", "comment_id"])
-    pairs = pairs.where((c("comment_id") != c("rep_id")) & (c("text") != c("__rep_text")))
-    sizes = pairs.groupBy("rep_id").agg(F.count("*").alias("cluster_size")).where(c("cluster_size") >= min_cluster)
-    return attach(pairs, sizes, ["rep_id"], "inner", derived=True).select("rep_id", "comment_id", "text", "like_count", "cluster_size")
+        by_token = rows.select("class_id", *keys, "text_digest", F.explode("tokens").alias("__token"))
+        rep_tokens = reps.select("rep_class", *keys, "__rep_text", F.explode("__rep_tokens").alias("__token"))
+        met = attach(by_token, rep_tokens, [*keys, "__token"], "inner", derived=True).where(c("text_digest") != c("__rep_text"))
+        linked = attach(met.select("rep_class", "class_id").distinct(), classes, ["class_id"], "inner", derived=True)
+    sizes = linked.groupBy("rep_class").agg(F.sum("members").alias("cluster_size")).where(c("cluster_size") >= min_cluster)
+    carried = [n for n in ("evidence",) if n in classes.columns]
+    return attach(linked, sizes, ["rep_class"], "inner", derived=True).select("rep_class", "class_id", "members", "most_likes", "cluster_size", *carried)
 
 
-def cluster_sizes(representatives: DataFrame, similar: DataFrame) -> DataFrame:
+def cluster_sizes(representatives: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """Cluster size and evidence flag of every representative, also of those without a cluster."""
-    counts = similar.groupBy(F.col("rep_id").alias("comment_id")).agg(F.count("*").alias("cluster_size"))
-    out = representatives.select("comment_id").join(counts, "comment_id", "left")
-    return out.withColumns(
-        {"cluster_size": F.coalesce("cluster_size", F.lit(0)), "insufficient_evidence": F.col("cluster_size").isNull()}
-    )
+    counts = links.groupBy(F.col("rep_class").alias("class_id")).agg(F.first("cluster_size").alias("cluster_size"))
+    placed = attach(representatives.select("comment_id"), members, ["comment_id"], derived=True)
+    out = attach(placed, counts, ["class_id"], derived=True)
+    return out.select("comment_id", F.coalesce("cluster_size", F.lit(0)).alias("cluster_size"), F.col("cluster_size").isNull().alias("insufficient_evidence"))
+
+
+def cluster_evidence(links: DataFrame, limit: int = 3) -> DataFrame:
+    """Per representative class the ``limit`` best different clauses of its cluster, those of the most liked texts first.
+
+    ``links`` carry ``evidence``, the most telling clause of a text; a clause that several texts share counts once.
+    """
+    rule = ListRule(F.array("evidence"), limit, F.col("most_likes"))
+    sizes = links.groupBy("rep_class").agg(F.first("cluster_size").alias("similar_count"))
+    return attach(sizes, top_lists(links, ["rep_class"], "class_id", {"similar_evidence": rule}), ["rep_class"], derived=True)
 
 
 def ids_to_texts(df: DataFrame, ids: str, comments: DataFrame, key: Sequence[str], text: str = "text_display", limit: int = 3) -> DataFrame:

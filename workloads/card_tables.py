@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxframe.functions.keywords import KeywordRules
+from voxframe.functions.text import preview
 from voxframe.operators import cards as cd
+from voxframe.operators import similar as sm
 from voxframe.operators import videos as vd
+from voxframe.operators.relational import attach, top_per_group
 from voxframe.rules import messages
+from voxframe.session import materialize
 from workloads.bindings import DOCS, comments, sql_any, with_sql
 from workloads.registry import query
 
@@ -143,3 +147,93 @@ def relevance_notes(spark, sf):
     c = comments(spark, sf)
     target, kind = F.when(F.col("product") == "en", "washer"), F.when(F.col("reply_count") == 2, "Complaint").otherwise("other")
     return c.select("comment_id", cd.relevance_note(F.col("region") == "R0", target, kind, F.coalesce("like_count", F.lit(0)) / 41.0).alias("note"))
+
+
+# Evidence of cards: the SQL pairs every representative with every similar comment, then merges their clauses.
+PAINED = "sentiment IN ('negative', 'mixed')"
+
+
+def signal_sql(corpus: str) -> str:
+    has = lambda words: sql_any(corpus, words)
+    rest = " ".join(f"WHEN {has(markers)} THEN '{name}'" for name, markers in cd.SIGNALS)
+    return f"""CASE WHEN sentiment = 'positive' AND {has(cd.ADVOCACY_WORDS)} THEN 'advocacy_signal' WHEN {PAINED} AND {has(cd.MANUAL_WORDS)} THEN 'manual_intervention'
+  WHEN {has(cd.ODOR_WORDS)} AND NOT {has(cd.ODOR_CLEAR)} AND ({has(cd.ODOR_NEGATIVE)} OR {PAINED}) THEN 'odor_leakage' {rest} ELSE 'general_experience' END"""
+
+
+def domain_sql() -> str:
+    points = {d: ["0"] for d in cd.DOMAINS}
+    for stage, weights in cd.STAGE_DOMAINS.items():
+        for domain, value in weights:
+            points[domain].append(f"{value} * (stage = '{stage}')::INT")
+    for name, (domain, value) in cd.SIGNAL_DOMAINS.items():
+        points[domain].append(f"{value} * (signal_name = '{name}')::INT")
+    known = ", ".join(f"'{stage}'" for stage in cd.STAGE_DOMAINS)
+    points["operations / service"] += [f"(stage NOT IN ({known}))::INT", "(sentiment = 'negative')::INT"]
+    points["marketing / message"].append("(sentiment = 'positive')::INT")
+    points["UX / guide"].append("(sentiment = 'mixed')::INT")
+    sums = {d: "(" + " + ".join(p) + ")" for d, p in points.items()}
+    best = f"greatest({', '.join(sums.values())})"
+    return "CASE " + " ".join(f"WHEN {p} = {best} THEN '{d}'" for d, p in sums.items()) + " END"
+
+
+LOW = "lower(p)"
+FITTING = f"""round(least(length(p), 120) / 120::DOUBLE + CASE sentiment WHEN 'positive' THEN CASE WHEN {sql_any(LOW, cd.PRAISE_WORDS)} THEN 2.2::DOUBLE ELSE 0 END - CASE WHEN {sql_any(LOW, cd.COMPLAINT_WORDS)} THEN 1.6::DOUBLE ELSE 0 END
+  + CASE WHEN {sql_any(LOW, cd.NO_COMPLAINT)} THEN 0.8::DOUBLE ELSE 0 END WHEN 'negative' THEN CASE WHEN {sql_any(LOW, cd.COMPLAINT_WORDS)} THEN 2.2::DOUBLE ELSE 0 END ELSE 0 END
+  + CASE WHEN regexp_matches(p, '\\d') THEN 0.2::DOUBLE ELSE 0 END, 9)"""
+CARD_STAGE = "CASE WHEN region = 'R0' THEN '사용' ELSE '' END"
+EVIDENCE = with_sql(
+    DOCS,
+    TOLD,
+    f"""card AS (SELECT *, sentiment_label AS sentiment, {CARD_STAGE} AS direct, CASE WHEN region = 'R1' THEN 'comparison' ELSE 'complaint' END AS kind, CAST(reply_count AS VARCHAR) AS replies, {SAFE.format("text")} AS safe
+  FROM told JOIN (SELECT comment_id, reply_count FROM docs) USING (comment_id))""",
+    clause_sql("card"),
+    f"""salient AS (SELECT comment_id, {sql_preview("p", 78)} AS evidence FROM (SELECT comment_id, p, row_number() OVER (PARTITION BY comment_id ORDER BY {SALIENT} DESC, i) AS r FROM clauses) WHERE r = 1)""",
+    """lead AS (SELECT * FROM card WHERE safe <> '' QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY like_count DESC NULLS LAST, comment_id) <= 6)""",
+    """near AS (SELECT l.comment_id AS lead, c.comment_id, c.like_count, md5(concat_ws(chr(30), c.direct, c.sentiment, array_to_string(list_sort([coalesce(c.product, '-'), 'n' || c.replies]), chr(31)), md5(c.safe))) AS class_id
+  FROM lead l JOIN card c ON c.direct = l.direct AND c.sentiment = l.sentiment AND (coalesce(c.product, '-') = coalesce(l.product, '-') OR c.replies = l.replies) AND c.safe <> l.safe AND c.safe <> '')""",
+    """sized AS (SELECT lead, count(*) AS n FROM near GROUP BY 1 HAVING count(*) >= 3)""",
+    """liked AS (SELECT lead, class_id, any_value(evidence) AS evidence, max(coalesce(like_count, 0)) AS likes FROM near JOIN salient USING (comment_id) WHERE lead IN (SELECT lead FROM sized) GROUP BY 1, 2)""",
+    """merged AS (SELECT lead, list(evidence ORDER BY r) AS alike FROM (SELECT lead, evidence, row_number() OVER (PARTITION BY lead ORDER BY max(likes) DESC, min({'l': -likes, 'c': class_id}).c, evidence) AS r FROM liked GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1)""",
+    f"""vfirst AS (SELECT comment_id, p FROM (SELECT comment_id, p, row_number() OVER (PARTITION BY comment_id ORDER BY {SALIENT} DESC, i) AS r FROM clauses) WHERE r = 1),
+vev AS (SELECT video_id, list({sql_preview("p", 82)} ORDER BY r) AS around FROM (
+  SELECT video_id, p, row_number() OVER (PARTITION BY video_id ORDER BY min({{'l': -coalesce(like_count, -1), 'id': comment_id}}), p) AS r FROM vfirst JOIN card USING (comment_id) WHERE comment_validity = 'valid' GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1)""",
+    f"""picked AS (SELECT comment_id, {sql_preview("p", 82)} AS evidence FROM (SELECT comment_id, p, row_number() OVER (PARTITION BY comment_id ORDER BY {FITTING} DESC, i) AS r FROM clauses JOIN card USING (comment_id)) WHERE r = 1)""",
+    """joined AS (SELECT card.*, coalesce(picked.evidence, '') AS evidence, coalesce(merged.alike, []) AS alike, coalesce(sized.n, 0) AS similar_count, coalesce(vev.around, []) AS around,
+  concat_ws(' ', lower(safe), lower(array_to_string(tags, ' ')), lower(array_to_string(points, ' ')), CASE WHEN sentiment <> 'positive' THEN lower(array_to_string(coalesce(merged.alike, []), ' ')) END) AS corpus
+  FROM card LEFT JOIN picked USING (comment_id) LEFT JOIN merged ON merged.lead = card.comment_id LEFT JOIN sized ON sized.lead = card.comment_id LEFT JOIN vev USING (video_id))""",
+    f"signalled AS (SELECT *, {signal_sql('corpus')} AS signal_name FROM joined)",
+    f"""staged AS (SELECT *, CASE WHEN direct <> '' THEN direct WHEN {sql_any("lower(safe)", ("배송", "설치", "방문"))} THEN '배송' WHEN signal_name = 'service_response_gap' THEN '관리' WHEN signal_name = 'pricing_contract_gap' THEN '구매'
+  WHEN kind IN ('comparison', 'informational') THEN '탐색' WHEN kind = 'preference' THEN '결정'
+  WHEN signal_name IN ('manual_intervention', 'odor_leakage', 'reliability_failure', 'consumable_burden', 'onboarding_guide_gap') THEN '사용' ELSE '' END AS stage FROM signalled)""",
+)
+CONCERN = "CASE WHEN sentiment <> 'positive' THEN '' " + " ".join(f"WHEN {sql_any('lower(safe)', markers)} THEN '{note}'" for markers, note in messages.SECONDARY_CONCERNS) + " ELSE '' END"
+
+
+@query("resolution_evidence", EVIDENCE + f"""SELECT comment_id, signal_name, stage AS resolved_stage, direct = '' AND stage <> '' AS stage_inferred, {domain_sql()} AS action_domain, evidence AS representative_evidence,
+  array_to_string(alike, ' | ') AS similar_evidence, similar_count, coalesce(list_filter(around, lambda a: a <> '' AND a <> evidence)[1], '') AS context_evidence, {CONCERN} AS secondary_concern,
+  concat_ws(',', CASE WHEN stage = '' THEN 'journey_stage_missing' END, CASE WHEN direct = '' AND stage <> '' THEN 'journey_stage_inferred_fallback' END,
+    CASE WHEN evidence = '' THEN 'representative_evidence_missing' END, CASE WHEN similar_count < 3 THEN 'similar_signal_lt_3' END) AS insufficient_reasons FROM staged""")
+def resolution_evidence(spark, sf):
+    """All comments as cards; the six best-liked of each polarity bring the clauses of the comments similar to them."""
+    stage = F.when(F.col("region") == "R0", "사용").otherwise("")
+    rows = told(spark, sf).withColumns(
+        {
+            "text_display": F.col("text"), "sentiment": F.col("sentiment_label"), "stage": stage, "classification_type": F.when(F.col("region") == "R1", "comparison").otherwise("complaint"),
+            "mixed_flag": F.lit(False), "direction": F.col("sentiment_label"), "tokens": F.array(F.coalesce("product", F.lit("-")), F.concat(F.lit("n"), F.col("reply_count").cast("string"))),
+        }
+    )
+    rows = rows.drop("cleaned_text").withColumn("clause", preview(F.coalesce(F.try_element_at(cd.salient_clauses(cd.split_clauses(F.col("text")), 1), F.lit(1)), F.lit("")), 78))
+    rows = materialize(rows)
+    order = [F.col("like_count").desc_nulls_last(), F.col("comment_id")]
+    leads = top_per_group(rows.where(F.trim("text") != ""), ["sentiment"], order, 6)
+    classes, _ = sm.similar_classes(rows, "tokens", "stage", "text", "clause")
+    lead_classes, lead_members = sm.similar_classes(leads, "tokens", "stage", "text")
+    found = sm.cluster_evidence(sm.similar_links(materialize(classes), lead_classes))
+    similar = attach(lead_members.withColumnRenamed("class_id", "rep_class"), found, ["rep_class"], "inner", derived=True).drop("rep_class")
+    around = vd.video_signals(rows, rules=BARE).select("video_id", F.col("evidence_clauses").alias("video_evidence"))
+    cards = attach(attach(rows, similar, ["comment_id"], derived=True), around, ["video_id"], derived=True)
+    out = cd.resolution_evidence(cards)
+    return out.select(
+        "comment_id", "signal_name", "resolved_stage", "stage_inferred", "action_domain", "representative_evidence", F.array_join("similar_evidence", " | ").alias("similar_evidence"),
+        F.coalesce("similar_count", F.lit(0)).alias("similar_count"), "context_evidence", "secondary_concern", F.array_join("insufficient_reasons", ",").alias("insufficient_reasons"),
+    )

@@ -17,7 +17,7 @@ from voxframe.sources import readers, writers
 from voxframe.streaming import incremental as inc
 from workloads.bindings import DOCS, EV, VIDEOS, comments, labelled_events, table, videos, with_sql
 from workloads.registry import query
-from workloads.strategy_tables import SIMILAR, STRATEGY, _similar, representatives, truth_rows
+from workloads.strategy_tables import CLASSES, STRATEGY, _similar, representatives, truth_rows
 
 # Pages ----------------------------------------------------------------------------------------------
 
@@ -304,14 +304,15 @@ def dq_prefix(spark, sf):
     return qa.prefix_repetition(comments(spark, sf), "text", 36, 0.25)
 
 
-@query("dq_clusters", SIMILAR + """
-SELECT rep_id, count(*) AS rows, count(*) AS cluster_size, true AS same_journey, true AS same_direction, true AS counts_match, count(*) >= greatest(floor((SELECT count(*) FROM truth) * 0.08), 20) AS over_broad
-FROM pairs GROUP BY 1 HAVING count(*) >= 3""")
+@query("dq_clusters", CLASSES + """
+SELECT r.class_id AS rep_class, CAST(count(DISTINCT b.comment_id) AS BIGINT) AS rows, max(b.cluster_size) AS cluster_size, bool_and(coalesce(x.journey_stage, '') = coalesce(y.journey_stage, '')) AS same_journey,
+  bool_and(x.dir = y.dir) AS same_direction, bool_and(list_has_any(x.toks, y.toks)) AS shared_tokens, count(DISTINCT b.comment_id) = max(b.cluster_size) AS counts_match,
+  max(b.cluster_size) >= greatest(floor((SELECT count(*) FROM truth) * 0.08), 20) AS over_broad
+FROM big b JOIN cl r ON r.comment_id = b.rep_id JOIN tk x ON x.comment_id = b.rep_id JOIN tk y ON y.comment_id = b.comment_id GROUP BY 1""")
 def dq_clusters(spark, sf):
     rows, reps = _similar(spark, sf)
-    similar = materialize(sm.similar_comments(sm.source_pool(rows), reps))
-    out = qa.cluster_integrity(similar, rows, reps, rows.agg(F.count("*")).scalar(), floor=20)
-    return out.drop("shared_axes")
+    classes, rep_classes = (materialize(sm.similar_classes(df)[0]) for df in (sm.source_pool(rows), reps))
+    return qa.cluster_integrity(sm.similar_links(classes, rep_classes), classes, rep_classes, rows.agg(F.count("*")).scalar(), floor=20)
 
 
 @query("dq_strategy", with_sql(*STRATEGY) + """

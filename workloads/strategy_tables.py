@@ -208,20 +208,38 @@ def _similar(spark, sf):
     return rows, representatives(rows)
 
 
-@query("similar_comments", SIMILAR + "SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluster_size FROM pairs QUALIFY cluster_size >= 3")
-def similar_comments(spark, sf):
+# The pairs of comments, brute force, folded into classes: a class is a stage, a direction, a token set and a text.
+CLASSES = SIMILAR + """,
+cl AS (SELECT comment_id, text, md5(concat_ws(chr(30), coalesce(journey_stage, ''), dir, array_to_string(list_sort(toks), chr(31)), md5(trim(text)))) AS class_id, analysis_included AND hygiene_class <> 'trash' AS pooled
+  FROM tk WHERE text <> ''),
+big AS (SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluster_size FROM pairs QUALIFY cluster_size >= 3)
+"""
+LINKS = CLASSES + """SELECT DISTINCT r.class_id AS rep_class, c.class_id, cluster_size, count(DISTINCT b.comment_id) OVER (PARTITION BY b.rep_id, c.class_id) AS members
+FROM big b JOIN cl r ON r.comment_id = b.rep_id JOIN cl c ON c.comment_id = b.comment_id"""
+
+
+def _links(spark, sf, **kw):
     rows, reps = _similar(spark, sf)
-    return sm.similar_comments(sm.source_pool(rows), reps).select("rep_id", "comment_id", "cluster_size")
+    classes, rep_classes = (materialize(sm.similar_classes(df)[0]) for df in (sm.source_pool(rows), reps))
+    return sm.similar_links(classes, rep_classes, **kw).select("rep_class", "class_id", "cluster_size", "members")
 
 
-@query("similar_comments_by_token", SIMILAR + "SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluster_size FROM pairs QUALIFY cluster_size >= 3")
+@query("similar_comments", LINKS)
+def similar_comments(spark, sf):
+    return _links(spark, sf)
+
+
+@query("similar_comments_by_token", LINKS)
 def similar_comments_by_token(spark, sf):
-    """The same pairs on the path for representatives too many to broadcast."""
-    from unittest import mock
+    """The same links on the path for representatives too many to broadcast."""
+    return _links(spark, sf, limit=0)
 
-    rows, reps = _similar(spark, sf)
-    with mock.patch.object(sm, "is_small", lambda df: False):
-        return sm.similar_comments(sm.source_pool(rows), reps).select("rep_id", "comment_id", "cluster_size")
+
+@query("similar_members", CLASSES + "SELECT comment_id, class_id FROM cl WHERE pooled")
+def similar_members(spark, sf):
+    """Which class each comment of the pool is in; with the links, all pairs of similar comments."""
+    rows, _ = _similar(spark, sf)
+    return sm.similar_classes(sm.source_pool(rows))[1]
 
 
 @query("similar_cluster_sizes", SIMILAR + """
@@ -229,4 +247,6 @@ SELECT r.comment_id, coalesce(n, 0) AS cluster_size, n IS NULL AS insufficient_e
 LEFT JOIN (SELECT rep_id, count(*) AS n FROM pairs GROUP BY 1 HAVING count(*) >= 3) p ON p.rep_id = r.comment_id""")
 def similar_cluster_sizes(spark, sf):
     rows, reps = _similar(spark, sf)
-    return sm.cluster_sizes(reps, sm.similar_comments(sm.source_pool(rows), reps))
+    classes, _ = sm.similar_classes(sm.source_pool(rows))
+    rep_classes, members = sm.similar_classes(reps)
+    return sm.cluster_sizes(reps, members, sm.similar_links(classes, rep_classes))

@@ -227,15 +227,6 @@ def problem_signals(spark, sf):
     return c.select("comment_id", cd.problem_signal(F.col("b"), F.col("sentiment_label")).alias("signal_name"))
 
 
-@query("resolution_evidence")
-def resolution_evidence(spark, sf):
-    c = comments(spark, sf).select(
-        "comment_id", F.col("text").alias("text_display"), F.col("sentiment_label").alias("sentiment"), F.when(F.col("region") == "R0", "사용").otherwise("").alias("stage"),
-        F.when(F.col("region") == "R1", "comparison").otherwise("complaint").alias("classification_type"), F.lit(False).alias("mixed_flag"), F.col("reply_count").alias("similar_count"),
-    )
-    return cd.resolution_evidence(c).select("comment_id", "signal_name", "resolved_stage", "stage_inferred", "action_domain", "representative_evidence", "insufficient_reasons")
-
-
 DOMAIN_POINTS = {
     "product": "2 * (stage = '사용')::INT + (stage IN ('관리', '교체'))::INT + 3 * (sig = 'odor_leakage')::INT",
     "operations / service": "3 * (stage = '배송')::INT + 2 * (stage = '관리')::INT + (stage = '기타')::INT + (sentiment_label = 'negative')::INT",
