@@ -1,8 +1,14 @@
 """Keyword patterns as tables: growth of seed pairs, support, conflicts, choice and quality rules.
 
+Support and overlap come from one inverted index: for each keyword and each run of 32,768 comments a bitmap of the
+comments that hold it. A pattern's comments are the meet of the bitmaps of its seeds with the join of those of its
+context, an overlap is the number of bits that two patterns share. So what is shuffled is the exploded keywords once and
+bitmaps after that; no array of tokens is copied, and no rows arise for pairs of patterns within a comment or keyword.
+
 A choice among overlapping rows is an independent set in rank order: a row is taken unless a better one that is taken
 conflicts with it. The table form needs no loop over rows. In each round every undecided row without a better undecided
-rival is taken, and what conflicts with it is out; all rows that are best among their rivals are settled at once.
+rival is taken, and what conflicts with it is out; all rows that are best among their rivals are settled at once. Once the
+conflicts left are few, one task settles them in order, so that a long chain does not take a round for each link.
 """
 
 from __future__ import annotations
@@ -10,14 +16,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.mining import DEFAULT, MiningRules, comment_keywords, cooccurrence, seed_pairs
-from voxframe.operators.relational import jaccard, top_per_group, unnest
+from voxframe.operators.relational import attach, top_per_group, unnest
 from voxframe.session import materialize
 
 
+#: Conflicts that one task settles by itself.
+SETTLED = 200_000
+
+
+# The limits that must hold for results to be right.
 @dataclass(frozen=True)
 class PatternLimits:
     """Every limit of the pattern run, the same for any number of comments."""
@@ -91,23 +104,113 @@ def expanded_seeds(pairs: DataFrame, arrays: DataFrame, limits: PatternLimits =
     return whole.distinct()
 
 
-def pattern_comments(patterns: DataFrame, arrays: DataFrame, rules: MiningRules = DEFAULT) -> DataFrame:
-    """``pattern_id, comment_id, overlap``: comments with both seed words and, if the set has any, a word that is not abstract."""
+def numbered(arrays: DataFrame) -> DataFrame:
+    """Comments with a ``number`` from 1 on that is dense within the task that gave it, written so that it stays."""
+    return materialize(arrays.withColumn("number", F.monotonically_increasing_id() + 1))
+
+
+def _bitmaps(members: DataFrame, *keys: str) -> DataFrame:
+    """``bucket, keys, bits`` of ``members(number, keys)``: which numbers of a run of 32,768 a key has."""
+    return members.groupBy(F.bitmap_bucket_number("number").alias("bucket"), *keys).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def _words_of(table: pa.Table) -> np.ndarray:
+    """Bitmaps of a group as rows of 64-bit words."""
+    return np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(table), -1)
+
+
+def pattern_bitmaps(patterns: DataFrame, comments: DataFrame, rules: MiningRules = DEFAULT) -> DataFrame:
+    """``pattern_id, bucket, hits, bits``: the numbers of the comments with both seed words of a pattern and, if its set
+    has any, a word that is not abstract. ``comments`` come from :func:`numbered`."""
     context = F.filter("keyword_set", lambda t: ~_abstract(t, rules))
-    wanted = patterns.select("pattern_id", "seed_a", "seed_b", "keyword_set", context.alias("context"))
-    words = arrays.select("comment_id", F.array_distinct("tokens").alias("tokens"))
-    first = words.select("comment_id", "tokens", F.explode("tokens").alias("seed_a"))
-    met = first.join(wanted, "seed_a").where(F.array_contains("tokens", F.col("seed_b")) & ((F.size("context") == 0) | F.arrays_overlap("tokens", "context")))
-    return met.select("pattern_id", "comment_id", F.size(F.array_intersect("tokens", "keyword_set")).alias("overlap"))
+    needs = patterns.select("pattern_id", "seed_a", "seed_b", context.alias("context"))
+    entry = lambda t, seed: F.struct(t.alias("token"), F.lit(seed).alias("seed"))
+    entries = F.concat(F.array(entry(F.col("seed_a"), True), entry(F.col("seed_b"), True)), F.transform("context", lambda t: entry(t, False)))
+    needs = needs.select(F.col("pattern_id").cast("long").alias("pattern_id"), F.size("context").alias("choices"), F.explode(entries).alias("e")).select("pattern_id", "choices", "e.*")
+    words = unnest(comments, F.array_distinct("tokens"), "token", "number")
+    index = _bitmaps(attach(words, needs.select("token").distinct(), ["token"], "left_semi"), "token")
+
+    def met(table: pa.Table) -> pa.Table:
+        ids, seed, bits = table.column("pattern_id").to_numpy(), table.column("seed").to_numpy(), _words_of(table)
+        choices = table.column("choices").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        found = []
+        for rows in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1):
+            seeds, others = rows[seed[rows]], rows[~seed[rows]]
+            if len(seeds) < 2 or (choices[rows[0]] and not len(others)):
+                continue
+            own = np.bitwise_and.reduce(bits[seeds], axis=0)
+            if choices[rows[0]]:
+                own = own & np.bitwise_or.reduce(bits[others], axis=0)
+            if hits := int(np.bitwise_count(own).sum()):
+                found.append((int(ids[rows[0]]), hits, own.tobytes()))
+        bucket = table.column("bucket")[0].as_py()
+        own_ids, hits, blobs = zip(*found) if found else ((), (), ())
+        return pa.table({"pattern_id": pa.array(own_ids, pa.int64()), "bucket": pa.array([bucket] * len(found), pa.int64()), "hits": pa.array(hits, pa.int64()), "bits": pa.array(blobs, pa.binary())})
+
+    # Dealt by bucket before the words meet their patterns, so that the larger result is not moved.
+    joined = attach(index.repartition("bucket"), needs, ["token"], "inner").select("bucket", "pattern_id", "choices", "seed", "bits")
+    return joined.groupBy("bucket").applyInArrow(met, "pattern_id long, bucket long, hits long, bits binary")
+
+
+def pattern_support(bitmaps: DataFrame) -> DataFrame:
+    """Comments of each pattern."""
+    return bitmaps.groupBy("pattern_id").agg(F.sum("hits").alias("support"))
+
+
+def _shared(bitmaps: DataFrame) -> DataFrame:
+    """``a, b, n``: members that two ids share, ``a`` below ``b``; pairs without any are left out."""
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, bits = table.column("pattern_id").to_numpy(), _words_of(table)
+        order = np.argsort(ids)
+        ids, bits = ids[order], bits[order]
+        a, b, n = [], [], []
+        for i in range(len(ids) - 1):
+            both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+            some = np.flatnonzero(both)
+            a.append(np.full(len(some), ids[i]))
+            b.append(ids[i + 1 :][some])
+            n.append(both[some])
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        return pa.table({"a": join(a), "b": join(b), "n": join(n)})
+
+    return bitmaps.select("bucket", "pattern_id", "bits").groupBy("bucket").applyInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _word_bitmaps(rows: DataFrame, words: str) -> DataFrame:
+    """Bitmaps of the words of each pattern; the words of all patterns are a small vocabulary, numbered in order."""
+    each = rows.select("pattern_id", F.explode(F.array_distinct(words)).alias("token"))
+    numbers = each.select("token").distinct().withColumn("number", F.row_number().over(Window.orderBy("token")).cast("long"))
+    return _bitmaps(each.join(numbers, "token"), "pattern_id")
+
+
+def pattern_members(patterns: DataFrame, comments: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``pattern_id, comment_id, overlap``: comments of a few patterns, and how many words of the set they hold.
+
+    Numbers come from the bitmaps; of a comment's words only those of the patterns travel.
+    """
+    own = bitmaps.join(patterns.select("pattern_id"), "pattern_id", "left_semi")
+    # Bit i of a run is bit i % 8 of byte i / 8; bit 0 of the first run is number 1.
+    byte = F.conv(F.hex(F.substring("bits", F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
+    each = own.select("pattern_id", "bucket", "bits", F.explode(F.sequence(F.lit(0), F.length("bits") - 1)).alias("at")).select("pattern_id", "bucket", "at", byte.alias("byte")).where("byte <> 0")
+    each = each.select("pattern_id", "bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("(shiftright(byte, bit) & 1) = 1")
+    hits = each.select("pattern_id", ((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).alias("number"))
+    sets = patterns.select("pattern_id", F.explode(F.array_distinct("keyword_set")).alias("token"))
+    words = attach(unnest(comments, F.array_distinct("tokens"), "token", "number"), sets, ["token"], "inner")
+    counts = words.join(hits, ["pattern_id", "number"], "left_semi").groupBy("pattern_id", "number").agg(F.count("*").alias("overlap"))
+    return counts.join(comments.select("number", "comment_id"), "number").select("pattern_id", "comment_id", "overlap")
 
 
 def candidates(pairs: DataFrame, arrays: DataFrame, total: Column, limits: PatternLimits = LIMITS, rules: MiningRules = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Grown seeds within the limits of support and coverage, with their names and their rank key; and their comments."""
+    """Grown seeds within the limits of support and coverage, with their names and their rank key; and their bitmaps.
+
+    ``arrays`` come from :func:`numbered`."""
     c = F.col
     grown = expanded_seeds(pairs, arrays, limits, rules)
     grown = materialize(grown.withColumn("pattern_id", F.xxhash64("seed_a", "seed_b", "keyword_set")))
-    comments = materialize(pattern_comments(grown, arrays, rules))
-    support = comments.groupBy("pattern_id").agg(F.count("*").alias("support"))
+    bitmaps = materialize(pattern_bitmaps(grown, arrays, rules))
+    support = pattern_support(bitmaps)
     share = c("support") * 100.0 / F.greatest(total, F.lit(1))
     kept = grown.join(support, "pattern_id").withColumn("coverage", share).where((c("support") >= limits.min_support) & c("coverage").between(*limits.coverage))
     kept = kept.withColumns({"coverage": F.round("coverage", 3), "strength": F.round("seed_score", 6)})
@@ -120,7 +223,7 @@ def candidates(pairs: DataFrame, arrays: DataFrame, total: Column, limits: Patte
         F.array_join(F.slice(plain, 1, 2), " ").alias("head"), F.array_join(F.slice(plain, 1, 3), " ").alias("label_key"),
         F.struct((-c("coverage")).alias("c"), (-c("strength")).alias("s"), "seed_a", "seed_b", "keyword_set").alias("rank"),
     ).drop("ranked")
-    return materialize(out), comments
+    return materialize(out), bitmaps
 
 
 def _directed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,28 +238,55 @@ def _same(rows: DataFrame, key: str) -> DataFrame:
     return own.select(F.col("pattern_id").alias("a"), key).join(own.select(F.col("pattern_id").alias("b"), key), key).where("a <> b").select("a", "b")
 
 
-def _sharing(members: DataFrame, member: str, sizes: DataFrame, least: float) -> DataFrame:
-    """Ids whose members overlap by ``least`` (shared over all) or more; either direction."""
-    left, right = members.select(F.col("pattern_id").alias("a"), member), members.select(F.col("pattern_id").alias("b"), member)
-    shared = left.join(right, member).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    sized = shared.join(sizes.select(F.col("pattern_id").alias("a"), F.col("size").alias("x")), "a").join(sizes.select(F.col("pattern_id").alias("b"), F.col("size").alias("y")), "b")
-    return sized.where(F.col("n") >= (F.col("x") + F.col("y") - F.col("n")) * least).select("a", "b")
+def _sharing(bitmaps: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Ids whose members overlap by ``least`` (shared over all) or more, in either direction."""
+    side = lambda n, size: sizes.select(F.col("pattern_id").alias(n), F.col("size").alias(size))
+    sized = _shared(bitmaps).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    pairs = sized.where(F.col("n") >= (F.col("x") + F.col("y") - F.col("n")) * least).select("a", "b")
+    return pairs.union(pairs.select("b", "a"))
 
 
-def pattern_overlaps(rows: DataFrame, comments: DataFrame, limits: PatternLimits = LIMITS) -> DataFrame:
+def pattern_overlaps(rows: DataFrame, bitmaps: DataFrame, limits: PatternLimits = LIMITS) -> DataFrame:
     """Conflicts ``a, b`` of patterns with common keywords, comments, heads or labels; ``a`` has the better rank."""
-    words = rows.select("pattern_id", F.explode("keyword_set").alias("token"))
-    by_word = _sharing(words, "token", rows.select("pattern_id", F.size("keyword_set").alias("size")), limits.keyword_overlap)
-    own = comments.join(rows.select("pattern_id"), "pattern_id", "left_semi").select("pattern_id", "comment_id")
-    by_comment = _sharing(own, "comment_id", rows.select("pattern_id", F.col("support").alias("size")), limits.comment_overlap)
+    by_word = _sharing(_word_bitmaps(rows, "keyword_set"), rows.select("pattern_id", F.size("keyword_set").alias("size")), limits.keyword_overlap)
+    own = bitmaps.join(rows.select("pattern_id"), "pattern_id", "left_semi")
+    by_comment = _sharing(own, rows.select("pattern_id", F.col("support").alias("size")), limits.comment_overlap)
     return _directed(rows, by_word.union(by_comment).union(_same(rows, "head")).union(_same(rows, "label_key")).union(_same(rows, "pattern_label")))
 
 
-def independent(ids: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """The ids that are taken in rank order when a taken one rules out those behind it that conflict with it."""
-    left, edges = materialize(ids.select("pattern_id").distinct()), materialize(conflicts.select("a", "b").distinct())
+def _settled(conflicts: DataFrame) -> DataFrame:
+    """The ids taken among those that conflict, settled in one task: better rivals come first."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        better: dict[int, list[int]] = {}
+        behind: dict[int, list[int]] = {}
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+            better.setdefault(b, []).append(a)
+            behind.setdefault(a, []).append(b)
+        open_rivals = {b: len(r) for b, r in better.items()}
+        ready, taken = [a for a in behind if a not in better], set()
+        while ready:
+            one = ready.pop()
+            if not any(r in taken for r in better.get(one, ())):
+                taken.add(one)
+            for b in behind.get(one, ()):
+                open_rivals[b] -= 1
+                if not open_rivals[b]:
+                    ready.append(b)
+        return pa.table({"pattern_id": pa.array(sorted(taken), pa.int64())})
+
+    return conflicts.groupBy(F.lit(0).alias("all")).applyInArrow(settle, "pattern_id long")
+
+
+def independent(ids: DataFrame, conflicts: DataFrame, settled: int = SETTLED) -> DataFrame:
+    """The ids that are taken in rank order when a taken one rules out those behind it that conflict with it.
+
+    Up to ``settled`` conflicts are left to one task; more are first thinned in rounds of joins.
+    """
+    left, edges = ids.select("pattern_id").distinct(), materialize(conflicts.select("a", "b").distinct())
     taken = left.where("false")
-    while left.take(1):
+    while edges.count() > settled:
+        left = materialize(left)
         ruled = edges.select(F.col("b").alias("pattern_id")).distinct()
         won = materialize(left.join(ruled, "pattern_id", "left_anti"))
         taken = taken.union(won)
@@ -164,12 +294,13 @@ def independent(ids: DataFrame, conflicts: DataFrame) -> DataFrame:
         left = materialize(left.join(out, "pattern_id", "left_anti"))
         rest = left.select("pattern_id")
         edges = materialize(edges.join(rest.select(F.col("pattern_id").alias("a")), "a", "left_semi").join(rest.select(F.col("pattern_id").alias("b")), "b", "left_semi"))
-    return taken
+    apart = left.join(edges.select(F.explode(F.array("a", "b")).alias("pattern_id")), "pattern_id", "left_anti")
+    return taken.union(apart).union(_settled(edges))
 
 
-def chosen_patterns(rows: DataFrame, comments: DataFrame, top_n: int, limits: PatternLimits = LIMITS) -> DataFrame:
+def chosen_patterns(rows: DataFrame, bitmaps: DataFrame, top_n: int, limits: PatternLimits = LIMITS) -> DataFrame:
     """The best patterns that do not overlap: first with different anchors, then, for what is left, whatever their anchor."""
-    overlaps = materialize(pattern_overlaps(rows, comments, limits))
+    overlaps = materialize(pattern_overlaps(rows, bitmaps, limits))
     apart = materialize(independent(rows, overlaps.union(_directed(rows, _same(rows, "anchor")))))
     both = overlaps.union(overlaps.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(apart.select(F.col("pattern_id").alias("a")), "a", "left_semi").select(F.col("b").alias("pattern_id")).union(apart)
@@ -181,11 +312,11 @@ def chosen_patterns(rows: DataFrame, comments: DataFrame, top_n: int, limits: Pa
 
 def top_patterns(base: DataFrame, top_n: int = 5, limits: PatternLimits = LIMITS, rules: MiningRules = DEFAULT, samples: int = 3) -> DataFrame:
     """``pattern_label, coverage, keyword_set, representative_comment_ids`` of the chosen patterns."""
-    arrays = materialize(comment_keywords(base, rules))
+    arrays = numbered(comment_keywords(base, rules))
     pairs = materialize(cooccurrence(arrays, limits.min_pair_count, rules))
-    rows, comments = candidates(pairs, arrays, F.lit(base.select("comment_id").distinct().count()), limits, rules)
-    chosen = materialize(chosen_patterns(rows, comments, top_n, limits))
-    best = top_per_group(comments.join(chosen.select("pattern_id"), "pattern_id", "left_semi"), ["pattern_id"], [F.col("overlap").desc(), F.col("comment_id")], samples, "place")
+    rows, bitmaps = candidates(pairs, arrays, F.lit(base.select("comment_id").distinct().count()), limits, rules)
+    chosen = materialize(chosen_patterns(rows, bitmaps, top_n, limits))
+    best = top_per_group(pattern_members(chosen, arrays, bitmaps), ["pattern_id"], [F.col("overlap").desc(), F.col("comment_id")], samples, "place")
     ids = best.groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "comment_id"))), lambda s: s["comment_id"]).alias("representative_comment_ids"))
     return chosen.join(ids, "pattern_id").select("pattern_label", "coverage", "keyword_set", "representative_comment_ids")
 
@@ -230,9 +361,16 @@ def pattern_gate(base: DataFrame, patterns: DataFrame, top_n: int = 5, limits: P
 def _similar(rows: DataFrame, least: float) -> DataFrame:
     """Pairs ``a, b, likeness`` of patterns whose keyword sets or core words are alike; ``a`` has the better rank.
 
-    Pairs meet by a common keyword. Patterns without a core word are alike in that.
+    Patterns without a core word are alike in that.
     """
-    side = lambda n: rows.select(F.col("pattern_id").alias(n), F.explode(F.when(F.size("core") == 0, F.array_append("keyword_set", "")).otherwise(F.col("keyword_set"))).alias("token"), F.struct("keyword_set", "core", "rank").alias(f"__{n}"))
-    met = side("a").join(side("b"), "token").where(F.col("__a.rank") < F.col("__b.rank")).select("a", "b", "__a", "__b").dropDuplicates(["a", "b"])
-    likeness = F.greatest(jaccard(F.col("__a.keyword_set"), F.col("__b.keyword_set")), jaccard(F.col("__a.core"), F.col("__b.core")))
-    return met.select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
+    rows = rows.withColumn("core", F.when(F.size("core") == 0, F.array(F.lit(""))).otherwise(F.col("core")))
+
+    def likeness(words: str, name: str) -> DataFrame:
+        side = lambda n, size: rows.select(F.col("pattern_id").alias(n), F.size(F.array_distinct(words)).alias(size))
+        sized = _shared(_word_bitmaps(rows, words)).join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return sized.select("a", "b", (F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias(name))
+
+    both = likeness("keyword_set", "by_set").join(likeness("core", "by_core"), ["a", "b"], "full")
+    alike = both.select("a", "b", F.greatest("by_set", "by_core").alias("likeness")).where(F.col("likeness") >= least)
+    alike = alike.union(alike.select("b", "a", "likeness"))
+    return alike.join(_directed(rows, alike.select("a", "b")), ["a", "b"])

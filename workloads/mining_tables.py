@@ -99,8 +99,8 @@ def pattern_support(spark, sf):
     b = base(spark, sf)
     rows = [(0, "of", "that", ["of", "that", "to"]), (1, "de", "que", ["de", "que", "les"]), (2, "it", "que", ["it", "que", "is"])]
     patterns = spark.createDataFrame(rows, "pattern_id int, seed_a string, seed_b string, keyword_set array<string>")
-    counts = pt.pattern_comments(patterns, mn.comment_keywords(b, RULES), RULES).groupBy("pattern_id").agg(F.count("*").alias("support"))
-    return counts.withColumn("coverage", F.round(F.col("support") * 100.0 / b.agg(F.count("*")).scalar(), 3))
+    counts = pt.pattern_support(pt.pattern_bitmaps(patterns, pt.numbered(mn.comment_keywords(b, RULES)), RULES))
+    return counts.withColumn("pattern_id", F.col("pattern_id").cast("int")).withColumn("coverage", F.round(F.col("support") * 100.0 / b.agg(F.count("*")).scalar(), 3))
 
 
 for _by in ("product", "video_id"):
@@ -181,7 +181,7 @@ def expanded_seeds(spark, sf):
 SELECT x.label AS first, array_to_string(x.ks, ',') AS first_set, y.label AS second, array_to_string(y.ks, ',') AS second_set FROM clash c JOIN cand x ON x.i = c.i JOIN cand y ON y.i = c.j""")
 def pattern_overlaps(spark, sf):
     b = base(spark, sf)
-    arrays = materialize(mn.comment_keywords(b, RULES))
+    arrays = pt.numbered(mn.comment_keywords(b, RULES))
     rows, held = pt.candidates(materialize(mn.cooccurrence(arrays, 3, RULES)), arrays, F.lit(b.count()), LIMITS, RULES)
     name = lambda n, label: rows.select(F.col("pattern_id").alias(n), F.col("pattern_label").alias(label), F.array_join("keyword_set", ",").alias(f"{label}_set"))
     return pt.pattern_overlaps(rows, held, LIMITS).join(name("a", "first"), "a").join(name("b", "second"), "b").drop("a", "b")
