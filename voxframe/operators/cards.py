@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.markers import best_label, contains_any, hit_count
 from voxframe.functions.scores import clamp
-from voxframe.functions.text import collapse_space, looks_garbled, preview, safe_text
+from voxframe.functions.text import collapse_space, evidence_span, looks_garbled, preview, safe_text
 from voxframe.operators.relational import top_per_group
 from voxframe.rules import display, messages
 from voxframe.schemas import pick
@@ -58,6 +58,24 @@ CLAIM_POSITIVE = (
 )
 
 
+# Words of flags, conflicts and aspects.
+INQUIRY_WORDS = (
+    "어떻게", "어디", "왜", "무엇", "뭔가요", "가능한가", "가능할까요", "인가요", "될까요", "문의", "질문", "how", "where", "why", "what", "can i", "does it", "is it",
+)
+AMOUNT_UNITS = ("년", "개월", "주", "일", "시간", "분", "초", "번", "회", "만원", "원", "%", "kg", "l", "리터", "도", "w", "kwh")
+AMOUNT_WORDS = ("몇", "얼마", "몇번", "몇 회", "how many", "how much", "비용", "가격", "용량", "전기세")
+REASON_NEGATIVE = ("불만", "문제", "고장", "불편", "환불", "불량", "리스크", "개선 필요", "저하")
+REASON_POSITIVE = ("만족", "추천", "강점", "우수", "좋", "최고", "전환", "기여")
+TAG_ASPECTS = {
+    "구독/계약": "Cost", "A/S·수리": "A/S & Support", "배송·설치": "Delivery/Install", "가격·비용": "Cost", "성능·품질": "Performance", "사용성·편의": "Convenience/Usability",
+    "비교 맥락": "Product Experience", "구매 전환": "Cost", "추천 의도": "Product Experience", "문의/해결요청": "A/S & Support",
+}
+TEXT_ASPECTS = (
+    (("as", "수리", "서비스", "출장", "보증", "연락"), "A/S & Support"), (("소음", "진동", "탈수", "세척", "성능", "냉각", "건조"), "Performance"),
+    (("불편", "편함", "무겁", "허리", "꺼내", "조작", "사용"), "Convenience/Usability"), (("가격", "비싸", "비용", "전기세"), "Cost"), (("배송", "설치", "기사"), "Delivery/Install"),
+    (("고장", "내구", "수명", "망가"), "Durability"),
+)
+
 # Words that choose the clause of a card and the subjects a reason names.
 PRAISE_WORDS = ("좋", "만족", "편리", "잘", "유용", "추천", "재구매", "깨끗", "소독", "세척", "냄새없", "문제없", "최고")
 COMPLAINT_WORDS = ("불편", "어렵", "힘들", "문제", "고장", "불량", "냄새 나", "악취", "지연", "답답", "안됨", "안 돼", "못", "누수")
@@ -293,6 +311,50 @@ def issue_strength(df: DataFrame, keywords: Column) -> Column:
     return F.struct(F.when(value >= 0.72, high).when(value >= 0.52, middle).otherwise(low).alias("level"), value.alias("score"))
 
 
+def voc_items(text: Column, sentiment: Column, limit: int = 4) -> Column:
+    """Subjects a comment speaks of, in the order of the rules: array of ``topic, sentiment, insight, evidence_span``.
+
+    The evidence is the first listed phrase of a topic, as the text writes it. A text without any phrase has one
+    weak item with its beginning.
+    """
+    label = F.when(sentiment == "negative", "부정").when(sentiment == "positive", "긍정").otherwise("중립")
+
+    def item(topic: str, insight: str, span: Column) -> Column:
+        return F.struct(F.lit(topic).alias("topic"), label.alias("sentiment"), F.lit(insight).alias("insight"), span.alias("evidence_span"))
+
+    found = F.filter(F.array(*[item(t, i, evidence_span(text, list(p))) for t, p, i in messages.VOC_TOPICS]), lambda x: x["evidence_span"] != "")
+    return F.when(F.size(found) > 0, F.slice(found, 1, limit)).otherwise(F.array(item(*messages.VOC_OTHER, F.substring(safe_text(text), 1, 30))))
+
+
+def inquiry_flag(known: Column, text: Column) -> Column:
+    """A flag that an earlier step set, else question marks and question words."""
+    return F.coalesce(known, F.lit(False)) | text.contains("?") | contains_any(F.lower(text), INQUIRY_WORDS)
+
+
+def quantitative_flag(known: Column, text: Column) -> Column:
+    """A flag that an earlier step set, else a number together with a unit or a question of amount."""
+    low = F.lower(text)
+    return F.coalesce(known, F.lit(False)) | (text.rlike(r"\d") & (contains_any(low, AMOUNT_UNITS) | contains_any(low, AMOUNT_WORDS)))
+
+
+def reason_conflicts(reason: Column, sentiment: Column) -> Column:
+    """The reason given for a label leans to the other pole."""
+    low = F.lower(safe_text(reason))
+    neg, pos = hit_count(low, REASON_NEGATIVE), hit_count(low, REASON_POSITIVE)
+    return ((sentiment == "positive") & (neg > pos)) | ((sentiment == "negative") & (pos > neg))
+
+
+def refined_aspect(label: Column, tags: Column, text: Column) -> Column:
+    """The aspect that the first known tag names; else the label if it says something; else what the text names."""
+    clean = safe_text(label)
+    named = F.create_map(*[F.lit(x) for pair in TAG_ASPECTS.items() for x in pair])
+    by_tag = F.try_element_at(F.filter(F.transform(tags, lambda t: F.element_at(named, safe_text(t))), lambda a: a.isNotNull()), F.lit(1))
+    low = F.lower(text)
+    generic = (clean == "") | F.lower(clean).isin("general", "기타", "other", "대표 코멘트") | F.lower(clean).rlike(r"^(이슈\s*\d+|issue\s*\d+)$")
+    by_text = F.coalesce(*[F.when(contains_any(low, markers), aspect) for markers, aspect in TEXT_ASPECTS], F.lit("Product Experience"))
+    return F.coalesce(by_tag, F.when(~generic, clean), by_text)
+
+
 def aspect_label(label: Column) -> Column:
     clean = safe_text(label)
     names = F.create_map(*[F.lit(x) for pair in display.ASPECT_LABEL_KO.items() for x in pair])

@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.functions.markers import literals
+from voxframe.functions.text import collapse_space, safe_text
 from voxframe.operators.mining import DEFAULT, MiningRules, comment_keywords, cooccurrence, seed_pairs
 from voxframe.operators.relational import attach, top_per_group, unnest
+from voxframe.operators.similar import ids_to_texts
+from voxframe.rules import messages
 from voxframe.session import materialize
 
 
@@ -374,3 +378,32 @@ def _similar(rows: DataFrame, least: float) -> DataFrame:
     alike = both.select("a", "b", F.greatest("by_set", "by_core").alias("likeness")).where(F.col("likeness") >= least)
     alike = alike.union(alike.select("b", "a", "likeness"))
     return alike.join(_directed(rows, alike.select("a", "b")), ["a", "b"])
+
+
+def snippet(text: Column, longest: int = 170, least: int = 80) -> Column:
+    """One line of a text: up to the end of its first sentence if that is not short, and never over ``longest``."""
+    value = collapse_space(safe_text(text))
+    first = F.regexp_extract(value, r"^(.*?[.!?。！？])\s", 1)
+    cut = F.when(F.length(first) + 1 >= least, first).otherwise(value)
+    return F.when(F.length(cut) <= longest, cut).otherwise(F.concat(F.rtrim(F.substring(cut, 1, longest)), F.lit("...")))
+
+
+def pattern_cards(patterns: DataFrame, comments: DataFrame, text: str = "text_clean", samples: int = 3) -> DataFrame:
+    """Patterns with a readable label, an insight, an action, and the texts and snippets of their sample comments."""
+    c = F.col
+    words = F.transform("keyword_set", F.lower)
+    label = F.coalesce(
+        *[F.when(F.size(F.array_except(literals(needed), c("__words"))) == 0, name) for needed, name in messages.PATTERN_LABELS],
+        F.when(F.size("__named") > 0, F.concat(F.lit(messages.PATTERN_LABEL_PREFIX), F.array_join(F.slice("__named", 1, 3), " · "))),
+        F.nullif(c("pattern_label"), F.lit("")), F.lit(messages.PATTERN_LABEL_NONE),
+    )
+    action = F.coalesce(*[F.when(F.arrays_overlap("__words", literals(some)), name) for some, name in messages.PATTERN_ACTIONS], F.lit(messages.PATTERN_ACTION_OTHER))
+    focus = F.when(F.size("__named") > 0, F.array_join(F.slice("__named", 1, 2), ", ")).otherwise(c("pattern_label"))
+    rows = patterns.withColumns({"__words": words, "__named": F.filter("keyword_set", lambda t: t != "")})
+    rows = rows.select(
+        *patterns.columns, label.alias("display_label"), F.format_string(messages.PATTERN_INSIGHT, "pattern_label", c("coverage").cast("double"), focus).alias("insight"), action.alias("action")
+    )
+    rows = rows.withColumn("__key", F.xxhash64("pattern_label", "keyword_set"))
+    told = ids_to_texts(rows, "representative_comment_ids", comments, ["__key"], text, samples).drop("__key")
+    full = F.filter(F.transform("representative_comments", lambda t: snippet(t)), lambda t: t != "")
+    return told.withColumn("representative_comment_snippets", full).withColumnRenamed("representative_comments", "representative_comment_full")

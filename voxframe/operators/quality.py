@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.scores import ratio
 from voxframe.functions.text import safe_text
 from voxframe.operators.descriptive import count_if
-from voxframe.operators.relational import attach, share_of_all, unnest
+from voxframe.operators.relational import attach, share_of_all, union_all, unnest
 
 # Patterns of the checks.
 NOISE = ("affiliate", "sponsored", "promo code", "discount code", "joint purchase", "investment", "stock", "subscribe event")
@@ -18,6 +19,9 @@ MEANINGLESS_TOKENS = (r"^\d+$", r"^\d+pcs$", r"^[khyu]+$")
 NON_CUSTOMER = ("don't even have", "just good content", "watching for fun", "not using this product")
 
 
+TEMPLATE_HEADER, TEMPLATE_TITLE, TEMPLATE_BROKEN = r"^Top\d+ \S+ 단계 \S+ 코멘트", "영상제목: ", "???"
+
+
 def is_noise(text: Column, patterns: Sequence[str] = NOISE) -> Column:
     return F.lower(safe_text(text)).rlike("|".join(patterns))
 
@@ -124,3 +128,98 @@ def metric_rates(df: DataFrame, metrics: Mapping[str, tuple[Column, Column]], by
     sums = [x for n, (hit, base) in metrics.items() for x in (count_if(hit & base).alias(f"__h_{n}"), count_if(base).alias(f"__b_{n}"))]
     grouped = df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
     return grouped.select(*by, *[ratio(F.col(f"__h_{n}"), F.col(f"__b_{n}"), 4).alias(n) for n in metrics])
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A rate over the rows of one grain: rows that ``hit`` among those that ``base`` counts.
+
+    With ``by`` there is one rate for each value of that column, within its own rows or, if ``of_all``, of all rows
+    that ``base`` counts.
+    """
+
+    name: str
+    grain: str
+    hit: Column
+    base: Column | None = None
+    by: str | None = None
+    of_all: bool = False
+
+
+def documented_metrics(noise_terms: Sequence[str], top: int = 20, longest: int = 600) -> list[Metric]:
+    """The documented rates of a run.
+
+    Grains and their columns: ``comments`` (comment_validity, exclusion_reason); ``slots``, one row for each video
+    and label (label, count, rep_id, rep_label, rep_text, promo_flag, counts_fingerprint, rep_fingerprint,
+    keyword_count); ``keywords`` of slots (label, source_label, keyword, rank); ``events`` of the audit log (event,
+    reason_code, field_name, action, displayed, matched_count, unrelated, gibberish).
+    """
+    c = F.col
+    shown = c("rep_id").isNotNull()
+    differs = shown & ~c("rep_label").eqNullSafe(c("label"))
+    garbled = c("reason_code").eqNullSafe("GARBLED_TEXT_DETECTED")
+    rendering, matching = c("event") == "RENDERING_GUARDRAIL", c("event") == "SIMILARITY_MATCHING"
+    compliant = c("rep_text").rlike(TEMPLATE_HEADER) & c("rep_text").contains(TEMPLATE_TITLE) & ~c("rep_text").contains(TEMPLATE_BROKEN)
+    return [
+        Metric("invariant_violation", "slots", shown & ((c("count") == 0) | differs)),
+        Metric("label_mismatch", "slots", differs, shown),
+        Metric("promo_leakage", "slots", c("promo_flag"), shown),
+        Metric("fingerprint_mismatch", "slots", ~c("counts_fingerprint").eqNullSafe(c("rep_fingerprint")), shown),
+        Metric("keyword_missing", "slots", c("keyword_count") == 0, c("count") > 0),
+        Metric("template_compliance", "slots", compliant, shown),
+        Metric("boilerplate", "slots", F.length("rep_text") > longest, shown),
+        Metric("keyword_noise", "keywords", c("keyword").isin(*noise_terms), c("rank") <= top),
+        Metric("label_purity", "keywords", c("source_label").eqNullSafe(c("label"))),
+        Metric("garbled_output", "events", garbled, rendering),
+        Metric("garbled_leakage", "events", c("displayed"), garbled),
+        Metric("replaced_by_field", "events", c("action").eqNullSafe("REPLACE_NA"), rendering, by="field_name"),
+        Metric("similarity_pass", "events", (c("matched_count") > 0) & c("reason_code").isNull(), matching),
+        Metric("unrelated_match", "events", c("matched_count") > 0, matching & c("unrelated")),
+        Metric("gibberish_eligible", "events", c("gibberish"), matching),
+        Metric("cache_stale", "events", c("reason_code").eqNullSafe("CACHE_STALE"), c("event") == "CACHE_READ"),
+        Metric("sanitized_by_action", "events", F.lit(True), c("event") == "SANITIZATION", by="action", of_all=True),
+        Metric("excluded", "comments", c("comment_validity") == "excluded"),
+        Metric("excluded_by_reason", "comments", c("comment_validity") == "excluded", by="exclusion_reason", of_all=True),
+    ]
+
+
+def documented_rates(tables: Mapping[str, DataFrame], metrics: Sequence[Metric], digits: int = 6) -> DataFrame:
+    """``metric, segment, hits, base, rate``: all metrics of a grain and segment column in one aggregation.
+
+    Segments without a hit and a null segment have no row; a base of zero gives a null rate.
+    """
+    c, out = F.col, []
+    for grain, by in dict.fromkeys((m.grain, m.by) for m in metrics):
+        own = [m for m in metrics if (m.grain, m.by) == (grain, by)]
+        sums = [F.struct(count_if(F.coalesce(m.hit, F.lit(False)) & _base(m)).alias("hits"), count_if(_base(m)).alias("base")).alias(m.name) for m in own]
+        grouped = tables[grain].groupBy(F.col(by).alias("segment")).agg(*sums) if by else tables[grain].agg(*sums).withColumn("segment", F.lit(""))
+        entries = F.array(*[F.struct(F.lit(m.name).alias("metric"), F.lit(m.of_all).alias("of_all"), c(m.name)["hits"].alias("hits"), c(m.name)["base"].alias("base")) for m in own])
+        rows = grouped.select("segment", F.explode(entries).alias("m")).select("m.metric", "segment", "m.of_all", "m.hits", "m.base")
+        if by:
+            totals = rows.groupBy("metric").agg(F.sum("base").alias("__total"))
+            rows = attach(rows, totals, ["metric"], derived=True).withColumn("base", F.when(c("of_all"), c("__total")).otherwise(c("base"))).where(c("segment").isNotNull() & (c("hits") > 0))
+        out.append(rows.select("metric", "segment", "hits", "base"))
+    return union_all(out).withColumn("rate", F.round(c("hits") / F.when(c("base") > 0, c("base")), digits))
+
+
+def _base(metric: Metric) -> Column:
+    return F.lit(True) if metric.base is None else F.coalesce(metric.base, F.lit(False))
+
+
+def table_audit(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """What a catalogue (``readers.catalogue``) holds of ``expected(table, columns, min_rows)``, and the status of each.
+
+    Status: ``missing``; ``columns`` if an expected one is absent; ``rows`` if there are fewer than expected; ``ok``.
+    Tables that nobody expects are ``extra``.
+    """
+    c = F.col
+    both = expected.select("table", c("columns").alias("__wanted"), "min_rows").join(found, "table", "full")
+    absent = F.array_except("__wanted", F.coalesce("columns", F.array().cast("array<string>")))
+    status = (
+        F.when(c("__wanted").isNull(), "extra").when(~F.coalesce("present", F.lit(False)), "missing").when(F.size(absent) > 0, "columns")
+        .when(c("rows") < c("min_rows"), "rows").otherwise("ok")
+    )
+    return both.select(
+        "table", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+        F.when(c("__wanted").isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(absent)).alias("absent"), status.alias("status"),
+    )

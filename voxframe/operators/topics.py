@@ -382,14 +382,21 @@ def topic_share(ranked: DataFrame, topics: DataFrame, by: str, n: int = 8) -> Da
     return rows.groupBy(by).agg(F.sum("frequency_count").alias("frequency_count")).orderBy(F.col("frequency_count").desc(), by).limit(n)
 
 
-def assert_sane(context: DataFrame, signals: DataFrame, topics: DataFrame) -> None:
-    """Raise unless there are topics and at least one signal per comment with text."""
-    row = topics.agg(F.count("*").alias("topics")).select(
-        "topics",
-        signals.agg(F.count("*")).scalar().alias("signals"),
-        context.where(F.trim("raw_text") != "").agg(F.count("*")).scalar().alias("comments"),
-    ).first()
-    if row["topics"] <= 0:
-        raise ValueError("topic count must be > 0")
-    if row["signals"] < row["comments"]:
-        raise ValueError(f"signal count must be >= comment count (signals={row['signals']}, comments={row['comments']})")
+def sanity_checks(context: DataFrame, signals: DataFrame, topics: DataFrame) -> DataFrame:
+    """``check, value, least, ok``: there are topics, and at least one signal for each comment with text."""
+    counts = topics.agg(F.count("*").alias("topics")).select(
+        "topics", signals.agg(F.count("*")).scalar().alias("signals"), context.where(F.trim("raw_text") != "").agg(F.count("*")).scalar().alias("comments")
+    )
+    one = lambda name, value, least: F.struct(F.lit(name).alias("check"), F.col(value).alias("value"), least.alias("least"))
+    rows = counts.select(F.explode(F.array(one("topics", "topics", F.lit(1).cast("long")), one("signals", "signals", F.col("comments")))).alias("c")).select("c.*")
+    return rows.withColumn("ok", F.col("value") >= F.col("least"))
+
+
+def checked(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """The rows as they are; reading them fails with the first check that does not hold, also if there are no rows.
+
+    The checks are a branch of the plan that yields nothing or raises, so no action runs beside the query.
+    """
+    failed = checks.agg(F.min(F.when(~F.col("ok"), F.format_string("%s must be >= %d but is %d", "check", "least", "value"))).alias("why"))
+    none = failed.where(F.when(F.col("why").isNull(), F.lit(False)).otherwise(F.raise_error(F.col("why")).cast("boolean")))
+    return rows.union(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))

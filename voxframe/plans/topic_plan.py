@@ -30,10 +30,11 @@ def run_topics(
     topics = hold(tp.build_topics(signals))
     ranked = tp.rank_topics(topics, signals, rules.comparison)
     representatives = hold(tp.select_representatives(topics, signals, comparison=rules.comparison))
-    gated = hold(tp.quality_gate(ranked, topics, representatives))
-    actions = tp.insight_actions(gated, topics, representatives)
+    gated = tp.quality_gate(ranked, topics, representatives)
     if check:
-        tp.assert_sane(context, signals, topics)
+        gated = tp.checked(gated, tp.sanity_checks(context, signals, topics))
+    gated = hold(gated)
+    actions = tp.insight_actions(gated, topics, representatives)
     return {
         "topic_context": context,
         "topic_signals": signals,

@@ -109,3 +109,31 @@ MENTION_MISSING = {
 BASIS_MISSING = {"none": "근거 부족", "silent": "핵심 포인트 유사"}
 BASIS_POINT = "%s 포인트"
 BASIS_NOISE = ("번째", "이거", "이게", "그거", "그게", "진짜", "정말", "너무")
+VOC_TOPICS = (
+    ("청소 편의", ("easier to clean", "easy to clean"), "예전 제품이 더 청소하기 쉬웠다는 비교가 드러나며 관리 편의에 대한 선호가 읽힙니다."),
+    ("내구성", ("lasted forever", "30+ years old", "never had any issues", "never had a problem"), "오랜 사용 기간과 문제 없음이 언급되어 내구성에 대한 강한 인식이 드러납니다."),
+    (
+        "설계 단순성",
+        ("newer isn't always better", "overdesign", "more skus", "unreliable products", "smart crap", "digital buttons", "cpu", "reorder milk", "starve"),
+        "과한 기능보다 단순하고 본질적인 설계를 선호하거나, 과설계에 대한 문제의식이 나타납니다.",
+    ),
+    ("핵심 성능", ("cleaning performance", "washes clothes", "cooling", "temperature", "not cooling", "warmer than", "melted"), "제품의 기본 성능이나 온도 유지, 세척 성능에 대한 평가가 포함됩니다."),
+    ("수리/서비스", ("service", "warranty", "tech", "compressor", "board", "repair", "called for service"), "수리 대응, 보증, 서비스 경험에 대한 고객 불만 또는 평가가 포함됩니다."),
+    ("가격/비용", ("price increased", "cost", "expensive", "$"), "가격 부담이나 비용 대비 가치 인식이 드러납니다."),
+)
+VOC_OTHER = ("기타 사용 경험", "제품 관련 경험은 언급되지만, 추가 해석이 필요한 약한 신호입니다.")
+
+# Labels and actions of patterns, by the words they need: all of a set, or any of it.
+PATTERN_LABELS = (
+    (("rinse", "hot", "cycle"), "린스·온수 사이클 체감 성능 이슈"), (("pod", "powder", "detergent"), "세제 방식(파우더/팟) 사용성·비용 이슈"),
+    (("filter", "rinse", "remove"), "필터 관리·세척 냄새 이슈"), (("filter", "smell"), "필터 관리·세척 냄새 이슈"), (("service", "repair"), "A/S·수리 대응 신뢰 이슈"),
+)
+PATTERN_LABEL_PREFIX, PATTERN_LABEL_NONE = "반복 이슈: ", "반복 이슈"
+PATTERN_ACTIONS = (
+    (("price", "expensive", "cost", "가격", "비용"), "가격·비용 부담 구간을 우선 점검하고, 대체 옵션 안내를 단기 실행안으로 검토하는 것을 권장합니다."),
+    (("filter", "smell", "remove", "maintenance", "관리"), "필터 청소/교체 절차를 단순화하고, 관리 주기 안내를 운영 표준으로 정리하는 방향을 우선 검토하세요."),
+    (("rinse", "hot", "cycle", "dry", "세척", "온수"), "린스·온수·사이클 권장 조합을 재점검하고, 사용자 설정 가이드를 명확히 고정하는 방안을 우선 검토하세요."),
+    (("repair", "service", "failure", "수리", "서비스"), "재발 빈도가 높은 고장 유형부터 A/S 대응 절차를 점검하고, 처리 우선순위 보강안을 검토하세요."),
+)
+PATTERN_ACTION_OTHER = "반복 키워드가 가리키는 원인 구간을 좁혀, 즉시 실행 가능한 개선 항목부터 우선 검토하세요."
+PATTERN_INSIGHT = "`%s` 축 반응이 현재 범위에서 반복 관찰됩니다 (커버리지 %.3f%%). 핵심 단서 키워드는 `%s`이며, 운영/제품 판단 시 우선 확인할 신호로 볼 수 있습니다."

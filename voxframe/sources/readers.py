@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.operators.relational import top_per_group
+from voxframe.operators.relational import top_per_group, union_all
 from voxframe.schemas import THREAD_PAGE
 
 
@@ -51,6 +51,34 @@ def sample_runs(df: DataFrame, runs: int, rows_per_run: int, key: str) -> DataFr
     return top_per_group(latest_runs(df, runs), ["run_id"], [F.col(key)], rows_per_run)
 
 
+def catalogue(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
+    """``table, present, rows, files, bytes, columns`` of Parquet tables by name.
+
+    Rows come from the footers of the files (no column is read); a table that cannot be found is not present.
+    """
+    parts = []
+    for name, path in tables.items():
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            parts.append(spark.range(1).select(F.lit(name).alias("table"), F.lit(False).alias("present"), *[F.lit(0).cast("long").alias(n) for n in ("rows", "files", "bytes")], F.array().cast("array<string>").alias("columns")))
+            continue
+        per_file = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"))
+        total = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        names = F.array(*[F.lit(c) for c in df.columns]) if df.columns else F.array().cast("array<string>")
+        parts.append(total.select(F.lit(name).alias("table"), F.lit(True).alias("present"), "rows", "files", "bytes", names.alias("columns")))
+    return union_all(parts)
+
+
+def stored_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """``files, bytes`` below a folder whose names fit; contents are not read."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    except AnalysisException:
+        return spark.range(1).select(F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"))
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def dataset_signature(spark: SparkSession, paths: Mapping[str, str] | list[str]) -> str:
     """SHA-256 over path, size and change time of all files; differs as soon as any of them changes."""
     names = list(paths.values()) if isinstance(paths, Mapping) else list(paths)

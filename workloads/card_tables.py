@@ -237,3 +237,42 @@ def resolution_evidence(spark, sf):
         "comment_id", "signal_name", "resolved_stage", "stage_inferred", "action_domain", "representative_evidence", F.array_join("similar_evidence", " | ").alias("similar_evidence"),
         F.coalesce("similar_count", F.lit(0)).alias("similar_count"), "context_evidence", "secondary_concern", F.array_join("insufficient_reasons", ",").alias("insufficient_reasons"),
     )
+
+
+VOC = " , ".join(
+    "{'topic': '" + topic + "', 'span': coalesce(" + ", ".join(f"CASE WHEN contains(lower(s), '{q}') THEN substr(s, instr(lower(s), '{q}'), {len(p)}) END" for p in phrases for q in [p.replace("'", "''")]) + ", '')}"
+    for topic, phrases, _ in messages.VOC_TOPICS
+)
+
+
+@query("voc_items", with_sql(DOCS) + f""",
+t AS (SELECT comment_id, sentiment_label, {SAFE.format("text")} AS s FROM docs),
+v AS (SELECT comment_id, sentiment_label, s, list_filter([{VOC}], lambda x: x.span <> '')[1:4] AS items FROM t),
+e AS (SELECT comment_id, sentiment_label, unnest(CASE WHEN len(items) > 0 THEN items ELSE [{{'topic': '기타 사용 경험', 'span': left(s, 30)}}] END) AS x FROM v)
+SELECT comment_id, x.topic AS topic, CASE sentiment_label WHEN 'negative' THEN '부정' WHEN 'positive' THEN '긍정' ELSE '중립' END AS sentiment, x.span AS evidence_span FROM e""")
+def voc_items(spark, sf):
+    c = comments(spark, sf)
+    rows = c.select("comment_id", F.explode(cd.voc_items(F.col("text"), F.col("sentiment_label"))).alias("x"))
+    return rows.select("comment_id", "x.topic", "x.sentiment", "x.evidence_span")
+
+
+REASON = "CASE WHEN quality = 1 THEN '만족 추천 문제' WHEN quality = 0 THEN '불만 고장 만족' ELSE text END"
+
+
+@query("card_flags", with_sql(DOCS) + rf"""
+SELECT comment_id, contains(text, '?') OR {sql_any("lower(text)", cd.INQUIRY_WORDS)} AS inquiry, regexp_matches(text, '\d') AND ({sql_any("lower(text)", cd.AMOUNT_UNITS)} OR {sql_any("lower(text)", cd.AMOUNT_WORDS)}) AS quantitative,
+  CASE WHEN sentiment_label = 'positive' THEN n > p WHEN sentiment_label = 'negative' THEN p > n ELSE false END AS conflict,
+  CASE WHEN region = 'R0' THEN 'Delivery/Install' WHEN region = 'R1' THEN 'Product Experience' WHEN reply_count = 2 THEN 'Durability'
+    {" ".join(f"WHEN {sql_any('lower(text)', markers)} THEN '{aspect}'" for markers, aspect in cd.TEXT_ASPECTS)} ELSE 'Product Experience' END AS aspect
+FROM (SELECT *, {" + ".join(f"contains(lower({REASON}), '{w}')::INT" for w in cd.REASON_NEGATIVE)} AS n, {" + ".join(f"contains(lower({REASON}), '{w}')::INT" for w in cd.REASON_POSITIVE)} AS p FROM docs)""")
+def card_flags(spark, sf):
+    """Questions, amounts, reasons that contradict their label, and the aspect, for every comment."""
+    c = comments(spark, sf)
+    never, none = F.lit(False), F.array().cast("array<string>")
+    tags = F.when(F.col("region") == "R0", F.array(F.lit("없음"), F.lit("배송·설치"))).when(F.col("region") == "R1", F.array(F.lit("비교 맥락"))).otherwise(none)
+    label = F.when(F.col("reply_count") == 0, "General").when(F.col("reply_count") == 1, "issue 12").when(F.col("reply_count") == 2, "Durability").otherwise("")
+    reason = F.when(F.col("quality") == 1, "만족 추천 문제").when(F.col("quality") == 0, "불만 고장 만족").otherwise(F.col("text"))
+    return c.select(
+        "comment_id", cd.inquiry_flag(never, F.col("text")).alias("inquiry"), cd.quantitative_flag(never, F.col("text")).alias("quantitative"),
+        cd.reason_conflicts(reason, F.col("sentiment_label")).alias("conflict"), cd.refined_aspect(label, tags, F.col("text")).alias("aspect"),
+    )

@@ -217,6 +217,27 @@ def pattern_gate(spark, sf):
     return out.select("pattern_label", "coverage", F.array_join("representative_comment_ids", ",").alias("samples"))
 
 
+FOCUS = "array_to_string(ks[1:2], ', ')"
+CLEAN = "regexp_replace(text, '(?i)https?://\\S+|\\bwww\\.\\S+', ' ', 'g')"
+CARDS = [
+    *CHOICE,
+    f"""lines AS (SELECT i, p, trim(regexp_replace({CLEAN}, '[\\s\\x0B]+', ' ', 'g')) AS t FROM (SELECT i, unnest(ids) AS comment_id, unnest(range(1, len(ids) + 1)) AS p FROM top) JOIN docs USING (comment_id)),
+    firsts AS (SELECT *, regexp_extract(t, '^(.*?[.!?。！？])\\s', 1) AS f FROM lines),
+    cuts AS (SELECT i, p, CASE WHEN length(f) + 1 >= 80 THEN f ELSE t END AS t FROM firsts),
+    snips AS (SELECT i, string_agg(CASE WHEN length(t) <= 170 THEN t ELSE rtrim(left(t, 170)) || '...' END, ' | ' ORDER BY p) AS snippets FROM cuts WHERE t <> '' GROUP BY 1)""",
+]
+
+
+@query("pattern_cards", with_recursive(*CARDS) + f"""
+SELECT label AS pattern_label, CASE WHEN list_has_all(ks, ['service', 'repair']) THEN 'A/S·수리 대응 신뢰 이슈' ELSE '반복 이슈: ' || array_to_string(ks[1:3], ' · ') END AS display_label,
+  '`' || label || '` 축 반응이 현재 범위에서 반복 관찰됩니다 (커버리지 ' || printf('%.3f', coverage) || '%). 핵심 단서 키워드는 `' || {FOCUS} || '`이며, 운영/제품 판단 시 우선 확인할 신호로 볼 수 있습니다.' AS insight,
+  '반복 키워드가 가리키는 원인 구간을 좁혀, 즉시 실행 가능한 개선 항목부터 우선 검토하세요.' AS action, snippets FROM top LEFT JOIN snips USING (i)""")
+def pattern_cards(spark, sf):
+    b = base(spark, sf)
+    out = pt.pattern_cards(materialize(pt.top_patterns(b, 10, LIMITS, RULES)), b)
+    return out.select("pattern_label", "display_label", "insight", "action", F.array_join("representative_comment_snippets", " | ").alias("snippets"))
+
+
 @query("tfidf_kmeans")
 def tfidf_kmeans(spark, sf):
     c = comments(spark, sf).select("comment_id", "text")

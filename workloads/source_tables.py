@@ -392,8 +392,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k
 def incremental_upsert(spark, sf):
     base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     inc.append_versions(_stream(spark, sf), f"{base}/versions", f"{base}/checkpoint").awaitTermination()
-    table = inc.compacted(spark, f"{base}/versions", "event_id", ("video_id", "k"))
-    return inc.current_rows(spark, table, "event_id", ("video_id", "k")).select("video_id", "k", "comment_id")
+    inc.compacted(spark, f"{base}/versions", "event_id", ("video_id", "k"))
+    return inc.current_rows(spark, f"{base}/versions", "event_id", ("video_id", "k")).select("video_id", "k", "comment_id")
 
 
 @query("stream_new_comments", "SELECT CAST(event_id AS VARCHAR) AS comment_id FROM events")

@@ -140,7 +140,7 @@ TOPICS = [
 
 
 def _run(spark, sf):
-    return run_topics(topic_input(spark, sf), rules=RULES, check=False)
+    return run_topics(topic_input(spark, sf), rules=RULES)
 
 
 @query("topics", with_sql(*TOPICS) + "SELECT * FROM tops")
