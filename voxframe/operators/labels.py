@@ -56,6 +56,8 @@ class CommentRules:
     negation_safe: Sequence[str] = messages.NEGATION_SAFE
     positive_overrides: Sequence[str] = messages.POSITIVE_OVERRIDES
     sentiment: SentimentRules = field(default_factory=SentimentRules)
+    #: Characters up to which a comment may be short enough to lean on the one it answers.
+    short_text: int = 60
 
 
 def lexicon_sentiment(
@@ -292,7 +294,7 @@ def classify_comments(
     base = base.withColumns(
         {
             "__agree": contains_any(low, rules.agreement),
-            "__short": (F.length("__source") <= 60) & contains_any(low, rules.short_dependent),
+            "__short": (F.length("__source") <= rules.short_text) & contains_any(low, rules.short_dependent),
             "__own": contains_any(low, rules.product),
             "__par": contains_any(plow, rules.product),
             "__ctx": contains_any(ctx, rules.product),

@@ -42,18 +42,18 @@ def polarity(c: Column) -> Column:
 
 
 def problem_signature(df: DataFrame) -> Column:
-    """First three external keys, else the first three words of the texts."""
+    """Digest of all external keys, else of all words of the texts; rows without either share one."""
     def listed(name: str) -> Column:
-        value = pick(df, [name]).cast("array<string>")
-        return first_distinct(F.coalesce(value, F.array().cast("array<string>")), 3)
+        value = F.coalesce(pick(df, [name]).cast("array<string>"), F.array().cast("array<string>"))
+        return F.array_distinct(F.filter(F.transform(value, lambda t: strip(t)), lambda t: t != ""))
 
     tags = F.concat(*[listed(n) for n in ("nlp_similarity_keys", "nlp_core_points", "nlp_context_tags")])
     blank = F.lit("")
     raw = F.concat_ws(" ", *[strip(pick(df, [n], blank).cast("string")) for n in ("cleaned_text", "text_display", "classification_type")])
     cleaned = collapse_space(F.regexp_replace(F.lower(raw), r"(?U)[^\w\s]+", " "))
     words = F.filter(F.split(cleaned, r"[\s,|;/]+"), lambda t: F.length(t) >= 2)
-    chosen = F.slice(F.when(F.size(tags) > 0, tags).otherwise(words), 1, 3)
-    return F.when(F.size(chosen) > 0, F.array_join(chosen, "|")).otherwise("general_signal")
+    chosen = F.when(F.size(tags) > 0, tags).otherwise(words)
+    return F.when(F.size(chosen) > 0, F.md5(F.array_join(chosen, "|"))).otherwise("general_signal")
 
 
 def strategy_base(df: DataFrame) -> DataFrame:

@@ -34,6 +34,9 @@ class TruthRules:
     usage_markers: Sequence[str] = taxonomy.REAL_DECISION_USAGE_MARKERS
     narratives: Sequence[str] = taxonomy.NON_INQUIRY_NARRATIVE_PATTERNS
     non_customer: Sequence[str] = taxonomy.NON_CUSTOMER_VOICE_PATTERNS
+    #: Characters up to which a text without usage words, and one without a question mark, may count as an inquiry.
+    longest_statement: int = 140
+    longest_question: int = 520
 
 
 DEFAULT = TruthRules()
@@ -86,8 +89,8 @@ def is_real_inquiry(value: Column, low: Column, rules: TruthRules = DEFAULT) ->
     asked = value.contains("?")
     marked = contains_any(low, rules.inquiry_markers)
     story = matches_any(low, rules.narratives) & ~asked
-    rambling = ~contains_any(low, rules.usage_markers) & (F.length(value) > 140)
-    endless = (F.length(value) > 520) & ~asked
+    rambling = ~contains_any(low, rules.usage_markers) & (F.length(value) > rules.longest_statement)
+    endless = (F.length(value) > rules.longest_question) & ~asked
     return (asked | marked) & ~matches_any(low, rules.inquiry_noise) & ~story & ~rambling & ~endless
 
 

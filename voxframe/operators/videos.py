@@ -18,6 +18,7 @@ from voxframe.operators.relational import ListRule, attach, top_lists
 from voxframe.operators.similar import POINT_ALIASES, POINT_NOISE
 from voxframe.rules import messages
 from voxframe.schemas import pick
+from voxframe.session import materialize
 
 
 @dataclass(frozen=True)
@@ -204,12 +205,18 @@ def video_summary(comments: DataFrame, videos: DataFrame, rules: KeywordRules =
         *[F.coalesce(F.avg(F.when(t, c("__s"))), F.lit(0.0)).alias(f"__{n}_strength") for n, t in (("neg", neg), ("pos", pos))],
         best(neg).alias("__negative"), best(pos).alias("__positive"), best(F.lit(True)).alias("__any"),
     )
-    lists = top_lists(rows.where("__ok"), ["video_id"], "comment_id", {"top_points": ListRule(c("__points"), 3), "top_tags": ListRule(c("__tags"), 2)})
     out = videos.dropDuplicates(["video_id"]).join(stats, "video_id", "left")
-    out = attach(out, lists, ["video_id"], derived=True)
     empty = F.array().cast("array<string>")
-    out = out.withColumns({n: F.coalesce(n, empty) for n in ("top_points", "top_tags")})
-    out = _with_words(out, rows, rules)
+    if {"nlp_core_points", "nlp_context_tags"} & set(comments.columns):
+        lists = top_lists(rows.where("__ok"), ["video_id"], "comment_id", {"top_points": ListRule(c("__points"), 3), "top_tags": ListRule(c("__tags"), 2)})
+        out = attach(out, lists, ["video_id"], derived=True).withColumns({n: F.coalesce(n, empty) for n in ("top_points", "top_tags")})
+    else:
+        out = out.withColumns({"top_points": empty, "top_tags": empty})
+    if {"cleaned_text", "opinion_text"} & set(comments.columns):
+        # Held, since the videos without points are needed ahead of the rest.
+        out = _with_words(materialize(out), rows, rules)
+    else:
+        out = out.withColumn("__words", empty)
     impact = lambda n, k: F.round(c(k) + F.least(F.lit(20.0), c(f"__{n}_likes") / 20.0) + c(f"__{n}_strength") * 2.0, 3)
     counts = ("comments", "positive_comments", "negative_comments", "neutral_comments", "excluded_comments", "__valid")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})

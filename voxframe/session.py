@@ -30,7 +30,6 @@ def local_session(cores: int | str = 8, memory: str = "12g", name: str = "voxfra
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
     if shared:
         builder = builder.config("spark.checkpoint.dir", shared)

@@ -31,7 +31,7 @@ STRATEGY = [
     """reps AS (SELECT * FROM truth WHERE representative_eligibility
       QUALIFY row_number() OVER (PARTITION BY sentiment_final ORDER BY like_count DESC NULLS LAST, comment_id) <= 8)""",
     r"""sbase AS (SELECT *, coalesce(journey_stage, '') AS stage, coalesce(judgment_axes[1], 'unknown_axis') AS axis, coalesce(like_count, 0) + 1.5 * coalesce(reply_count, 0) AS reach,
-      CASE WHEN len(wds) > 0 THEN array_to_string(wds[1:3], '|') ELSE 'general_signal' END AS sig FROM (
+      CASE WHEN len(wds) > 0 THEN md5(array_to_string(wds, '|')) ELSE 'general_signal' END AS sig FROM (
         SELECT *, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text || ' ' || cls), '[^\p{L}\p{M}\p{N}\p{Pc}\s]+', ' ', 'g'), '\s+', ' ', 'g')), '[\s,|;/]+'),
           lambda w: length(w) >= 2) AS wds FROM truth WHERE analysis_included AND hygiene_class <> 'trash'))""",
     """lvl AS (SELECT 'video' AS level_type, video_id AS level_id, * FROM sbase UNION ALL SELECT 'product_group', product, * FROM sbase)""",
