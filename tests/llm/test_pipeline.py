@@ -44,7 +44,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("empty", [False, True])
@@ -73,6 +73,8 @@ def test_pipeline_stages(spark, tmp_path, empty):
             encoder = _public()
             truth = sorted((r["doc_id"] or 0, len(encoder.encode_ordinary(r["text"])), hashlib.sha256(r["text"].encode()).hexdigest()) for r in before.collect())
             assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded_sha256"]) for r in docs.collect()) == truth
+            assert sorted(list(r["ids"]) for r in docs.collect()) == sorted(encoder.encode_ordinary(r["text"]) for r in before.collect())
+            assert sorted(r["decoded"] for r in docs.collect()) == sorted(r["text"] for r in before.collect())
 
 
 def test_pipeline_runs_over_the_tables(spark):

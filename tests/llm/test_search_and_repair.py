@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.llm import conversation_repair, topk_search, whitening
+from voxframe.llm import conversation_repair, language_id, topk_search, toxicity, whitening
 
 VECTORS = "vec_id long, embedding array<double>, label int, row int, x int, id int, block int, n long"
 
@@ -279,3 +279,29 @@ def test_walk_through_blocks_equals_one_walk():
         last_states, last = conversation_repair.block_walks(codes[cut:], runs[cut:], end)
         for s in range(4):
             assert first[s] + last[states[s]] == whole[s] and last_states[states[s]] == whole_states[s]
+
+
+# 6 and 9 -------------------------------------------------------------------------------------------
+
+
+def test_unknown_languages_are_filled_in_and_nothing_learnt_keeps_all(spark):
+    english, spanish = "the house of the old town with the door ", "la casa de la ciudad con el perro y la puerta "
+    rows = [(i, (english if i % 2 else spanish) * 3 + str(i), ("en" if i % 2 else "es") if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, "12 34", "en"), (901, None, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(df).collect()}
+    assert got == {i: "en" if i % 2 else "es" for i, _, _ in rows}
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_identified(bare).where("lang is null").collect()} == {i for i, _, _ in rows}
+
+
+def test_many_languages_are_all_learnt(spark):
+    rows = [(k * 40 + i, " ".join([f"w{k:03d}x"] * 12), f"l{k:03d}") for k in range(12) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(df)["langs"]) == 12
+
+
+def test_labels_of_absent_documents_do_not_count(spark):
+    docs = spark.createDataFrame([(i, "a vile scum text here" if i % 5 == 0 else f"a clean text number {i} here") for i in range(400)], "doc_id long, text string")
+    labels = [(i, int(i % 5 == 0)) for i in range(400) if i % 2 == 0] + [(10_000 + i, 1) for i in range(1_000)]
+    got = toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r["predicted"] for r in got.where("doc_id % 5 = 0").collect()} == {1} and got.where("doc_id % 5 <> 0 and predicted = 1").count() == 0

@@ -27,8 +27,8 @@ FOLDS = 5
 BUCKETS = 4096
 #: Training texts that are drawn for each language at most (about), by a hash of their id.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages that are learnt at most: those with most training rows.
-LANGUAGES = 200
+#: Training texts of all languages together (about); with very many languages each gets fewer, but at least eight.
+SAMPLE = 16_000
 UNKNOWN = "und"
 # Families of common languages by code.
 FAMILIES = {
@@ -95,7 +95,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), folds.unit(id_col, 9).alias("draw"), folds.may_learn(id_col, fold_count).alias("learn"))
     known = known.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sample_per_language = min(sample_per_language, max(8, SAMPLE // max(1, len(counts))))
     model = {"langs": sorted(counts), "families": {}, "pairs": [], "weights": np.zeros((BUCKETS, 0), np.float32), "offsets": np.zeros(0)}
     for lang in model["langs"]:
         model["families"].setdefault(family_of(lang), []).append(lang)
@@ -193,7 +194,13 @@ def identify(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
 
 def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fold_count: int = FOLDS) -> DataFrame:
-    """The documents whose language could be told, all columns as they were; texts without a letter go."""
+    """The documents with a letter in their text; a null language becomes the predicted one, all else stays as it was.
+
+    If no language can be learnt, all texts with a letter stay and null languages stay null.
+    """
     model = fit(docs, text_col=text_col, lang_col=lang_col, id_col=id_col, fold_count=fold_count)
-    judged = predict(docs, model, text_col=text_col, id_col=id_col, keep=tuple(docs.columns), verdict="_told")
-    return judged.where(F.col("_told") != UNKNOWN).select(*docs.columns)
+    if not model["langs"]:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    judged = predict(docs, model, text_col=text_col, id_col=id_col, keep=tuple(docs.columns), verdict="_told").where(F.col("_told") != UNKNOWN)
+    told = F.coalesce(F.col(lang_col), F.col("_told").cast(docs.schema[lang_col].dataType))
+    return judged.select(*[told.alias(c) if c == lang_col else F.col(c) for c in docs.columns])

@@ -117,16 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     """Learn from rows outside the held-out fold. ``prior``: share of toxic texts, else that among the labels learnt from."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark"), folds.may_learn(id_col, fold_count).alias("learn")).where("learn and mark is not null")
     marks = marks.groupBy("id").agg(F.max((F.col("mark") == 1).cast("int")).alias("mark"))
-    total = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("toxic")).first()
-    share = prior if prior is not None else (total["toxic"] / total["n"] if total["n"] else 0.0)
-    empty = {"features": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share >= 1 else -40.0)}
     ids = docs.select(F.col(id_col).alias("id"), folds.may_learn(id_col, fold_count).alias("learn"), folds.unit(id_col, 6).alias("draw")).where("learn")
-    n_docs = ids.count()
+    # Labels count only for documents that are there. Ids are joined; no text moves.
+    marked = ids.join(marks, "id", "left").select("id", "draw", F.coalesce(F.col("mark") == 1, F.lit(False)).alias("toxic"), F.col("mark").isNotNull().alias("marked"))
+    total = marked.agg(F.count("*").alias("n"), F.count_if("toxic").alias("toxic"), F.count_if("marked").alias("marked")).first()
+    n_docs = total["n"]
+    share = prior if prior is not None else (total["toxic"] / total["marked"] if total["marked"] else 0.0)
+    empty = {"features": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share >= 1 else -40.0)}
     if not total["toxic"] or total["toxic"] >= n_docs or not 0 < share < 1:
         return empty
-    # The draw joins ids only. What it leaves is bounded, so those ids may go to every task that reads texts.
-    drawn = ids.join(marks.where("mark = 1").select("id", F.lit(True).alias("toxic")), "id", "left")
-    drawn = drawn.select("id", F.coalesce("toxic", F.lit(False)).alias("toxic"), (F.col("draw") < min(1.0, unlabelled / n_docs)).alias("open"), (F.col("draw") < min(1.0, positives / total["toxic"])).alias("sure"))
+    # What the draw leaves is bounded, so those ids may go to every task that reads texts.
+    drawn = marked.select("id", "toxic", (F.col("draw") < min(1.0, unlabelled / n_docs)).alias("open"), (F.col("draw") < min(1.0, positives / total["toxic"])).alias("sure"))
     wanted = drawn.select("id", (F.col("toxic") & F.col("sure")).alias("toxic"), "open").where("toxic or open").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = materialize(texts.join(F.broadcast(wanted), "id").select("text", "toxic", "open"))
