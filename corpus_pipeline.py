@@ -2,10 +2,10 @@
 
 Each stage reads what the one before it wrote. All but the last return the columns of ``documents``.
 
-Defined results: documents whose language cannot be told go, and so do copies of a document with a smaller id; secrets
-are masked in the text (and ``n_chars`` follows); documents come as often as the mix takes them, not at all if it does
-not; the last stage has one row for each of these rows. Nulls, empty tables and further columns pass as the operators
-of each stage define.
+Defined results: documents whose language cannot be told go, and a null language becomes the predicted one; copies of a
+document with a smaller id go; secrets are masked in the text (and ``n_chars`` follows); documents come as often as the
+mix takes them, not at all if it does not; the last stage has one row for each of these rows, with its ids and the text
+they decode to. Nulls, empty tables and further columns pass as the operators of each stage define.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encoded(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return byte_bpe.encoded(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
