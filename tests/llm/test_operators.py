@@ -523,17 +523,21 @@ def test_quality_figures(spark, docs, none):
     assert line_quality.judged(none).collect() == [] and line_quality.cleaned(none).collect() == []
 
 
-def test_lines_of_many_texts_go(spark):
+def test_lines_of_many_documents_go(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
     rows = [(i, own(i) + "\nAll  Rights reserved here", "a") for i in range(30)]
     rows += [(50 + i, own(50) + "\ncopied text of its own", "a") for i in range(30)]
     rows += [(100 + i, f"all rights reserved HERE\nu{i} v{i} x{i} y{i} z{i} k{i} m{i}", "a") for i in range(5)]
     rows += [(200, own(200) + "\nall rights reserved here", "b"), (201, own(201) + "\nall rights reserved here", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in line_quality.judged(df, min_texts=5, max_share=0.1).collect()}
+    got = {r["doc_id"]: r for r in line_quality.judged(df, max_documents=5).collect()}
     assert all(got[i]["removed_words"] == 4 and got[i]["kept"] for i in range(30))
-    assert all(got[50 + i]["removed_words"] == 0 and got[50 + i]["kept"] for i in range(30))
+    # Copies are documents too: all their lines are in 30 of them.
+    assert all(got[50 + i]["removed_words"] == 17 and not got[50 + i]["kept"] for i in range(30))
+    # Ten times as many other documents of the host change nothing.
+    more = df.union(spark.createDataFrame([(1000 + i, own(1000 + i), "a") for i in range(700)], df.schema))
+    assert {r["doc_id"]: r["removed_words"] for r in line_quality.judged(more, max_documents=5).where("doc_id < 1000").collect()} == {k: r["removed_words"] for k, r in got.items()}
     assert all(not got[100 + i]["kept"] and not got[100 + i]["base_failed"] for i in range(5))
     assert got[200]["removed_words"] == 0 and got[201]["removed_words"] == 0
-    texts = {r["doc_id"]: r["text"] for r in line_quality.cleaned(df, min_texts=5, max_share=0.1).collect()}
+    texts = {r["doc_id"]: r["text"] for r in line_quality.cleaned(df, max_documents=5).collect()}
     assert texts[0] == own(0) and texts[200] == rows[-2][1] and texts[201] == rows[-1][1]

@@ -1,16 +1,16 @@
 """Quality rules: figures of each text, and lines that recur across the documents of a host.
 
 Lines are normalised (lower case, white space to one blank, no blanks at the ends) and hashed. For each host the
-different texts that hold a line are counted (copies of a text count once: they are the business of de-duplication). A
-line is over the limit if more than ``max_share`` of the host's texts and more than ``min_texts`` hold it. Such lines
-are taken out; a document is depleted, and rejected, if fewer than ``least_words`` words or less than ``least_share``
-of its words remain.
+documents that hold a line are counted. A line is over the limit if more than ``max_documents`` of a host hold it,
+however large the host. Such lines are taken out; a document is depleted, and rejected, if fewer than ``least_words``
+words or less than ``least_share`` of its words remain.
 
 Texts are read once; what follows works on line hashes and word counts. Counts are summed in each task before they are
 shuffled, and the few lines over the limit join with the line hashes, so a line in very many documents is no hot key.
 
-Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated
-rows are judged one by one; lines without a word are never counted or taken out.
+Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; a line
+counts once in a document; every row is a document, so copies and repeated rows count and are judged one by one; lines
+without a word are never counted or taken out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from voxframe.session import materialize
 
 WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
-MAX_SHARE, MIN_TEXTS = 0.02, 50
+#: Documents of a host that a line may be in.
+MAX_DOCUMENTS = 50
 LEAST_WORDS, LEAST_SHARE = 10, 0.5
 
 
@@ -35,7 +36,7 @@ def _lines(text: Column) -> Column:
 
 
 def figures(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """``id, host``, the figures of each text, a hash of the text and ``lines`` as (hash, words)."""
+    """``id, host``, the figures of each text, and ``lines`` as (hash, words)."""
     held = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = held.select("id", "host", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), _lines(F.col("text")).alias("kept_lines"))
     n = F.size("words")
@@ -43,7 +44,6 @@ def figures(docs: DataFrame, *, text_col: str = "text", host_col: str = "source"
     first = split.select(
         "id",
         "host",
-        F.xxhash64("text").alias("text_hash"),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
@@ -67,34 +67,30 @@ def figures(docs: DataFrame, *, text_col: str = "text", host_col: str = "source"
     return second.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("sorted")
 
 
-def frequent_lines(facts: DataFrame, *, max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``host, h`` of the lines over the limit, from ``facts(host, text_hash, lines)``."""
-    texts = facts.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    totals = facts.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    each = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    held = each.groupBy("host", "h").agg(F.count("*").alias("times")).where(F.col("times") > min_texts)
-    limit = held.join(totals.select(F.col("host").alias("name"), "texts"), F.col("host").eqNullSafe(F.col("name")))
-    return limit.where(F.col("times") > F.col("texts") * max_share).select("host", "h")
+def frequent_lines(facts: DataFrame, *, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """``host, h`` of the lines over the limit, from ``facts(host, lines)``, one row for each document."""
+    each = facts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    return each.groupBy("host", "h").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents).select("host", "h")
 
 
-def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", max_documents: int = MAX_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row for each document: the id, the figures, ``removed_words``, ``base_failed`` and ``kept``."""
     facts = materialize(figures(docs, text_col=text_col, host_col=host_col, id_col=id_col).withColumn("row", F.monotonically_increasing_id()))
-    limit = frequent_lines(facts, max_share=max_share, min_texts=min_texts).select(F.col("host").alias("name"), F.col("h").alias("line"))
+    limit = frequent_lines(facts, max_documents=max_documents).select(F.col("host").alias("name"), F.col("h").alias("line"))
     each = facts.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n")
     gone = each.join(limit, (F.col("h") == F.col("line")) & F.col("host").eqNullSafe(F.col("name"))).groupBy("row").agg(F.sum("n").alias("removed"))
-    done = facts.drop("lines", "text_hash").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
+    done = facts.drop("lines").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
     fine = (rest >= least_words) & (rest >= least_share * F.col("n_words"))
     return done.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
 
-def cleaned(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def cleaned(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The documents without the lines over the limit, all columns and rows as they were but the text; null stays null."""
     lines = F.transform(_lines(F.coalesce(F.col(text_col), F.lit(""))), lambda line: F.struct(_line_hash(line).alias("h")))
-    facts = docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), lines.alias("lines"))
-    limit = frequent_lines(facts, max_share=max_share, min_texts=min_texts).groupBy("host").agg(F.collect_set("h").alias("gone")).select(F.col("host").alias("_host"), "gone")
+    facts = docs.select(F.col(host_col).cast("string").alias("host"), lines.alias("lines"))
+    limit = frequent_lines(facts, max_documents=max_documents).groupBy("host").agg(F.collect_set("h").alias("gone")).select(F.col("host").alias("_host"), "gone")
     joined = docs.join(limit, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda line: ~line.rlike(WORD) | ~F.array_contains("gone", _line_hash(line)))
     return joined.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -106,10 +106,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     win AS (SELECT row, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
     again AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
     covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
-    each AS (SELECT row, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT row, host, text, unnest(lines) AS line FROM w)),
-    held AS (SELECT host, norm, count(DISTINCT text) AS texts FROM each GROUP BY 1, 2),
-    hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1),
-    over AS (SELECT h.host, h.norm FROM held h JOIN hosts o ON h.host IS NOT DISTINCT FROM o.host WHERE h.texts > 50 AND h.texts > o.texts * 0.02),
+    each AS (SELECT row, host, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT row, host, unnest(lines) AS line FROM w)),
+    over AS (SELECT host, norm FROM each GROUP BY 1, 2 HAVING count(DISTINCT row) > 50),
     gone AS (SELECT e.row, sum(e.n) AS n FROM each e JOIN over o ON e.host IS NOT DISTINCT FROM o.host AND e.norm = o.norm GROUP BY 1),
     f AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN covered c USING (row) LEFT JOIN gone g USING (row)),
