@@ -179,8 +179,8 @@ def test_no_urls_or_rules(spark):
 # 3 -------------------------------------------------------------------------------------------------
 
 
-def _tree_truth(learn, text, depth):
-    """Sequential context trees over bits, with weights from the counts of the learning texts."""
+def _tree_truth(learn, depth):
+    """Score of a text by context trees over bits, with weights from the counts of the learning texts."""
     counts = collections.defaultdict(lambda: [0, 0])
 
     def decisions(t):
@@ -208,15 +208,19 @@ def _tree_truth(learn, text, depth):
             below = sum(weighted[c] for c in children[node])
             weighted[node] = np.logaddexp(own[node], below) - math.log(2)
             rho[node] = math.exp(own[node] - math.log(2) - weighted[node])
-    total = 0.0
-    for path, bit in decisions(text):
-        p = 0.5
-        for node in reversed(path):
-            if node in rho:
-                c = counts[node]
-                p = rho[node] * (c[bit] + 0.5) / (sum(c) + 1) + (1 - rho[node]) * p
-        total += math.log10(p)
-    return total
+
+    def score(text):
+        total = 0.0
+        for path, bit in decisions(text):
+            p = 0.5
+            for node in reversed(path):
+                if node in rho:
+                    c = counts[node]
+                    p = rho[node] * (c[bit] + 0.5) / (sum(c) + 1) + (1 - rho[node]) * p
+            total += math.log10(p)
+        return total
+
+    return score
 
 
 def _lower(text):
@@ -228,33 +232,39 @@ def test_scores_follow_the_context_trees(spark, docs):
     learn = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 3]
     counts = collections.Counter(w for t in learn for w in [*_lower(t).split(), b"\0"])
     n, v = sum(counts.values()), len(counts)
+    truth = _tree_truth([_lower(x) for x in learn], 2)
     for frequent in (1 << 20, 4):
-        got = context_tree.scored(docs, fold_count=3, depth=2, slots=1 << 23, frequent=frequent).collect()
+        got = context_tree.scored(docs, fold_count=3, depth=2, frequent=frequent).collect()
         assert len(got) == len(rows)
         by_id = {r["doc_id"]: r for r in got}
         for i, t in rows:
             tokens, r = [*_lower(t).split(), b"\0"], by_id[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i is not None and zlib.crc32(str(i).encode()) % 3 == 0, len(tokens), sum(counts[w] > 0 for w in tokens), n)
             assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9, abs_tol=1e-9)
-            if len(t or "") < 200:
-                assert math.isclose(r["score"], _tree_truth([_lower(x) for x in learn], _lower(t), 2), rel_tol=0.01, abs_tol=0.01), (i, frequent)
+            assert math.isclose(r["score"], truth(_lower(t)), rel_tol=1e-9), (i, frequent)
 
 
-def test_scores_are_exact_whatever_the_number_of_nodes(spark, docs, monkeypatch):
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_scores_are_exact_at_any_length(spark, docs, monkeypatch, tmp_path, depth):
+    # Many slices, groups of slices and parts.
     monkeypatch.setattr(context_tree, "HASHED", 16)
     monkeypatch.setattr(context_tree, "SLICE", 1 << 10)
+    monkeypatch.setattr(context_tree, "GROUP", 8)
+    monkeypatch.setattr(context_tree, "PART", 1 << 9)
     rows = [(r[0], r[1]) for r in _texts()]
-    learn = [_lower(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 3]
-    # Far fewer places than nodes.
-    for r in context_tree.scored(docs, fold_count=3, depth=3, slots=1 << 6).collect():
-        for text in {t or "" for i, t in rows if i == r["doc_id"] and len(t or "") < 200}:
-            assert math.isclose(r["score"], _tree_truth(learn, _lower(text), 3), rel_tol=1e-9), r["doc_id"]
+    truth = _tree_truth([_lower(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 3], depth)
+    want = sorted((i or 0, truth(_lower(t))) for i, t in rows)
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    # A scan, and a table that is none.
+    for given in (spark.read.parquet(f"{tmp_path}/docs"), docs.distinct().union(docs.where("doc_id = 11").limit(1))):
+        got = sorted((r["doc_id"] or 0, r["score"]) for r in context_tree.scored(given, fold_count=3, depth=depth).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=0)
 
 
 def test_scores_without_anything_to_learn_from(spark, none):
-    assert context_tree.scored(none, slots=1 << 10).collect() == []
+    assert context_tree.scored(none).collect() == []
     lone = spark.createDataFrame([(None, "ab")], "doc_id long, text string")
-    row = context_tree.scored(lone, slots=1 << 10).first()
+    row = context_tree.scored(lone).first()
     assert math.isclose(row["score"], 24 * math.log10(0.5)) and row["train_tokens"] == 0 and row["base_score"] == 0
 
 
