@@ -176,7 +176,10 @@ def opinion_units(df: DataFrame, rules: OpinionRules = DEFAULT, legacy_sentence_
     )
     units = unnest(source, F.col("__clauses"), "opinion_text", "*", position="position")
     units = units.withColumn("opinion_count", F.size("__clauses")).drop("__clauses")
-    return _finish_units(classify_comments(units, "opinion_text", "parent_comment_text", rules.comments), rules)
+    # The only clause of a comment keeps the comment's labels, so there is nothing to read in it.
+    several = F.col("opinion_count") > 1
+    units = units.withColumns({f"__{n}": F.when(several, F.col(n)).otherwise(blank) for n in ("opinion_text", "parent_comment_text")})
+    return _finish_units(classify_comments(units, "__opinion_text", "__parent_comment_text", rules.comments), rules)
 
 
 def _finish_units(labelled: DataFrame, rules: OpinionRules) -> DataFrame:
