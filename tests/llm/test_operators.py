@@ -439,7 +439,39 @@ def test_mix_meets_its_targets(spark, docs, none):
     assert all(abs(taken[s] - truth[s]) <= 30 for s in truth)
     assert mixing.mixed(none).collect() == []
     again = mixing.repeated(docs)
-    assert again.columns == docs.columns and again.where("doc_id is null").count() == 1 and mixing.repeated(none).collect() == []
+    assert again.columns == docs.columns and again.schema == docs.schema and mixing.repeated(none).collect() == []
+    want = collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        want[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 1
+    assert collections.Counter(r["doc_id"] for r in again.collect()) == +want
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_mix_is_a_plain_draw(spark, weight):
+    """Rows in order of their keys until the budget ends; ids that repeat or are null are told apart by their texts."""
+    rng = np.random.default_rng(5)
+    ids = [None, 1, *range(2, 900)]
+    rows = [(ids[int(rng.integers(0, 900)) if i % 3 else 0], f"t{i} " * int(rng.integers(1, 20)) + "#" * int(rng.integers(0, 30)), str(rng.choice(list("aaaabbc"))), [0.5, 1.0, 4.0, None, 0.0][i % 5]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    given = F.col("weight") if weight else mixing.quality(F.col("text"))
+    keyed = df.select("doc_id", "text", "source", mixing.key(F.col("doc_id"), F.col("text"), given).alias("key")).collect()
+    sizes = collections.Counter()
+    for r in keyed:
+        sizes[r["source"]] += len(WORD.findall(r["text"]))
+    want = collections.Counter()
+    for source, target in _target_truth(dict(sizes)).items():
+        epochs, through = int(target // sizes[source]), 0
+        rest = target - epochs * sizes[source]
+        for r in sorted((r for r in keyed if r["source"] == source), key=lambda r: r["key"]):
+            n = len(WORD.findall(r["text"]))
+            through += n
+            want[r["doc_id"], r["text"]] += epochs + (through - n / 2 <= rest)
+    got = mixing.repeated(df, weight_col=weight, bands=16).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == +want
+    taken, truth = collections.Counter(), _target_truth(dict(sizes))
+    for r in got:
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(taken[s] - truth[s]) <= 21 for s in truth)
 
 
 def test_targets_share_what_is_over(spark):

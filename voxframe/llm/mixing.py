@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A source whose target exceeds its size is taken whole as often as fits (complete epochs); the rest of the target is a
-weighted sample without replacement: every document draws an exponential key, divided by its quality weight, and the
-documents of a source are taken in order of the key until their sizes reach the rest.
+weighted sample without replacement: every document draws an exponential key, divided by its quality weight (a column,
+or else one that falls with the share of symbols), and the documents of a source are taken in order of the key until their sizes reach the rest.
 
 The order is never sorted in one task. Keys are cut into bands; sizes are summed by source and band, and prefix sums
 over the bands tell which bands are taken whole and which band the budget ends in. That band is cut again, and only
@@ -12,8 +12,9 @@ Targets: sources weigh 5, 2, 1 and so on in the order of their names (by code po
 words stop at a bound of epochs; what is over goes to the others by weight until none is above. With sources in order
 of bound over weight this is one prefix sum.
 
-Defined results: a null text has size 0 and is never taken; a null source is a source of its own; repeated rows draw
-the same key and count one by one; a document of size 0 belongs to the complete epochs only. Reruns agree.
+Defined results: a null text has size 0 and is never taken; a null source is a source of its own; keys are drawn
+from id and text, so only rows equal in both draw the same key, and they count one by one; a null weight is 1, one of 0
+or less is drawn last; a document of size 0 belongs to the complete epochs only. Reruns agree.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Bands that keys are cut into, twice.
 BANDS = 256
+SEED = 7
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -81,12 +83,15 @@ def _cut(rows: DataFrame, band: Column) -> tuple[DataFrame, DataFrame]:
     return whole, edge
 
 
-def mixed(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bands: int = BANDS, seed: int = 7) -> DataFrame:
-    """One row for each document: the id, ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
-    text = F.col(text_col)
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    facts = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text).alias("size"), (-F.log(draw) / quality(text)).alias("key"))
-    facts = materialize(facts.withColumn("row", F.monotonically_increasing_id()))
+def key(id: Column, text: Column, weight: Column, seed: int = SEED) -> Column:
+    """Exponential draw of a row over its weight; small keys are taken first."""
+    drawn = F.xxhash64(F.lit(seed), F.coalesce(id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    share = (F.shiftrightunsigned(drawn, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return -F.log(share) / F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(1e-9))
+
+
+def _times(facts: DataFrame, weights: tuple[float, ...], max_epochs: int, bands: int) -> DataFrame:
+    """``facts(row, id, source, size, key)`` with ``source_size``, ``target`` and ``times``, how often a row is taken."""
     sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = materialize(targets(sizes, weights, max_epochs).withColumn("epochs", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("int")))
     goal = goal.select(F.col("source").alias("name"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
@@ -100,18 +105,31 @@ def mixed(docs: DataFrame, *, text_col: str = "text", source_col: str = "source"
     # The document that the budget ends in is taken if more than half of it fits.
     ends = last.withColumn("through", F.sum("size").over(order)).where(F.col("through") - F.col("size") / 2 <= F.col("rest")).select("row")
     extra = whole.select("row").union(more.select("row")).union(ends).withColumn("again", F.lit(1))
-    done = placed.join(extra, "row", "left")
-    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.coalesce("again", F.lit(0)))).cast("long").alias("taken"))
+    return placed.join(extra, "row", "left").withColumn("times", F.col("epochs") + F.coalesce("again", F.lit(0)))
+
+
+def _facts(row: Column, id: Column, source: Column, text: Column, weight: Column | None, seed: int) -> list[Column]:
+    size = words(text)
+    return [row.alias("row"), id.alias("id"), source.cast("string").alias("source"), size.alias("size"), key(id, text, quality(text) if weight is None else weight, seed).alias("key")]
+
+
+def mixed(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weight_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """One row for each document: the id, ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
+    weight = None if weight_col is None else F.col(weight_col)
+    facts = materialize(docs.select(*_facts(F.monotonically_increasing_id(), F.col(id_col), F.col(source_col), F.col(text_col), weight, seed)))
+    done = _times(facts, weights, max_epochs, bands)
+    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
-    """The mix itself: every document as often as it is taken, all columns as they were.
+def repeated(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weight_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row as often as it is taken, all columns as they were.
 
-    Documents without a word, and those of a null id (which cannot be told apart), come once.
+    Rows are numbered and written once, so that those that share an id, or have none, are told apart. Documents without
+    a word come once.
     """
-    taken = mixed(docs, text_col=text_col, source_col=source_col, id_col=id_col, **limits)
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    # Rows that share an id are taken as often as the one that is taken most.
-    times = taken.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(times).alias("_times"))
-    many = docs.join(times, docs[id_col] == F.col("_id"), "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
-    return many.withColumn("_copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(1), F.col("_times"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    held = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    of = F.col("doc").getField
+    facts = materialize(held.select(*_facts(F.col("row"), of(id_col), of(source_col), of(text_col), None if weight_col is None else of(weight_col), seed)))
+    times = _times(facts, weights, max_epochs, bands).select("row", F.when(F.col("size") > 0, F.col("times")).otherwise(1).alias("times")).where("times > 0")
+    many = held.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return many.select("doc.*")
