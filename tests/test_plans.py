@@ -91,6 +91,12 @@ def test_no_representative_is_insufficient(spark):
     assert all(r["insufficient_reasons"] == ["representative_link_missing"] for r in out)
 
 
+def test_evidence_line_writes_counts_without_separators(spark):
+    df = strategy_rows(spark, {("usage", "brand_trust"): 1200})
+    lines = {r["evidence_summary"] for r in st.strategy_candidates(df, df).collect()}
+    assert lines == {"동일 신호 1200건 / 레벨 내 비중 100.0% / 문제 시그니처 1200개 / 영향지표 719400.0"}
+
+
 def _pairs(df, reps, **kw):
     """Links and members joined again."""
     classes, members = sm.similar_classes(df)

@@ -192,7 +192,8 @@ def insight_texts(df: DataFrame) -> DataFrame:
         {
             "insight_title": fill_template(messages.INSIGHT_TITLE, **parts),
             "insight_summary": summary,
-            "evidence_summary": fill_template(messages.EVIDENCE_SUMMARY, **parts),
+            # The evidence line writes its counts without separators.
+            "evidence_summary": fill_template(messages.EVIDENCE_SUMMARY, **{**parts, "size": size.cast("string"), "signatures": c("distinct_signatures").cast("string")}),
         }
     )
 
