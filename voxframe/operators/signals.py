@@ -141,11 +141,12 @@ def normalize_products(context: DataFrame, rules: SignalRules = DEFAULT) -> Data
 
 
 def _is_meaningful(segment: Column) -> Column:
-    return (F.length(segment) >= 4) & (F.length(F.regexp_replace(segment, "[^A-Za-z0-9가-힣]", "")) >= 3)
+    # The search ends at the third letter or digit, however long the segment is.
+    return (F.length(segment) >= 4) & segment.rlike("[A-Za-z0-9가-힣](?:[^A-Za-z0-9가-힣]*+[A-Za-z0-9가-힣]){2}")
 
 
 def _trim_ends(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ ,.;!?]+|[ ,.;!?]+$", "")
+    return F.btrim(c, F.lit(" ,.;!?"))
 
 
 def split_once(text: Column, connectors: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -208,26 +209,29 @@ def signal_units(context: DataFrame, rules: SignalRules = DEFAULT) -> DataFrame:
     require_columns(context, ["comment_id", "video_id", "raw_text", "product_semantic_id"], "signal_units")
     c = F.col
     base = context.select(
-        "comment_id", "video_id", collapse_space(c("raw_text")).alias("__text"), "product_semantic_id",
+        "comment_id", "video_id", collapse_space(c("raw_text")).alias("__text"), c("raw_text").rlike(r"(?U)[^\s]").alias("__has_text"), "product_semantic_id",
         F.coalesce(pick(context, ["sentiment_seed"]).cast("string"), F.lit("")).alias("__polarity"),
         F.lower(F.trim(F.coalesce(pick(context, ["journey_stage_seed"]).cast("string"), F.lit("")))).alias("__stage"),
         normalize_axes(F.coalesce(pick(context, ["judgment_axes_seed"]).cast("array<string>"), F.array().cast("array<string>")), rules.valid_axes).alias("__axes"),
         F.coalesce(pick(context, ["like_count"]).try_cast("bigint"), F.lit(0)).alias("like_count"),
         F.coalesce(pick(context, ["reply_count"]).try_cast("bigint"), F.lit(0)).alias("reply_count"),
-    ).where((c("__text") != "") & (F.coalesce("comment_id", F.lit("")) != ""))
-    rows = unnest(base, split_pairs(c("__text"), rules.connectors), "__pair", "*", position="__pos")
-    rows = rows.withColumns({"signal_text": collapse_space(c("__pair.text")), "__rule": c("__pair.rule")})
-    rows = rows.withColumns({"__low": F.lower("signal_text"), "__all_low": F.lower("__text")})
+    ).where(c("__has_text") & (F.coalesce("comment_id", F.lit("")) != ""))
+    base = base.withColumn("__whole_low", F.lower("__text"))
+    # What follows from the whole text is settled before the split, so no signal carries that text.
+    base = base.withColumn("__whole", brand_scope(c("__whole_low"), rules))
+    kept = [n for n in base.columns if n not in ("__text", "__whole_low", "__has_text")]
+    rows = unnest(base, split_pairs(c("__text"), rules.connectors), "__pair", *kept, position="__pos")
+    # Pieces of a collapsed text are collapsed.
+    rows = rows.withColumns({"signal_text": c("__pair.text"), "__rule": c("__pair.rule")})
+    rows = rows.withColumn("__low", F.lower("signal_text"))
     low = c("__low")
     rows = rows.withColumns(
         {
             "brand_scope": brand_scope(low, rules),
-            "__whole": brand_scope(c("__all_low"), rules),
             "polarity": signal_polarity(low, c("__polarity"), rules),
             "__best_stage": best_scored({s: bounded_count(low, m) for s, m in rules.stages.items()}),
             "__best_axis": best_scored({a: bounded_weight(low, m) for a, m in rules.axes.items()}),
             "__compared": low.rlike(rules.comparison),
-            "__letters": F.length(F.regexp_replace("signal_text", "[^A-Za-z0-9가-힣]", "")),
             "__asks": F.length("signal_text") - F.length(F.replace(c("signal_text"), F.lit("?"), F.lit(""))),
             "__idle": matches_any(low, rules.generic),
         }
@@ -238,7 +242,8 @@ def signal_units(context: DataFrame, rules: SignalRules = DEFAULT) -> DataFrame:
         (c("__axes")[0] == COMPARISON_AXIS) & ~c("__compared"), F.filter("__axes", lambda a: a != COMPARISON_AXIS)
     ).otherwise(c("__axes"))
     meaningful = _is_meaningful(c("signal_text"))
-    generic = (F.length("signal_text") <= 10) | ((c("__asks") >= 4) & (c("__letters") < 15)) | (c("__idle") & (score <= 0))
+    letters = F.length(F.regexp_replace("signal_text", "[^A-Za-z0-9가-힣]", ""))
+    generic = (F.length("signal_text") <= 10) | ((c("__asks") >= 4) & (letters < 15)) | (c("__idle") & (score <= 0))
     rule = F.when((c("__rule") == SINGLE) & (c("__whole") == "both") & meaningful, "brand_product").otherwise(c("__rule"))
     primary = c("__pos") == 0
     weight = (
