@@ -6,12 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.operators import relational as rel
+from voxframe.operators import signals as sg
 from voxframe.operators import similar as sm
 from voxframe.operators import strategy as st
+from voxframe.operators import topics as tp
 from voxframe.plans.comment_plan import run_comments
 from voxframe.plans.topic_plan import run_topics
 from voxframe.operators.videos import SelectionPolicy
 from voxframe.schemas import COMMENTS, VIDEOS, conform, require_columns
+from voxframe.session import materialize
 from voxframe.sources.collect import estimate_quota
 
 
@@ -174,3 +177,40 @@ def test_comment_run(spark):
     assert kpis["total_comments"] == 6 and kpis["removed_comments"] == 1 and kpis["avg_comments_per_video"] == 3
     assert sum(r["ratio"] for r in out["weekly_sentiment_trend"].collect()) > 0
     assert out["opinion_units"].count() >= 1 and out["strategy_insight_candidates"].count() >= 1
+
+
+def _long_signals(spark):
+    text = " but ".join(f"the filter of machine {i} is broken" for i in range(40))
+    df = spark.createDataFrame([(f"c{i}", text) for i in range(3)], "comment_id string, text_display string")
+    return sg.signal_units(sg.normalize_products(sg.comment_context(df.withColumns({"video_id": F.lit("v"), "like_count": F.lit(1), "reply_count": F.lit(0)}))))
+
+
+def test_signals_do_not_carry_the_whole_text(spark):
+    units = _long_signals(spark)
+    above = units._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "__text" not in above and units.count() == 120
+
+
+def test_topics_move_no_texts(spark):
+    units = materialize(_long_signals(spark))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = tp.attach_topics(units)
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+        rows = materialize(rows)
+        chosen = tp.select_representatives(materialize(tp.build_topics(rows)), rows)
+        assert "signal_text" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+        assert all(r["signature"].endswith("_broken_filter") for r in rows.collect()) and len(chosen.collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_signature_word_must_stand_alone(spark):
+    rows = [(f"c{i}", f"c{i}", t) for i, t in enumerate(["Hums and whirrs loudly", "humming whirrsx only here"])]
+    df = spark.createDataFrame(rows, "signal_id string, comment_id string, signal_text string").withColumns(
+        {n: F.lit(v) for n, v in {"product_semantic_id": "p", "journey_stage": "usage", "judgment_axis": "other", "polarity": "neutral", "polarity_group": "neutral", "topic_id": "t", "signature": "usage_hums_whirrs",
+                                  "signal_type": "primary", "weight": 1.0, "like_count": 0, "reply_count": 0}.items()}
+    )
+    (row,) = tp.select_representatives(df.select("topic_id").distinct(), df).collect()
+    assert row["representative_comment_ids"] == ["c0", "c1"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.markers import hit_count
+from voxframe.functions.markers import contains_any, hit_count
 from voxframe.functions.scores import clamp, hash_pick, short_id
 from voxframe.operators.descriptive import count_if
 from voxframe.operators.labels import fill_template
@@ -16,21 +16,19 @@ from voxframe.operators.signals import COMPARISON_AXIS
 from voxframe.rules import messages
 from voxframe.rules import signals as marks
 from voxframe.schemas import require_columns
+from voxframe.session import materialize
 
 GROUP = ("product_semantic_id", "journey_stage", "judgment_axis", "polarity_group")
 NON_WORD = "[^A-Za-z0-9가-힣]+"
+# Every match of the two patterns holds one of its parts, or a letter that only the patterns take for s, i or k.
+_GENERIC_PARTS = ("thank", "video", "lol", "lmao", "first!", "subscribe", "ſ", "ı", "\u212a")
+_OFF_TOPIC_PARTS = ("politics", "wife", "husband", "married", "birthday", "funny channel", "ſ", "ı", "\u212a")
 
 
 def _lookup(table: Mapping[str, str], key: Column, default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), default)
 
 
-def signature_tokens(text: Column, stopwords: Sequence[str] = marks.GENERIC_STOPWORDS, forms: Mapping[str, str] = marks.TOKEN_NORMALIZATION) -> Column:
-    words = F.transform(F.split(text, NON_WORD), F.lower)
-    mapped = F.transform(words, lambda w: _lookup(forms, w, w)) if forms else words
-    return F.filter(mapped, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))
-
-
 def topic_signatures(signals: DataFrame, stopwords: Sequence[str] = marks.GENERIC_STOPWORDS, forms: Mapping[str, str] = marks.TOKEN_NORMALIZATION) -> DataFrame:
     """Signature per product, stage, axis and polarity: the two most frequent repeated tokens.
 
@@ -38,8 +36,13 @@ def topic_signatures(signals: DataFrame, stopwords: Sequence[str] = marks.GENERI
     """
     c = F.col
     sizes = signals.groupBy(*GROUP).agg(F.count("*").alias("__n"))
-    tokens = unnest(signals, signature_tokens(c("signal_text"), stopwords, forms), "__token", *GROUP)
-    counts = tokens.groupBy(*GROUP, "__token").agg(F.count("*").alias("__c"))
+    # What stands between spaces is counted as written; only different ones of a group are cut into words, lower-cased
+    # and mapped. A space is no part of a word, so the counts are those of the words of all texts.
+    written = unnest(signals, F.split("signal_text", " "), "__word", *GROUP).groupBy(*GROUP, "__word").agg(F.count("*").alias("__c"))
+    tokens = unnest(written, F.split("__word", NON_WORD), "__part", *GROUP, "__c").withColumn("__low", F.lower("__part"))
+    tokens = tokens.select(*GROUP, "__c", (_lookup(forms, c("__low"), c("__low")) if forms else c("__low")).alias("__token"))
+    tokens = tokens.where((F.length("__token") >= 2) & ~c("__token").isin(*stopwords))
+    counts = tokens.groupBy(*GROUP, "__token").agg(F.sum("__c").alias("__c"))
     marked = attach(counts, sizes, GROUP, derived=True).withColumn("__rep", c("__c") >= F.when(c("__n") >= 20, 3).otherwise(2))
     best = top_per_group(marked, GROUP, [c("__rep").desc(), c("__c").desc(), c("__token")], 2, "__rank")
     ordered = F.array_sort(F.collect_list(F.struct("__rank", "__rep", "__token")))
@@ -51,11 +54,19 @@ def topic_signatures(signals: DataFrame, stopwords: Sequence[str] = marks.GENERI
     return out.select(*GROUP, signature.alias("signature"))
 
 
-def attach_topics(signals: DataFrame, stopwords: Sequence[str] = marks.GENERIC_STOPWORDS, forms: Mapping[str, str] = marks.TOKEN_NORMALIZATION) -> DataFrame:
-    """Signals with the key and id of their topic."""
+def attach_topics(
+    signals: DataFrame,
+    stopwords: Sequence[str] = marks.GENERIC_STOPWORDS,
+    forms: Mapping[str, str] = marks.TOKEN_NORMALIZATION,
+    hold: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """Signals with the key and id of their topic.
+
+    The signatures are held, so their true size is known and signals with their texts are not moved to meet them.
+    """
     require_columns(signals, ["signal_id", "signal_text", "product_semantic_id", "journey_stage", "judgment_axis", "polarity"], "attach_topics")
     rows = signals.withColumn("polarity_group", F.lower(F.coalesce("polarity", F.lit("neutral"))))
-    out = attach(rows, topic_signatures(rows, stopwords, forms), GROUP, derived=True)
+    out = attach(rows, hold(topic_signatures(rows, stopwords, forms)), GROUP)
     key = F.concat_ws("|", "journey_stage", "judgment_axis", "polarity_group", "product_semantic_id", "signature")
     return out.withColumn("topic_key", key).withColumn("topic_id", short_id(F.col("topic_key")))
 
@@ -155,9 +166,11 @@ def _axis_keyword_ratio(text: Column, axis: Column, keywords: Mapping[str, Seque
     chain = None
     for name, words in keywords.items():
         n = hit_count(text, words)
-        value = F.when(n >= 2, 1.0).when(n == 1, 0.75).otherwise(0.25)
-        chain = F.when(axis == name, value) if chain is None else chain.when(axis == name, value)
-    return F.lit(1.0) if chain is None else chain.otherwise(1.0)
+        chain = F.when(axis == name, n) if chain is None else chain.when(axis == name, n)
+    if chain is None:
+        return F.lit(1.0)
+    # The count is bound once; axes without keywords have none.
+    return F.element_at(F.transform(F.array(chain), lambda n: F.when(n >= 2, 1.0).when(n == 1, 0.75).when(n == 0, 0.25).otherwise(1.0)), 1)
 
 
 def select_representatives(
@@ -167,11 +180,13 @@ def select_representatives(
     axis_keywords: Mapping[str, Sequence[str]] = marks.AXIS_KEYWORDS,
     comparison: str = marks.COMPARISON,
     floor: float = 0.30,
+    hold: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """Up to ``n`` comments per topic by alignment; none if the mean alignment stays below the floor.
 
     Signals are averaged per topic and comment first, so later steps see comments, not signals, and the
-    best comments are cut per task before the shuffle.
+    best comments are cut per task before the shuffle. These sums are held: their texts are read once, and the
+    tables of one row per topic are then known to be small, so no task gathers all comments of a large topic.
     """
     c = F.col
     # Signals carry the columns their topic was made of, so the topic table is not joined.
@@ -185,16 +200,18 @@ def select_representatives(
     letters = F.length(F.regexp_replace(text, "[^A-Za-z0-9가-힣]", ""))
     noise = F.array(*[F.lit(w) for w in marks.SIGNATURE_NOISE])
     words = F.filter(_word_set(c("__signature")), lambda t: ~F.array_contains(noise, t))
-    rows = rows.withColumns({"__sig": words, "__words": _word_set(text)})
-    shared = F.size(F.array_intersect("__sig", "__words")) / F.size("__sig")
+    rows = rows.withColumn("__sig", words)
+    # A word of the signature that stands alone in the text. The word comes first in the pattern, so the search skips to it.
+    alone = lambda t: low.contains(t) & F.rlike(low, F.concat(t, F.lit("(?<![A-Za-z0-9가-힣]"), t, F.lit(")(?![A-Za-z0-9가-힣])")))
+    shared = F.size(F.filter("__sig", alone)) / F.size("__sig")
     rows = rows.withColumns(
         {
             "__am": F.lower("judgment_axis") == c("__axis"),
             "__pm": F.when(c("__pol") == "neutral", polarity.isin("neutral", "mixed")).otherwise(polarity == c("__pol")),
             "__dm": c("product_semantic_id") == c("__product"),
             "__generic": F.when(F.length(text) < 14, 0.40).otherwise(
-                F.when(low.rlike(marks.GENERIC_REPRESENTATIVES), 0.55).otherwise(1.0)
-                * F.when(low.rlike(marks.OFF_TOPIC), 0.45).otherwise(1.0)
+                F.when(contains_any(low, _GENERIC_PARTS) & low.rlike(marks.GENERIC_REPRESENTATIVES), 0.55).otherwise(1.0)
+                * F.when(contains_any(low, _OFF_TOPIC_PARTS) & low.rlike(marks.OFF_TOPIC), 0.45).otherwise(1.0)
                 * F.when((asks >= 4) & (letters < 20), 0.60).otherwise(1.0)
             ),
             "__kw": _axis_keyword_ratio(low, c("__axis"), axis_keywords),
@@ -210,8 +227,9 @@ def select_representatives(
         count_if(c("signal_type") == "primary").alias("__primary"),
         *[F.sum(c(m).cast("double")).alias(f"__sum_{m}") for m in means],
     )
-    reached = partial.groupBy("topic_id").agg(F.max("__tier").alias("__best"))
-    aligned = attach(partial, reached, ["topic_id"], derived=True).where(c("__tier") >= c("__best"))
+    partial = hold(partial)
+    reached = hold(partial.groupBy("topic_id").agg(F.max("__tier").alias("__best")))
+    aligned = attach(partial, reached, ["topic_id"]).where(c("__tier") >= c("__best"))
     summary = aligned.groupBy("topic_id", "comment_id", "__axis").agg(
         F.sum("__n").alias("__density"), F.sum("__primary").alias("__primary"),
         *[(F.sum(f"__sum_{m}") / F.sum("__n")).alias(f"__avg_{m.strip('_')}") for m in means],
@@ -220,10 +238,10 @@ def select_representatives(
     proven = (c("__avg_kw") >= 0.85) & (c("__avg_cs") >= 0.6) & (c("__avg_so") >= 0.45)
     summary = summary.withColumn("__pass", F.when(compare, proven).otherwise(c("__avg_kw") >= 0.6))
     summary = summary.where(~compare | c("__pass"))
-    per_topic = summary.groupBy("topic_id").agg(
+    per_topic = hold(summary.groupBy("topic_id").agg(
         F.max("__pass").alias("__any"), F.max(F.when(c("__pass"), c("__density"))).alias("__peak_pass"), F.max("__density").alias("__peak_all")
-    )
-    scored = attach(summary, per_topic, ["topic_id"], derived=True).where(c("__pass") | ~c("__any"))
+    ))
+    scored = attach(summary, per_topic, ["topic_id"]).where(c("__pass") | ~c("__any"))
     scored = scored.withColumn("__peak", F.when(c("__any"), c("__peak_pass")).otherwise(c("__peak_all")))
     component = (
         c("__density") / c("__peak") * 0.26 + clamp(c("__avg_weight"), 0, 1) * 0.14

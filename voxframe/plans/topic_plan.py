@@ -26,10 +26,10 @@ def run_topics(
     """
     context = hold(sg.normalize_products(sg.comment_context(comments, truth, videos, run_id), rules))
     units = hold(sg.signal_units(context, rules))
-    signals = hold(tp.attach_topics(units))
+    signals = hold(tp.attach_topics(units, hold=hold))
     topics = hold(tp.build_topics(signals))
     ranked = tp.rank_topics(topics, signals, rules.comparison)
-    representatives = hold(tp.select_representatives(topics, signals, comparison=rules.comparison))
+    representatives = hold(tp.select_representatives(topics, signals, comparison=rules.comparison, hold=hold))
     gated = tp.quality_gate(ranked, topics, representatives)
     if check:
         gated = tp.checked(gated, tp.sanity_checks(context, signals, topics))
