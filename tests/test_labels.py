@@ -89,3 +89,10 @@ def test_terms_of_an_enrichment_count_three_times(spark):
     df = spark.createDataFrame([("소음 바다", ["소음", "소음", "리뷰"], "negative", "a"), ("배송", None, "negative", "바다")], "cleaned_text string, terms array<string>, sentiment_label string, channel_title string")
     got = {r["keyword"]: r["count"] for r in ks.keyword_pack(df, "negative", terms="terms").collect()}
     assert got == {"소음": 4, "배송": 1}
+
+
+def test_clauses_read_the_text_once(spark):
+    df = spark.createDataFrame([(" loud. and hot ",), ("",), (None,), ("nan",), (" but ",)], "body string")
+    out = df.select(op.split_opinions(F.col("body"), " but ").alias("clauses"))
+    assert out._jdf.queryExecution().analyzed().toString().count("body#") == 2
+    assert [r["clauses"] for r in out.collect()] == [["loud", "and hot"], [], [], [], ["but"]]

@@ -42,18 +42,24 @@ def split_opinions(text: Column, contrast: str = marks.CONTRAST, legacy_sentence
 
     ``legacy_sentence_split`` cuts sentences only after an ideographic full stop.
     """
-    source = safe_text(text)
     ends = r"(?<=。)" if legacy_sentence_split else marks.SENTENCE_END
-    parts = F.filter(F.split(source, contrast), lambda p: safe_text(p) != "")
-    segments = F.when(source.rlike(contrast), F.transform(parts, _trim_marks)).otherwise(F.array(source))
-    clauses = F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.transform(F.filter(F.split(s, ends), lambda p: safe_text(p) != ""), _trim_marks),
+
+    def clauses_of(source: Column) -> Column:
+        parts = F.filter(F.split(source, contrast), lambda p: safe_text(p) != "")
+        # A text without a contrast word is one part; it alone keeps its ends.
+        segments = F.when(source.rlike(contrast), F.transform(parts, _trim_marks)).otherwise(F.array(source))
+        clauses = F.flatten(
+            F.transform(
+                segments,
+                lambda s: F.transform(F.filter(F.split(s, ends), lambda p: safe_text(p) != ""), _trim_marks),
+            )
         )
-    )
-    kept = F.array_distinct(F.filter(F.transform(clauses, lambda p: F.trim(p)), lambda p: p != ""))
-    return F.when(source == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(source))
+        kept = F.array_distinct(F.filter(F.transform(clauses, lambda p: F.trim(p)), lambda p: p != ""))
+        found = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(source)))
+        return F.when(source == "", F.array().cast("array<string>")).otherwise(F.element_at(found, 1))
+
+    # Bound once: the text and its clauses would otherwise be worked out again at every mention.
+    return F.element_at(F.transform(F.array(safe_text(text)), clauses_of), 1)
 
 
 # The functions below take the lower-case text as ``low``; give a named column so that it is computed once.
