@@ -102,3 +102,15 @@ def test_card_texts(spark):
     assert _value(spark, cd.quantitative_flag(F.lit(None).cast("boolean"), F.lit("3년 썼다"))) and not _value(spark, cd.quantitative_flag(F.lit(False), F.lit("three")))
     long = "a" * 90 + ". " + "b" * 200
     assert _value(spark, pt.snippet(F.lit(long))) == "a" * 90 + "." and _value(spark, pt.snippet(F.lit("Hi. " + "b" * 200))) == "Hi. " + "b" * 166 + "..."
+
+
+def _mentions(df, name: str) -> int:
+    """How often the unresolved plan reads a column, the scan itself included."""
+    return df._jdf.queryExecution().analyzed().toString().count(f"{name}#")
+
+
+def test_subjects_read_the_text_once(spark):
+    df = spark.createDataFrame([(" the Board broke",), ("nan",), (None,)], "body string")
+    out = df.select(cd.voc_items(F.col("body"), F.lit("neutral")).alias("items"))
+    assert _mentions(out, "body") == 2
+    assert [[(i["topic"], i["evidence_span"]) for i in r["items"]] for r in out.collect()] == [[("수리/서비스", "Board")], [("기타 사용 경험", "")], [("기타 사용 경험", "")]]
