@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.functions.markers import may_hold
+from voxframe.functions.text import preview
 from voxframe.operators import cards as cd
 from voxframe.operators import patterns as pt
 from voxframe.operators import quality as qa
@@ -114,3 +116,29 @@ def test_subjects_read_the_text_once(spark):
     out = df.select(cd.voc_items(F.col("body"), F.lit("neutral")).alias("items"))
     assert _mentions(out, "body") == 2
     assert [[(i["topic"], i["evidence_span"]) for i in r["items"]] for r in out.collect()] == [[("수리/서비스", "Board")], [("기타 사용 경험", "")], [("기타 사용 경험", "")]]
+
+
+def test_clauses_of_cards_read_the_text_once(spark):
+    texts = ["Loud. 소음이 3번 났다! see https://x.y/z now", " sponsored post. fine then", "a: b: c: 5 kg", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    clauses = cd.split_clauses(F.col("body"))
+    assert _mentions(df.select(clauses), "body") == 2
+    chosen = df.select(preview(F.coalesce(cd.representative_clause(clauses, F.lit("negative")), F.lit("")), 82).alias("best"), cd.salient_clauses(clauses, 1).alias("first"), clauses.alias("all"))
+    assert _mentions(chosen, "body") == 4
+    rows = chosen.collect()
+    assert [r["all"] for r in rows] == [["Loud", "소음이 3번 났다"], ["fine then"], ["a: b: c: 5 kg"], [], []]
+    assert [r["first"] for r in rows] == [["소음이 3번 났다"], ["fine then"], ["a: b: c: 5 kg"], [], []]
+    assert [r["best"] for r in rows] == ["소음이 3번 났다", "fine then", "a: b: c: 5 kg", "", ""]
+
+
+def test_chosen_clauses_are_not_split_again(spark):
+    cards = spark.createDataFrame([("1", "one clause. another one", "positive", "other clause")], "comment_id string, text_display string, sentiment string, representative_clause string")
+    frame = cards.select("*", *[F.lit(None).cast("string").alias(n) for n in ("stage", "classification_type")], F.lit(False).alias("mixed_flag"), F.lit(0).alias("similar_count"))
+    out = cd.resolution_evidence(frame)
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first()["representative_evidence"] == "other clause"
+
+
+def test_texts_of_another_script_are_settled_by_one_search(spark):
+    held = lambda text, *markers: _value(spark, may_hold(F.lit(text), markers))
+    assert held("das Gerät", "소음", "고장 as") is False and held("큰 소음", "소음", "고장") and held("x", "소음", "as") and held("x", "É") and held("x") is False
