@@ -5,12 +5,14 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.functions.keywords import KeywordRules
 from voxframe.functions.markers import may_hold
 from voxframe.functions.text import preview
 from voxframe.operators import cards as cd
 from voxframe.operators import patterns as pt
 from voxframe.operators import quality as qa
 from voxframe.operators import topics as tp
+from voxframe.operators import videos as vd
 from voxframe.operators.relational import ListRule, top_lists
 from voxframe.sources import readers as rd
 from voxframe.streaming import incremental as inc
@@ -142,3 +144,16 @@ def test_chosen_clauses_are_not_split_again(spark):
 def test_texts_of_another_script_are_settled_by_one_search(spark):
     held = lambda text, *markers: _value(spark, may_hold(F.lit(text), markers))
     assert held("das Gerät", "소음", "고장 as") is False and held("큰 소음", "소음", "고장") and held("x", "소음", "as") and held("x", "É") and held("x") is False
+
+
+def test_signals_of_videos_read_the_texts_once(spark):
+    rows = [("1", "v", "loud noise. it broke", ["pump"], "negative", 3), ("2", "v", "fine", ["pump", "hose"], "positive", 5), ("3", "w", "", None, "neutral", None)]
+    df = spark.createDataFrame(rows, "comment_id string, video_id string, text_display string, nlp_core_points array<string>, sentiment_label string, like_count long")
+    rules = KeywordRules(stopwords=(), translations={}, aliases={}, keep=(), products=(), noise_suffixes=(), verb_suffixes=(), particles=(), drop_latin=False)
+    out = vd.video_signals(df, rules=rules)
+    assert "text_display" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r["video_id"]: r for r in out.collect()}
+    assert got["v"]["evidence_clauses"] == ["fine", "loud noise"] and got["v"]["top_points"] == ["pump", "hose"] and got["v"]["nlp_coverage"] == 1.0
+    assert got["w"]["evidence_clauses"] == [] and got["w"]["nlp_coverage"] == 0.0 and got["w"]["count"] == 1
+    known = vd.video_signals(df.withColumn("salient_clause", F.upper("text_display")), rules=rules)
+    assert {r["video_id"]: r["evidence_clauses"] for r in known.collect()} == {"v": ["FINE", "LOUD NOISE. IT BROKE"], "w": []}
