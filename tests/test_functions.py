@@ -65,3 +65,20 @@ def test_loose_lists(spark):
 def test_flags(spark):
     rows = ["Yes", "0", "", "maybe", None, "2"]
     assert values(spark, rows, parsing.coerce_bool) == [True, False, False, False, False, True]
+
+
+def test_personal_data_is_searched_once_for_all_fields(spark):
+    df = spark.createDataFrame([("a@b.de or 010-1234-5678",), ("none",)], "body string")
+    out = df.select(tx.detect_pii(F.col("body")).alias("p")).select("p.flag", "p.types")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
+    assert [tuple(r) for r in out.collect()] == [("Y", "phone, email, account_id"), ("N", "")]
+
+
+def test_quality_counts_letters_without_copies(spark):
+    wanted = {"!!": "meaningless", "_": "meaningless", "!a!": "meaningless", "a-b": "low_context", "abcd!": "low_context", "abcde": "valid", "a b": "valid", "Thank, you!": "generic_engagement",
+              "thank you so": "valid", "@ab @cd": "tagging_only", "x @cd": "valid", "@a @b @c @d": "valid", "go  go go": "repetitive"}
+    df = spark.createDataFrame([(t,) for t in wanted], "t string")
+    out = df.select("t", tx.quality_class(F.col("t"), F.col("t")).alias("q"))
+    assert {r["t"]: r["q"] for r in out.collect()} == wanted
+    # The one copy left is of texts no longer than a listed word.
+    assert out._jdf.queryExecution().analyzed().toString().count("[^\\w]") == 0
