@@ -138,6 +138,18 @@ def test_copies_of_a_comment_are_one_class(spark):
     assert len(links) == 20 and {r["members"] for r in links} == {100} and {r["cluster_size"] for r in links} == {400}
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_similar_comments_are_listed_one_by_one(spark, limit):
+    rows = [("r", "loud", ["noise"]), ("bare", "", ["noise"]), ("few", "cold", ["heat"]), ("h", "hot", ["heat"])] + [(f"c{i}", "too loud" if i < 3 else "hums", ["noise", "hum"]) for i in range(5)] + [("r", "loud too", ["noise"])]
+    df = spark.createDataFrame(rows, "comment_id string, text_display string, intent_tokens array<string>").withColumns({"journey_stage": F.lit("usage"), "direction": F.lit("negative"), "like_count": F.lit(1)})
+    classes, members = sm.similar_classes(df)
+    rep_classes, rep_members = sm.similar_classes(df.where("comment_id in ('bare', 'few') or text_display = 'loud'"), textless=True)
+    pairs = sm.similar_pairs(sm.similar_links(classes, rep_classes, min_cluster=1, limit=limit), rep_members, members).collect()
+    copies = {f"c{i}" for i in range(5)}
+    assert {(p["rep_id"], p["comment_id"], p["cluster_size"]) for p in pairs} == {("r", c, 5) for c in copies} | {("bare", c, 7) for c in copies | {"r"}}
+    assert len(pairs) == 12
+
+
 def test_evidence_of_a_cluster_counts_a_clause_once(spark):
     rows = [("r", "c1", "loud", 5), ("r", "c2", "loud", 9), ("r", "c3", "hot", 7), ("r", "c4", None, 50), ("r", "c5", "slow", 7), ("r", "c6", "late", 1)]
     links = spark.createDataFrame([(*r, 2, 12) for r in rows], "rep_class string, class_id string, evidence string, most_likes long, members long, cluster_size long")

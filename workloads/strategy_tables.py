@@ -208,12 +208,15 @@ def _similar(spark, sf):
     return rows, representatives(rows)
 
 
-# The pairs of comments, brute force, folded into classes: a class is a stage, a direction, a token set and a text.
+PAIRS = SIMILAR + "SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluster_size FROM pairs QUALIFY cluster_size >= 3"
+# A class is a stage, a direction, a token set and a text.
 CLASSES = SIMILAR + """,
 cl AS (SELECT comment_id, text, md5(concat_ws(chr(30), coalesce(journey_stage, ''), dir, array_to_string(list_sort(toks), chr(31)), md5(trim(text)))) AS class_id, analysis_included AND hygiene_class <> 'trash' AS pooled
   FROM tk WHERE text <> ''),
 big AS (SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluster_size FROM pairs QUALIFY cluster_size >= 3)
 """
+
+
 LINKS = CLASSES + """SELECT DISTINCT r.class_id AS rep_class, c.class_id, cluster_size, count(DISTINCT b.comment_id) OVER (PARTITION BY b.rep_id, c.class_id) AS members
 FROM big b JOIN cl r ON r.comment_id = b.rep_id JOIN cl c ON c.comment_id = b.comment_id"""
 
@@ -224,9 +227,18 @@ def _links(spark, sf, **kw):
     return sm.similar_links(classes, rep_classes, **kw).select("rep_class", "class_id", "cluster_size", "members")
 
 
-@query("similar_comments", LINKS)
+def _pairs(spark, sf, **kw):
+    rows, reps = _similar(spark, sf)
+    # All rows of a representative's id.
+    leads = rows.join(F.broadcast(reps.select("comment_id").distinct()), "comment_id", "left_semi")
+    (classes, members), (rep_classes, rep_members) = sm.similar_classes(sm.source_pool(rows)), sm.similar_classes(leads, textless=True)
+    links = materialize(sm.similar_links(materialize(classes), materialize(rep_classes), min_cluster=1, **kw))
+    return sm.similar_pairs(links, rep_members, members).select("rep_id", "comment_id", "cluster_size")
+
+
+@query("similar_comments", PAIRS)
 def similar_comments(spark, sf):
-    return _links(spark, sf)
+    return _pairs(spark, sf)
 
 
 @query("similar_comments_by_token", LINKS)
@@ -237,7 +249,7 @@ def similar_comments_by_token(spark, sf):
 
 @query("similar_members", CLASSES + "SELECT comment_id, class_id FROM cl WHERE pooled")
 def similar_members(spark, sf):
-    """Which class each comment of the pool is in; with the links, all pairs of similar comments."""
+    """Which class each comment of the pool is in."""
     rows, _ = _similar(spark, sf)
     return sm.similar_classes(sm.source_pool(rows))[1]
 
