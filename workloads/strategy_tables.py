@@ -217,16 +217,6 @@ big AS (SELECT rep_id, comment_id, count(*) OVER (PARTITION BY rep_id) AS cluste
 """
 
 
-LINKS = CLASSES + """SELECT DISTINCT r.class_id AS rep_class, c.class_id, cluster_size, count(DISTINCT b.comment_id) OVER (PARTITION BY b.rep_id, c.class_id) AS members
-FROM big b JOIN cl r ON r.comment_id = b.rep_id JOIN cl c ON c.comment_id = b.comment_id"""
-
-
-def _links(spark, sf, **kw):
-    rows, reps = _similar(spark, sf)
-    classes, rep_classes = (materialize(sm.similar_classes(df)[0]) for df in (sm.source_pool(rows), reps))
-    return sm.similar_links(classes, rep_classes, **kw).select("rep_class", "class_id", "cluster_size", "members")
-
-
 def _pairs(spark, sf, **kw):
     rows, reps = _similar(spark, sf)
     # All rows of a representative's id.
@@ -241,10 +231,10 @@ def similar_comments(spark, sf):
     return _pairs(spark, sf)
 
 
-@query("similar_comments_by_token", LINKS)
+@query("similar_comments_by_token", PAIRS)
 def similar_comments_by_token(spark, sf):
-    """The same links on the path for representatives too many to broadcast."""
-    return _links(spark, sf, limit=0)
+    """The same pairs on the path for representatives too many to broadcast."""
+    return _pairs(spark, sf, limit=0)
 
 
 @query("similar_members", CLASSES + "SELECT comment_id, class_id FROM cl WHERE pooled")
