@@ -9,6 +9,7 @@ import math
 import re
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from voxframe.llm import byte_bpe, context_tree, embedding_dedup, language_id, line_quality, mixing, secret_scan, simhash_dedup, toxicity, url_rules
+from voxframe.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, host string, row int, key string, id string"
@@ -139,6 +141,38 @@ def test_cells_of_many_centres_take_little_memory():
         assert cells[0] == home and set(np.flatnonzero(short <= 0.1 * width).tolist()) <= set(cells)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_blocks_of_a_cell_and_rounds_of_visits(spark, monkeypatch, kind):
+    for name, value in {"CELL": 400, "LOCAL": 1, "GUESTS": 1, "ROUND": 20_000}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    written = []
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.random.default_rng(5).normal(size=(1200, 4)).astype(np.float32))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    got = embedding_dedup.grouped(df, min_cosine=0.97)
+    assert _rows(got, "vec_id", "n_links", "component_id", "kept") == _sorted(_embedding_truth(rows, 0.97))
+    (sizes,) = (w for w in written if "k" in w.columns)
+    assert sizes.where("m > 1 and k > 1").count() and sum(w.columns == ["a", "more", "b"] for w in written) > 2
+
+
+def test_moved_vectors_do_not_pile_up_on_disk(spark, monkeypatch):
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {Path(f).name: Path(f).stat().st_size for f in folder.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f and Path(f).exists()}
+    before, most = files(), [0]
+
+    def watched(df):
+        out = materialize(df)
+        most.append(sum(n for k, n in files().items() if k not in before))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "materialize", watched)
+    vectors = np.random.default_rng(4).normal(size=(6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.grouped(df).where("kept and n_links = 0").count() == 6000
+    # Before, the moved copies of the vectors alone stayed at over ten times their size.
+    assert len(most) > 4 and max(most) < vectors.nbytes
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.grouped(df).collect() == []
